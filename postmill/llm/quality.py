@@ -24,9 +24,8 @@ from pyspark.sql import types as T
 
 from postmill.llm.common import held_out, sliced, text_bytes
 
-MAX_POSITIVE = 10_000
-MAX_UNLABELLED = 20_000
-MAX_LABELS = 50_000
+MAX_POSITIVE = 4_000
+MAX_UNLABELLED = 12_000
 THRESHOLD = 0.3
 BATCH_BYTES = 8 << 20
 BINS = 12
@@ -73,12 +72,12 @@ def statistics(texts: list[bytes]) -> np.ndarray:
 class Model:
     """Weights over one-hot bins of the statistics and over the statistics themselves."""
 
-    def __init__(self, edges: np.ndarray, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, prior: float):
+    def __init__(self, edges: list[np.ndarray], mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, prior: float):
         self.edges, self.mean, self.scale, self.weights, self.prior = edges, mean, scale, weights, prior
 
     def design(self, stats: np.ndarray) -> np.ndarray:
         bins = [(np.searchsorted(e, s, "right")[:, None] == np.arange(len(e) + 1)) for e, s in zip(self.edges, stats.T, strict=True)]
-        return np.hstack([*bins, np.clip((stats - self.mean) / self.scale, -4, 4), np.ones((len(stats), 1))]).astype(np.float64)
+        return np.hstack([*bins, np.clip((stats - self.mean) / self.scale, -4, 4), np.ones((len(stats), 1))]).astype(np.float32)
 
     def score(self, stats: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.design(stats) @ self.weights, -30, 30)))
@@ -90,14 +89,15 @@ def risk_parts(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> tuple[float, f
     return prior * loss(z_p), loss(-z_u) - prior * loss(-z_p)
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-3) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-4) -> Model:
     """Minimise the non-negative risk by Adam; where its second part is negative, a step raises it instead."""
     both = np.vstack([positive, unlabelled])
     qs = np.linspace(0, 1, BINS + 1)[1:-1]
-    edges = np.array([np.quantile(c, qs) for c in both.T])
+    # Most statistics are at their least value in most texts, so the other values share the bins.
+    edges = [np.unique([c.min() + 1e-9, *np.quantile(c[c > c.min()], qs)]) if c.max() > c.min() else np.array([c.min() + 1e-9]) for c in both.T]
     model = Model(edges, both.mean(0), both.std(0) + 1e-9, np.zeros(0), prior)
     x_p, x_u = model.design(positive), model.design(unlabelled)
-    w, m, v = np.zeros(x_p.shape[1]), 0.0, 0.0
+    w, m, v = np.zeros(x_p.shape[1], np.float32), 0.0, 0.0
     for t in range(1, steps + 1):
         z_p, z_u = x_p @ w, x_u @ w
         s_p, s_u = 1 / (1 + np.exp(-z_p)), 1 / (1 + np.exp(-z_u))
@@ -108,7 +108,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
             grad = -negative
         grad = grad + decay * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w = (w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
     model.weights = w
     return model
 
