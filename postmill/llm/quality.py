@@ -80,7 +80,7 @@ class Model:
         return np.hstack([*bins, np.clip((stats - self.mean) / self.scale, -4, 4), np.ones((len(stats), 1))]).astype(np.float32)
 
     def score(self, stats: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.design(stats) @ self.weights, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.design(stats) @ self.weights, -30, 30).astype(np.float64)))
 
 
 def risk_parts(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> tuple[float, float]:
