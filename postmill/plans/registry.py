@@ -1,6 +1,4 @@
 """All queries over the given tables, and their SQL."""
 
-from __future__ import annotations
-
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from postmill.plans import filter_queries, market_queries, score_queries  # noqa: F401
+from postmill.plans.derived import ORACLE_SQL, QUERIES  # noqa: F401
