@@ -33,7 +33,7 @@ from postmill.llm.components import components
 
 SHINGLE = 4
 RADIUS = 4
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 SHARD = 4096
 BUCKET_TARGET = 64
 BROADCAST_IDS = 1_000_000
@@ -66,7 +66,7 @@ def fingerprints_of(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
     if len(full):
         bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         starts = np.concatenate(([0], np.cumsum(counts[full])[:-1]))
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
         out[full] = np.packbits(2 * ones > counts[full][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
