@@ -44,7 +44,7 @@ def document_suffixes(word: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np
     n = len(word)
     end = np.searchsorted(doc, doc, "right")
     bits = max(1, int(word.max() + 1).bit_length())
-    width = min(4, max(1, (62 - max(1, int(doc.max()).bit_length())) // bits))
+    width = min(4, n, max(1, (62 - max(1, int(doc.max()).bit_length())) // bits))
     pos = np.arange(n, dtype=np.int64)
     key = doc.astype(np.int64)
     for k in range(width):

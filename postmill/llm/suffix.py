@@ -13,7 +13,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """
     n = len(symbols)
     bits = max(1, int(symbols.max()).bit_length())
-    width = max(1, 62 // bits)
+    width = min(n, max(1, 62 // bits))
     key, ended = symbols.astype(np.int64), symbols == 0
     for k in range(1, width):
         nxt = np.zeros(n, np.int64)
