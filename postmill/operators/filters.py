@@ -157,10 +157,8 @@ def qa_split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.filter("verdict <> 'fail'"), judged.filter("verdict = 'fail'")
 
 
-def risk_flags() -> Column:
-    title, desc, salary = (F.lower(T.text(F.col(c))) for c in ("title", "description", "salary_text"))
-    url, company = F.lower(T.text(F.col("url"))), F.lower(T.text(F.col("company")))
-    full = F.concat_ws(" ", title, desc, salary)
+def risk_flags(title: Column, desc: Column, salary: Column, url: Column, company: Column, full: Column) -> Column:
+    """All flags, from lower-cased columns; ``full`` is title, description and salary."""
     vague = title.rlike(r"^(?:job|position|role|opening|opportunity)$|^various\s|^multiple\s|\bvarious\b")
     amounts = F.transform(F.regexp_extract_all(F.replace(salary, F.lit(","), F.lit("")), F.lit(r"\d+"), F.lit(0)), lambda x: x.try_cast("long"))
     flag = lambda cond, name: F.when(cond, F.lit(name))
@@ -178,7 +176,10 @@ def risk_flags() -> Column:
 
 def with_risk(df: DataFrame) -> DataFrame:
     """Adds flags and risk (high, medium, low). Needs a salary_text column."""
-    out = df.withColumn("flags", risk_flags())
+    names = ("title", "description", "salary_text", "url", "company")
+    out = df.withColumns({f"__{c}": F.lower(T.text(F.col(c))) for c in names})  # worked out once a row, used by all rules
+    out = out.withColumn("__full", F.concat_ws(" ", "__title", "__description", "__salary_text"))
+    out = out.withColumn("flags", risk_flags(*(F.col(f"__{c}") for c in (*names, "full")))).drop(*(f"__{c}" for c in (*names, "full")))
     n = lambda start: F.size(F.filter("flags", lambda f: F.startswith(f, F.lit(start))))
     scam, ghost = n("SCAM"), n("GHOST")
     other = F.size("flags") - scam - ghost

@@ -45,10 +45,11 @@ def skip_seen(cards: DataFrame, seen: DataFrame) -> DataFrame:
 
     Needs ingest_seq and url; seen has url_key.
     """
-    keyed = cards.withColumn("url_key", T.norm_url(F.col("url")))
-    first = keyed.filter("url_key <> ''").groupBy("url_key").agg(F.min("ingest_seq").alias("ingest_seq")).join(seen.select("url_key"), "url_key", "left_anti")
-    fresh = keyed.join(first.select("url_key", "ingest_seq"), ["url_key", "ingest_seq"], "left_semi")
-    return fresh.unionByName(keyed.filter("url_key = ''"))
+    keyed = cards.withColumn("url_key", F.nullif(T.norm_url(F.col("url")), F.lit("")))
+    first = keyed.filter("url_key is not null").groupBy("url_key").agg(F.min("ingest_seq").alias("__first"))
+    fresh = first.join(seen.select("url_key"), "url_key", "left_anti")
+    joined = keyed.join(fresh, "url_key", "left")
+    return joined.filter("url_key is null or ingest_seq = __first").drop("__first")
 
 
 def mark_new(df: DataFrame, seen_jobs: DataFrame) -> DataFrame:
