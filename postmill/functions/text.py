@@ -36,7 +36,9 @@ def any_in(c: Column, words) -> Column:
 
 def which_in(c: Column, words) -> Column:
     """The words that the text holds, in list order."""
-    return F.filter(F.array(*[F.when(F.contains(c, F.lit(w)), F.lit(w)) for w in words]), lambda x: x.isNotNull())
+    each = F.filter(F.array(*[F.when(F.contains(c, F.lit(w)), F.lit(w)) for w in words]), lambda x: x.isNotNull())
+    # Most texts hold none: one scan tells, and the long expression (too long for the JIT) rarely runs.
+    return F.when(any_in(c, words), each).otherwise(F.expr("cast(array() as array<string>)"))
 
 
 def first_label(c: Column, pairs) -> Column:
