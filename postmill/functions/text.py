@@ -23,11 +23,17 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def _over(c: Column, words, what) -> Column:
+    """``what(list of words, text)`` with the text worked out once; the code stays small however many words there are."""
+    listed = F.array(*[F.lit(w) for w in words])
+    return F.get(F.transform(F.array(c), lambda s: what(listed, s)), F.lit(0))
+
+
 def any_in(c: Column, words) -> Column:
     """True if the text holds any of the words."""
     words = list(words)
-    if len(words) > 3:  # one scan for all, and code that stays small
-        return c.rlike("|".join(map(re.escape, words)))
+    if len(words) > 2:
+        return _over(c, words, lambda listed, s: F.exists(listed, lambda w: F.contains(s, w)))
     out = F.lit(False)
     for w in words:
         out = out | F.contains(c, F.lit(w))
@@ -36,9 +42,7 @@ def any_in(c: Column, words) -> Column:
 
 def which_in(c: Column, words) -> Column:
     """The words that the text holds, in list order."""
-    each = F.filter(F.array(*[F.when(F.contains(c, F.lit(w)), F.lit(w)) for w in words]), lambda x: x.isNotNull())
-    # Most texts hold none: one scan tells, and the long expression (too long for the JIT) rarely runs.
-    return F.when(any_in(c, words), each).otherwise(F.expr("cast(array() as array<string>)"))
+    return _over(c, words, lambda listed, s: F.filter(listed, lambda w: F.contains(s, w)))
 
 
 def first_label(c: Column, pairs) -> Column:

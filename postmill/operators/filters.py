@@ -157,19 +157,30 @@ def qa_split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.filter("verdict <> 'fail'"), judged.filter("verdict = 'fail'")
 
 
+VAGUE = r"^(?:job|position|role|opening|opportunity)$|^various\s|^multiple\s|\bvarious\b"
+
+
+def huge_amounts(salary: Column) -> Column:
+    numbers = F.regexp_extract_all(F.replace(salary, F.lit(","), F.lit("")), F.lit(r"\d+"), F.lit(0))
+    return F.filter(F.transform(numbers, lambda x: x.try_cast("long")), lambda n: n > 500_000)
+
+
+def personal_email(desc: Column) -> Column:
+    return F.contains(desc, F.lit("@")) & desc.rlike(r"[a-z0-9._%+-]@(?:gmail|yahoo|hotmail|outlook)\.(?:com|net|org)")
+
+
 def risk_flags(title: Column, desc: Column, salary: Column, url: Column, company: Column, full: Column) -> Column:
     """All flags, from lower-cased columns; ``full`` is title, description and salary."""
-    vague = title.rlike(r"^(?:job|position|role|opening|opportunity)$|^various\s|^multiple\s|\bvarious\b")
-    amounts = F.transform(F.regexp_extract_all(F.replace(salary, F.lit(","), F.lit("")), F.lit(r"\d+"), F.lit(0)), lambda x: x.try_cast("long"))
+    vague = title.rlike(VAGUE)
     flag = lambda cond, name: F.when(cond, F.lit(name))
     lists = F.concat(
         F.transform(T.which_in(full, K.SCAM_PHRASES), lambda p: F.concat(F.lit("SCAM_PHRASE: "), p)),
         F.transform(T.which_in(full, K.GHOST_PHRASES), lambda p: F.concat(F.lit("GHOST_JOB: "), p)),
         F.filter(F.array(flag(vague, "VAGUE_TITLE"), flag(company.isin(*K.HIDDEN_COMPANIES), "NO_COMPANY")), lambda x: x.isNotNull()),
-        F.transform(F.filter(amounts, lambda n: n > 500_000), lambda n: F.concat(F.lit("SUSPICIOUS_SALARY: "), n.cast("string"))),
+        F.transform(huge_amounts(salary), lambda n: F.concat(F.lit("SUSPICIOUS_SALARY: "), n.cast("string"))),
         F.filter(F.array(flag((desc != "") & (F.char_length(desc) < 50), "SHORT_DESCRIPTION"), flag(desc == "", "NO_DESCRIPTION")), lambda x: x.isNotNull()),
         F.transform(T.which_in(url, K.SHORTENERS), lambda p: F.concat(F.lit("SHORTENED_URL: "), p)),
-        F.filter(F.array(flag(desc.rlike(r"[a-z0-9._%+-]+@(?:gmail|yahoo|hotmail|outlook)\.(?:com|net|org)"), "PERSONAL_EMAIL")), lambda x: x.isNotNull()),
+        F.filter(F.array(flag(personal_email(desc), "PERSONAL_EMAIL")), lambda x: x.isNotNull()),
     )
     return lists
 
@@ -179,12 +190,17 @@ def with_risk(df: DataFrame) -> DataFrame:
     names = ("title", "description", "salary_text", "url", "company")
     out = df.withColumns({f"__{c}": F.lower(T.text(F.col(c))) for c in names})  # worked out once a row, used by all rules
     out = out.withColumn("__full", F.concat_ws(" ", "__title", "__description", "__salary_text"))
-    out = out.withColumn("flags", risk_flags(*(F.col(f"__{c}") for c in (*names, "full")))).drop(*(f"__{c}" for c in (*names, "full")))
-    n = lambda start: F.size(F.filter("flags", lambda f: F.startswith(f, F.lit(start))))
-    scam, ghost = n("SCAM"), n("GHOST")
-    other = F.size("flags") - scam - ghost
-    risk = F.when((scam >= 1) | (ghost >= 2) | ((ghost >= 1) & (other >= 2)), "high").when(F.size("flags") >= 3, "medium").otherwise("low")
-    return out.withColumn("risk", risk)
+    title, desc, salary, url, company, full = (F.col(f"__{c}") for c in (*names, "full"))
+    one = lambda cond: F.coalesce(cond, F.lit(False)).cast("int")
+    out = out.withColumns({
+        "__scam": T.any_in(full, K.SCAM_PHRASES), "__ghost": F.size(T.which_in(full, K.GHOST_PHRASES)),
+        "__other": one(title.rlike(VAGUE)) + one(company.isin(*K.HIDDEN_COMPANIES)) + F.size(huge_amounts(salary)) + one(F.char_length(desc) < 50)
+        + F.size(T.which_in(url, K.SHORTENERS)) + one(personal_email(desc)),
+    })
+    scam, ghost, other = F.col("__scam"), F.col("__ghost"), F.col("__other")
+    risk = F.when(scam | (ghost >= 2) | ((ghost >= 1) & (other >= 2)), "high").when(ghost + other >= 3, "medium").otherwise("low")
+    out = out.withColumns({"flags": risk_flags(title, desc, salary, url, company, full), "risk": risk})
+    return out.drop(*(f"__{c}" for c in (*names, "full", "scam", "ghost", "other")))
 
 
 def risk_split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
