@@ -119,14 +119,14 @@ def calibrated(spark, sf):
 
 
 def _clamp(x: str) -> str:
-    return f"greatest(0.0, least(1.0, {x}))"
+    return f"greatest(0e0, least(1e0, {x}))"
 
 
-_TITLE_ADJ = f"CASE WHEN ({BLOCKED_SQL}) IS NOT NULL THEN -0.6 ELSE 0.0 END"
-_LOC_ADJ = f"CASE WHEN ({LOCATION_REASON_SQL}) IS NOT NULL THEN -0.06 ELSE 0.0 END"
-_SAL_ADJ = "CASE WHEN salary_min IS NULL THEN -0.045 WHEN (salary_min + salary_max) / 2.0 >= 150000 THEN 0.15 * (0.5 + 0.5 * least(((salary_min + salary_max) / 2.0 - 150000) / 150000.0, 1.0)) ELSE -0.15 END"
-_YEARS_ADJ = f"CASE WHEN ({YEARS_SQL}) - 6 >= 3 THEN -0.04 * least(({YEARS_SQL}) - 6 - 2, 5) ELSE 0.0 END"
-_BONUS = "CASE lower(company) WHEN 'company 1' THEN 0.05 WHEN 'company 2' THEN -0.04 ELSE 0 END"
+_TITLE_ADJ = f"CASE WHEN ({BLOCKED_SQL}) IS NOT NULL THEN -0.6e0 ELSE 0e0 END"
+_LOC_ADJ = f"CASE WHEN ({LOCATION_REASON_SQL}) IS NOT NULL THEN -0.06e0 ELSE 0e0 END"
+_SAL_ADJ = "CASE WHEN salary_min IS NULL THEN -0.3e0 * 0.15e0 WHEN (salary_min + salary_max) / 2e0 >= 150000 THEN 0.15e0 * (0.5e0 + 0.5e0 * least(((salary_min + salary_max) / 2e0 - 150000e0) / 150000e0, 1e0)) ELSE -0.15e0 END"
+_YEARS_ADJ = f"CASE WHEN ({YEARS_SQL}) - 6 >= 3 THEN -0.04e0 * least(({YEARS_SQL}) - 6 - 2, 5) ELSE 0e0 END"
+_BONUS = "CASE lower(company) WHEN 'company 1' THEN 0.05e0 WHEN 'company 2' THEN -0.04e0 ELSE 0e0 END"
 SCORED_CTES = f"""{GHOST_CTES}, {SIM_CTE}, {LABEL_CTE}, ga AS MATERIALIZED (SELECT job_id, ingest_seq, vec_id, CAST(ghost AS DOUBLE) AS ghost, {_TITLE_ADJ} AS a1, {_LOC_ADJ} AS a2, {_SAL_ADJ} AS a3, {_YEARS_ADJ} AS a4, {_BONUS} AS bonus FROM g),
 fs AS MATERIALIZED (SELECT s.profile_id, s.vec_id, {_FEED} AS score FROM sim s JOIN lb ON s.vec_id = lb.vec_id),
 s0 AS (SELECT fs.profile_id, fs.score, ga.* FROM ga JOIN fs ON ga.vec_id = fs.vec_id),
@@ -148,10 +148,11 @@ def scored(spark, sf):
     return S.company_bonus(out, F.broadcast(signals))
 
 
-@query("SELECT profile_id, job_id, match_score, CAST(floor(1000 * display + 0.000001) AS INT) AS display_permille, tier, ghost_band, CAST(ghost AS DOUBLE) AS ghost FROM scored", SCORED_CTES)
+@query("SELECT profile_id, job_id, CAST(floor(1000 * match_score + 0.000001) AS INT) AS score_permille, CAST(floor(1000 * display + 0.000001) AS INT) AS display_permille, tier, ghost_band, CAST(ghost AS DOUBLE) AS ghost FROM scored", SCORED_CTES)
 def score_postings(spark, sf):
     permille = F.floor(1000 * X.calibrate(F.col("match_score")) + 0.000001).cast("int")  # no ties of rounding
-    return scored(spark, sf).select("profile_id", "job_id", "match_score", permille.alias("display_permille"), "tier", "ghost_band", "ghost")
+    score = F.floor(1000 * F.col("match_score") + 0.000001).cast("int").alias("score_permille")
+    return scored(spark, sf).select("profile_id", "job_id", score, permille.alias("display_permille"), "tier", "ghost_band", "ghost")
 
 
 @query("SELECT profile_id, tier, count(*) AS n FROM scored GROUP BY 1, 2", SCORED_CTES)
