@@ -159,3 +159,63 @@ LANE_BOILERPLATE = (
     r"|new grad|entry[\s-]?level)\b"
 )
 GENERIC_LANE_WORDS = ("product", "manager", "management", "program", "technical", "the", "and", "for", "with", "team", "systems", "system", "services", "service")
+
+SALARY_BY_SIGN = r"([$£€])\s*(\d{2,3}[,.]?\d{0,3})\s*([kK])?\s*(?:[-–—]|to)\s*[$£€]?\s*(\d{2,3}[,.]?\d{0,3})\s*([kK])?"
+SALARY_BY_CODE = r"(?i)\b(USD|GBP|EUR)\s*\$?\s*(\d{2,3}[,.]?\d{0,3})\s*(k)?\s*(?:[-–—]|to)\s*\$?\s*(\d{2,3}[,.]?\d{0,3})\s*(k)?"
+SALARY_FLOOR = r"(?i)(?:starting\s+at|from)\s*([$£€])\s*(\d{2,3}[,.]?\d{0,3})\s*(k)?"
+HOURLY = r"(?i)/\s*(?:hour|hr)\b|per\s+hour"
+HOURLY_NEAR = 30
+SALARY_RANGE = (20_000, 2_000_000)
+SALARY_IN_THOUSANDS = (50, 999)
+SALARY_SPREAD = 6
+
+KEEP_HEADINGS = (
+    "what you'll do", "what you will do", "responsibilities", "the role", "your role", "what you'll bring", "what you will bring",
+    "requirements", "qualifications", "minimum qualifications", "basic qualifications", "what we're looking for", "you have",
+    "you will", "in this role",
+)
+BOILERPLATE_HEADINGS = (
+    "about us", "about the company", "our mission", "our values", "equal opportunity", "benefits", "perks", "why join",
+    "total rewards", "eeo",
+)
+SECTION_HEADINGS = (
+    "what you'll do", "what you will do", "what you’ll do", "responsibilities", "the role", "your role", "the job",
+    "your day to day", "day-to-day", "in this role", "you will", "your impact", "what you'll bring", "what you will bring",
+    "what you’ll bring", "requirements", "qualifications", "minimum qualifications", "basic qualifications",
+    "required qualifications", "preferred qualifications", "nice to have", "nice-to-have", "nice to haves", "nice-to-haves",
+    "what we're looking for", "what we are looking for", "what we’re looking for", "who you are", "about you", "you have",
+    "skills and qualifications", "skills & qualifications", "experience",
+)
+
+DEFAULT_TARGETS = {
+    "junior": ("Associate Product Manager", "Product Manager"),
+    "mid": ("Product Manager", "Senior Product Manager"),
+    "senior": ("Senior Product Manager", "Lead Product Manager", "Staff Product Manager"),
+    "staff": ("Staff Product Manager", "Principal Product Manager", "Group Product Manager"),
+    "principal": ("Principal Product Manager", "Group Product Manager", "Director of Product"),
+    "director": ("Director of Product", "Senior Director, Product", "VP Product"),
+    "vp": ("VP Product", "Senior Director, Product", "Chief Product Officer"),
+    "cxo": ("Chief Product Officer", "VP Product"),
+}
+HIGH_TITLES = ("head of", "director", "vp", "vice president", "chief", "c-level", "cxo", "cto", "cpo", "ceo", "founder")
+OFF_DOMAIN_TITLES = ("engineer", "architect", "developer", "scientist", "designer", "marketer", "analyst", "consultant")
+PROMPT_PHRASES = ("ignore previous instructions", "ignore all previous instructions", "system:", "assistant:", "user:", "<|im_start|>", "<|im_end|>")
+PROFILE_STACK = (
+    r"react(?:\.?js)?", "python", "javascript", "typescript", "java", "go(?:lang)?", "rust", "ruby", r"node(?:\.?js)?", "sql", "postgres",
+    "mysql", "mongo(?:db)?", "kubernetes", "docker", "aws", "gcp", "azure", "tableau", "looker", "ml", "llm", "storybook", "wcag",
+    "figma", "jira", "confluence",
+)
+PROFILE_DOMAINS = {
+    "fintech": ("payments", "banking", "trading", "wealth"), "devtools": ("developer tools", "platform", "devtools", "ci/cd"),
+    "healthcare": ("healthcare", "clinical", "patient", "ehr"), "commerce": ("ecommerce", "marketplace", "checkout", "storefront"),
+    "ai/ml": ("machine learning", "ai", "llm", "neural"), "security": ("security", "infosec", "compliance", "soc 2"),
+}
+PROFILE_LEVELS = (
+    ("staff", "staff"), ("principal", "principal"), ("director of", "director"), ("head of", "director"), ("senior ", "senior"),
+    ("lead ", "senior"), ("junior", "junior"), ("associate", "junior"),
+)
+GUESSED_SENIORITY = (
+    ("senior", "senior"), ("sr.", "senior"), ("sr ", "senior"), ("staff", "senior"), ("principal", "senior"), ("lead", "lead"),
+    ("head of", "lead"), ("director", "director"), ("vp", "director"), ("vice president", "director"), ("junior", "junior"),
+    ("jr", "junior"), ("associate", "junior"), ("entry", "junior"),
+)

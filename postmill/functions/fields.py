@@ -55,6 +55,11 @@ def title_level(title: Column) -> Column:
     return first_label(F.lower(text(title)), K.TITLE_LEVELS)
 
 
+def guess_seniority(title: Column) -> Column:
+    """A coarse band from the title alone, for feeds; mid if it tells nothing."""
+    return F.coalesce(F.nullif(first_label(F.lower(text(title)), K.GUESSED_SENIORITY), F.lit("")), F.lit("mid"))
+
+
 def job_level(title: Column, seniority: Column) -> Column:
     """From title and tag; where they differ the higher band counts."""
     by_title, tag = title_level(title), norm_level(seniority)

@@ -23,6 +23,11 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def let(c: Column, what) -> Column:
+    """``what(c)`` with c worked out once, however often it is used."""
+    return F.get(F.transform(F.array(c), what), F.lit(0))
+
+
 def _over(c: Column, words, what) -> Column:
     """``what(list of words, text)`` with the text worked out once; the code stays small however many words there are."""
     listed = F.array(*[F.lit(w) for w in words])
@@ -146,7 +151,7 @@ def drop_tracking_codes(c: Column) -> Column:
     return F.array_join(F.filter(F.split(text(c), "\n"), lambda line: ~F.trim(line).rlike(TRACKING_CODE)), "\n")
 
 
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&mdash;": "—", "&ndash;": "–", "&#36;": "$", "&rsquo;": "’", "&amp;": "&"}
 
 
 def clean_field(c: Column) -> Column:
@@ -184,3 +189,52 @@ def lane_tokens(title: Column) -> Column:
     cleaned = F.regexp_replace(F.lower(text(title)), K.LANE_BOILERPLATE, " ")
     words = F.transform(F.split(cleaned, r"[,/|\-–—\s]+"), lambda w: F.regexp_replace(w, r"^[.,()]+|[.,()]+$", ""))
     return F.array_distinct(F.filter(words, lambda w: (F.char_length(w) >= 3) & ~w.isin(*K.GENERIC_LANE_WORDS)))
+
+
+def flat_html(c: Column) -> Column:
+    """Text of HTML with a space for each tag, entities decoded."""
+    s = F.regexp_replace(text(c), "<[^>]+>", " ")
+    for entity, sign in ENTITIES.items():
+        s = F.replace(s, F.lit(entity), F.lit(sign))
+    return F.trim(s)
+
+
+def shorten(c: Column, most: int) -> Column:
+    """At most ``most`` characters: the last word that does not fit goes for an ellipsis."""
+    cut = F.concat(F.regexp_replace(F.substring(c, 1, most - 1), " [^ ]*$", ""), F.lit("…"))
+    return F.when(F.char_length(c) > most, cut).otherwise(c)
+
+
+def _places(c: Column, words) -> Column:
+    """Where each word first stands in the text, from 1; 0 if nowhere."""
+    return _over(F.lower(c), words, lambda listed, s: F.transform(listed, lambda w: F.position(w, s)))
+
+
+def role_slice(description: Column, most: int) -> Column:
+    """From the first heading that tells of the role (else the first paragraph) to the first boilerplate heading."""
+
+    def begin(s: Column) -> Column:
+        at = F.array_min(F.filter(_places(s, K.KEEP_HEADINGS), lambda i: i > 0))
+        paragraph = F.get(F.filter(F.transform(F.split(s, "\n{2,}"), lambda p: F.trim(p)), lambda p: p != ""), F.lit(0))
+        return F.when(at.isNotNull(), F.substring(s, at, F.char_length(s))).otherwise(F.coalesce(paragraph, F.lit("")))
+
+    def end(s: Column) -> Column:
+        at = F.get(F.filter(_places(s, K.BOILERPLATE_HEADINGS), lambda i: i > 81), F.lit(0))
+        return F.when(at.isNotNull(), F.substring(s, F.lit(1), at - 1)).otherwise(s)
+
+    body = let(let(flat_html(description), begin), end)
+    return let(squeeze(body), lambda s: shorten(s, most))
+
+
+def signature(most: int = 600) -> Column:
+    """One line that stands for a posting: title, company, what is known of it, stack and role."""
+    c = F.col
+    some = lambda name: F.nullif(F.trim(text(c(name))), F.lit(""))
+    known = lambda name: F.when(F.lower(some(name)) != "unknown", some(name))
+    meta = F.concat_ws("; ", known("seniority"), known("remote"), some("location"))
+    stack = F.array_join(F.filter(F.transform(F.slice("technologies", 1, 12), lambda t: F.trim(t)), lambda t: t != ""), ", ")
+    parts = [
+        some("title"), F.concat(F.lit("@ "), some("company")), F.when(meta != "", F.concat(F.lit("("), meta, F.lit(")"))),
+        F.when(stack != "", F.concat(F.lit("Stack: "), stack)), F.nullif(role_slice(c("description"), max(120, most - 180)), F.lit("")),
+    ]
+    return let(squeeze(F.concat_ws(" | ", *parts)), lambda s: shorten(s, most))

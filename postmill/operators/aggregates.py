@@ -156,3 +156,67 @@ def keyword_search(df: DataFrame, query: str, text: str, n: int, tie: list[str])
     words = sorted({w for w in query.lower().split() if len(w) > 2})
     score = sum((F.contains(F.lower(text), F.lit(w)).cast("int") for w in words), F.lit(0))
     return df.withColumn("hits", score).filter("hits > 0").orderBy(F.desc("hits"), *tie).limit(n)
+
+
+def recent_means(stats: DataFrame, columns: list[str], n: int = 10, positive: tuple[str, ...] = ()) -> DataFrame:
+    """Means over the n newest batches without nulls; zeros of the ``positive`` columns are left out too."""
+    last = stats.orderBy(F.desc("batch_id")).limit(n)
+    return last.agg(*[F.round(F.avg(F.when(F.col(c) != 0, F.col(c)) if c in positive else F.col(c)), 4).alias(c) for c in columns])
+
+
+def latest_median(df: DataFrame, column: str, order: str, n: int, *, upper: bool = False) -> DataFrame:
+    """Median of the n last values (``upper``: the higher of two middle ones), and how many rows there are in all."""
+    last = df.filter(F.col(column).isNotNull()).orderBy(F.desc(order)).limit(n)
+    middle = F.max("x").alias("median") if upper else F.percentile(column, F.lit(0.5)).alias("median")
+    if upper:  # at most n rows
+        values = last.agg(F.array_sort(F.collect_list(column)).alias("v"))
+        got = values.select(F.get("v", F.floor(F.size("v") / 2).cast("int")).alias("x")).agg(middle)
+    else:
+        got = last.agg(middle)
+    return got.join(F.broadcast(df.agg(F.count(F.lit(1)).alias("lifetime"))))  # one row each
+
+
+def match_rate(df: DataFrame) -> DataFrame:
+    """Per batch: percent of the ingested postings that match; null if none came in."""
+    return df.withColumn("match_pct", F.when(F.col("ingested") > 0, F.round(100 * F.col("matches") / F.nullif("ingested", F.lit(0)), 1)))
+
+
+def source_effectiveness(ingested: DataFrame, matched: DataFrame) -> DataFrame:
+    """Postings and matches of each provider (the source up to its colon), and the share that matches."""
+    provider = F.split_part("source", F.lit(":"), F.lit(1)).alias("provider")
+    a, b = counts(ingested, provider).withColumnRenamed("n", "ingested"), counts(matched, provider).withColumnRenamed("n", "matched")
+    both = a.join(b, "provider", "full_outer").na.fill(0, ["ingested", "matched"])
+    return both.withColumn("rate", F.round(F.try_divide(F.col("matched"), F.col("ingested")), 4))
+
+
+def nearest_bucket(histogram: DataFrame, target: float) -> DataFrame:
+    """The histogram's low edge nearest the target; the lower of two."""
+    return histogram.agg(F.min_by("low", F.struct(F.abs(F.col("low") - target), "low")).alias("low"))
+
+
+def usage(calls: DataFrame, n: int = 100) -> DataFrame:
+    """Calls, characters / 4 as tokens, and the mean of the n last latencies, by task and model.
+
+    Each of 32 parts of a pair keeps its n last, so that a busy pair is never ranked in one task.
+    """
+    pair = ["task", "model"]
+    totals = calls.groupBy(*pair).agg(F.count(F.lit(1)).alias("calls"), F.floor(F.sum("chars") / 4).alias("tokens"))
+    part = F.pmod(F.xxhash64("seq"), F.lit(32)).alias("part")
+    local = calls.select(*pair, "seq", "latency", part).withColumn("r", F.row_number().over(W.partitionBy(*pair, "part").orderBy(F.desc("seq")))).filter(F.col("r") <= n)
+    last = local.withColumn("r", F.row_number().over(W.partitionBy(*pair).orderBy(F.desc("seq")))).filter(F.col("r") <= n)
+    return totals.join(last.groupBy(*pair).agg(F.round(F.avg("latency"), 4).alias("mean_latency")), pair, "left")
+
+
+def rank_moves(df: DataFrame, n: int) -> DataFrame:
+    """The n rows that rise and the n that fall most from old_rank to new_rank; ties by ingest_seq."""
+    moved = df.withColumn("move", F.col("old_rank") - F.col("new_rank")).filter("move <> 0")
+    up = moved.filter("move > 0").orderBy(F.desc("move"), F.asc("ingest_seq")).limit(n)
+    return up.unionByName(moved.filter("move < 0").orderBy(F.asc("move"), F.asc("ingest_seq")).limit(n))
+
+
+def batch_stats(df: DataFrame) -> DataFrame:
+    """Per batch: postings, those that pass the checks, those removed as a risk, and distinct titles of a company."""
+    return df.groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("ingested"), F.count_if(F.size("issues") == 0).alias("qa_passed"),
+        F.count_if(F.col("risk") == "high").alias("blocked"), F.countDistinct("job_key").alias("unique_jobs"),
+    )

@@ -179,3 +179,37 @@ def patch(registry: DataFrame, updates: DataFrame, column: str) -> DataFrame:
     return registry.join(last, "url", "left").withColumn(column, F.coalesce("__new", column)).drop("__new")
 
 
+def rescore(registry: DataFrame, scores: DataFrame) -> DataFrame:
+    """Registry with the scores of (key, score, profile_version) in place of its own, not the better of both.
+
+    Rows without a new score stay as they are; marks and dates always do.
+    """
+    new = scores.select("key", F.col("score").alias("__score"), F.col("profile_version").alias("__version"))
+    out = registry.join(new, "key", "left")
+    return out.withColumns({"score": F.coalesce("__score", "score"), "profile_version": F.coalesce("__version", "profile_version")}).drop("__score", "__version")
+
+
+def visible(df: DataFrame) -> DataFrame:
+    """Rows to show: of the match tier or starred; without a tier, those marked as a match. Removed ones never."""
+    by_tier = F.coalesce(F.col("tier") == "match", F.coalesce("is_match", F.lit(False)))
+    return df.filter(~F.coalesce("removed", F.lit(False)) & (F.coalesce("starred", F.lit(False)) | by_tier))
+
+
+def keep_last(history: DataFrame, n: int, batch: str = "batch_id") -> DataFrame:
+    """Rows of the n newest batches that the table has."""
+    kept = history.select(batch).distinct().orderBy(F.desc(batch)).limit(n)
+    return history.join(F.broadcast(kept), batch, "left_semi")  # at most n rows
+
+
+def append_batch(history: DataFrame, batch: DataFrame, n: int = 2000) -> DataFrame:
+    """History with a batch in place of an earlier run of it, cut to the n newest batches."""
+    rest = history.join(F.broadcast(batch.select("batch_id").distinct()), "batch_id", "left_anti")  # ids of one run
+    return keep_last(rest.unionByName(batch, allowMissingColumns=True), n)
+
+
+def react(registry: DataFrame, flags: DataFrame) -> DataFrame:
+    """Registry with the marks of (url, starred, dismissed, seen); a url marks its best row only, ties by key."""
+    best = registry.filter("url <> ''").groupBy("url").agg(F.max_by("key", F.struct("score", F.struct("key"))).alias("key"))
+    named = flags.join(best, "url").select("key", *[F.col(f).alias(f"__{f}") for f in ("starred", "dismissed", "seen")])
+    out = registry.join(named, "key", "left")
+    return out.withColumns({f: F.coalesce(f"__{f}", f) for f in ("starred", "dismissed", "seen")}).drop("__starred", "__dismissed", "__seen")

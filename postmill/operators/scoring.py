@@ -160,6 +160,28 @@ def share_found(words: Column, found) -> Column:
     return F.when(F.size(words) > 0, F.round(F.size(F.filter(words, found)) / F.nullif(F.size(words), F.lit(0)), 3))
 
 
+def target_role_fit(title: Column, targets: Column) -> Column:
+    """Highest share of a target role's words that the title holds; 1 if one holds the other, null without either."""
+    words = lambda s: F.array_distinct(F.concat(T.lane_tokens(s), F.filter(F.split(s, r"\s+"), lambda w: w != "")))
+
+    def best(t: Column) -> Column:
+        have = words(t)
+        near = lambda w: F.contains(t, w) | F.exists(have, lambda h: F.contains(h, w) | F.contains(w, h))
+        share = lambda own: F.try_divide(F.size(F.filter(own, near)), F.size(own))
+        one = lambda r: F.when(F.contains(t, r) | F.contains(r, t), 1.0).otherwise(F.coalesce(T.let(words(r), share), F.lit(0.0)))
+        return F.array_max(F.transform(F.transform(targets, lambda r: F.lower(r)), one))
+
+    known = (T.text(title) != "") & (F.size(targets) > 0)
+    return F.when(known, F.round(T.let(F.lower(T.text(title)), best), 3))
+
+
+def mean_headline() -> Column:
+    """The older headline: half technologies, 0.3 domains and 0.2 seniority, over those known."""
+    parts = [(0.5, "tech_fit"), (0.3, "domain_fit"), (0.2, "seniority_fit")]
+    total = sum((F.when(F.col(n).isNotNull(), w).otherwise(0.0) for w, n in parts), F.lit(0.0))
+    return F.round(F.try_divide(sum((F.coalesce(w * F.col(n), F.lit(0.0)) for w, n in parts), F.lit(0.0)), total), 3)
+
+
 def dimensions(df: DataFrame) -> DataFrame:
     """Adds seniority_fit, tech_fit, domain_fit, lane_fit, years_fit and headline.
 

@@ -8,11 +8,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.functions import constants as K
+from postmill.functions import fields as X
 from postmill.functions import text as T
+from postmill.functions.salary import fill_salary
 
 GREENHOUSE = "jobs array<struct<title:string,absolute_url:string,updated_at:string,content:string,location:struct<name:string>>>"
 LEVER = "struct<text:string,hostedUrl:string,createdAt:bigint,descriptionPlain:string,additionalPlain:string,categories:struct<location:string,commitment:string,team:string>>"
 REMOTEOK = "struct<legal:string,position:string,company:string,location:string,url:string,date:string,description:string,salary_min:bigint,salary_max:bigint,tags:array<string>>"
+ASHBY = "jobs array<struct<id:string,title:string,location:string,department:string,descriptionHtml:string,descriptionPlain:string,employmentType:string,jobUrl:string,publishedAt:string>>"
+WORKDAY = "jobPostings array<struct<title:string,externalPath:string,locationsText:string,postedOn:string>>"
+AMAZON = "jobs array<struct<title:string,normalized_location:string,location:string,description:string,basic_qualifications:string,job_path:string,posted_date:string,company_name:string>>"
+JOBICY = "jobs array<struct<jobTitle:string,companyName:string,jobGeo:string,annualSalaryMin:string,annualSalaryMax:string,jobDescription:string,jobType:string,url:string,pubDate:string>>"
+REMOTIVE = "jobs array<struct<title:string,company_name:string,candidate_required_location:string,salary:string,description:string,tags:array<string>,job_type:string,url:string,publication_date:string>>"
 
 
 def plain(html: Column) -> Column:
@@ -23,8 +31,10 @@ def plain(html: Column) -> Column:
 
 
 def posting(**columns: Column) -> list[Column]:
-    names = ("title", "company", "location", "remote", "description", "url", "posted_date", "salary_text", "technologies", "source")
+    """The columns of a posting in their types; those not given are null, seniority is guessed from the title."""
+    names = ("title", "company", "location", "remote", "seniority", "job_type", "team", "description", "url", "posted_date", "salary_text", "technologies", "source")
     kinds = {"posted_date": "timestamp", "technologies": "array<string>"}
+    columns.setdefault("seniority", X.guess_seniority(columns["title"]))
     return [columns.get(n, F.lit(None)).cast(kinds.get(n, "string")).alias(n) for n in names]
 
 
@@ -67,6 +77,100 @@ def from_remoteok(raw: DataFrame) -> DataFrame:
     ))
 
 
+def jobs_of(raw: DataFrame, schema: str, field: str, *keep: str) -> DataFrame:
+    """One row j for each entry of the body's list; broken and null bodies give none."""
+    return raw.select(*keep, F.explode(F.from_json("body", schema).getField(field)).alias("j"))
+
+
+def name_of(c: Column) -> Column:
+    """A field that is either plain text or an object with a name."""
+    return F.when(F.startswith(F.trim(c), F.lit("{")), F.get_json_object(c, "$.name")).otherwise(c)
+
+
+def from_ashby(raw: DataFrame) -> DataFrame:
+    """Boards (slug, body) to postings: HTML before plain text, and a board address where a posting has none."""
+    j, c = jobs_of(raw, ASHBY, "jobs", "slug"), F.col
+    place, some = name_of(c("j.location")), lambda x: F.nullif(F.trim(c(f"j.{x}")), F.lit(""))
+    return j.select(*posting(
+        title=c("j.title"), company=slug_name(c("slug")), location=place, remote=remote_of(place), job_type=F.coalesce("j.employmentType", F.lit("full-time")),
+        team=name_of(c("j.department")), description=F.substring(plain(F.coalesce(some("descriptionHtml"), some("descriptionPlain"))), 1, 12_000),
+        url=F.coalesce(some("jobUrl"), F.concat(F.lit("https://jobs.ashbyhq.com/"), c("slug"), F.lit("/"), T.text(c("j.id")))),
+        posted_date=F.try_to_timestamp("j.publishedAt"), source=F.concat(F.lit("ashby:"), c("slug")),
+    ))
+
+
+def from_workday(cards: DataFrame, details: DataFrame) -> DataFrame:
+    """Boards (tenant, region, board, body) with their detail pages (tenant, path, body); a card without one stays.
+
+    Posting days are relative words, so there is no date.
+    """
+    j, c = jobs_of(cards, WORKDAY, "jobPostings", "tenant", "region", "board"), F.col
+    bare = lambda x: F.regexp_replace(F.trim(T.text(x)), "^/+", "")
+    about = F.get_json_object("body", "$.jobPostingInfo.jobDescription")
+    pages = details.select("tenant", bare(c("path")).alias("path"), about.alias("about")).filter("path <> ''").groupBy("tenant", "path").agg(F.max("about").alias("about"))
+    place = F.trim(T.text(c("j.locationsText")))
+    rows = j.withColumn("path", bare(c("j.externalPath"))).join(pages, ["tenant", "path"], "left")
+    site = F.concat(F.lit("https://"), c("tenant"), F.lit("."), c("region"), F.lit(".myworkdayjobs.com/"), c("board"), F.lit("/"), c("path"))
+    return rows.select(*posting(
+        title=F.trim(c("j.title")), company=slug_name(c("tenant")), location=place, remote=remote_of(place), job_type=F.lit("full-time"), url=site,
+        description=F.substring(plain(c("about")), 1, 12_000), source=F.concat(F.lit("workday:"), c("tenant")),
+    ))
+
+
+def from_amazon(raw: DataFrame) -> DataFrame:
+    """Search pages (page, body) to postings; of equal (title, url) the first found stays, by page and place."""
+    c = F.col
+    j = raw.select("page", F.posexplode(F.from_json("body", AMAZON).getField("jobs")).alias("i", "j"))
+    url = F.concat(F.lit("https://www.amazon.jobs"), T.text(c("j.job_path")))
+    first = j.groupBy(T.text(c("j.title")).alias("title"), url.alias("url")).agg(F.min_by("j", F.struct("page", "i")).alias("j"))
+    needs = F.substring("j.basic_qualifications", 1, 200)
+    return first.select(*posting(
+        title=c("title"), company=F.lit("Amazon"), location=F.coalesce(F.nullif("j.normalized_location", F.lit("")), "j.location"), remote=F.lit("unknown"),
+        job_type=F.lit("full-time"), team=c("j.company_name"), description=F.substring(plain(c("j.description")), 1, 12_000), url=c("url"),
+        posted_date=F.coalesce(F.try_to_timestamp("j.posted_date"), F.try_to_timestamp("j.posted_date", F.lit("MMMM d, yyyy"))),
+        technologies=F.when(needs != "", F.array(needs)), source=F.lit("amazon"),
+    ))
+
+
+def from_jobicy(raw: DataFrame) -> DataFrame:
+    j, c = jobs_of(raw, JOBICY, "jobs"), F.col
+    lo, hi = (c(f"j.annualSalary{x}").try_cast("bigint") for x in ("Min", "Max"))
+    pay = F.when((lo > 0) & (hi > 0), F.format_string("$%,d-$%,d", lo, hi))
+    return j.select(*posting(
+        title=c("j.jobTitle"), company=c("j.companyName"), location=F.coalesce("j.jobGeo", F.lit("Remote")), remote=F.lit("remote"),
+        job_type=F.coalesce(name_list(c("j.jobType")), F.lit("full-time")), description=F.substring(plain(c("j.jobDescription")), 1, 12_000),
+        url=c("j.url"), posted_date=F.try_to_timestamp("j.pubDate"), salary_text=pay, source=F.lit("jobicy"),
+    ))
+
+
+def name_list(c: Column) -> Column:
+    """A field that is either plain text or a list of texts, comma-joined."""
+    return F.when(F.startswith(F.trim(c), F.lit("[")), F.array_join(F.from_json(c, "array<string>"), ", ")).otherwise(c)
+
+
+def from_remotive(raw: DataFrame) -> DataFrame:
+    j, c = jobs_of(raw, REMOTIVE, "jobs"), F.col
+    return j.select(*posting(
+        title=c("j.title"), company=c("j.company_name"), location=F.coalesce("j.candidate_required_location", F.lit("Remote")), remote=F.lit("remote"),
+        job_type=F.coalesce("j.job_type", F.lit("full-time")), description=F.substring(plain(c("j.description")), 1, 500), url=c("j.url"),
+        posted_date=F.try_to_timestamp(F.substring("j.publication_date", 1, 10)), salary_text=F.nullif(F.trim("j.salary"), F.lit("")),
+        technologies=c("j.tags"), source=F.lit("remotive"),
+    ))
+
+
+def finalize(postings: DataFrame) -> DataFrame:
+    """Salary bands from descriptions where a posting has none, and the signature."""
+    return fill_salary(postings).withColumn("signature", T.signature())
+
+
+def source_tallies(postings: DataFrame, errors: DataFrame) -> DataFrame:
+    """Jobs and errors of each source, most jobs first. errors: (source, error)."""
+    jobs = postings.groupBy("source").agg(F.count(F.lit(1)).alias("jobs"))
+    failed = errors.groupBy("source").agg(F.count(F.lit(1)).alias("errors"))
+    out = jobs.join(failed, "source", "full_outer").select("source", F.coalesce("jobs", F.lit(0)).alias("jobs"), F.coalesce("errors", F.lit(0)).alias("errors"))
+    return out.orderBy(F.desc("jobs"), F.asc("source"))
+
+
 def ingest(sources: list[DataFrame]) -> DataFrame:
     """All feeds as one table."""
     out = sources[0]
@@ -140,6 +244,94 @@ def page_links(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", F.when(F.startswith("l.href", F.lit("/")), F.concat("host", "l.href")).otherwise(F.col("l.href")).alias("href"), "l.label")
 
 
+MAJOR = {"h1", "h2", "h3", "h4", "h5", "h6"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
+class _Blocks(HTMLParser):
+    """Top-level elements of a fragment: tag, source, text, and the text of a bold first child."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.depth = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        raw = self.get_starttag_text() or ""
+        if tag in VOID:
+            if self.depth:
+                self.blocks[-1]["html"].append(raw)
+            return
+        if not self.depth:
+            self.blocks.append({"tag": tag, "html": [], "text": [], "bold": [], "children": 0, "in_bold": False})
+        block = self.blocks[-1]
+        if self.depth == 1:
+            block["children"] += 1
+            block["in_bold"] = block["children"] == 1 and tag in ("strong", "b")
+        block["html"].append(raw)
+        self.depth += 1
+
+    def handle_endtag(self, tag):
+        if not self.depth or tag in VOID:
+            return
+        self.depth -= 1
+        self.blocks[-1]["html"].append(f"</{tag}>")
+        if self.depth <= 1:
+            self.blocks[-1]["in_bold"] = False
+
+    def handle_data(self, data):
+        if self.depth:
+            block = self.blocks[-1]
+            block["html"].append(data.replace("&", "&amp;").replace("<", "&lt;"))
+            block["text"].append(data)
+            if block["in_bold"]:
+                block["bold"].append(data)
+
+
+def _is_section(label: str) -> bool:
+    s = " ".join(label.lower().split()).rstrip(":： ")
+    return any(s == k or s.startswith((k + " ", k + ":")) for k in K.SECTION_HEADINGS)
+
+
+def _sections(html: str, most: int) -> str:
+    p = _Blocks()
+    p.feed(html)
+    p.close()
+    kept, on = [], False
+    for b in p.blocks:
+        whole, bold = "".join(b["text"]).strip(), "".join(b["bold"]).strip()
+        heading = whole if b["tag"] in MAJOR else bold if b["tag"] in ("p", "div") and len(whole) <= 1.4 * len(bold) else ""
+        starts = bool(heading) and _is_section(heading)
+        on = starts or (on and b["tag"] not in MAJOR)
+        if on:
+            kept.append(b)
+    if not kept:
+        return html
+    out, used = [], 0
+    for b in kept:
+        n = sum(map(len, b["text"]))
+        if used + n > most:
+            if b["tag"] in MAJOR:
+                out.append("".join(b["html"]))
+            return "\n".join([*out, "<p>… more in full description</p>"])
+        out.append("".join(b["html"]))
+        used += n
+    return "\n".join(out)
+
+
+def trim_descriptions(pages: DataFrame, most: int = 800) -> DataFrame:
+    """page_id and the sections of html that tell of the role and its requirements, of at most ``most`` visible characters.
+
+    A page without such a section stays whole; a block that would pass the limit ends the text with a note.
+    """
+
+    def run(batches):
+        for b in batches:
+            texts = [None if h is None else _sections(h, most) for h in b.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(texts, pa.string())], ["page_id", "html"])
+
+    return pages.select("page_id", "html").mapInArrow(run, "page_id long, html string")
+
+
 LOG_HEAD = r"^(\d{4}-\d{2}-\d{2}[ T][0-9:,.]+)\s+\[?(\w+)\]?\s+([\w.]+):?\s+(.*)$"
 
 
@@ -157,3 +349,25 @@ def read_logs(lines: DataFrame) -> DataFrame:
     first = lambda i: F.max(F.when(head, F.regexp_extract("value", LOG_HEAD, i)))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "message"))), lambda x: x["message"]), "\n")
     return g.agg(first(1).alias("ts"), first(2).alias("level"), first(3).alias("logger"), body.alias("message"))
+
+
+LOG_LEVELS = {"DEBUG": 10, "INFO": 20, "WARNING": 30, "ERROR": 40, "CRITICAL": 50}
+
+
+def tail_logs(records: DataFrame, n: int, min_level: str = "DEBUG") -> DataFrame:
+    """The last n records of at least a level, newest first; n counts after the level is applied."""
+    rank = T.mapped(F.upper("level"), LOG_LEVELS, F.lit(0))
+    return records.filter(rank >= LOG_LEVELS[min_level]).orderBy(F.desc("file"), F.desc("record")).limit(n)
+
+
+def read_snapshots(spark, folder: str, schema: str, newest: int | None = None) -> DataFrame:
+    """Records of the JSON files of a folder, with their file and its time; files that do not parse give none.
+
+    ``newest`` keeps the files last written: files, not rows, are ranked.
+    """
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(folder)
+    rows = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("file_time"))
+    if newest is None:
+        return rows
+    files = rows.select("file", "file_time").distinct().orderBy(F.desc("file_time"), F.desc("file")).limit(newest)
+    return rows.join(F.broadcast(files.select("file")), "file", "left_semi")  # at most ``newest`` rows
