@@ -111,3 +111,20 @@ def test_react_marks_the_best_row(spark):
     reg = spark.createDataFrame([("a", "u", 1, False, False, False), ("b", "u", 2, False, False, False), ("c", "", 3, False, False, False)], "key string, url string, score int, starred boolean, dismissed boolean, seen boolean")
     flags = spark.createDataFrame([("u", True, False, True)], "url string, starred boolean, dismissed boolean, seen boolean")
     assert {r.key for r in R.react(reg, flags).filter("starred and seen").collect()} == {"b"}
+
+
+def test_preferences_fall_back_to_the_profile(spark):
+    rows = [(1, 0, " ", 7, "senior"), (2, 3, "mid", 7, "senior"), (3, None, None, None, None)]
+    df = spark.createDataFrame(rows, "i int, years int, level string, p_years int, p_seniority string")
+    assert {r.i: (r.years, r.level) for r in P.fill_preferences(df).collect()} == {1: (7, "senior"), 2: (3, "mid"), 3: (0, "")}
+
+
+def test_fingerprint_and_lists(spark):
+    df = spark.createDataFrame([(["AI/ML tools", "team"], None, ["go", "Rust"], ["Senior Product Manager, Payments"], "a; b,\nc,,")], "domains array<string>, skills array<string>, technologies array<string>, target_roles array<string>, t string")
+    r = df.select(P.fingerprint().alias("f"), P.split_list(F.col("t")).alias("l")).first()
+    assert (r.f, r.l) == (["ml tools", "rust", "payments"], ["a", "b", "c"])
+
+
+def test_older_headline(spark):
+    df = spark.createDataFrame([(0.5, 1.0, 0.4), (None, 1.0, None), (None, None, None)], "tech_fit double, domain_fit double, seniority_fit double")
+    assert [r.h for r in df.select(S.mean_headline().alias("h")).collect()] == [0.63, 1.0, None]
