@@ -235,6 +235,6 @@ def signature(most: int = 600) -> Column:
     stack = F.array_join(F.filter(F.transform(F.slice("technologies", 1, 12), lambda t: F.trim(t)), lambda t: t != ""), ", ")
     parts = [
         some("title"), F.concat(F.lit("@ "), some("company")), F.when(meta != "", F.concat(F.lit("("), meta, F.lit(")"))),
-        F.when(stack != "", F.concat(F.lit("Stack: "), stack)), F.nullif(role_slice(c("description"), max(120, most - 180)), F.lit("")),
+        F.when(stack != "", F.concat(F.lit("Stack: "), stack)), let(role_slice(c("description"), max(120, most - 180)), lambda s: F.when(s != "", s)),
     ]
     return let(squeeze(F.concat_ws(" | ", *parts)), lambda s: shorten(s, most))
