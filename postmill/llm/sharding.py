@@ -14,10 +14,12 @@ own. Input columns named like a result are replaced. Empty tables give empty res
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm.common import cut_lineage, global_row_number, parts_for
+from postmill.llm.common import cut_lineage, global_row_number, parts_for, shared_dir
 
 SHARDS = 16
 SEED = 20
@@ -26,10 +28,11 @@ BROADCAST_SOURCES = 100_000
 
 
 def interleave(rows: DataFrame, shards: int = SHARDS, *, source: str = "source", doc_id: str = "doc_id", seed: int = SEED,
-               ties: tuple[str, ...] = ()) -> DataFrame:
+               ties: tuple[str, ...] = (), row: tuple[str, ...] = ()) -> DataFrame:
     """Adds shard (0 to ``shards`` - 1) and slot (gapless from 0 in each shard) to rows.
 
-    ``ties`` names columns that tell rows of one id apart. Pass narrow rows: all columns travel through two sorts.
+    ``ties`` names columns that tell rows of one id apart, ``row`` those that tell equal rows apart (they order rows
+    but don't count in the seeded hash). Pass narrow rows: all columns travel through two sorts.
     """
     spark = rows.sparkSession
     rows = rows.drop("shard", "slot")
@@ -37,7 +40,7 @@ def interleave(rows: DataFrame, shards: int = SHARDS, *, source: str = "source",
     sized = cut_lineage(rows.withColumn("__h", F.xxhash64(F.col(doc_id), *ties, F.lit(seed))))
     n = sized.count()
     parts = parts_for(spark, n, ROWS_PER_PART)
-    first = global_row_number(sized, [source, "__h", doc_id, *ties], "__g", parts)
+    first = global_row_number(sized, [source, "__h", doc_id, *ties, *row], "__g", parts)
     per_source = first.groupBy(F.col(source).alias("__s")).agg(F.min("__g").alias("__first"), F.count(F.lit(1)).alias("__n"))
     per_source = cut_lineage(per_source)
     hint = F.broadcast if per_source.count() <= BROADCAST_SOURCES else (lambda x: x)
@@ -45,7 +48,7 @@ def interleave(rows: DataFrame, shards: int = SHARDS, *, source: str = "source",
         "__fraction", (F.col("__g") - F.col("__first") + F.lit(0.5)) / F.col("__n")
     )
     ranked = ranked.select(*columns, "__fraction", "__h")
-    placed = global_row_number(ranked, ["__fraction", "__h", source, doc_id, *ties], "__place", parts)
+    placed = global_row_number(ranked, ["__fraction", "__h", source, doc_id, *ties, *row], "__place", parts)
     shard = F.expr(f"__place * {shards} div {max(1, n)}")
     start = F.expr(f"(shard * {n} + {shards - 1}) div {shards}")
     return placed.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("__place") - start).select(*columns, "shard", "slot")
@@ -57,7 +60,23 @@ def manifest(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumns({"size": F.octet_length(body).cast("long") + 1, "text_crc32": F.crc32(body.cast("binary"))}).drop(text)
 
 
+def deal(docs: DataFrame, shards: int = SHARDS, *, source: str = "source", doc_id: str = "doc_id", text: str = "text",
+         seed: int = SEED) -> DataFrame:
+    """``docs`` with all columns, texts included, and the shard and slot of each row.
+
+    Every row gets a key of its own and is written once to the shared folder, so that the keys are the same whenever
+    they are read. Only the key, source, id, size and crc32 go through the sorts; shard and slot are joined back by key.
+    """
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark)}/keyed-{uuid.uuid4().hex}"
+    docs.drop("shard", "slot").withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
+    keyed = spark.read.parquet(path)
+    narrow = manifest(keyed.select("__row", F.col(source).alias("source"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    placed = interleave(narrow, shards, seed=seed, ties=("text_crc32", "size"), row=("__row",))
+    return keyed.join(placed.select("__row", "shard", "slot"), "__row").drop("__row")
+
+
 def op5_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    placed = interleave(manifest(docs), ties=("text_crc32", "size"))
+    placed = manifest(deal(docs))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

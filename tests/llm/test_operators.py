@@ -268,6 +268,22 @@ def test_shards(spark, docs, empty):
         assert r.n == 50 and abs(r.h - 30) <= 1
 
 
+def test_shards_hold_whole_rows(spark, docs, empty):
+    twice = docs.unionAll(docs)  # equal rows, as the mix makes them
+    got = sharding.deal(twice, 4)
+    columns = [c for c in docs.columns if c != "shard"]
+    assert got.columns == [*columns, "shard", "slot"]
+    assert sorted(map(repr, got.select(*columns).collect())) == sorted(map(repr, twice.select(*columns).collect()))
+    narrow = sharding.interleave(sharding.manifest(twice.select("doc_id", "source", "text")), 4, ties=("text_crc32", "size"))
+    digest = ["doc_id", "source", "size", "text_crc32", "shard"]
+    assert sorted(map(repr, sharding.manifest(got).select(*digest).collect())) == sorted(map(repr, narrow.select(*digest).collect()))
+    for s in range(4):
+        slots = sorted(r.slot for r in got.filter(F.col("shard") == s).collect())
+        assert slots == list(range(len(slots)))
+    assert sharding.deal(empty, 4).count() == 0
+
+
+
 # 6
 def brute_repeats(text, least):
     w = (text or "").encode().split()

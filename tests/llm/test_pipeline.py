@@ -29,3 +29,10 @@ def test_stages(spark, sf):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_shards_hold_the_texts(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = corpus_pipeline.STAGES[-1][1](spark, docs.unionAll(docs), sf)
+    assert out.columns == [*docs.columns, "shard", "slot"]
+    assert sorted(r.text for r in out.collect()) == sorted([r.text for r in docs.collect()] * 2)
