@@ -80,16 +80,12 @@ def upsert(registry: DataFrame, scored: DataFrame, batch_id: int, profile_versio
     )
 
 
-def near_dupes(new: DataFrame, registry: DataFrame, least: float = 0.75) -> DataFrame:
-    """For each new row (ingest_seq, company, title, location) the registry row (key and the same) most alike by title
-    tokens, among those of the same company and place: (ingest_seq, key, overlap).
+def _tokens(df: DataFrame, side: str) -> DataFrame:
+    return df.select(F.lower(F.trim(T.text(F.col("company")))).alias("co"), T.norm_location(F.col("location")).alias("loc"), F.array_sort(T.title_tokens(F.col("title"))).alias(f"{side}_tokens"), "*")
 
-    Rows that reach the threshold share one of the first n - ceil(least * n) + 1 of their sorted tokens, so they meet
-    on (company, place, token) and not in whole buckets; distinct token sets are compared once.
-    """
 
-    def prepared(df: DataFrame, side: str) -> DataFrame:
-        return df.select(F.lower(F.trim(T.text(F.col("company")))).alias("co"), T.norm_location(F.col("location")).alias("loc"), F.array_sort(T.title_tokens(F.col("title"))).alias(f"{side}_tokens"), "*")
+def _alike(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """(co, loc, a_tokens, b_tokens, overlap) of the distinct token sets of ``_tokens`` that reach the threshold."""
 
     def prefixes(df: DataFrame, side: str) -> DataFrame:
         tokens = F.col(f"{side}_tokens")
@@ -97,14 +93,40 @@ def near_dupes(new: DataFrame, registry: DataFrame, least: float = 0.75) -> Data
         head = F.slice(tokens, F.lit(1), n - F.ceil(least * n).cast("int") + 1)
         return df.select("co", "loc", tokens).distinct().filter(n > 0).withColumn("token", F.explode(head))
 
-    a, b = prepared(new, "a"), prepared(registry, "b")
     pairs = prefixes(a, "a").join(prefixes(b, "b"), ["co", "loc", "token"]).select("co", "loc", "a_tokens", "b_tokens").distinct()
-    pairs = pairs.withColumn("overlap", T.jaccard(F.col("a_tokens"), F.col("b_tokens"))).filter(F.col("overlap") >= least)
+    return pairs.withColumn("overlap", T.jaccard(F.col("a_tokens"), F.col("b_tokens"))).filter(F.col("overlap") >= least)
+
+
+def near_dupes(new: DataFrame, registry: DataFrame, least: float = 0.75) -> DataFrame:
+    """For each new row (ingest_seq, company, title, location) the registry row (key and the same) most alike by title
+    tokens, among those of the same company and place: (ingest_seq, key, overlap).
+
+    Rows that reach the threshold share one of the first n - ceil(least * n) + 1 of their sorted tokens, so they meet
+    on (company, place, token) and not in whole buckets; distinct token sets are compared once.
+    """
+    a, b = _tokens(new, "a"), _tokens(registry, "b")
+    pairs = _alike(a, b, least)
     earliest = b.groupBy("co", "loc", "b_tokens").agg(F.min(F.struct("ingest_seq", "key")).alias("e"))
     best = pairs.join(earliest, ["co", "loc", "b_tokens"]).groupBy("co", "loc", "a_tokens").agg(F.min(F.struct((-F.col("overlap")).alias("o"), F.col("e"))).alias("m"))
     return a.join(best, ["co", "loc", "a_tokens"]).select("ingest_seq", F.col("m.e.key").alias("key"), (-F.col("m.o")).alias("overlap"))
 
 
+def collapse_new(new: DataFrame, registry: DataFrame, least: float = 0.75) -> DataFrame:
+    """Like near_dupes, and new rows that match nothing in the registry collapse to the earliest new row alike.
+
+    (ingest_seq, key, overlap, in_batch): where in_batch is true, key is the ingest_seq, as text, of the earliest
+    earlier new row of the threshold or more. Among new rows the earliest counts, not the most alike, and a row that
+    itself collapses can be the earliest.
+    """
+    known = near_dupes(new, registry, least).select("ingest_seq", F.col("key").cast("string").alias("key"), "overlap", F.lit(False).alias("in_batch"))
+    rest = new.join(known.select("ingest_seq"), "ingest_seq", "left_anti")
+    a, b = _tokens(rest, "a"), _tokens(rest, "b")
+    earliest = b.groupBy("co", "loc", "b_tokens").agg(F.min("ingest_seq").alias("first"))
+    alike = _alike(a, b, least).join(earliest, ["co", "loc", "b_tokens"]).groupBy("co", "loc", "a_tokens").agg(F.min(F.struct("first", "overlap")).alias("m"))
+    own = a.join(alike, ["co", "loc", "a_tokens"]).filter(F.col("m.first") < F.col("ingest_seq"))
+    return known.unionByName(own.select("ingest_seq", F.col("m.first").cast("string").alias("key"), F.col("m.overlap").alias("overlap"), F.lit(True).alias("in_batch")))
+
+
 def latest_states(events: DataFrame) -> DataFrame:
     """Current state of each application and how many changes it had, from (app_id, seq, state) in order of seq."""
     return events.groupBy("app_id").agg(F.max_by("state", "seq").alias("state"), F.count(F.lit(1)).alias("n_changes"), F.min("ts").alias("first_ts"), F.max_by("company", "seq").alias("company"))

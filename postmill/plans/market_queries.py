@@ -73,6 +73,14 @@ def near_duplicate_titles(spark, sf):
     return R.near_dupes(p.filter("batch_id = 11").drop("key"), p.filter("batch_id < 2")).select("ingest_seq", "key", F.round("overlap", 6).alias("overlap"))
 
 
+@query()
+def near_duplicates_whole_registry(spark, sf):
+    """The newest batch against all earlier ones, and its rows against one another. Without SQL: the self-join is slow."""
+    p = postings(spark, sf).withColumn("key", F.col("ingest_seq"))
+    found = R.collapse_new(p.filter("batch_id = 11").drop("key"), p.filter("batch_id < 11"))
+    return found.select("ingest_seq", "key", F.round("overlap", 6).alias("overlap"), "in_batch")
+
+
 STATES_CTE = APPLICATIONS_CTE + ", states AS (SELECT app_id, arg_max(state, seq) AS state, count(*) AS n_changes, min(ts) AS first_ts, arg_max(company, seq) AS company FROM applications GROUP BY app_id)"
 
 

@@ -91,6 +91,38 @@ def test_near_dupes_adds_lane(spark):
     assert [(r.ingest_seq, r.key, r.overlap) for r in R.near_dupes(new, old).collect()] == [(2, "k1", 0.8)]
 
 
+def test_new_rows_meet_the_whole_registry_and_each_other(spark):
+    from postmill.plans import registry as plans
+    from postmill.plans.derived import postings
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.ingest_seq: (r.key, r.overlap, r.in_batch) for r in plans.QUERIES["near_duplicates_whole_registry"](spark, sf).collect()}
+    p = postings(spark, sf).select("ingest_seq", "batch_id", F.lower(F.trim(T.text(F.col("company")))).alias("co"), T.norm_location(F.col("location")).alias("loc"), T.title_tokens(F.col("title")).alias("w")).collect()
+    like = lambda a, b: len(set(a.w) & set(b.w)) / max(1, len(set(a.w) | set(b.w))) if (a.co, a.loc) == (b.co, b.loc) else 0
+    new, want = sorted((r for r in p if r.batch_id == 11), key=lambda r: r.ingest_seq), {}
+    for a in new:
+        best = min(((-like(a, b), b.ingest_seq) for b in p if b.batch_id < 11), default=(0, 0))
+        if -best[0] >= 0.75:
+            want[a.ingest_seq] = (str(best[1]), round(-best[0], 6), False)
+    left = [a for a in new if a.ingest_seq not in want]
+    for k, a in enumerate(left):
+        for b in left[:k]:
+            if like(a, b) >= 0.75:
+                want[a.ingest_seq] = (str(b.ingest_seq), round(like(a, b), 6), True)
+                break
+    assert got == want
+    later = {r.ingest_seq for r in p if 2 <= r.batch_id < 11}
+    assert any(not b and int(k) in later for k, _, b in got.values())
+
+
+def test_new_rows_collapse_to_the_earliest(spark):
+    schema = "ingest_seq int, company string, title string, location string"
+    new = [(2, "Acme", "Senior Product Manager Ads", "SF"), (3, "Acme", "Senior Product Manager Ads Platform", "SF"), (4, "Acme", "Data Engineer", "SF"), (5, "Acme", "Data Engineer", "SF"), (6, "Else", "Data Engineer", "SF")]
+    old = spark.createDataFrame([(1, "k1", "Acme", "Senior Product Manager Payments", "SF"), (0, "k0", "Acme", "Welder", "SF")], "ingest_seq int, key string, company string, title string, location string")
+    got = sorted((r.ingest_seq, r.key, r.overlap, r.in_batch) for r in R.collapse_new(spark.createDataFrame(new, schema), old).collect())
+    assert got == [(3, "2", 0.8, True), (5, "4", 1.0, True)]
+
+
 def test_reaction_toggles(spark):
     rows = [("a", 1, 1, "star"), ("a", 2, 2, "star"), ("b", 1, 3, "star"), ("b", 2, 4, "clear"), ("c", 1, 5, "dismiss")]
     got = {r.key: (r.starred, r.dismissed, r.seen) for r in R.fold_reactions(spark.createDataFrame(rows, "key string, ts int, seq int, action string")).collect()}
