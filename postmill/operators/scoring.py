@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from postmill.functions import text as T
 from postmill.operators import filters as O
 
 MAX_PROFILES = 10_000
-MAX_LABELS = 100_000
+LABEL_BLOCK = 100_000
 
 
 def bounded(small: DataFrame, rows: int, what: str) -> DataFrame:
@@ -22,22 +24,44 @@ def bounded(small: DataFrame, rows: int, what: str) -> DataFrame:
     return F.broadcast(small)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder that all executors see (spark.checkpoint.dir), or a temporary one where it is unset."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint(eager=True)
+
+
 def profile_similarity(vectors: DataFrame, profiles: DataFrame) -> DataFrame:
     """(profile_id, vec_id, similarity): every vector against every profile, a stated query set."""
     p = bounded(profiles.select("profile_id", F.col("embedding").alias("__p")), MAX_PROFILES, "profiles")
     return vectors.crossJoin(p).select("profile_id", "vec_id", F.round(X.cosine(F.col("embedding"), F.col("__p")), 4).alias("similarity"))
 
 
-def label_similarity(vectors: DataFrame, labels: DataFrame, least: dict[str, int]) -> DataFrame:
-    """vec_id and, for each state of (state, embedding) with enough labels, the highest cosine to one of them."""
+def label_similarity(vectors: DataFrame, labels: DataFrame, least: dict[str, int], block: int = LABEL_BLOCK) -> DataFrame:
+    """vec_id and, for each state of (state, embedding) with enough labels, the highest cosine to one of them.
+
+    Any number of labels: they are taken in blocks of about ``block``, each broadcast by itself, and of each block
+    only the maximum by vec_id and state is kept; the blocks' maxima are combined.
+    """
     sizes = labels.groupBy("state").count()
     enough = F.lit(False)
     for state, n in least.items():
         enough = enough | ((F.col("state") == state) & (F.col("count") >= n))
     used = labels.join(sizes.filter(enough), "state").select("state", F.col("embedding").alias("__l"))
-    pairs = vectors.crossJoin(bounded(used, MAX_LABELS, "labels"))
-    similarity = X.cosine(F.col("embedding"), F.col("__l"))
-    best = pairs.groupBy("vec_id").agg(*[F.max(F.when(F.col("state") == s, similarity)).alias(s) for s in least])
+    blocks = max(1, -(-used.count() // block))
+    if blocks > 1:
+        used = kept(used.withColumn("__block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))))
+    best = None
+    for k in range(blocks):
+        part = used.filter(F.col("__block") == k).drop("__block") if blocks > 1 else used
+        similarity = X.cosine(F.col("embedding"), F.col("__l"))
+        found = vectors.crossJoin(F.broadcast(part)).groupBy("vec_id").agg(*[F.max(F.when(F.col("state") == s, similarity)).alias(s) for s in least])
+        if blocks > 1:
+            found = kept(found)  # a block at a time is held in memory
+        best = found if best is None else best.unionByName(found)
+    if blocks > 1:
+        best = best.groupBy("vec_id").agg(*[F.max(s).alias(s) for s in least])
     return vectors.select("vec_id").join(best, "vec_id", "left")
 
 

@@ -129,6 +129,26 @@ def test_reaction_toggles(spark):
     assert got == {"a": (False, False, True), "b": (False, False, False), "c": (False, True, True)}
 
 
+def test_labels_in_blocks_give_whole_results(spark):
+    import math
+    import random
+
+    rnd = random.Random(5)
+    rows = [(i, [rnd.uniform(-1, 1) for _ in range(4)]) for i in range(30)]
+    labels = [(["starred", "dismissed", "seed"][i % 3], [rnd.uniform(-1, 1) for _ in range(4)]) for i in range(50)] + [("rare", [1.0, 0.0, 0.0, 0.0])]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    least = {"starred": 3, "dismissed": 3, "seed": 2, "rare": 2}
+    v, l = spark.createDataFrame(rows, "vec_id int, embedding array<double>"), spark.createDataFrame(labels, "state string, embedding array<double>")
+    for block in (7, 1000):
+        got = {r.vec_id: r for r in S.label_similarity(v, l, least, block=block).collect()}
+        assert len(got) == len(rows)
+        for i, e in rows:
+            for s in ("starred", "dismissed", "seed"):
+                assert got[i][s] == pytest.approx(max(cos(e, x) for t, x in labels if t == s))
+            assert got[i]["rare"] is None
+    assert S.label_similarity(v, l.limit(0), least).filter("starred is null").count() == len(rows)
+
+
 def test_cap_keeps_best(spark):
     rows = spark.createDataFrame([(0, i, 0.6 + i / 100, "match") for i in range(10)], "profile_id int, ingest_seq int, match_score double, tier string")
     got = {r.ingest_seq: (r.tier, r.capped) for r in S.cap_matches(rows, 3).collect()}
