@@ -186,6 +186,20 @@ def test_markov_tells_random_from_ordinary(spark, sf):
     assert got[-1] == [RANDOM] and got[-2] == []
 
 
+def test_markov_counts_all_documents_and_distinct_values(spark, docs):
+    many = docs.select("doc_id", "text").unionAll(spark.range(1200).selectExpr("id", "'Zqx vvK foo-barBaz a bb' as text"))
+    want = {}
+    for (t,) in many.select("text").collect():
+        w = re.findall("[A-Za-z]{3,}", t or "")
+        for s in ["_".join(w), "-".join(w), "/".join(w), "".join(x.capitalize() for x in w)]:
+            codes = [secrets.ALPHABET.find(c) + 1 for c in s]
+            for pair in zip(codes, codes[1:], strict=False):
+                want[pair] = want.get(pair, 0) + 1
+    assert secrets.ordinary_counts(many) == want
+    same = spark.range(50).selectExpr("id as doc_id", "'password=abcdefghijkl1234 x' as text")
+    assert secrets.random_strings(secrets.candidates(same)).filter("s = 'abcdefghijkl1234'").count() == 1
+
+
 # 4
 def brute_simhash(texts):
     fps = []
