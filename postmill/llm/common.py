@@ -13,16 +13,20 @@ from pyspark.sql import functions as F
 
 #: ``[^\x20\x09-\x0D]+`` over UTF-8 bytes is what ``bytes.split()`` gives.
 SPACE_WORDS = r"[^\x20\x09-\x0D]+"
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, local mode) a temporary folder is made.
+    Only in local mode, where all share one disk, a temporary folder stands in for an absent setting.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
@@ -32,6 +36,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of this job's own, wherever it is stored."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def bytes_of(df: DataFrame) -> int:
+    """About how many bytes the rows of ``df`` (numbers and strings) take as a join table."""
+    strings = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.typeName() == "string"]
+    row = sum(strings, F.lit(32 + 16 * len(df.columns)))
+    return df.agg(F.sum(row.cast("long"))).first()[0] or 0
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, marked for broadcast only if its rows take ``most`` bytes or less. Pass a table that is cheap to read."""
+    return F.broadcast(df) if bytes_of(df) <= most else df
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

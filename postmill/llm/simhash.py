@@ -1,19 +1,29 @@
 """Operator 4: SimHash near-duplicates by BK-trees.
 
-Fingerprints: one pass over whole texts, one 64-bit number a document. Links: two fingerprints within ``radius`` bits
-agree on at least one choice of ``blocks - radius`` of their ``blocks`` blocks, so distinct fingerprints are dealt to
-buckets by every such choice; with more fingerprints there are more blocks and the buckets stay small (the result is
-the same for any number). Every bucket is cut into shards of at most ``SHARD`` fingerprints; each shard gets a
-BK-tree, whose children are keyed by their integer Hamming distance to the parent, and the bucket's fingerprints
-descend it along edges within the radius of their own distance.
+Fingerprints: one pass over whole texts, one 64-bit number a document; a long text is hashed a slice at a time. Links:
+candidates meet in buckets, every bucket is cut into shards of at most ``SHARD`` fingerprints, each shard gets a
+BK-tree, whose children are keyed by their integer Hamming distance to the parent, and the bucket's fingerprints descend
+it along edges within the radius of their own distance. Two ways to deal fingerprints to buckets:
+
+* ``near_components`` (fingerprints within 4 bits): two fingerprints within ``radius`` bits agree on at least one choice
+  of ``blocks - radius`` of their ``blocks`` blocks, so distinct fingerprints are dealt to buckets by every such choice;
+  with more fingerprints there are more blocks and the buckets stay small (the result is the same for any number). A
+  bucket of more than ``RECUT`` fingerprints is dealt anew by choices of blocks of its other bits; no link is lost by that.
+* ``one_of_each`` (five-word shingles, Jaccard similarity of 0.8 or more): 0.8 is about 10 of 64 bits, and block choices for
+  such a radius leave no small buckets. Distinct texts are dealt by min-wise keys of their shingles, ``bands`` keys of ``rows``
+  minima each, which two texts of similarity 0.8 share at least one of in 0.987 of cases; trees are searched with radius 14
+  (0.96 of pairs of similarity 0.8 to 0.85, all but a few above), nearest links first, and the links found are checked by
+  the exact Jaccard similarity of whole shingle sets. Measured recall is in the README.
 
 The shard trees are sent to tasks by shuffling (bucket, shard), not by broadcast: together they are as large as the
-set of fingerprints, which has no bound. A bucket with very many fingerprints has several shards, and each pair of
-shards is a task group by itself, so no group exceeds two shards. From each group only a spanning forest of the
-links it found is kept: no link is lost for the components, and a group of n near copies leaves n - 1 rows.
-
-Nulls: a null text has no words; its fingerprint is zero and links like any other. A null id is never the smallest of
-its component unless all are null. Ids may repeat. Empty tables give empty results.
+set of fingerprints, which has no bound. A bucket with several shards sends each pair of shards to a task group by
+itself, so no group exceeds two shards. From each group only a spanning forest of the links it found is kept: no link is
+lost for the components, and a group of n near copies leaves n - 1 rows.
+
+Nulls: a null text has no words; its fingerprint is zero and links like any other; all texts without words are one group.
+A null id is never the smallest of its component unless all are null. Ids may repeat, with equal or other texts. Equal rows
+are copies. Very long texts need some 15 times their size at most in a task. Columns of any name may stand beside id and text.
+Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,50 +38,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postmill.llm.common import cut_lineage, ranges, sliced, text_bytes
+from postmill.llm.common import broadcast_if_small, cut_lineage, ranges, sliced, text_bytes
 from postmill.llm.components import components
 
 SHINGLE = 4
 RADIUS = 4
+TEXT_SHINGLE = 5
+SIMILARITY = 0.8
+TEXT_RADIUS = 14
+BANDS, ROWS = 11, 5
 BATCH_BYTES = 1 << 20
+SLICE = 100_000
 SHARD = 4096
+RECUT = 1 << 18
 BUCKET_TARGET = 64
-BROADCAST_IDS = 1_000_000
+HOT = 10_000
+SALTS = 16
 FRONTIER = 1 << 20
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_DRAW = np.random.default_rng(20)
+_FACTORS = _DRAW.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def word_line(text: bytes) -> bytes:
+    """The lower-cased words with one space between them."""
+    return b" ".join(text.translate(_LOWER).split())
+
+
+def shingle_hashes(line: bytes, size: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of a word line, at most ``SLICE`` at a time."""
+    if not line:
+        return
+    digest = xxhash.xxh64_intdigest
+    ends = np.append(np.flatnonzero(np.frombuffer(line, np.uint8) == 32), len(line))
+    if len(ends) <= size:
+        yield np.array([digest(line, 42)], np.uint64)
+        return
+    for k in range(0, len(ends) - size + 1, SLICE):
+        stop = ends[k + size - 1 : k + size - 1 + SLICE].tolist()
+        start = (ends[k : k + len(stop) - 1] + 1).tolist()
+        start.insert(0, int(ends[k - 1]) + 1 if k else 0)
+        yield np.array([digest(line[a:b], 42) for a, b in zip(start, stop, strict=True)], np.uint64)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
 def fingerprints_of(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """SimHash of each text, as uint64."""
-    digest = xxhash.xxh64_intdigest
-    hashes: list[int] = []
-    counts = np.zeros(len(texts), np.int64)
+    bits = np.zeros((len(texts), 64), bool)
     for i, t in enumerate(texts):
-        words = t.translate(_LOWER).split()
-        if not words:
-            continue
-        line = b" ".join(words)
-        if len(words) <= size:
-            hashes.append(digest(line, 42))
-            counts[i] = 1
-            continue
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        stop = ends[size - 1 :].tolist()
-        start = [0, *(ends[: len(words) - size] + 1).tolist()]
-        hashes += [digest(line[a:b], 42) for a, b in zip(start, stop, strict=True)]
-        counts[i] = len(stop)
-    out = np.zeros(len(texts), np.uint64)
-    full = np.flatnonzero(counts)
-    if len(full):
-        bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        starts = np.concatenate(([0], np.cumsum(counts[full])[:-1]))
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        out[full] = np.packbits(2 * ones > counts[full][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
-
-
-def fingerprints(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None, name: str = "fp") -> DataFrame:
+        n, ones = 0, np.zeros(64, np.int64)
+        for h in shingle_hashes(word_line(t), size):
+            n += len(h)
+            ones += _ones(h)
+        bits[i] = 2 * ones > n
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def fingerprints(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None, name: str = "fp", shingle: int = SHINGLE) -> DataFrame:
     """The columns ``keep`` (default: all but the text) and ``name``, the SimHash as a signed long."""
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     base = docs.select(*keep, F.col(text).cast("string").alias("__text"))
@@ -79,12 +106,49 @@ def fingerprints(docs: DataFrame, *, text: str = "text", keep: list[str] | None
 
     def run(batches):
         for batch in sliced(batches, "__text", BATCH_BYTES):
-            fps = fingerprints_of(text_bytes(batch, "__text")).view(np.int64)
+            fps = fingerprints_of(text_bytes(batch, "__text"), shingle).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fps)], [*keep, name])
 
     return base.mapInArrow(run, schema)
 
 
+def _minima(hashes: np.ndarray) -> np.ndarray:
+    """The least of each of the permuted hashes."""
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), 4096):
+        x = hashes[k : k + 4096] * _FACTORS[:, None]
+        np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=1), out=least)
+    return least
+
+
+def signature(text: bytes, size: int = TEXT_SHINGLE) -> tuple[int, int, int, list[int]]:
+    """Two halves of a 128-bit digest of the word line, its SimHash, and its min-wise keys (none without words); signed."""
+    line = word_line(text)
+    n, ones, least = 0, np.zeros(64, np.int64), _minima(np.empty(0, np.uint64))
+    for h in shingle_hashes(line, size):
+        n += len(h)
+        ones += _ones(h)
+        np.minimum(least, _minima(h), out=least)
+    bits = np.packbits(2 * ones > n, bitorder="little").view(np.int64)
+    keys = np.array([xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
+    digest = np.frombuffer(xxhash.xxh3_128_digest(line), np.int64)
+    return int(digest[0]), int(digest[1]), int(bits[0]), keys.view(np.int64).tolist() if n else []
+
+
+def signatures(docs: DataFrame, shingle: int = TEXT_SHINGLE) -> DataFrame:
+    """(doc_id, raw, hi, lo, fp, keys) of every row of (doc_id, text); raw is a hash of the text as it stands."""
+    base = docs.select("doc_id", F.xxhash64("text").alias("raw"), F.col("text").cast("string").alias("text"))
+
+    def run(batches):
+        for batch in sliced(batches, "text", BATCH_BYTES):
+            hi, lo, fp, keys = zip(*(signature(t, shingle) for t in text_bytes(batch, "text")), strict=True)
+            columns = [pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("raw"), *columns], ["doc_id", "raw", "hi", "lo", "fp", "keys"])
+
+    fields = [T.StructField(c, T.LongType()) for c in ("raw", "hi", "lo", "fp")]
+    return base.mapInArrow(run, T.StructType([base.schema["doc_id"], *fields, T.StructField("keys", T.ArrayType(T.LongType()))]))
+
+
 class Forest:
     """BK-trees of many shards at once: arrays of nodes, children found by (parent, distance)."""
 
@@ -143,7 +207,7 @@ class Spanning:
                 break
             a, b, la, lb = a[open_], b[open_], la[open_], lb[open_]
             hi, lo = np.maximum(la, lb), np.minimum(la, lb)
-            order = np.lexsort((lo, hi))
+            order = np.lexsort(((a * 0x9E3779B1 ^ b * 0x85EBCA77) & 0xFFFFFFFF, hi))  # any smaller set, so that no node gets all links
             first = order[np.concatenate(([True], hi[order][1:] != hi[order][:-1]))]  # one smaller set for each set
             out_a.append(a[first])
             out_b.append(b[first])
@@ -173,50 +237,86 @@ def bucket_masks(blocks: int, radius: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, blocks: int | None = None) -> DataFrame:
+def near_links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, blocks: int | None = None, recut: int = RECUT) -> DataFrame:
     """Links (a, b) among the distinct fingerprints of column ``fp`` that connect all within ``radius`` bits."""
+    spark = fps.sparkSession
     masks = bucket_masks(blocks or blocks_for(fps.count(), radius), radius)
     choice = F.array(*[F.struct(F.lit(i).alias("choice"), F.lit(m).alias("mask")) for i, m in enumerate(masks)])
-    dealt = fps.select("fp", F.explode(choice).alias("c")).select("fp", F.col("c.choice").alias("choice"), F.col("fp").bitwiseAND(F.col("c.mask")).alias("bits"))
-    counts = dealt.groupBy("choice", "bits").count().filter(F.col("count") > 1)
-    counts = cut_lineage(counts)
+    dealt = fps.select("fp", F.explode(choice).alias("c")).select(
+        F.col("c.choice").alias("choice"), F.col("fp").bitwiseAND(F.col("c.mask")).alias("bits"), "fp", F.col("fp").alias("node"))
+    counts = bucket_counts(dealt, ["choice", "bits"])
+    links = bucket_links(dealt, counts.filter(F.col("count") <= recut), ["choice", "bits"], (radius,), shard)
+    huge = counts.filter(F.col("count") > recut).select("choice", "bits")
+    if not huge.isEmpty():
+        # Members of a bucket differ in its other bits alone: those are cut into 2 * radius blocks, of which radius agree.
+        table = [(i, j, m) for i, taken in enumerate(masks) for j, m in enumerate(_other_masks(taken, radius))]
+        other = spark.createDataFrame(table, "choice int, sub int, mask long")  # some thousand rows
+        again = dealt.join(huge, ["choice", "bits"]).join(F.broadcast(other), "choice")
+        again = again.select("choice", "bits", "sub", F.col("fp").bitwiseAND(F.col("mask")).alias("bits2"), "fp", "node")
+        keys = ["choice", "bits", "sub", "bits2"]
+        links = links.unionAll(bucket_links(again, bucket_counts(again, keys), keys, (radius,), shard))
+    return links.distinct()
+
+
+def _other_masks(taken: int, radius: int) -> list[int]:
+    """Masks of the choices of radius out of 2 * radius blocks of the bits that are not in ``taken``."""
+    free = [b for b in range(64) if not taken >> b & 1]
+    edges = [round(len(free) * i / (2 * radius)) for i in range(2 * radius + 1)]
+    parts = [sum(1 << b for b in free[x:y]) for x, y in zip(edges, edges[1:], strict=False)]
+    masks = [sum(c) for c in combinations(parts, radius)]
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+
+
+def bucket_counts(dealt: DataFrame, keys: list[str]) -> DataFrame:
+    """The buckets of two rows or more, with their counts."""
+    return cut_lineage(dealt.groupBy(*keys).count().filter(F.col("count") > 1))
+
+
+def bucket_links(dealt: DataFrame, counts: DataFrame, keys: list[str], levels: tuple[int, ...], shard: int = SHARD) -> DataFrame:
+    """Links (a, b) between nodes of one bucket that connect all whose fp are within the last of ``levels`` bits.
+
+    ``dealt`` has the bucket's keys, fp and node; only the buckets of ``counts`` are searched. Links within the first
+    level are taken before those of the next, so a far link stands only where no nearer ones connect its ends.
+    """
+    key = F.xxhash64(*keys)
+    small = counts.filter(F.col("count") <= shard).select(*keys)
     large = counts.filter(F.col("count") > shard)
-    small = counts.filter(F.col("count") <= shard).select("choice", "bits")
-    key = F.xxhash64("choice", "bits")
-    groups = dealt.join(small, ["choice", "bits"], "left_semi").select(key.alias("bucket"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "fp")
+    zero = [F.lit(0).alias(c) for c in ("i", "j", "side")]
+    groups = dealt.join(small, keys, "left_semi").select(key.alias("bucket"), *zero, "fp", "node")
     if not large.isEmpty():
         # Each fingerprint of a large bucket goes to the pairs of shards that hold its own.
-        hot = dealt.join(large, ["choice", "bits"]).withColumn("k", F.ceil(F.col("count") / F.lit(shard / 2)).cast("int"))
-        hot = hot.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("k")).cast("int"))
-        hot = hot.select(key.alias("bucket"), "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"), "fp")
-        groups = groups.unionAll(hot.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp"))
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt_out = groups.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "fp")
-    return dealt_out.mapInArrow(_link_groups(radius), "a long, b long").distinct()
+        hot = dealt.join(large, keys).withColumn("k", F.ceil(F.col("count") / F.lit(shard / 2)).cast("int"))
+        hot = hot.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("k")).cast("int"))
+        hot = hot.select(key.alias("bucket"), "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"), "fp", "node")
+        groups = groups.unionAll(hot.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp", "node"))
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt_out = groups.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "fp", "node")
+    return dealt_out.mapInArrow(_link_groups(levels), "a long, b long").distinct()
 
 
-def _link_groups(radius: int):
+def _link_groups(levels: tuple[int, ...]):
     def run(batches):
         held: list[np.ndarray] = []  # columns of the group that the last batch may not have ended
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("bucket", "i", "j", "side", "fp")])
+            rows = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("bucket", "i", "j", "side", "fp", "node")])
             rows = np.concatenate([*held, rows], axis=1)
             new = (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)
             cut = int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0
             held = [rows[:, cut:]]
             if cut:
-                yield from _linked(rows[:, :cut], radius)
+                yield from _linked(rows[:, :cut], levels)
         if held:
-            yield from _linked(held[0], radius)
+            yield from _linked(held[0], levels)
 
     return run
 
 
-def _linked(rows: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
+def _linked(rows: np.ndarray, levels: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
     """The spanning links of whole groups, which stand one after another."""
-    fps = rows[4].view(np.uint64) if rows[4].flags.c_contiguous else np.ascontiguousarray(rows[4]).view(np.uint64)
+    fps = np.ascontiguousarray(rows[4]).view(np.uint64)
+    node = rows[5]
     group = np.concatenate(([0], np.cumsum((rows[:3, 1:] != rows[:3, :-1]).any(axis=0))))
     tree = group * 2 + rows[3]
     forest = Forest(fps, tree)
@@ -228,50 +328,108 @@ def _linked(rows: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
         other = np.searchsorted(tree[forest.roots], tree[two] - 1)
         fits = tree[forest.roots[np.minimum(other, len(forest.roots) - 1)]] == tree[two] - 1
         sets.append((two[fits], forest.roots[other[fits]]))
-    for q, roots in sets:
-        for a, b in forest.search(fps[q], roots, radius):
-            a, b = joined.add(q[a], b)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(fps[a].view(np.int64)), pa.array(fps[b].view(np.int64))], ["a", "b"])
-
+    for radius in levels:
+        for q, roots in sets:
+            for a, b in forest.search(fps[q], roots, radius):
+                a, b = joined.add(q[a], b)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
-def near_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp (signed long) and component_id, the smallest doc_id that links reach, for every row of ``docs``."""
-    fps = cut_lineage(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))))
-    return fps.join(component_ids(fps, radius), "fp").select("doc_id", "fp", "component_id")
 
+def join_groups(rows: DataFrame, table: DataFrame, keys: list[str], hot: int = HOT) -> DataFrame:
+    """``rows`` joined to ``table``, which has a row a key and the key's number of rows, n.
 
-def component_ids(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, root, component_id) for every distinct fp of (doc_id, fp); root tells components without any id apart."""
-    least = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(near_links(least.select("fp"), radius))
-    with_root = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    low = with_root.groupBy("root").agg(F.min("low").alias("component_id"))
-    return cut_lineage(with_root.join(low, "root").select("fp", "root", "component_id"))
+    Keys of ``hot`` rows or more, of which there are few, are broadcast (if their bytes allow), so that no task gets all
+    rows of one. Both inputs should be cheap to read.
+    """
+    few = table.filter(F.col("n") >= hot)
+    if few.isEmpty():
+        return rows.join(table, keys)
+    rest = rows.join(broadcast_if_small(few.select(*keys)), keys, "left_anti").join(table.filter(F.col("n") < hot), keys)
+    columns = rest.columns
+    return rest.unionAll(rows.join(broadcast_if_small(few), keys).select(*columns))
 
 
-def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, the one with the smallest id; all columns stay.
+def with_least(table: DataFrame, roots: DataFrame, node: str, low: str) -> DataFrame:
+    """``table`` (a row a node) with root and component_low, the least ``low`` of all nodes of its component, from the
+    (node, root) of linked nodes.
 
-    Rows that share an id count as one document, of which one row stays. Rows without an id stay only for groups that
-    have none with an id, one for each such group. The ids to drop (or, with repeats, to thin out) are broadcast if
-    they are ``BROADCAST_IDS`` at most, and joined by a shuffle else.
+    Nodes without a link answer for themselves; minima of linked ones are joined back to salted rows, so that a
+    component of very many nodes is not gathered in a task.
     """
+    joined = cut_lineage(table.join(roots.withColumnRenamed("node", node), node, "left"))
+    alone = joined.filter("root is null").withColumns({"root": F.col(node), "component_low": F.col(low)})
+    linked = joined.filter("root is not null")
+    least = linked.groupBy("root").agg(F.min(low).alias("component_low"))
+    salted = linked.withColumn("__salt", F.pmod(F.xxhash64(node), F.lit(SALTS)).cast("int"))
+    least = least.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return alone.unionByName(salted.join(least, ["root", "__salt"]).drop("__salt"))
+
+
+def near_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """doc_id, fp (signed long) and component_id, the smallest doc_id that links reach, for every row of ``docs``."""
     fps = cut_lineage(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))))
-    groups = component_ids(fps, radius)
-    by_id = fps.filter("doc_id is not null").join(groups, "fp").groupBy("doc_id").agg(
-        F.bool_or(F.col("component_id") == F.col("doc_id")).alias("stays"), F.count(F.lit(1)).alias("n"))
-    other = cut_lineage(by_id.filter(~F.col("stays") | (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), "stays"))
-    hint = F.broadcast if other.count() <= BROADCAST_IDS else (lambda x: x)
-    kept = docs.filter(F.col(doc_id).isNotNull()).join(hint(other.select("__id")), F.col(doc_id) == F.col("__id"), "left_anti")
-    thinned = other.filter("stays")
-    if not thinned.isEmpty():
-        kept = kept.unionAll(docs.join(hint(thinned), F.col(doc_id) == F.col("__id"), "left_semi").dropDuplicates([doc_id]))
-    if not fps.filter("doc_id is null").isEmpty():
-        nameless = fingerprints(docs.filter(F.col(doc_id).isNull()).withColumn("__copy", F.col(text)), text="__copy", name="__fp")
-        alone = groups.filter("component_id is null").select(F.col("fp").alias("__fp"), F.col("root").alias("__root"))
-        kept = kept.unionAll(nameless.join(alone, "__fp").dropDuplicates(["__root"]).select(*docs.columns))
-    return kept
+    least = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")))
+    roots = components(near_links(least.select("fp"), radius))
+    ids = cut_lineage(with_least(least, roots, "fp", "low").select("fp", "n", F.col("component_low").alias("component_id")))
+    return join_groups(fps, ids, ["fp"]).select("doc_id", "fp", "component_id")
+
+
+def text_components(docs: DataFrame, *, shingle: int = TEXT_SHINGLE, similarity: float = SIMILARITY, radius: int = TEXT_RADIUS) -> DataFrame:
+    """(doc_id, raw, root, stays) of every row of (doc_id, text): its group of texts alike, and whether it has the id and text
+    that stand for the group (the smallest id; of several texts with that id, one)."""
+    rows = cut_lineage(signatures(docs, shingle))
+    who = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), F.col("raw"))
+    texts = rows.groupBy("hi", "lo").agg(F.min(who).alias("low"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    texts = cut_lineage(texts.withColumn("node", F.monotonically_increasing_id()))
+    dealt = texts.select("fp", "node", F.explode("keys").alias("key"))
+    links = cut_lineage(bucket_links(dealt, bucket_counts(dealt, ["key"]), ["key"], (radius // 2, radius)))
+    links = alike(docs, texts, links, shingle, similarity)
+    table = with_least(texts.select("node", "hi", "lo", "n", "low"), components(links), "node", "low")
+    out = join_groups(rows.select("doc_id", "raw", "hi", "lo"), cut_lineage(table.select("hi", "lo", "n", "root", "component_low")), ["hi", "lo"])
+    return out.select("doc_id", "raw", "root", (F.col("doc_id").eqNullSafe(F.col("component_low.doc_id")) & (F.col("raw") == F.col("component_low.raw"))).alias("stays"))
+
+
+def alike(docs: DataFrame, texts: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The ``links`` between texts whose sets of shingles have at least that Jaccard similarity; texts are read again."""
+    ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).distinct()
+    wanted = cut_lineage(texts.join(ends, "node").select("node", F.col("low.doc_id").alias("__id"), F.col("low.raw").alias("__raw")))
+    base = docs.withColumn("raw", F.xxhash64("text"))
+    base = base.join(broadcast_if_small(wanted), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("raw") == F.col("__raw"))).select("node", F.col("text").cast("string").alias("text"))
+
+    def run(batches):
+        for batch in sliced(batches, "text", BATCH_BYTES):
+            found = []
+            for t in text_bytes(batch, "text"):
+                found.append(np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(word_line(t), shingle)])).view(np.int64))
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(ends, np.concatenate(found))], ["node", "shingles"])
+
+    sets = base.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+    both = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("n"))
+    return common.filter(F.col("c") >= similarity * (F.col("n") - F.col("c"))).select("a", "b")
+
+
+def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = TEXT_SHINGLE,
+                similarity: float = SIMILARITY, radius: int = TEXT_RADIUS) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group, that with the smallest id; all columns stay.
+
+    Rows without an id stay only for groups that have none with an id. Of equal ids with other texts that stand for the
+    same group, one row stays, and each group keeps exactly one row. The (id, text) pairs to drop or to thin out are
+    broadcast if their bytes allow, and joined by a shuffle else.
+    """
+    rows = text_components(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shingle=shingle, similarity=similarity, radius=radius)
+    pairs = rows.groupBy("doc_id", "raw").agg(F.bool_or("stays").alias("__stays"), F.count(F.lit(1)).alias("n"))
+    other = cut_lineage(pairs.filter(~F.col("__stays") | (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw"), "__stays"))
+    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__raw"))
+    kept = docs.join(broadcast_if_small(other), same, "left_anti")
+    repeated = other.filter("__stays")
+    if repeated.isEmpty():
+        return kept
+    thinned = docs.join(broadcast_if_small(repeated), same).dropDuplicates(["__id", "__raw"]).select(*docs.columns)
+    return kept.unionAll(thinned)
 
 
 def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
