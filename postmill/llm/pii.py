@@ -1,17 +1,20 @@
 """Operator 3: personal data by aggregating weak labels. Spark expressions only, and one pass over the texts.
 
 Candidates are the base spans (email, ip, card, phone) and looser ones of the same kinds: emails with the signs
-spelled out, IPv6 addresses, cards of 13 to 15 digits that pass Luhn, phone numbers without a country code. Six
-labelers vote 1, 0 or -1 (no vote) on each: the strict pattern, a loose-pattern check, a gazetteer (domains, ranges,
-issuers, lengths), cue words just before, counter-cues just before, and a look at the digits. Expectation-maximisation
-(Dawid and Skene) over the counts of each (kind, votes) estimates how reliable the labelers are and how likely each
-pattern of votes is personal data. With those soft labels a naive Bayes classifier over span features (kind, shape,
-length, cue) is counted up by one aggregation and scores every loose candidate; base spans always stay.
+spelled out, IPv6 addresses, cards of 13 to 15 digits that pass Luhn or grouped by dots, phone numbers without a country
+code or with a written prefix. Six labelers vote 1, 0 or -1 (no vote) on each: the strict pattern (on base spans alone),
+the written form, a gazetteer (top-level domains, reserved address blocks, issuer ranges, calling and area codes), cue
+words just before, counter-cues just before, and a look at the digits. Expectation-maximisation (Dawid and Skene) over the
+counts of each (kind, votes) estimates how reliable the labelers are and how likely each pattern of votes is personal
+data. With those soft labels a naive Bayes classifier over span features (kind, shape, length, gazetteer, cues) is counted
+up by one aggregation and scores every loose candidate; base spans always stay.
 
 What reaches the driver are counts: of at most 4 * 3^6 vote patterns and of the feature values, which are bounded
 too. Candidates go through one checkpoint, without the texts.
 
-Nulls: a null text is empty; ids may be null or repeat, each row stands for itself; empty tables give empty results.
+Nulls: a null text is empty; ids may be null or repeat, each row stands for itself; equal rows get equal results. Other
+columns, whatever their names, are not read. Very long texts and texts of very many spans take time in proportion. Empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -35,19 +38,37 @@ BASE = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{1,63}){1,8}",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9-])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9-])",
-    "phone": r"(?<![0-9+().-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: ?[\[(]at[\])] ?| at )[A-Za-z0-9-]{1,63}(?:(?: ?[\[(]dot[\])] ?| dot |\.)[A-Za-z0-9-]{1,63}){1,8}",
+    "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])|(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Fa-f:])",
+    "card": r"(?<![0-9.-])(?:3[0-9]{3}[ -]?[0-9]{6}[ -]?[0-9]{4,5}|4[0-9]{12}|[2-6][0-9]{3}(?:\.[0-9]{4}){3})(?![0-9.-])",
+    "phone": r"(?<![0-9+().:/-])(?:\(0?[1-9][0-9]{1,3}\)|00[1-9][0-9]{0,2}|0[1-9][0-9]{1,3}|[2-9][0-9]{2})[ ./-]{0,2}[0-9]{3,4}[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4}){0,3}(?![0-9.:/-])",
 }
 CUES = {
     "email": r"(?:e-?mail|contact|write to|reach|send|correo|courriel|kontakt)[^a-z0-9]*(?:me|us|is|at|to)?[^a-z0-9]*$",
-    "ip": r"(?:\bip|host|address|server|client|from)[^a-z0-9]*$",
-    "card": r"(?:card|visa|amex|american express|mastercard|credit|payment|tarjeta|carte|karte)[^a-z0-9]*(?:no|number)?[^a-z0-9]*$",
-    "phone": r"(?:phone|tel|mobile|call|cell|fax|whatsapp|tél|telefon|tel[eé]fono)[^a-z0-9]*(?:me|us|at|no|number)?[^a-z0-9]*$",
+    "ip": r"(?:\bip|ipv6|host|address|server|client|from|login)[^a-z0-9]*(?:is|at|v6)?[^a-z0-9]*$",
+    "card": r"(?:card|visa|amex|american express|mastercard|credit|payment|charge|tarjeta|carte|karte)[^a-z0-9]*(?:no|number|to|is)?[^a-z0-9]*$",
+    "phone": r"(?:phone|tel|mobile|call|cell|fax|whatsapp|ring|text|tél|telefon|tel[eé]fono)[^a-z0-9]*(?:me|us|at|no|number|is|on)?[^a-z0-9]*(?:at|on)?[^a-z0-9]*$",
 }
-COUNTER = r"(?:version|release|section|chapter|isbn|order|invoice|part|model|serial|page|figure|\bv)[^a-z0-9]*(?:no|number)?[^a-z0-9]*$"
-DOMAINS = r"(?i)[.\])] ?(?:com|org|net|edu|gov|io|de|fr|es|uk|eu|info|ch|at|it|nl|ca|mx|br|jp|cn|in|ru)$"
+COUNTER = r"(?:version|release|section|chapter|isbn|order|invoice|part|model|serial|page|figure|ratio|sum|total|item|ticket|\bv|mac|hash|meet|met|look|build)[^a-z0-9]*(?:no|number|is|him|her|them)?[^a-z0-9]*$"
+
+# Public registries. Top-level domains in use, reserved IPv4 blocks (RFC 6890), card issuer ranges (ISO 7812),
+# calling codes (E.164).
+DOMAINS = (
+    "com", "org", "net", "edu", "gov", "mil", "int", "io", "co", "ai", "app", "dev", "info", "biz", "me", "tv", "xyz", "online", "site", "name",
+    "de", "fr", "es", "uk", "eu", "ch", "at", "it", "nl", "be", "lu", "ie", "pt", "pl", "cz", "sk", "hu", "ro", "bg", "gr", "se", "no", "dk", "fi", "is",
+    "ca", "us", "mx", "br", "ar", "cl", "pe", "ve", "jp", "cn", "kr", "tw", "hk", "sg", "in", "pk", "id", "my", "th", "vn", "ph", "au", "nz", "za", "ng",
+    "ke", "eg", "ma", "il", "ae", "sa", "tr", "ru", "ua", "by",
+)
+RESERVED_IPV4 = (
+    r"0+\.", r"0*10\.", r"0*127\.", r"169\.254\.", r"172\.0*(?:1[6-9]|2[0-9]|3[01])\.", r"192\.168\.", r"192\.0+\.0*[02]\.", r"198\.0*1[89]\.",
+    r"198\.0*51\.100\.", r"203\.0+\.113\.", r"100\.0*(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.", r"2[2-5][0-9]\.",
+)
+RESERVED_IPV6 = (r"::1?$", r"(?i)fe[89ab][0-9a-f]:", r"(?i)f[cd][0-9a-f]{2}:", r"(?i)2001:0?db8:", r"(?i)ff[0-9a-f]{2}:")
+ISSUERS = (r"4", r"5[1-5]", r"2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)", r"3[47]", r"3(?:0[0-5]|[689])", r"35(?:2[89]|[3-8])", r"6(?:011|4[4-9]|5)", r"62")
+CALLING = (
+    r"1[2-9]", r"7", r"2[07]", r"2[1-689][0-9]", r"3[0-469]", r"3[578][0-9]", r"4[013-9]", r"42[0-9]", r"5[1-8]", r"5[09][0-9]", r"6[0-6]", r"6[789][0-9]",
+    r"8[1246]", r"8[58][0-9]", r"9[0-58]", r"9[679][0-9]",
+)
 LABELERS = 6
 
 
@@ -76,7 +97,7 @@ VALID = {
     "card": lambda m: F.char_length(digits(m)).between(16, 19) & luhn(digits(m)),
     "phone": lambda m: F.char_length(digits(m)).between(8, 15),
 }
-VALID_LOOSE = {"email": lambda m: F.lit(True), "ip": lambda m: F.lit(True), "card": lambda m: luhn(digits(m)), "phone": lambda m: F.lit(True)}
+VALID_LOOSE = {"email": lambda m: F.lit(True), "ip": lambda m: F.lit(True), "card": lambda m: luhn(digits(m)), "phone": lambda m: F.char_length(digits(m)).between(8, 15)}
 
 
 def _by_kind(kind: Column, values: dict[str, Column]) -> Column:
@@ -86,27 +107,40 @@ def _by_kind(kind: Column, values: dict[str, Column]) -> Column:
     return out
 
 
+def _one_of(patterns: tuple[str, ...]) -> str:
+    return "^(?:" + "|".join(patterns) + ")"
+
+
+def gazetteer(kind: Column, m: Column, d: Column) -> Column:
+    """1 or 0 by the registries."""
+    national = d.rlike("^(?:00)?0?[1-9]") & F.char_length(d).between(7, 15)
+    return _by_kind(kind, {
+        "email": F.when(m.rlike(r"(?i)(?:[.\])]|\bdot) ?(?:" + "|".join(DOMAINS) + ")$"), 1).otherwise(0),
+        "ip": F.when(m.rlike(_one_of(RESERVED_IPV4 + RESERVED_IPV6)), 0).when(m.contains(":") & ~m.rlike("^[23]"), 0).otherwise(1),
+        "card": F.when(d.rlike(_one_of(ISSUERS)), 1).otherwise(0),
+        "phone": F.when(m.startswith("+"), F.when(d.rlike(_one_of(CALLING)), 1).otherwise(0)).when(national & ~d.rlike("^[2-9](?:11|00)"), 1).otherwise(0),
+    })
+
+
+def written(kind: Column, m: Column, d: Column) -> Column:
+    """Whether a span is written as people write such data: 1, 0 or -1."""
+    return _by_kind(kind, {
+        "email": F.when(m.contains("@") | m.rlike(r"[\[(]"), 1).otherwise(-1),
+        "ip": F.when(m.contains("::") | (F.char_length(F.regexp_replace(m, "[^:.]", "")) == 7) | ~m.contains(":"), 1).otherwise(0),
+        "card": F.when(m.rlike("[ .-].*[ .-]"), 1).otherwise(-1),
+        "phone": F.when(m.rlike(r"^(?:\+|\(|00)"), 1).otherwise(-1),
+    })
+
+
 def votes(span: Column, base: bool) -> Column:
     """The labelers' votes on a span, as an array of ints."""
     m, kind, before = span["match"], span["kind"], span["before"]
     d = digits(m)
-    strict = F.lit(1 if base else 0)
-    loose = _by_kind(kind, {
-        "email": F.lit(1),
-        "ip": F.lit(1),
-        "card": F.when(m.rlike("^[0-9]+$") | m.rlike("[ -].*[ -]"), 1).otherwise(-1),
-        "phone": F.when(m.rlike(r"[()]"), 1).otherwise(-1),
-    })
-    gazetteer = _by_kind(kind, {
-        "email": F.when(m.rlike(DOMAINS), 1).otherwise(0),
-        "ip": F.when(m.rlike(r"^(?:0+\.|2[3-5][0-9]\.)"), 0).otherwise(1),
-        "card": F.when(d.rlike("^[3-6]"), 1).otherwise(0),
-        "phone": F.when(d.rlike("^[01]?[2-9]"), 1).otherwise(0),
-    })
     cue = F.when(_by_kind(kind, {k: before.rlike(p) for k, p in CUES.items()}), 1).otherwise(-1)
     counter = F.when(before.rlike(COUNTER), 0).otherwise(-1)
-    plain = F.when((F.char_length(d) > 6) & d.rlike(r"^(.)\1+$"), 0).otherwise(F.when(F.char_length(d) > 6, 1).otherwise(-1))
-    return F.array(*(x.cast("int") for x in (strict, loose, gazetteer, cue, counter, plain)))
+    plain = F.when((F.char_length(d) > 6) & d.rlike(r"^(.)\1+$"), 0).otherwise(-1)
+    strict = F.lit(1 if base else -1)
+    return F.array(*(x.cast("int") for x in (strict, written(kind, m, d), gazetteer(kind, m, d), cue, counter, plain)))
 
 
 def features(span: Column) -> Column:
@@ -116,6 +150,7 @@ def features(span: Column) -> Column:
     return F.array(
         F.concat(F.lit("shape "), kind, F.lit(" "), F.pmod(F.xxhash64(shape), F.lit(64)).cast("string")),
         F.concat(F.lit("length "), kind, F.lit(" "), F.least(F.lit(8), (F.char_length(span["match"]) / 6).cast("int")).cast("string")),
+        F.concat(F.lit("registry "), kind, F.lit(" "), gazetteer(span["kind"], span["match"], digits(span["match"])).cast("string")),
         F.concat(F.lit("cue "), F.when(_by_kind(span["kind"], {k: span["before"].rlike(p) for k, p in CUES.items()}), "1").otherwise("0")),
         F.concat(F.lit("counter "), F.when(span["before"].rlike(COUNTER), "1").otherwise("0")),
         F.concat(F.lit("before "), F.when(span["before"].rlike("[a-z0-9]$"), "word").when(span["before"].rlike(r"\s$"), "space").when(F.char_length(span["before"]) == 0, "start").otherwise("sign")),
@@ -127,12 +162,13 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     t = F.col("text")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     gates = {"email": t.contains("@"), "ip": None, "card": None, "phone": t.contains("+")}
-    loose_gates = {"email": t.contains("at]") | t.contains("at)"), "ip": t.contains(":"), "card": t.rlike("3[47][0-9]{2}[ -]?[0-9]{6}"), "phone": t.rlike("[0-9]{3}[ .-][0-9]{4}")}
+    loose_gates = {"email": t.contains("at]") | t.contains("at)") | t.contains(" dot "), "ip": t.rlike("[0-9A-Fa-f]:[0-9A-Fa-f:]"), "card": t.rlike("[2-6][0-9]{3}[ .-]?[0-9]{4}"), "phone": t.rlike("[0-9]{3}[ .-][0-9]{2}")}
     rows = rows.withColumns({f"b_{k}": matches(t, BASE[k], gates[k]) for k in KINDS} | {f"l_{k}": matches(t, LOOSE[k], loose_gates[k]) for k in KINDS})
-    base = F.concat(*(placed(t, F.col(f"b_{k}"), BASE[k], i, VALID[k]) for i, k in enumerate(KINDS)))
+    base = [placed(t, F.col(f"b_{k}"), BASE[k], i, VALID[k]).alias(f"base_{k}") for i, k in enumerate(KINDS)]
     loose = F.concat(*(placed(t, F.col(f"l_{k}"), LOOSE[k], i, VALID_LOOSE[k]) for i, k in enumerate(KINDS)))
-    rows = rows.select("doc_id", base.alias("base"), loose.alias("loose"))
-    rows = rows.select("doc_id", "base", apart(F.col("loose"), F.col("base")).alias("loose"))
+    own = [F.col(f"base_{k}") for k in KINDS]
+    rows = rows.select("doc_id", *base, loose.alias("loose"))
+    rows = rows.select("doc_id", F.concat(*own).alias("base"), apart(F.col("loose"), own).alias("loose"))
 
     def told(base: bool):
         return lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), votes(s, base).alias("votes"), features(s).alias("features"))
@@ -140,27 +176,43 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return rows.select("doc_id", F.transform("base", told(True)).alias("base"), F.transform("loose", told(False)).alias("loose"))
 
 
-def reliabilities(counts: list[tuple[int, tuple[int, ...], int]], rounds: int = 30) -> tuple[dict[int, float], list[list[float]], dict]:
-    """EM over counts of (kind, votes): share of personal data by kind, the labelers' rates (of voting 1 on
-    personal data, on other spans) and the probability of each (kind, votes)."""
-    prior = {k: 0.7 for k, _, _ in counts}
-    rate = [[0.8, 0.2] for _ in range(LABELERS)]
+#: Beliefs to start from, for each labeler: how often it votes 1, 0 and not at all on personal data, and on other spans.
+START = [
+    ((0.60, 0.05, 0.35), (0.10, 0.05, 0.85)),  # strict
+    ((0.50, 0.05, 0.45), (0.20, 0.30, 0.50)),  # written form
+    ((0.90, 0.05, 0.05), (0.50, 0.45, 0.05)),  # gazetteer
+    ((0.50, 0.01, 0.49), (0.05, 0.01, 0.94)),  # cue
+    ((0.01, 0.03, 0.96), (0.01, 0.50, 0.49)),  # counter-cue
+    ((0.01, 0.01, 0.98), (0.01, 0.10, 0.89)),  # digits
+]
+PRIOR = 0.5
+PSEUDO = 10.0
+
+
+def reliabilities(counts: list[tuple[int, tuple[int, ...], int]], rounds: int = 30) -> tuple[dict[int, float], dict, dict]:
+    """EM over counts of (kind, votes): share of personal data by kind, how often each labeler of a kind votes 1, 0 or
+    not at all on personal data and on other spans, and the probability of each (kind, votes).
+
+    Not voting is an outcome like the others, so that labelers that only ever vote one way still tell something.
+    ``PSEUDO`` counts in the proportions of ``START`` keep all rates inside (0, 1) and tell which class is which.
+    """
+    start = [tuple(dict(zip((1, 0, -1), side, strict=True)) for side in both) for both in START]
+    prior = {k: PRIOR for k, _, _ in counts}
+    rate = {(k, j): start[j] for k in prior for j in range(LABELERS)}
     post: dict = {}
     for _ in range(rounds):
         for kind, v, _ in counts:
-            yes, no = math.log(prior[kind]), math.log(1 - prior[kind])
-            for j, x in enumerate(v):
-                if x >= 0:
-                    yes += math.log(rate[j][0] if x else 1 - rate[j][0])
-                    no += math.log(rate[j][1] if x else 1 - rate[j][1])
-            post[kind, v] = 1 / (1 + math.exp(min(50.0, max(-50.0, no - yes))))
-        for kind in prior:  # a few pseudo-counts keep all rates inside (0, 1)
-            own = [(post[k, v], n) for k, v, n in counts if k == kind]
-            prior[kind] = (7 + sum(p * n for p, n in own)) / (10 + sum(n for _, n in own))
-        for j in range(LABELERS):
-            voted = [(post[k, v], v[j], n) for k, v, n in counts if v[j] >= 0]
-            rate[j][0] = (8 + sum(p * x * n for p, x, n in voted)) / (10 + sum(p * n for p, _, n in voted))
-            rate[j][1] = (2 + sum((1 - p) * x * n for p, x, n in voted)) / (10 + sum((1 - p) * n for p, _, n in voted))
+            odds = math.log(prior[kind] / (1 - prior[kind]))
+            odds += sum(math.log(rate[kind, j][0][x] / rate[kind, j][1][x]) for j, x in enumerate(v))
+            post[kind, v] = 1 / (1 + math.exp(min(50.0, max(-50.0, -odds))))
+        for kind in prior:
+            own = [(v, post[k, v] * n, (1 - post[k, v]) * n) for k, v, n in counts if k == kind]
+            totals = [sum(x[c] for x in own) for c in (1, 2)]
+            prior[kind] = (PRIOR * PSEUDO + totals[0]) / (PSEUDO + sum(totals))
+            for j in range(LABELERS):
+                rate[kind, j] = tuple(
+                    {x: (PSEUDO * start[j][c][x] + sum(o[c + 1] for o in own if o[0][j] == x)) / (PSEUDO + totals[c]) for x in (1, 0, -1)} for c in (0, 1)
+                )
     return prior, rate, post
 
 
@@ -204,5 +256,5 @@ def op3_pii_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *(count_of(F.col("base"), i).alias(f"n_{k}") for i, k in enumerate(KINDS)),
         F.sha2(joined(F.col("base"), KINDS, True).cast("binary"), 256).alias("base_sha256"),
-        joined(F.concat("base", "added"), KINDS, True).alias("spans"),
+        joined(F.concat("base", "added"), KINDS, True).alias("spans"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"),
     )
