@@ -6,11 +6,14 @@ keeps the alphabet and the index small and loses no occurrence. The phrases are
 wavelet ranks of the shard's index, their occurrences are located by sampled suffix positions, and overlapping
 occurrences merge into removal spans.
 
-The benchmark is taken in blocks of ``BLOCK_BYTES``; each block is broadcast and adds its spans to those of the
-blocks before. A benchmark of any size thus needs bounded memory, and a small one needs one pass.
+The benchmark is taken in blocks of about ``BLOCK_BYTES``, equal items once; each block is broadcast and adds its spans to
+those of the blocks before. A benchmark of any size thus needs bounded memory, and a small one needs one pass. Cutting goes
+on until no phrase of any block is left: with several blocks, texts that a pass has cut go through all blocks again.
 
 Nulls: a null document or item text has no words; a null item id is left out of the item list but its text still
-hits. Rows are never joined by id, so repeated and null ids are kept as they come. Empty tables give empty results.
+hits. Rows are never joined by id, so repeated and null ids and equal rows are kept as they come. A very long text is a
+shard by itself. Columns of other names are not read by ``contamination`` and kept by ``decontaminate``; a column of the
+name ``n_chars`` is counted anew only if it is one of whole numbers. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -26,12 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postmill.llm.common import ranges, sliced, text_bytes
+from postmill.llm.common import cut_lineage, ranges, sliced, text_bytes
 from postmill.llm.suffix import FMIndex
 
 WINDOW = 10
 SHARD_BYTES = 12 << 20
 BLOCK_BYTES = 16 << 20
+CUT = "__cut"
 
 #: Bytes that end words: all ASCII but digits and letters; A-Z become a-z.
 _TABLE = bytes(
@@ -149,7 +153,7 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def phrase_blocks(benchmark: DataFrame, item_id: str, text: str, window: int, block_bytes: int) -> Iterator:
     """Broadcasts of the benchmark's phrases, a block at a time."""
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(text).cast("string").alias("text"))
+    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(text).cast("string").alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     for k in range(blocks):
@@ -208,13 +212,24 @@ def decontaminate(
     Documents of which nothing but separators stays are dropped; all others keep their columns, with ``n_chars``
     (if there is one) counted anew where the text changed.
     """
-    out = docs
-    for shared in phrase_blocks(benchmark, item_id, item_text, window, block_bytes):
-        out = out.mapInArrow(_cutter(shared, shard_bytes, text, n_chars), docs.schema)
-    return out
-
-
-def _cutter(shared, shard_bytes: int, text: str, n_chars: str):
+    counted = n_chars in docs.columns and isinstance(docs.schema[n_chars].dataType, T.IntegralType)
+    blocks = list(phrase_blocks(benchmark, item_id, item_text, window, block_bytes))
+    cutters = [_cutter(shared, shard_bytes, text, n_chars if counted else None) for shared in blocks]
+    if len(blocks) == 1:
+        return docs.mapInArrow(cutters[0], docs.schema)
+    todo, done = docs.withColumn(CUT, F.lit(False)), None
+    while True:
+        for cut in cutters:
+            todo = todo.mapInArrow(cut, todo.schema)
+        todo = cut_lineage(todo)
+        clean, again = todo.filter(~F.col(CUT)).drop(CUT), todo.filter(CUT)
+        done = clean if done is None else done.unionAll(clean)
+        if again.isEmpty():
+            return done
+        todo = again.withColumn(CUT, F.lit(False))
+
+
+def _cutter(shared, shard_bytes: int, text: str, n_chars: str | None):
     def cut(batches):
         phrases = shared.value
         for batch in sliced(batches, text, shard_bytes):
@@ -240,6 +255,8 @@ def _cutter(shared, shard_bytes: int, text: str, n_chars: str):
                 for i in changed:
                     counts[i] = len(new[i])
                 columns[n_chars] = pa.array(counts, columns[n_chars].type)
+            if CUT in columns:
+                columns[CUT] = pa.array([i in changed or was for i, was in enumerate(columns[CUT].to_pylist())])
             keep = pa.array([i not in changed or bool(words_of(changed[i])) for i in range(len(texts))])
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns)).filter(keep)
 

@@ -6,12 +6,15 @@ loss: trusted positives are labelled rows of quality 1, the unlabelled rows are
 class prior is estimated from the labelled rows (their share of 1; where no row is labelled 0, the share of
 unlabelled rows that a positive-against-unlabelled fit can't tell from positives, after Elkan and Noto).
 
-Training reads at most about ``MAX_POSITIVE`` labelled and ``MAX_UNLABELLED`` unlabelled rows, chosen by a hash of
-the id, so the driver's part does not grow with the input. Scoring is one pass over all documents.
+Training reads at most about ``max_positive`` labelled ids, one text each, and ``max_unlabelled`` unlabelled texts,
+chosen by a hash of id and text, so the driver's part does not grow with the input, whatever repeats. Texts of the held-out
+fold are never read in training. The labels should be a fair sample of the documents: the prior is their share of 1.
+Scoring is one pass over all documents.
 
 Nulls: a null text scores like an empty one; rows with a null label or id teach nothing. Ids may repeat (each row is
-scored by itself; where labels of one id disagree, the lowest counts). Without any positive every score is the prior
-0.5. Empty tables give empty results.
+scored by itself; where labels of one id disagree, the lowest counts; of several texts of a labelled id one is read). Equal
+rows score alike. Very long texts are read whole, one at a time. Columns of other names are kept or not read. Without any
+positive every score is the prior 0.5. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -142,12 +145,11 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     )
     n = docs.count()
     base = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("text"))
-    picked = base.join(F.broadcast(chosen.withColumn("positive", F.lit(True))), "__id", "left")  # at most 2 * max_positive ids
-    picked = picked.filter(F.col("positive").isNotNull() | (_unit_hash(F.col("__id"), 2) < max_unlabelled / max(1, n)))
-    picked = picked.select(
-        "text", F.coalesce("positive", F.lit(False)).alias("positive"),
-        (_unit_hash(F.col("__id"), 2) < max_unlabelled / max(1, n)).alias("unlabelled"),
-    )
+    base = base.filter(F.col("__id").isNotNull() & ~held_out(F.col("__id")))
+    drawn = base.filter(_unit_hash(F.struct("__id", "text"), 2) < max_unlabelled / max(1, n)).distinct()
+    trusted = base.join(F.broadcast(chosen), "__id").groupBy("__id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # at most 2 * max_positive ids
+    picked = drawn.select("text", F.lit(False).alias("positive"), F.lit(True).alias("unlabelled")).unionAll(
+        trusted.select("text", F.lit(True), F.lit(False)))
     rows = picked.mapInArrow(_stat_rows, "positive boolean, unlabelled boolean, stats array<double>").toArrow()
     stats = np.array(rows["stats"].combine_chunks().values, np.float64).reshape(-1, N_STATS)
     positive, unlabelled = stats[np.array(rows["positive"], bool)], stats[np.array(rows["unlabelled"], bool)]

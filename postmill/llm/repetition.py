@@ -9,7 +9,9 @@ longest repeat.
 Repeats count within one document only, whatever other documents hold. Batches are bounded by bytes, a longer
 document is a batch by itself, and no document is cut.
 
-Nulls: a null text has no words and fails the base rule. Ids may repeat or be null; each row is judged by itself.
+Nulls: a null or empty text has no words and fails the base rule. Ids may repeat or be null; each row, equal ones too, is
+judged by itself. A very long and repetitive text keeps no ranks of every length but gets its common prefixes by the
+linear walk of Kasai and others. Columns of other names are not read. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ BASE_WINDOW = 5
 MIN_REPEAT = 8
 MAX_COVERED = 0.25
 MAX_REPEAT = 50
+KEPT_RANKS = 128 << 20
 _SYMBOLS = b"#*$%&|<>"
 _CONTINUATION = bytes(range(0x80, 0xC0))
 _SPACES = b" \t\n\x0b\x0c\r"
@@ -61,7 +64,7 @@ def document_suffixes(word: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np
     rank = np.empty(n, np.int64)
     rank[sa] = np.maximum.accumulate(np.where(new, pos, 0))
     depth, open_rows = width, _tied(new)
-    steps = [(width, rank.copy())]
+    steps = [(width, rank.astype(np.int32))] if n < 1 << 31 else None
     while len(open_rows):
         at = sa[open_rows]
         first, second = rank[at], np.where(at + depth < end[at], rank[np.minimum(at + depth, n - 1)] + 1, 0)
@@ -74,7 +77,13 @@ def document_suffixes(word: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np
         rank[at] = np.maximum.accumulate(np.where(fresh, open_rows, 0))
         open_rows = open_rows[_tied(fresh)]
         depth *= 2
-        steps.append((depth, rank.copy()))
+        if steps is not None and 4 * n * (len(steps) + 1) <= KEPT_RANKS:
+            steps.append((depth, rank.astype(np.int32)))
+        else:
+            steps = None
+    if steps is None:
+        del rank, key, sorted_key, new
+        return sa, _walked_prefixes(word, end, doc, sa)
     lcp = np.zeros(n, np.int64)
     rows = np.arange(1, n)
     a, b = sa[:-1].copy(), sa[1:].copy()
@@ -95,6 +104,27 @@ def document_suffixes(word: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np
     return sa, lcp
 
 
+def _walked_prefixes(word: np.ndarray, end: np.ndarray, doc: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """Common prefix of each suffix with the one before it in ``sa``, by a walk over the text in linear time and memory."""
+    n = len(word)
+    lcp, at = np.zeros(n, np.int64), np.empty(n, np.int64)
+    at[sa] = np.arange(n)
+    before = np.full(n, -1, np.int64)
+    before[sa[1:]] = np.where(doc[sa[1:]] == doc[sa[:-1]], sa[:-1], -1)
+    w, b, out, stops = memoryview(np.ascontiguousarray(word)), memoryview(before), memoryview(lcp), memoryview(np.ascontiguousarray(end))
+    size = 0
+    for i, (j, row) in enumerate(zip(b, memoryview(at), strict=True)):
+        if j < 0:
+            size = 0
+            continue
+        most = stops[i] - max(i, j)
+        while size < most and w[i + size] == w[j + size]:
+            size += 1
+        out[row] = size
+        size = max(0, size - 1)
+    return lcp
+
+
 def _covered(sa: np.ndarray, lcp: np.ndarray, least: int, bounds: np.ndarray, fixed: bool) -> np.ndarray:
     """Words of each document inside a repeat of ``least`` words or more (``fixed``: of just ``least``)."""
     longest = np.maximum(lcp, np.append(lcp[1:], 0))
@@ -120,8 +150,8 @@ def measure(texts: list[bytes], min_repeat: int = MIN_REPEAT) -> dict[str, np.nd
         out["n_symbols"][i] = len(t) - len(t.translate(None, _SYMBOLS))
         lines = [x for x in t.split(b"\n") if x.strip()]
         out["n_dup_lines"][i] = len(lines) - len(set(lines))
-        ids = [vocab[w] if w in vocab else vocab.setdefault(w, number()) for w in words]
-        numbers.append(np.array(ids, np.int64))
+        numbers.append(np.fromiter((vocab[w] if w in vocab else vocab.setdefault(w, number()) for w in words), np.int64, len(words)))
+        del words
     bounds = np.concatenate(([0], np.cumsum(out["n_words"])))
     if not bounds[-1]:
         return out

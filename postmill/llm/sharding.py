@@ -9,7 +9,8 @@ Both orders are total orders over range partitions with the counts of earlier pa
 partition and the number of rows reaches the driver.
 
 Nulls: a null source is a source, a null text has size 1; null ids sort first. Repeated rows take places of their
-own. Input columns named like a result are replaced. Empty tables give empty results.
+own, however many. A very long text is only measured and carried along. Input columns named like a result are replaced.
+Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -19,12 +20,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm.common import cut_lineage, global_row_number, parts_for, shared_dir
+from postmill.llm.common import broadcast_if_small, cut_lineage, global_row_number, parts_for, shared_dir
 
 SHARDS = 16
 SEED = 20
 ROWS_PER_PART = 200_000
-BROADCAST_SOURCES = 100_000
 
 
 def interleave(rows: DataFrame, shards: int = SHARDS, *, source: str = "source", doc_id: str = "doc_id", seed: int = SEED,
@@ -43,8 +43,7 @@ def interleave(rows: DataFrame, shards: int = SHARDS, *, source: str = "source",
     first = global_row_number(sized, [source, "__h", doc_id, *ties, *row], "__g", parts)
     per_source = first.groupBy(F.col(source).alias("__s")).agg(F.min("__g").alias("__first"), F.count(F.lit(1)).alias("__n"))
     per_source = cut_lineage(per_source)
-    hint = F.broadcast if per_source.count() <= BROADCAST_SOURCES else (lambda x: x)
-    ranked = first.join(hint(per_source), F.col(source).eqNullSafe(F.col("__s"))).withColumn(
+    ranked = first.join(broadcast_if_small(per_source), F.col(source).eqNullSafe(F.col("__s"))).withColumn(
         "__fraction", (F.col("__g") - F.col("__first") + F.lit(0.5)) / F.col("__n")
     )
     ranked = ranked.select(*columns, "__fraction", "__h")
@@ -72,7 +71,7 @@ def deal(docs: DataFrame, shards: int = SHARDS, *, source: str = "source", doc_i
     docs.drop("shard", "slot").withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
     keyed = spark.read.parquet(path)
     narrow = manifest(keyed.select("__row", F.col(source).alias("source"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
-    placed = interleave(narrow, shards, seed=seed, ties=("text_crc32", "size"), row=("__row",))
+    placed = interleave(narrow.select("__row", "source", "doc_id", "size", "text_crc32"), shards, seed=seed, ties=("text_crc32", "size"), row=("__row",))
     return keyed.join(placed.select("__row", "shard", "slot"), "__row").drop("__row")
 
 

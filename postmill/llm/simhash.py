@@ -63,7 +63,11 @@ _FACTORS = _DRAW.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64
 
 def word_line(text: bytes) -> bytes:
     """The lower-cased words with one space between them."""
-    return b" ".join(text.translate(_LOWER).split())
+    at = np.frombuffer(text.translate(_LOWER), np.uint8)
+    space = (at == 32) | ((at >= 9) & (at <= 13))
+    keep = ~space
+    keep[1:] |= ~space[:-1]  # the first space after a word
+    return np.where(space, np.uint8(32), at)[keep].tobytes().strip(b" ")
 
 
 def shingle_hashes(line: bytes, size: int) -> Iterator[np.ndarray]:

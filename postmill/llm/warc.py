@@ -12,8 +12,8 @@ binary-searched in the directory (broadcast in parts of at most ``DIRECTORY_ROWS
 their block, are binary-searched in it, and yield (archive, offset, length); records are then read by those ranges.
 
 Nulls: a null html is an empty payload, a null url the empty key, a null page_id never is a response if another
-record of the payload has an id. Rows that repeat a page_id and its payload are all responses. Empty tables give
-empty results.
+record of the payload has an id. Rows that repeat a page_id and its payload are all responses. A very large payload is
+a batch by itself. Columns of other names are not read. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -31,14 +31,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm.common import cut_lineage, parts_for, shared_dir, sliced
+from postmill.llm.common import broadcast_if_small, cut_lineage, parts_for, shared_dir, sliced
 
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 64 << 20
 BATCH_BYTES = 8 << 20
 BLOCK_LINES = 3000
 DIRECTORY_ROWS = 1_000_000
-BROADCAST_REVISITS = 1_000_000
 DATE = "2001-01-01T00:00:00Z"
 
 
@@ -109,8 +108,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """
     rows = payloads(pages)
     again = revisits(rows).select(F.col("page_id").alias("__id"), F.col("digest").alias("__digest"), "refers_to")
-    hint = F.broadcast if again.count() <= BROADCAST_REVISITS else (lambda x: x)
-    rows = rows.join(hint(again), (F.col("digest") == F.col("__digest")) & F.col("page_id").eqNullSafe(F.col("__id")), "left")
+    rows = rows.join(broadcast_if_small(again), (F.col("digest") == F.col("__digest")) & F.col("page_id").eqNullSafe(F.col("__id")), "left")
 
     def write(batches):
         fs, base = pafs.FileSystem.from_uri(folder)

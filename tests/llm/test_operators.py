@@ -1,8 +1,12 @@
 """Each operator against brute force on small fixtures with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
+import time
 import zlib
 
 import numpy as np
@@ -83,6 +87,19 @@ def test_cut_that_joins_a_new_hit(spark):
     assert decontamination.decontaminate(d, bench(spark).filter("item_id = 3")).first().text.split() == ["pre", "post"]
 
 
+@pytest.mark.parametrize("swap", [False, True])
+def test_cut_goes_on_over_all_blocks(spark, swap):
+    a, b = (" ".join(f"{x}{i}" for i in range(1, 11)) for x in ("ba" if swap else "ab"))
+    text = " ".join(a.split()[:5] + b.split() + a.split()[5:])
+    items = spark.createDataFrame([(1, a), (2, b)] * 3, "item_id long, text string")
+    d = spark.createDataFrame([(1, text, "?"), (2, "kept as it is", "?")], "doc_id long, text string, n_chars string")
+    assert len(list(decontamination.phrase_blocks(items, "item_id", "text", 10, 60))) > 1
+    out = decontamination.decontaminate(d, items, block_bytes=60)
+    assert [(r.doc_id, r.text, r.n_chars) for r in out.collect()] == [(2, "kept as it is", "?")]
+    more = decontamination.decontaminate(d.withColumn("text", F.concat(F.lit("x "), "text", F.lit(" y"))), items, block_bytes=60)
+    assert not decontamination.contamination(more, items).filter("size(spans) > 0").count() and more.count() == 2
+
+
 @pytest.mark.parametrize("n,sigma", [(50, 3), (400, 5), (300, 2)])
 def test_fm_index(n, sigma):
     s = np.array([rnd.randrange(0 if i % 9 == 0 else 1, sigma) for i in range(n)] + [0])
@@ -102,7 +119,9 @@ def test_quality_learns_and_handles_edges(spark, sf, docs, empty):
     rows = {r.doc_id: r.score for r in quality.score(d, model).collect()}
     tests = [(r.quality, rows[r.doc_id]) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     pos, neg = [s for q, s in tests if q == 1], [s for q, s in tests if q == 0]
-    assert np.mean([s >= 0.3 for s in pos]) > 0.9 and (not neg or np.mean(pos) > np.mean(neg))
+    assert np.mean([s >= 0.3 for s in pos]) > 0.9
+    auc = np.mean([(p > q) + (p == q) / 2 for p in pos for q in neg]) if neg else 1
+    assert auc > 0.95
     scored = quality.score(docs, model).collect()
     assert len(scored) == docs.count() and all(0 <= r.score <= 1 for r in scored)
     assert quality.score(empty, model).count() == 0 and quality.keep_good(docs, model).columns == docs.columns
@@ -116,6 +135,27 @@ def test_held_out_labels_teach_nothing(spark, sf):
     assert np.array_equal(a.weights, b.weights)
 
 
+def test_quality_sample_is_bounded_under_repeats(spark):
+    lines = F.concat(F.lit("word "), F.col("id").cast("string"), F.lit(" is here. Another one is there too."))
+    d = spark.range(30_000).select(F.when(F.col("id") < 10_000, 0).when(F.col("id") < 20_000, None).otherwise(F.col("id")).alias("doc_id"), lines.alias("text"))
+    d = d.unionAll(spark.range(10_000).select(F.lit(1).cast("long"), F.lit("one text that is copied")))
+    labels = spark.createDataFrame([(0, 1), (1, 1), (None, 1), (25_000, 1), (25_001, None)], "doc_id long, quality int")
+    seen = []
+    real = quality.fit
+    try:
+        quality.fit = lambda p, u, prior, **k: seen.append((len(p), len(u))) or real(p, u, prior, steps=5)
+        quality.train(d, labels, max_unlabelled=500)
+    finally:
+        quality.fit = real
+    assert seen[-1][0] <= 3 and 100 < seen[-1][1] < 700
+
+
+def test_held_out_texts_are_not_read(spark, sf):
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    other = d.withColumn("text", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit("%% !!")).otherwise(F.col("text")))
+    assert np.array_equal(quality.train(d, labels).weights, quality.train(other, labels).weights)
+
+
 def test_risk_is_not_negative():
     z = np.linspace(-3, 3, 50)
     assert quality.risk_parts(z, z, 0.9)[0] > 0
@@ -131,7 +171,7 @@ KINDS = {
 PII_TEXTS = [
     None, "", "mail a.b@c.com.x_y@d.org, a@b a@b.c-d..e@f.g", "1.2.3.4.5.6.7.8 999.1.1.1 01.002.3.255 1.1.1", "card 4556 7375-8689 9855 and 4556737586899855",
     "+1 (743) 555-3824 or +4912345 +1-2 ++49 30 1234567.", "é𝄞 a@b.co 😀 8.8.8.8", "9" * 5000, "x" * 100_000 + "@y.com", "1." * 3000, "a@" * 500 + "b.c",
-    "call me at (212) 555-0100 or write to joe [at] mail [dot] com", "4556737586899855 " * 300, "version 10.20.30.40", "a.b@c" + ".d" * 4000, "7 " * 9,
+    "call me at (212) 555-0100 or write to joe [at] mail [dot] com", "4556737586899855 " * 300, "version 10.20.30.40", "a.b@c" + ".d" * 4000, "7 " * 9, " ".join(f"é u{i}@mail{i % 9}.com 1.2.3.{i % 300}" for i in range(1500)),
 ]
 
 
@@ -155,7 +195,64 @@ def test_pii_base_spans(spark, empty):
 def test_pii_loose_spans_need_support(spark):
     rows = [(i, f"please call me at (21{i % 10}) 555-01{i:02d} today") for i in range(60)] + [(100 + i, f"invoice no 555-777-12{i:02d}") for i in range(20)]
     got = {r.doc_id: len(r.added) for r in pii.find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert sum(got[i] for i in range(60)) >= 55
+    assert sum(got[i] for i in range(60)) >= 55 and not any(got[100 + i] for i in range(20))
+
+
+def luhn_number(prefix, n):
+    body = prefix + "".join(rnd.choice("0123456789") for _ in range(n - 1 - len(prefix)))
+    return next(body + c for c in "0123456789" if luhn(body + c))
+
+
+def test_pii_added_spans_on_planted_rows(spark):
+    """Precision and recall of added spans; a third of the personal ones have no cue word."""
+    dig = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    hexa = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(4))
+    good = [
+        (("write to ", "my email is ", "so "), lambda: rnd.choice([f"joe{dig(2)} [at] mail{dig(1)} [dot] com", f"ann(at)post{dig(1)}(dot)de", f"kim{dig(3)} at web dot org"])),
+        (("from host ", "server ", "the "), lambda: rnd.choice(["2" + ":".join(hexa() for _ in range(8))[1:], f"2a01:{dig(3)}:{dig(2)}::{dig(2)}"])),
+        (("card ", "charge to ", "with "), lambda: luhn_number(rnd.choice(["34", "37"]), 15)),
+        (("call me at ", "tel: ", "and "), lambda: rnd.choice([f"({rnd.randrange(3, 9)}{dig(2)}) 7{dig(2)}-{dig(4)}", f"0044 {dig(3)} {dig(4)}", f"0{rnd.randrange(1, 9)}{dig(2)} {dig(3)} {dig(4)}"])),
+    ]
+    bad = [
+        (("meet ", "look "), lambda: f"joe{dig(2)} at mail dot zzq"), (("ratio ", "section "), lambda: "8:30::9"),
+        (("order no ", "serial "), lambda: luhn_number("31", 15)), (("invoice no ", "part "), lambda: f"{rnd.randrange(3, 9)}{dig(2)}-{dig(3)}-{dig(4)}"),
+    ]
+    rows, want = [], {}
+    for i in range(800):
+        cues, make = rnd.choice(good if i % 5 < 3 else bad)
+        before, span = prose(12) + " " + rnd.choice(cues), make()
+        rows.append((i, before + span + " " + prose(5), "c"))
+        want[i] = (len(before), len(before) + len(span)) if i % 5 < 3 else None
+    d = spark.createDataFrame(rows, "doc_id long, text string, kind string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.added] for r in pii.find_personal(d).collect()}
+    hits = sum(any(a < w[1] and w[0] < b for a, b in got[i]) for i, w in want.items() if w)
+    wrong = sum(len(got[i]) for i, w in want.items() if not w)
+    assert hits / sum(map(bool, want.values())) >= 0.9 and hits / (hits + wrong) >= 0.9
+
+
+def test_reliabilities_are_plain_em():
+    counts = [(3, (-1, 1, 1, 1, -1, -1), 40), (3, (-1, -1, 1, -1, 0, -1), 30), (3, (-1, -1, 1, -1, -1, -1), 20), (0, (1, 1, 1, -1, -1, -1), 5)]
+    prior, rate, post = pii.reliabilities(counts, rounds=1)
+    start = [{c: dict(zip((1, 0, -1), both[c], strict=True)) for c in (0, 1)} for both in pii.START]
+    for kind, v, _ in counts:
+        yes = np.prod([start[j][0][x] for j, x in enumerate(v)])
+        no = np.prod([start[j][1][x] for j, x in enumerate(v)])
+        assert post[kind, v] == pytest.approx(yes / (yes + no))
+    mass = sum(post[3, v] * n for k, v, n in counts if k == 3)
+    assert prior[3] == pytest.approx((pii.PRIOR * pii.PSEUDO + mass) / (pii.PSEUDO + 90))
+    ones = sum(post[3, v] * n for k, v, n in counts if k == 3 and v[3] == 1)
+    assert rate[3, 3][0][1] == pytest.approx((pii.PSEUDO * start[3][0][1] + ones) / (pii.PSEUDO + mass))
+    _, _, end = pii.reliabilities(counts)
+    assert end[counts[0][:2]] > 0.9 and end[counts[1][:2]] < 0.1
+
+
+def test_many_spans_take_time_in_proportion(spark):
+    d = spark.createDataFrame([(1, " ".join(f"a{i}@mail.com" for i in range(100_000)))], "doc_id long, text string")
+    start = time.perf_counter()
+    assert pii.find_personal(d).select(F.size("base")).first()[0] == 100_000
+    s = spark.createDataFrame([(1, " ".join(f"token=abcdef{i}" for i in range(50_000)))], "doc_id long, text string")
+    assert secrets.find_secrets(s).select(F.size("base")).first()[0] == 50_000
+    assert time.perf_counter() - start < 90
 
 
 SECRETS = {
@@ -186,6 +283,28 @@ def test_markov_tells_random_from_ordinary(spark, sf):
     assert got[-1] == [RANDOM] and got[-2] == []
 
 
+def test_markov_recall_on_planted_tokens(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    words = ["interesting", "the", "another", "there", "international", "configuration", "value"]
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    rows = [(-1 - i, "see " + ("".join(rnd.choice(alphabet) for _ in range(rnd.randrange(20, 44))) if i % 2 else rnd.choice("_-/").join(rnd.choices(words, k=5))) + " ok", 7) for i in range(600)]
+    planted = spark.createDataFrame(rows, "doc_id long, text string, kind int").drop("kind")
+    got = {r.doc_id: len(r.added) for r in secrets.find_secrets(d.unionAll(planted)).filter("doc_id < 0").collect()}
+    assert np.mean([got[i] > 0 for i, _, _ in rows[1::2]]) >= 0.9 and not any(got[i] for i, _, _ in rows[::2])
+
+
+def test_log_ratio_is_the_models(spark):
+    random, ordinary = {(1, 2): 5, (2, 3): 1}, {(1, 2): 1, (2, 1): 4}
+    table = secrets.ratios(random, ordinary)
+    text = "abc-ba?"
+    codes = [secrets.ALPHABET.find(c) + 1 for c in text]
+    n = len(secrets.ALPHABET) + 1
+    p = lambda c, a, b: (c.get((a, b), 0) + 0.5) / (sum(v for (x, _), v in c.items() if x == a) + 0.5 * n)
+    want = sum(np.log(p(random, a, b) / p(ordinary, a, b)) for a, b in zip(codes, codes[1:], strict=False))
+    got = spark.createDataFrame([(text,)], "s string").select(secrets.log_ratio(F.col("s"), table)).first()[0]
+    assert got == pytest.approx(want, abs=1e-4)
+
+
 def test_markov_counts_all_documents_and_distinct_values(spark, docs):
     many = docs.select("doc_id", "text").unionAll(spark.range(1200).selectExpr("id", "'Zqx vvK foo-barBaz a bb' as text"))
     want = {}
@@ -238,20 +357,88 @@ def test_components_are_brute_force(docs, empty):
     got = sorted(((r.doc_id, r.fp, r.component_id) for r in simhash.near_components(docs).collect()), key=repr)
     assert got == want
     assert simhash.near_components(empty).count() == 0
-    kept = simhash.one_of_each(docs).collect()
-    ids = [r.doc_id for r in kept if r.doc_id is not None]
-    assert sorted(ids) == sorted(set(low.values())) and sum(r.doc_id is None for r in kept) == sum(g not in low for g in set(group))
 
 
+def test_long_texts_are_hashed_in_slices(monkeypatch):
+    texts = [(t or "").encode() for t in TEXTS]
+    want = simhash.fingerprints_of(texts).tolist(), [simhash.signature(t) for t in texts]
+    monkeypatch.setattr(simhash, "SLICE", 7)
+    assert (simhash.fingerprints_of(texts).tolist(), [simhash.signature(t) for t in texts]) == want
+
+
+def near_copy(words, changes):
+    words = list(words)
+    for k in rnd.sample(range(len(words)), changes):
+        words[k] = f"new{rnd.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_one_row_of_each_group_stays(spark, docs, empty):
+    base = [[f"{rnd.choice(WORDS)}{rnd.randrange(300)}" for _ in range(250)] for _ in range(25)]
+    rows = [(100 * b + c, near_copy(ws, rnd.choice([0, 1, 2, 3, 4])), b) for b, ws in enumerate(base) for c in range(8)]
+    rows += [(7, "an id that stands twice with other texts " + prose(20), -1), (7, rows[0][1], 0), (None, rows[0][1], 0), (None, prose(60), -2), (5000, None, -3), (5001, " \n", -3), (5002, "", -3)]
+    rows += [rows[9], rows[9]]
+    d = spark.createDataFrame([(i, t, b, "k") for i, t, b in rows], "doc_id long, text string, fp long, raw string").repartition(5)
+    kept = simhash.one_of_each(d).collect()
+    sets = {t: {tuple((t or "").lower().split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))} for _, t, _ in rows}
+    alike = lambda x, y: len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])
+    of = {r.doc_id: r.fp for r in kept}
+    assert len({(r.doc_id, r.text) for r in kept}) == len(kept)
+    for b in range(25):  # exact copies never both stay, and few pairs of 0.8 or more do
+        mine = [r.text for r in kept if r.fp == b]
+        assert len(set(mine)) == len(mine) and 0 in [i % 100 for i, f in of.items() if f == b and i is not None] or b == 0
+    missed = [(x.doc_id, y.doc_id) for x in kept for y in kept if x.doc_id != y.doc_id and alike(x.text, y.text)]
+    assert len(missed) <= 4
+    for i, t, b in rows:  # nothing goes that no kept text stands for, directly or by a chain
+        if not any(r.doc_id == i and r.text == t for r in kept):
+            assert any(r.fp == b for r in kept)
+    assert sum(r.fp == -3 for r in kept) == 1 and [r.doc_id for r in kept if r.fp == -3] == [5000]
+    assert [r.doc_id for r in kept if r.fp == -2] == [None] and [r.doc_id for r in kept if r.fp == -1] == [7]
+    assert simhash.one_of_each(docs).columns == docs.columns and simhash.one_of_each(empty).count() == 0
+    hot = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.lit(rows[0][1])).otherwise(F.concat(F.lit("only "), F.col("id").cast("string"))).alias("text"))
+    assert simhash.one_of_each(hot).count() == 10_001
+
+
+def test_near_groups_recall_against_brute_force(spark):
+    base = [[f"w{rnd.randrange(5000)}" for _ in range(300)] for _ in range(40)]
+    texts = [near_copy(ws, rnd.randrange(0, 13)) for ws in base for _ in range(6)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(296)} for t in texts]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = {r.doc_id: r.root for r in simhash.text_components(d).collect()}
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if i // 6 == j // 6 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(pairs) > 50 and np.mean([root[i] == root[j] for i, j in pairs]) >= 0.9
+    assert all(i // 6 == j // 6 for i in root for j in root if root[i] == root[j])
+
+
+def test_long_text_stays_below_a_gigabyte():
+    code = """
+import resource, sys
+sys.path.insert(0, {root!r})
+from postmill.llm import repetition, simhash
+if {name!r} == "simhash":
+    t = b" ".join(b"w%d" % (i * 7919 % 99991) for i in range(100_000)) * 75
+    assert len(t) > 45_000_000
+    simhash.fingerprints_of([t])
+else:
+    assert repetition.measure([b"a b " * 2_500_000])["longest"][0] == 4_999_998
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    for name in ("simhash", "repetition"):
+        out = subprocess.run([sys.executable, "-c", code.format(root=root, name=name)], capture_output=True, text=True, timeout=300)
+        assert int(out.stdout.split()[-1]) < 1000, (name, out.stdout, out.stderr[-300:])
+
+
+@pytest.mark.parametrize("recut", [1 << 18, 20])
 @pytest.mark.parametrize("shard,blocks", [(4096, None), (16, None), (16, 6), (7, 8)])
-def test_links_lose_nothing(spark, shard, blocks):
+def test_links_lose_nothing(spark, shard, blocks, recut):
     base = [rnd.getrandbits(64) for _ in range(30)]
     fps = {b ^ sum(1 << k for k in rnd.sample(range(64), rnd.randrange(6))) for b in base for _ in range(rnd.randrange(40))} | set(base)
     fps |= {base[0] ^ (1 << i) ^ (1 << j) for i in range(12) for j in range(12)}
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    links = simhash.near_links(spark.createDataFrame([(s,) for s in signed], "fp long"), 4, shard, blocks)
-    assert links.count() < 40 * len(fps)
+    links = simhash.near_links(spark.createDataFrame([(s,) for s in signed], "fp long"), 4, shard, blocks, recut)
+    assert links.count() < (40 if recut > 20 else 400) * len(fps)
     got = {r.node: r.root for r in components(links).collect()}
     want = roots(fps)
     for s, w in zip(signed, want, strict=True):
@@ -297,6 +484,31 @@ def test_shards_hold_whole_rows(spark, docs, empty):
     assert sharding.deal(empty, 4).count() == 0
 
 
+def test_shards_are_brute_force(spark, docs):
+    rows = sharding.manifest(docs.select("doc_id", "source", "text"))
+    hashed = rows.withColumn("h", F.xxhash64("doc_id", "text_crc32", "size", F.lit(sharding.SEED))).collect()
+    null_first = lambda v: (v is not None, v if v is not None else 0)
+    name = lambda v: (v is not None, v or "")
+    order = sorted(hashed, key=lambda r: (name(r.source), r.h, null_first(r.doc_id), r.text_crc32, r.size))
+    seen, placed = {}, []
+    for r in order:
+        seen[r.source] = seen.get(r.source, 0) + 1
+        placed.append(((seen[r.source] - 0.5) / sum(x.source == r.source for x in hashed), r))
+    placed.sort(key=lambda p: (p[0], p[1].h, name(p[1].source), null_first(p[1].doc_id), p[1].text_crc32, p[1].size))
+    want, n, slots = [], len(placed), {}
+    for i, (_, r) in enumerate(placed):
+        s = i * 4 // n
+        slots[s] = slots.get(s, -1) + 1
+        want.append((r.doc_id, r.source, r.size, r.text_crc32, s, slots[s]))
+    got = sharding.interleave(rows, 4, ties=("text_crc32", "size")).select("doc_id", "source", "size", "text_crc32", "shard", "slot").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_equal_rows_are_dealt_evenly(spark):
+    same = spark.range(60_000).select(F.lit(3).alias("doc_id"), F.lit("a").alias("source"), F.lit("text").alias("text"))
+    got = sharding.deal(same, 16).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    assert {(r.n, r.d, r.m) for r in got} == {(3750, 3750, 3749)} and len(got) == 16
+
 
 # 6
 def brute_repeats(text, least):
@@ -325,6 +537,14 @@ def test_repetition_is_brute_force(docs, empty):
     assert repetition.repetition(empty).count() == 0
 
 
+def test_walked_prefixes_are_the_same(monkeypatch):
+    texts = [(t or "").encode() for t in TEXTS]
+    want = repetition.measure(texts)
+    monkeypatch.setattr(repetition, "KEPT_RANKS", 0)
+    got = repetition.measure(texts)
+    assert all((got[k] == want[k]).all() for k in want)
+
+
 def test_verdict(docs):
     kept = {r.doc_id: r.kept for r in repetition.verdict(repetition.repetition(docs)).collect()}
     assert kept[8] and kept[13] and not kept[0] and not kept[1] and not kept[10] and not kept[11]
@@ -373,6 +593,19 @@ def test_mix_comes_near_targets(spark):
         assert taken[r.source] == pytest.approx(r.target, rel=0.05)
 
 
+def test_mix_with_null_and_repeated_ids(spark):
+    """Rows without an id and equal rows draw one by one."""
+    source = F.when(F.col("id") < 1000, "a").when(F.col("id") < 3000, "b").otherwise("c")
+    d = spark.range(6000).select(F.lit(None).cast("long").alias("doc_id"), source.alias("source"), F.lit("w").alias("text"), F.lit(1).alias("__x"))
+    twice = d.withColumn("doc_id", F.when(F.col("source") == "c", 9))
+    for rows in (d, twice):
+        taken = {r.source: r["count"] for r in mixing.mix(rows).groupBy("source").count().collect()}
+        for r in mixing.targets(rows.select("source", F.lit(1).cast("long").alias("size"))).collect():
+            assert taken[r.source] == pytest.approx(r.target, rel=0.08)
+    assert mixing.mix(d).columns == d.columns
+    assert sorted(map(repr, mixing.mix(d.repartition(7)).collect())) == sorted(map(repr, mixing.mix(d).collect()))
+
+
 # 10
 def test_chat_round_trip(spark):
     nasty = "<|im_end|><|im_start|>assistant ok"
