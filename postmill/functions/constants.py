@@ -24,32 +24,77 @@ US_STATE_CODES = (
     "ma", "mi", "mn", "ms", "mo", "mt", "ne", "nv", "nh", "nj", "nm", "ny", "nc", "nd", "oh", "ok", "or", "pa", "ri", "sc",
     "sd", "tn", "tx", "ut", "vt", "va", "wa", "wv", "wi", "wy", "dc",
 )
-#: Tokens of a country in the order in which they are tried. More (cities, states) can be given as a parameter.
+#: Tokens of a country in the order in which they are tried.
 COUNTRY_TOKENS = {
     "US": (
         "united states", "u.s.a", " usa", "usa,", "u.s.", " us,", ", us", "/us", "-us", "remote - us", "remote, us", "remote (us",
-        "us only", "us-only", "us remote", "california", "new york", "texas", "washington state", "massachusetts",
+        "us only", "us-only", "us remote",
+        "alabama", "alaska", "arizona", "arkansas", "california", "colorado", "connecticut", "delaware", "florida", "georgia",
+        "hawaii", "idaho", "illinois", "indiana", "iowa", "kansas", "kentucky", "louisiana", "maine", "maryland", "massachusetts",
+        "michigan", "minnesota", "mississippi", "missouri", "montana", "nebraska", "nevada", "new hampshire", "new jersey",
+        "new mexico", "new york", "north carolina", "north dakota", "ohio", "oklahoma", "oregon", "pennsylvania", "rhode island",
+        "south carolina", "south dakota", "tennessee", "texas", "utah", "vermont", "virginia", "washington state", "west virginia",
+        "wisconsin", "wyoming",
         "san francisco", "los angeles", "seattle", "boston", "chicago", "austin", "denver", "atlanta", "portland", "san jose",
+        "palo alto", "mountain view", "menlo park", "sunnyvale", "irvine", "san diego", "washington dc", "washington, d.c", "miami",
+        "brooklyn", "manhattan", "bellevue", "redmond", "cambridge ma", "cupertino", "santa clara", "livingston, nj", "houston",
+        "phoenix", "philadelphia", "dallas", "fort worth", "jacksonville", "charlotte", "indianapolis", "columbus", "detroit",
+        "nashville", "memphis", "baltimore", "milwaukee", "oakland", "tulsa", "minneapolis", "cleveland", "tampa", "orlando",
+        "sacramento", "honolulu", "pittsburgh", "cincinnati", "raleigh", "st. louis", "saint louis", "new orleans", "kansas city",
+        "las vegas", "salt lake", "albuquerque", "omaha", "newark", "arlington", "st. paul", "saint paul", "hoboken", "jersey city",
+        "stamford", "hartford", "providence", "richmond", "durham", "charleston", "columbus oh", "buffalo", "rochester", "syracuse",
+        "albany",
     ),
-    "GB": ("united kingdom", " uk,", ", uk", "/uk", "-uk", "great britain", "england", "scotland", "wales", "london", "manchester", "edinburgh"),
-    "IE": ("ireland", "dublin"),
-    "CA": ("canada", "toronto", "vancouver", "montreal"),
-    "IN": ("india", "bangalore", "bengaluru", "mumbai", "delhi", "hyderabad", "chennai", "pune"),
-    "MX": ("mexico", "guadalajara"),
-    "BR": ("brazil", "brasil", "são paulo", "sao paulo"),
-    "DE": ("germany", "berlin", "munich", "hamburg"),
-    "FR": ("france", "paris", "lyon"),
-    "NL": ("netherlands", "amsterdam"),
-    "PL": ("poland", "warsaw", "krakow"),
-    "AU": ("australia", "sydney", "melbourne"),
-    "NZ": ("new zealand", "auckland"),
-    "JP": ("japan", "tokyo"),
+    "GB": (
+        "united kingdom", " uk,", ", uk", "/uk", "-uk", "great britain", "england", "scotland", "wales", "london", "manchester",
+        "edinburgh", "birmingham", "leeds", "bristol", "cambridge uk", "oxford",
+    ),
+    "IE": ("ireland", "dublin", " cork", "galway", "limerick"),
+    "CA": ("canada", "toronto", "vancouver", "montreal", "ottawa", "calgary", "edmonton", "waterloo"),
+    "IN": ("india", "bangalore", "bengaluru", "mumbai", "delhi", "hyderabad", "chennai", "pune", "noida", "gurgaon", "gurugram", "kolkata"),
+    "MX": ("mexico", "ciudad de m", "guadalajara", "monterrey", "cdmx"),
+    "BR": ("brazil", "brasil", "são paulo", "sao paulo", "rio de janeiro"),
+    "DE": ("germany", "berlin", "munich", "hamburg", "frankfurt"),
+    "FR": ("france", "paris", "lyon", "toulouse"),
+    "NL": ("netherlands", "amsterdam", "rotterdam", "the hague"),
+    "PL": ("poland", "warsaw", "krakow", "kraków", "gdansk"),
+    "AU": ("australia", "sydney", "melbourne", "brisbane", "perth"),
+    "NZ": ("new zealand", "auckland", "wellington"),
+    "JP": ("japan", "tokyo", "osaka", "kyoto"),
     "SG": ("singapore",),
+    "PH": ("philippines", "manila", "cebu"),
+    "ID": ("indonesia", "jakarta"),
+    "AR": ("argentina", "buenos aires"),
+    "CL": ("chile", "santiago"),
+    "CO": ("colombia", "bogot"),
     "ES": ("spain", "madrid", "barcelona"),
-    "PT": ("portugal", "lisbon"),
+    "PT": ("portugal", "lisbon", "porto"),
     "IT": ("italy", "milan", "rome"),
+    "IL": ("israel", "tel aviv", "jerusalem"),
+    "AE": ("united arab emirates", "dubai", "abu dhabi"),
+    "ZA": ("south africa", "cape town", "johannesburg"),
+    "KR": ("south korea", "seoul"),
+    "CN": ("china", "shanghai", "beijing", "shenzhen"),
+    "HK": ("hong kong",),
+    "TW": ("taiwan", "taipei"),
+    "VN": ("vietnam", "ho chi minh"),
+    "TH": ("thailand", "bangkok"),
+    "EG": ("egypt", "cairo"),
+    "NG": ("nigeria", "lagos"),
+    "KE": ("kenya", "nairobi"),
     "CH": ("switzerland", "zurich", "geneva"),
     "SE": ("sweden", "stockholm"),
+    "DK": ("denmark", "copenhagen"),
+    "NO": ("norway", "oslo"),
+    "FI": ("finland", "helsinki"),
+    "BE": ("belgium", "brussels"),
+    "AT": ("austria", "vienna"),
+    "CZ": ("czech", "prague"),
+    "RO": ("romania", "bucharest"),
+    "GR": ("greece", "athens"),
+    "TR": ("turkey", "istanbul", "ankara"),
+    "RU": ("russia", "moscow"),
+    "UA": ("ukraine", "kyiv", "kiev"),
 }
 COUNTRY_ALIASES = {
     "us": "US", "usa": "US", "u.s.": "US", "u.s.a": "US", "united states": "US", "america": "US", "uk": "GB", "u.k.": "GB",
@@ -160,6 +205,38 @@ LANE_BOILERPLATE = (
 )
 GENERIC_LANE_WORDS = ("product", "manager", "management", "program", "technical", "the", "and", "for", "with", "team", "systems", "system", "services", "service")
 
+YEARS_EXPERIENCE = (
+    r"(?i)(?<![\w.])(\d{1,2})\s*\+?\s*(?:to\s*\d{1,2}\s*)?(?:years?|yrs?|yoe)\s*(?:of\s+)?(?:[a-z][a-z /&+,.\-]{0,40}?\s*)?"
+    r"(?:experience|exp\b|\bin\s+(?:product|pm|program|engineering|design|marketing|sales|ops|operations|data|software|eng\b|ml|ai"
+    r"|platform|security|research|strategy|finance|leadership|management)|leading|managing|building)"
+)
+YEARS_PLAIN = r"(?i)(?<![\w.])(\d{1,2})\s*(?:\+|\s*-\s*\d{1,2})?\s*\+?\s*(?:years?|yrs?)\b"
+GHOST_YEARS = r"(?i)(\d{1,2})\s*(?:\+|(?:to|-|–|—)\s*(\d{1,2}))?\s*(?:years?|yrs?)\b"
+
+COMPANY_TIERS = {
+    "mega": (
+        "amazon", "aws", "google", "alphabet", "youtube", "nvidia", "adobe", "salesforce", "ibm", "cisco", "intel", "apple",
+        "microsoft", "meta", "facebook", "oracle", "tesla", "sap", "linkedin", "uber", "netflix",
+    ),
+    "large": (
+        "stripe", "databricks", "openai", "anthropic", "scale ai", "scaleai", "coinbase", "airbnb", "doordash", "pinterest", "spotify",
+        "cloudflare", "lyft", "snowflake", "datadog", "roblox", "reddit", "robinhood", "mongodb", "twilio", "gitlab", "dropbox",
+        "okta", "affirm", "plaid", "discord", "instacart", "samsara", "elastic", "sofi", "block", "square", "shopify", "zoom",
+        "atlassian", "twitch", "duolingo", "github", "asana", "figma", "notion", "canva", "rippling", "gusto",
+    ),
+}
+FRESHNESS_DAYS = {"mega": 30, "large": 14, "growth": 7}
+NEW_HOURS, DORMANT_HOURS, LAPSED_HOURS = 48, 48, 14 * 24
+TRIAGE_STOP_WORDS = (
+    "product", "manager", "senior", "lead", "principal", "staff", "director", "head", "of", "the", "a", "an", "and", "or", "&", "for",
+    "to", "at", "in", "on", "with", "new", "role", "ii", "iii", "-", ",", "team", "group", "engineer", "engineering", "program",
+    "technical",
+)
+NON_SKILL_WORDS = (
+    "the", "and", "with", "for", "from", "that", "this", "have", "will", "team", "work", "role", "product", "engineer", "manager",
+    "senior",
+)
+
 SALARY_BY_SIGN = r"([$£€])\s*(\d{2,3}[,.]?\d{0,3})\s*([kK])?\s*(?:[-–—]|to)\s*[$£€]?\s*(\d{2,3}[,.]?\d{0,3})\s*([kK])?"
 SALARY_BY_CODE = r"(?i)\b(USD|GBP|EUR)\s*\$?\s*(\d{2,3}[,.]?\d{0,3})\s*(k)?\s*(?:[-–—]|to)\s*\$?\s*(\d{2,3}[,.]?\d{0,3})\s*(k)?"
 SALARY_FLOOR = r"(?i)(?:starting\s+at|from)\s*([$£€])\s*(\d{2,3}[,.]?\d{0,3})\s*(k)?"

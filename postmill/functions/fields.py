@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions import constants as K
@@ -78,18 +78,10 @@ def user_level(level: str, years: int) -> str:
     return max((b for b in K.LEVEL_RANK if years >= K.LEVEL_YEARS[b]), key=K.LEVEL_RANK.get, default="junior")
 
 
-YEARS_EXPERIENCE = (
-    r"(?i)(?<![\w.])(\d{1,2})\s*\+?\s*(?:to\s*\d{1,2}\s*)?(?:years?|yrs?|yoe)\s*(?:of\s+)?(?:[a-z][a-z /&+,.\-]{0,40}?\s*)?"
-    r"(?:experience|exp\b|\bin\s+(?:product|pm|program|engineering|design|marketing|sales|ops|operations|data|software|eng\b|ml|ai"
-    r"|platform|security|research|strategy|finance|leadership|management)|leading|managing|building)"
-)
-YEARS_PLAIN = r"(?i)(?<![\w.])(\d{1,2})\s*(?:\+|\s*-\s*\d{1,2})?\s*\+?\s*(?:years?|yrs?)\b"
-
-
 def required_years(c: Column) -> Column:
     """Most years that a requirement names, else the least number of years in the text; 0 to 30."""
     numbers = lambda p: F.filter(F.transform(F.regexp_extract_all(text(c), F.lit(p), F.lit(1)), lambda x: x.cast("int")), lambda n: n <= 30)
-    return F.coalesce(F.array_max(numbers(YEARS_EXPERIENCE)), F.array_min(numbers(YEARS_PLAIN)))
+    return F.coalesce(F.array_max(numbers(K.YEARS_EXPERIENCE)), F.array_min(numbers(K.YEARS_PLAIN)))
 
 
 def salary_usd(c: Column) -> Column:
@@ -148,12 +140,48 @@ def parse_posted(c: Column) -> Column:
     return F.coalesce(epoch, F.try_to_timestamp(F.when(~s.rlike(r"^\d+$"), s)), *(F.try_to_timestamp(s, F.lit(f)) for f in formats))
 
 
+REMOTE_SIGNS = ("remote", "anywhere", "worldwide", "distributed", "global", "wfh", "work from home", "work-from-home")
+#: Words that tie a remote posting to a region.
+FOREIGN_REGIONS = (
+    r"uk|u\.k\.|united kingdom|great britain|britain|england|scotland|wales|northern ireland",
+    r"eu|e\.u\.|emea|europe|european|eea|eurozone",
+    r"germany|france|spain|italy|netherlands|holland|belgium|sweden|norway|denmark|finland|poland|ireland|portugal|switzerland|austria",
+    r"canada|canadian|mexico|mexican",
+    r"latam|latin america|brazil|brasil|argentina|chile|colombia|peru|uruguay",
+    r"apac|asia|asian|india|singapore|japan|korea|china|taiwan|thailand|vietnam|philippines|malaysia|indonesia|hong kong",
+    r"anz|australia|australian|new zealand|nz",
+    r"uae|dubai|saudi|israel|south africa|africa|mena",
+)
+US_REGION = r"us|u\.s\.|usa|u\.s\.a\.|united states|america|american|stateside"
+
+
 def remote_region(location: Column) -> Column:
     """us, foreign, anywhere or onsite."""
     t = F.lower(text(location))
-    remote = any_in(t, ("remote", "anywhere", "worldwide"))
-    country = detect_country(location, F.lit(""))
-    return F.when(~remote, "onsite").when(country == "US", "us").when(country != "", "foreign").otherwise("anywhere")
+    return (
+        F.when(~any_in(t, REMOTE_SIGNS), "onsite").when(t.rlike(rf"\b(?:{US_REGION})\b"), "us")
+        .when(t.rlike(rf"\b(?:{'|'.join(FOREIGN_REGIONS)})\b"), "foreign").otherwise("anywhere")
+    )
+
+
+DATE_FIELDS = ("posted_at", "posted_date", "date_posted", "published_at", "publication_date", "created_at", "updated_at", "first_seen_at", "_first_seen")
+
+
+def first_date(df: DataFrame, fields: tuple[str, ...] = DATE_FIELDS) -> Column:
+    """The first of the row's date fields that can be read; a number over 10^12 is in milliseconds."""
+    return F.coalesce(*[parse_posted(F.col(c)) for c in fields if c in df.columns], F.lit(None).cast("timestamp"))
+
+
+def posted_age_days(posted: Column, now: Column) -> Column:
+    """Whole days since posting; null for dates over a day ahead, 0 for those within it."""
+    ahead = F.unix_timestamp(posted) > F.unix_timestamp(now) + 86400
+    return F.when(posted.isNotNull() & ~ahead, F.greatest(F.lit(0), elapsed_days(now, posted)))
+
+
+def age_label(days: Column) -> Column:
+    """today, Nd under 14 days, Nw under 60, Nmo under 365, else Ny; a dash without a date."""
+    unit = lambda n, s: F.concat(F.floor(days / n).cast("string"), F.lit(s))
+    return F.when(days.isNull(), "—").when(days == 0, "today").when(days < 14, unit(1, "d")).when(days < 60, unit(7, "w")).when(days < 365, unit(30, "mo")).otherwise(unit(365, "y"))
 
 
 def escaped(words) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,8 +127,10 @@ def redact_prompts(c: Column) -> Column:
 
 def profiles_from_text(df: DataFrame, *, key: str, body: str) -> DataFrame:
     """A rough profile of each text: technologies, domains, band and years by fixed words, and the band's target roles."""
-    s = F.lower(text(F.col(body)))
-    techs = F.array_compact(F.array(*[F.nullif(F.regexp_extract(s, rf"\b(?:{p})\b", 0), F.lit("")) for p in K.PROFILE_STACK]))
+    df, s = df.select(key, body, F.lower(text(F.col(body))).alias("__s")), F.col("__s")
+    # A pattern is tried only on texts that hold the letters that it begins with.
+    begin = lambda p: re.match("[a-z/]+", p)[0]
+    techs = F.array_compact(F.array(*[F.when(F.contains(s, F.lit(begin(p))), F.nullif(F.regexp_extract(s, rf"\b(?:{p})\b", 0), F.lit(""))) for p in K.PROFILE_STACK]))
     domains = F.array_compact(F.array(*[F.when(any_in(s, words), F.lit(label)) for label, words in K.PROFILE_DOMAINS.items()]))
     out = df.select(
         key, F.array_sort(F.array_distinct(techs)).alias("technologies"), F.array_sort(domains).alias("domains"),

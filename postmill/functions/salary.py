@@ -39,16 +39,17 @@ def _first_range(s: Column, pattern: str, currency: Callable[[Column], Column])
 
     Matches are fenced off and the pieces folded in order, so that the place of each is known.
     """
-    pieces = F.split(F.regexp_replace(s, pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN)
-
     def step(state: Column, piece: Column) -> Column:
         found = F.substring_index(piece, _CLOSE, 1)
         good = ~hourly_near(s, state["at"], F.char_length(found))
         band = F.when(state["band"].isNull() & good, _range(found, pattern, currency(F.regexp_extract(found, pattern, 1))))
         return F.struct((state["at"] + F.char_length(piece) - 1).alias("at"), F.coalesce(state["band"], band).alias("band"))
 
-    start = F.struct(F.char_length(F.get(pieces, F.lit(0))).alias("at"), F.lit(None).cast(BAND).alias("band"))
-    return F.aggregate(F.slice(pieces, 2, F.size(pieces)), start, step)["band"]
+    def fold(pieces: Column) -> Column:
+        start = F.struct(F.char_length(F.get(pieces, F.lit(0))).alias("at"), F.lit(None).cast(BAND).alias("band"))
+        return F.aggregate(F.slice(pieces, 2, F.size(pieces)), start, step)["band"]
+
+    return let(F.split(F.regexp_replace(s, pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN), fold)
 
 
 def _floor(s: Column) -> Column:
@@ -66,7 +67,13 @@ def _currency(sign: Column) -> Column:
 def extract_salary(c: Column) -> Column:
     """Band of a text: a range by sign, else one by currency code, else a floor; null if there is none."""
     clean = F.translate(text(c), _OPEN + _CLOSE, "  ")
-    return let(clean, lambda s: F.coalesce(_first_range(s, K.SALARY_BY_SIGN, _currency), _first_range(s, K.SALARY_BY_CODE, F.upper), _floor(s)))
+    signs, codes = "[$£€]", "(?i)usd|gbp|eur"  # no band without one of them
+
+    def found(s: Column) -> Column:
+        by_sign, floor = F.when(s.rlike(signs), _first_range(s, K.SALARY_BY_SIGN, _currency)), F.when(s.rlike(signs), _floor(s))
+        return F.coalesce(by_sign, F.when(s.rlike(codes), _first_range(s, K.SALARY_BY_CODE, F.upper)), floor)
+
+    return let(clean, found)
 
 
 def fill_salary(df: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
+from html.entities import html5
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions import constants as K
@@ -100,20 +102,21 @@ def completeness() -> Column:
 
 def norm_url(url: Column) -> Column:
     """Lower-cased, without fragment, tracking and blank parameters, default ports and trailing slashes; parameters sorted."""
-    s = F.lower(F.trim(text(url)))
-    s = F.regexp_replace(s, "#.*$", "")
-    scheme = F.regexp_extract(s, r"^([a-z][a-z0-9+.-]*)://", 1)
-    rest = F.regexp_replace(s, r"^[a-z][a-z0-9+.-]*://", "")
-    host = F.regexp_replace(F.regexp_extract(rest, r"^([^/?]*)", 1), r":(?:80|443)$", "")
-    path = F.regexp_replace(F.regexp_extract(rest, r"^[^/?]*([^?]*)", 1), "/+$", "")
-    query = F.regexp_extract(rest, r"\?(.*)$", 1)
     dropped = "^(?:" + "|".join(map(re.escape, K.TRACKING_PARAMS)) + ")"
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: p.rlike("^[^=]*=.") & ~p.rlike(dropped)))
-    full = F.concat(
-        F.when(scheme == "", "https").otherwise(scheme), F.lit("://"), host, F.when(path == "", "/").otherwise(path),
-        F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""),
-    )
-    return F.when(s == "", F.lit("")).otherwise(full)
+
+    def parts(m: Column) -> Column:  # scheme, host, path, query
+        kept = let(m[3], lambda q: F.when(q == "", F.expr("cast(array() as array<string>)")).otherwise(
+            F.array_sort(F.filter(F.split(q, "&"), lambda p: p.rlike("^[^=]*=.") & ~p.rlike(dropped)))))
+        query = let(kept, lambda k: F.when(F.size(k) > 0, F.concat(F.lit("?"), F.array_join(k, "&"))).otherwise(""))
+        path = let(F.regexp_replace(m[2], "/+$", ""), lambda p: F.when(p == "", "/").otherwise(p))
+        return F.concat(F.when(m[0] == "", "https").otherwise(m[0]), F.lit("://"), F.regexp_replace(m[1], r":(?:80|443)$", ""), path, query)
+
+    def whole(s: Column) -> Column:
+        pattern = r"^(?:([a-z][a-z0-9+.-]*)://)?([^/?#]*)([^?#]*)(?:\?([^#]*))?"
+        groups = F.array(*[F.regexp_extract(s, pattern, i) for i in (1, 2, 3, 4)])
+        return F.when(s == "", F.lit("")).otherwise(let(groups, parts))
+
+    return let(F.lower(F.trim(text(url))), whole)
 
 
 def title_tokens(title: Column) -> Column:
@@ -151,14 +154,74 @@ def drop_tracking_codes(c: Column) -> Column:
     return F.array_join(F.filter(F.split(text(c), "\n"), lambda line: ~F.trim(line).rlike(TRACKING_CODE)), "\n")
 
 
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&mdash;": "—", "&ndash;": "–", "&#36;": "$", "&rsquo;": "’", "&amp;": "&"}
+#: Every named character of HTML 5 with its semicolon, from Python's own table.
+ENTITIES = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+
+
+def unescape(c: Column) -> Column:
+    """Named and numeric character references decoded; unknown ones stay. Texts without "&" are left alone."""
+    names = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")  # folded to a constant
+
+    def sign(e: Column) -> Column:
+        code = F.when(e.rlike("^#[xX]"), F.conv(F.substring(e, 3, 8), 16, 10)).when(F.startswith(e, F.lit("#")), F.substring(e, 2, 8)).try_cast("int")
+        number = F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.coalesce(number, F.try_element_at(names, e), F.concat(F.lit("&"), e, F.lit(";")))
+
+    reference = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+    def spread(s: Column) -> Column:
+        found = F.regexp_extract_all(s, F.lit(reference), F.lit(1))
+        pieces = F.zip_with(F.split(s, reference, -1), found, lambda gap, e: F.concat(gap, F.when(e.isNotNull(), sign(e)).otherwise("")))
+        return F.array_join(pieces, "")
+
+    return F.when(F.contains(c, F.lit("&")), let(c, spread)).otherwise(c)
 
 
 def clean_field(c: Column) -> Column:
     """Entities decoded, tags dropped, trimmed; blank is null."""
-    for entity, sign in ENTITIES.items():
-        c = F.replace(c, F.lit(entity), F.lit(sign))
-    return blank_free(F.regexp_replace(c, "<[^>]+>", ""))
+    return F.nullif(F.regexp_replace(F.regexp_replace(unescape(c), "<[^>]+>", ""), r"^\s+|\s+$", ""), F.lit(""))
+
+
+def is_tracking_code(c: Column) -> Column:
+    return F.coalesce(F.trim(c).rlike(TRACKING_CODE), F.lit(False))
+
+
+def first_of_each(items: Column, key) -> Column:
+    """The items without later ones of an equal key, in their order."""
+    keys = lambda own: F.transform(own, key)
+    return let(items, lambda own: let(keys(own), lambda k: F.filter(own, lambda x, i: F.array_position(k, key(x)) == i + 1)))
+
+
+def sanitise_posting(df: DataFrame) -> DataFrame:
+    """Postings with cleaned texts: blank fields are null, a title or company that is a tracking code is null, the short
+    fields are in lower case, and technologies stand once each (whatever their case, the first form stays)."""
+    out = df.withColumns({c: clean_field(F.col(c)) for c in ("title", "company", "location", "salary_text", "description", "url") if c in df.columns})
+    out = out.withColumns({c: F.when(~is_tracking_code(F.col(c)), F.col(c)) for c in ("title", "company")})
+    out = out.withColumns({c: F.nullif(F.lower(F.trim(c)), F.lit("")) for c in ("seniority", "job_type", "remote") if c in df.columns})
+    if "technologies" not in df.columns:
+        return out
+    cleaned = F.filter(F.transform("technologies", clean_field), lambda t: t.isNotNull())
+    return out.withColumn("technologies", first_of_each(cleaned, lambda t: F.lower(t)))
+
+
+def posting_summary() -> Column:
+    """One line that tells of a match: title, score, place, pay, technologies and the beginning of its description."""
+    c = F.col
+    name = lambda x: F.coalesce(c(x), F.lit("?"))
+    some = lambda x: F.nullif(text(c(x)), F.lit(""))
+    techs = F.when(F.size("technologies") > 0, F.concat(F.lit("tech: "), F.array_join(F.slice("technologies", 1, 6), ", ")))
+    body = F.nullif(F.substring(F.regexp_replace(F.trim(text(c("description"))), "\n", " "), 1, 200), F.lit(""))
+    score = F.concat(F.lit("score="), F.round(F.coalesce("match_score", F.lit(0.0)) * 100).cast("int").cast("string"), F.lit("%"))
+    pay = F.when(some("salary_text").isNotNull(), F.concat(F.lit("pay: "), some("salary_text")))
+    return F.concat_ws(" | ", F.concat(name("title"), F.lit(" @ "), name("company")), score, some("location"), some("remote"), pay, techs, body)
+
+
+def gap_summary() -> Column:
+    """One line that tells of a fit report (title, company, matched_skills, gaps of skill and severity)."""
+    name = lambda x: F.coalesce(F.col(x), F.lit("?"))
+    matched = F.array_join(F.slice(F.coalesce("matched_skills", F.expr("cast(array() as array<string>)")), 1, 6), ", ")
+    gaps = F.coalesce(F.array_join(F.transform(F.slice("gaps", 1, 4), lambda g: text(g["skill"])), ", "), F.lit(""))
+    return F.concat(name("title"), F.lit(" @ "), name("company"), F.lit(" | matched: "), matched, F.lit(" | gaps: "), gaps)
 
 
 def redact_paths(c: Column) -> Column:
@@ -193,10 +256,7 @@ def lane_tokens(title: Column) -> Column:
 
 def flat_html(c: Column) -> Column:
     """Text of HTML with a space for each tag, entities decoded."""
-    s = F.regexp_replace(text(c), "<[^>]+>", " ")
-    for entity, sign in ENTITIES.items():
-        s = F.replace(s, F.lit(entity), F.lit(sign))
-    return F.trim(s)
+    return F.trim(unescape(F.regexp_replace(text(c), "<[^>]+>", " ")))
 
 
 def shorten(c: Column, most: int) -> Column:
@@ -214,13 +274,13 @@ def role_slice(description: Column, most: int) -> Column:
     """From the first heading that tells of the role (else the first paragraph) to the first boilerplate heading."""
 
     def begin(s: Column) -> Column:
-        at = F.array_min(F.filter(_places(s, K.KEEP_HEADINGS), lambda i: i > 0))
+        first = F.array_min(F.filter(_places(s, K.KEEP_HEADINGS), lambda i: i > 0))
         paragraph = F.get(F.filter(F.transform(F.split(s, "\n{2,}"), lambda p: F.trim(p)), lambda p: p != ""), F.lit(0))
-        return F.when(at.isNotNull(), F.substring(s, at, F.char_length(s))).otherwise(F.coalesce(paragraph, F.lit("")))
+        return let(first, lambda at: F.when(at.isNotNull(), F.substring(s, at, F.char_length(s))).otherwise(F.coalesce(paragraph, F.lit(""))))
 
     def end(s: Column) -> Column:
-        at = F.get(F.filter(_places(s, K.BOILERPLATE_HEADINGS), lambda i: i > 81), F.lit(0))
-        return F.when(at.isNotNull(), F.substring(s, F.lit(1), at - 1)).otherwise(s)
+        first = F.get(F.filter(_places(s, K.BOILERPLATE_HEADINGS), lambda i: i > 81), F.lit(0))
+        return let(first, lambda at: F.when(at.isNotNull(), F.substring(s, F.lit(1), at - 1)).otherwise(s))
 
     body = let(let(flat_html(description), begin), end)
     return let(squeeze(body), lambda s: shorten(s, most))
@@ -234,7 +294,7 @@ def signature(most: int = 600) -> Column:
     meta = F.concat_ws("; ", known("seniority"), known("remote"), some("location"))
     stack = F.array_join(F.filter(F.transform(F.slice("technologies", 1, 12), lambda t: F.trim(t)), lambda t: t != ""), ", ")
     parts = [
-        some("title"), F.concat(F.lit("@ "), some("company")), F.when(meta != "", F.concat(F.lit("("), meta, F.lit(")"))),
-        F.when(stack != "", F.concat(F.lit("Stack: "), stack)), let(role_slice(c("description"), max(120, most - 180)), lambda s: F.when(s != "", s)),
+        some("title"), F.concat(F.lit("@ "), some("company")), let(meta, lambda m: F.when(m != "", F.concat(F.lit("("), m, F.lit(")")))),
+        let(stack, lambda s: F.when(s != "", F.concat(F.lit("Stack: "), s))), let(role_slice(c("description"), max(120, most - 180)), lambda s: F.when(s != "", s)),
     ]
     return let(squeeze(F.concat_ws(" | ", *parts)), lambda s: shorten(s, most))

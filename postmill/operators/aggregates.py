@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from postmill.functions import constants as K
 from postmill.functions import fields as X
 from postmill.functions import text as T
 
@@ -30,23 +31,48 @@ def salary_samples(df: DataFrame, n: int = 50) -> DataFrame:
     return df.filter(F.contains("salary_text", F.lit("$"))).orderBy("ingest_seq").limit(n).select("ingest_seq", "salary_text")
 
 
+def live(df: DataFrame, *more: str) -> DataFrame:
+    """Rows that are not removed, nor marked by ``more`` columns; a column that is absent marks nothing."""
+    for name in ("removed", *more):
+        if name in df.columns:
+            df = df.filter(~F.coalesce(F.col(name), F.lit(False)))
+    return df
+
+
+def salary_mid() -> Column:
+    """Middle of the band, or its one end."""
+    return F.coalesce((F.col("salary_min") + F.col("salary_max")) / 2, F.col("salary_min").cast("double"), F.col("salary_max").cast("double"))
+
+
 def salary_histogram(df: DataFrame, lo: int = 80_000, hi: int = 300_000, width: int = 20_000) -> DataFrame:
-    """Postings by middle of the band; out-of-range ones go to the edge bins, empty bins appear."""
+    """Live postings by middle of the band: out-of-range ones go to the edge bins, empty bins appear.
+
+    Amounts under 1,000 are no salaries. Without any salary there are no rows.
+    """
     last = (hi - lo) // width - 1
-    mid = (F.col("salary_min") + F.col("salary_max")) / 2
-    at = F.greatest(F.lit(0), F.least(F.lit(last), F.floor((mid - lo) / width).cast("int")))
-    n = counts(df.filter(mid.isNotNull()), at.alias("bin"))
+    at = F.greatest(F.lit(0), F.least(F.lit(last), F.floor((salary_mid() - lo) / width).cast("int")))
+    n = counts(live(df).filter(salary_mid() >= 1000), at.alias("bin"))  # a row a bin
     spine = df.sparkSession.range(last + 1).select(F.col("id").cast("int").alias("bin"))
-    return spine.join(n, "bin", "left").select((F.col("bin") * width + lo).cast("int").alias("low"), F.coalesce("n", F.lit(0)).alias("n"))
+    some = n.agg(F.sum("n").alias("total")).filter("total > 0")
+    out = spine.join(F.broadcast(n), "bin", "left").join(F.broadcast(some))  # one row or none
+    return out.select((F.col("bin") * width + lo).cast("int").alias("low"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def ghost_trend(df: DataFrame, threshold: float = 0.45) -> DataFrame:
-    """Share of suspects by week (from Monday) of the posting date."""
-    week = F.date_trunc("week", "posted_date")
-    out = df.filter("posted_date is not null").groupBy(week.alias("week")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ghost") >= threshold).alias("suspects"))
+def ghost_trend(df: DataFrame, threshold: float = 0.45, seen: str = "first_seen_at") -> DataFrame:
+    """Share of suspects among live postings by the week (from Monday) in which they were first seen."""
+    week = F.date_trunc("week", seen)
+    rows = live(df).filter(F.col(seen).isNotNull())
+    out = rows.groupBy(week.alias("week")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("ghost", F.lit(0.0)) >= threshold).alias("suspects"))
     return out.withColumn("pct", F.floor(100 * F.col("suspects") / F.col("n") + 0.5).cast("int"))
 
 
+def ghost_rate(df: DataFrame, threshold: float = 0.45) -> DataFrame:
+    """Rounded share of suspects among all live postings, and their number; 0 without any."""
+    n = F.count(F.lit(1))
+    pct = F.floor(100 * F.count_if(F.coalesce("ghost", F.lit(0.0)) >= threshold) / F.greatest(n, F.lit(1)) + 0.5)
+    return live(df).agg(pct.cast("int").alias("pct"), n.alias("n"))
+
+
 def ghost_by_company(df: DataFrame, least: int = 3, threshold: float = 0.45) -> DataFrame:
     out = df.filter("company <> ''").groupBy("company").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ghost") >= threshold).alias("suspects"), F.round(F.avg("ghost"), 3).alias("mean_ghost"))
     return out.filter(F.col("n") >= least)
@@ -61,23 +87,33 @@ def posting_age(df: DataFrame, now: Column) -> DataFrame:
 
 
 def skill_rank(df: DataFrame, column: str, n: int = 8) -> DataFrame:
-    """Skills by number of rows that name them, each once a row; shown as first written."""
-    pairs = df.select("ingest_seq", F.explode(column).alias("skill")).withColumn("key", F.lower(F.trim("skill"))).filter("key <> ''")
+    """Skills by number of live, not dismissed rows that name them, each once a row; shown as first written."""
+    pairs = live(df, "dismissed").select("ingest_seq", F.explode(column).alias("skill")).select("ingest_seq", F.trim("skill").alias("skill"))
+    pairs = pairs.withColumn("key", F.lower("skill")).filter("key <> ''")
     once = pairs.groupBy("ingest_seq", "key").agg(F.min("skill").alias("skill"))
     return once.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("skill", "ingest_seq").alias("skill")).orderBy(F.desc("n"), F.asc("key")).limit(n)
 
 
-def learned_keywords(reactions: DataFrame, n: int = 15) -> DataFrame:
-    """Title tokens that tell skipped postings from kept ones: add-one log odds, positive and of two skips at least.
+def triage_tokens(title: Column) -> Column:
+    """Distinct words of over two characters that start with a letter, without the words that all titles share."""
+    words = F.regexp_extract_all(T.text(title), F.lit(r"[A-Za-z][A-Za-z0-9\-\+]*"), F.lit(0))
+    return F.array_distinct(F.filter(F.transform(words, lambda w: F.lower(w)), lambda w: (F.char_length(w) > 2) & ~w.isin(*K.TRIAGE_STOP_WORDS)))
+
 
-    Nothing with under three skips. reactions: title and skipped (boolean).
+def learned_keywords(reactions: DataFrame, n: int = 15, least_skips: int = 3, least_uses: int = 2) -> DataFrame:
+    """Title words that tell postings skipped ("down") from those kept ("up"): token, skips, keeps and add-one log odds.
+
+    reactions: title and action, one row a posting. The odds compare shares of all words of skipped and of kept titles.
+    Nothing with under ``least_skips`` skips; only words of ``least_uses`` skips and positive odds.
     """
-    totals = reactions.agg(F.count_if("skipped").alias("skips"), F.count_if(~F.col("skipped")).alias("keeps"))
-    tokens = reactions.select("skipped", F.explode(T.title_tokens(F.col("title"))).alias("token"))
-    per = tokens.groupBy("token").agg(F.count_if("skipped").alias("s"), F.count_if(~F.col("skipped")).alias("k"))
-    odds = F.log((F.col("s") + 1) / (F.col("skips") + 2)) - F.log((F.col("k") + 1) / (F.col("keeps") + 2))
-    out = per.join(F.broadcast(totals)).filter((F.col("skips") >= 3) & (F.col("s") >= 2))  # totals is one row
-    return out.select("token", F.round(odds, 4).alias("score")).filter("score > 0").orderBy(F.desc("score"), F.asc("token")).limit(n)
+    judged = reactions.filter(F.col("action").isin("up", "down")).select((F.col("action") == "down").alias("skipped"), triage_tokens(F.col("title")).alias("words"))
+    size = lambda cond: F.greatest(F.lit(1), F.coalesce(F.sum(F.when(cond, F.size("words"))), F.lit(0)))
+    totals = judged.agg(F.count_if("skipped").alias("skipped_titles"), size(F.col("skipped")).alias("all_skips"), size(~F.col("skipped")).alias("all_keeps"))
+    per = judged.select("skipped", F.explode("words").alias("token")).groupBy("token").agg(F.count_if("skipped").alias("skips"), F.count_if(~F.col("skipped")).alias("keeps"))
+    odds = F.log(((F.col("skips") + 1) / (F.col("all_skips") + 2)) / ((F.col("keeps") + 1) / (F.col("all_keeps") + 2)))
+    out = per.join(F.broadcast(totals)).filter((F.col("skipped_titles") >= least_skips) & (F.col("skips") >= least_uses))  # totals is one row
+    out = out.withColumn("odds", odds).filter("odds > 0").select("token", "skips", "keeps", F.round("odds", 3).alias("score"))
+    return out.orderBy(F.desc("score"), F.desc("skips"), F.asc("token")).limit(n)
 
 
 def label_separation(df: DataFrame) -> DataFrame:
@@ -96,11 +132,17 @@ def label_separation(df: DataFrame) -> DataFrame:
     return means.join(F.broadcast(u)).select(F.round(F.col("mp") - F.col("mq"), 6).alias("gap"), F.round(F.try_divide(F.col("u"), F.col("np") * F.col("nq")), 6).alias("auc"))
 
 
-def engagement(events: DataFrame, now: Column) -> DataFrame:
-    """Tier of each user by days since the first and the last event."""
-    per = events.groupBy("user_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
-    since, idle = X.elapsed_days(now, F.col("first")), X.elapsed_days(now, F.col("last"))
-    return per.select("user_id", F.when(since < 7, "new").when(idle < 7, "active").when(idle < 30, "dormant").otherwise("lapsed").alias("tier"))
+def engagement(events: DataFrame, now: Column, users: DataFrame | None = None) -> DataFrame:
+    """Tier of each user by hours since the last and the first event: lapsed, dormant, new or active.
+
+    Of ``users`` (user_id), those without a dated event are unknown. Times ahead of ``now`` count as now.
+    """
+    per = events.filter("ts is not null").groupBy("user_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    per = per if users is None else users.select("user_id").distinct().join(per, "user_id", "left")
+    hours = lambda c: (F.unix_timestamp(now) - F.unix_timestamp(c)) / 3600
+    idle = F.greatest(F.lit(0.0), hours("last"))
+    tier = F.when(F.col("last").isNull(), "unknown").when(idle >= K.LAPSED_HOURS, "lapsed").when(idle >= K.DORMANT_HOURS, "dormant")
+    return per.select("user_id", tier.when(hours("first") < K.NEW_HOURS, "new").otherwise("active").alias("tier"))
 
 
 def idle_gaps(events: DataFrame, hours: int = 72, cooldown: int = 48) -> DataFrame:
@@ -123,10 +165,18 @@ def source_health(df: DataFrame) -> DataFrame:
     return split.rollup("provider", "tenant").agg(F.count(F.lit(1)).alias("n")).filter("provider is not null")
 
 
-def velocity(df: DataFrame, now: Column) -> DataFrame:
-    """Postings of the last seven days against the seven before, by provider."""
-    d = X.elapsed_days(now, F.col("posted_date"))
-    return df.groupBy(F.split_part("source", F.lit(":"), F.lit(1)).alias("provider")).agg(F.count_if(d.between(0, 6)).alias("this_week"), F.count_if(d.between(7, 13)).alias("last_week"))
+def velocity(history: DataFrame, now: Column) -> DataFrame:
+    """This week against the last, by source: sums of n over the batches of (ts, source, n), and the change in percent.
+
+    A week is the seven days before ``now``, whose own moment is outside. From nothing to something is 100.
+    """
+    ago = lambda days: F.col("ts") >= now - F.make_dt_interval(F.lit(days))
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).alias
+    rows = history.filter((F.col("ts") < now) & ago(14))
+    out = rows.groupBy("source").agg(total(ago(7))("this_week"), total(~ago(7))("last_week"))
+    t, before = F.col("this_week"), F.col("last_week")
+    change = F.when(before > 0, F.round(100 * (t - before) / F.nullif(before, F.lit(0)), 1)).when(t > 0, 100.0).otherwise(0.0)
+    return out.withColumn("delta_pct", change)
 
 
 def new_companies(df: DataFrame, back: int) -> DataFrame:
@@ -139,16 +189,45 @@ def new_companies(df: DataFrame, back: int) -> DataFrame:
     return now.join(before, "company", "left_anti")
 
 
+def cumulative(df: DataFrame, column: str, parts: int = 200) -> DataFrame:
+    """value, n (rows with it) and before (rows of lesser values), of the non-null values of a column.
+
+    Values are counted first; ranges of about equal numbers of values get running sums of their own, to which the sums of
+    the ranges before are added, so no task sorts them all.
+    """
+    per = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    bounds = F.percentile_approx("value", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(10 * parts))
+    cuts = F.broadcast(per.agg(bounds.alias("cuts")))  # one row
+    ranged = per.join(cuts).withColumn("part", F.size(F.filter("cuts", lambda b: b < F.col("value")))).drop("cuts")
+    base = ranged.groupBy("part").agg(F.sum("n").alias("m"))  # a row a range
+    base = base.select("part", F.coalesce(F.sum("m").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    own = F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy("value").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("own", own).join(F.broadcast(base), "part").select("value", "n", (F.col("base") + F.col("own")).alias("before"))
+
+
+def _at(index: Column) -> Column:
+    """The value with that index, of rows of ``cumulative``."""
+    return F.max(F.when((F.col("before") <= index) & (index < F.col("before") + F.col("n")), F.col("value")))
+
+
 def percentile_by_index(df: DataFrame, column: str, points: list[int]) -> DataFrame:
-    """Values at index int(n * p / 100) - 1 (at least 0) of the sorted column."""
-    exact = [F.round(F.percentile(column, F.lit(0.0)) if p == 0 else F.expr(f"percentile_disc({p / 100}) within group (order by {column})"), 6).alias(f"p{p}") for p in points]
-    return df.agg(*exact, F.round(F.avg(column), 6).alias("mean"), F.round(F.stddev_samp(column), 6).alias("sd"))
+    """Values at index int(n * p / 100) - 1 (0 at least) of the sorted column, its mean and sample deviation."""
+    totals = df.agg(F.count(column).alias("rows"), F.round(F.avg(column), 6).alias("mean"), F.round(F.stddev_samp(column), 6).alias("sd"))
+    index = lambda p: F.greatest(F.lit(0), F.expr(f"rows * {p} div 100") - 1)
+    rows = cumulative(df, column).join(F.broadcast(totals))  # one row
+    return rows.groupBy("mean", "sd").agg(*[F.round(_at(index(p)), 6).alias(f"p{p}") for p in points]).select(*[f"p{p}" for p in points], "mean", "sd")
+
+
+def median(df: DataFrame, column: str) -> DataFrame:
+    """One row: the median, the mean of two middle values."""
+    rows = cumulative(df, column).join(F.broadcast(df.agg(F.count(column).alias("rows"))))  # one row
+    return rows.agg(((_at(F.expr("(rows - 1) div 2")) + _at(F.expr("rows div 2"))) / 2).alias("median"))
 
 
 def trimmed_latency(df: DataFrame, column: str, factor: float = 2.5) -> DataFrame:
     """Mean and maximum without values above factor times the median."""
-    median = F.broadcast(df.agg(F.percentile(column, F.lit(0.5)).alias("median")))  # one row
-    return df.join(median).filter(F.col(column) <= factor * F.col("median")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(column), 4).alias("mean"), F.max(column).alias("worst"))
+    middle = F.broadcast(median(df, column))  # one row
+    return df.join(middle).filter(F.col(column) <= factor * F.col("median")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(column), 4).alias("mean"), F.max(column).alias("worst"))
 
 
 def keyword_search(df: DataFrame, query: str, text: str, n: int, tie: list[str]) -> DataFrame:

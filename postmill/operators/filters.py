@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -169,20 +170,14 @@ def personal_email(desc: Column) -> Column:
     return F.contains(desc, F.lit("@")) & desc.rlike(r"[a-z0-9._%+-]@(?:gmail|yahoo|hotmail|outlook)\.(?:com|net|org)")
 
 
-def risk_flags(title: Column, desc: Column, salary: Column, url: Column, company: Column, full: Column) -> Column:
-    """All flags, from lower-cased columns; ``full`` is title, description and salary."""
-    vague = title.rlike(VAGUE)
-    flag = lambda cond, name: F.when(cond, F.lit(name))
-    lists = F.concat(
-        F.transform(T.which_in(full, K.SCAM_PHRASES), lambda p: F.concat(F.lit("SCAM_PHRASE: "), p)),
-        F.transform(T.which_in(full, K.GHOST_PHRASES), lambda p: F.concat(F.lit("GHOST_JOB: "), p)),
-        F.filter(F.array(flag(vague, "VAGUE_TITLE"), flag(company.isin(*K.HIDDEN_COMPANIES), "NO_COMPANY")), lambda x: x.isNotNull()),
-        F.transform(huge_amounts(salary), lambda n: F.concat(F.lit("SUSPICIOUS_SALARY: "), n.cast("string"))),
-        F.filter(F.array(flag((desc != "") & (F.char_length(desc) < 50), "SHORT_DESCRIPTION"), flag(desc == "", "NO_DESCRIPTION")), lambda x: x.isNotNull()),
-        F.transform(T.which_in(url, K.SHORTENERS), lambda p: F.concat(F.lit("SHORTENED_URL: "), p)),
-        F.filter(F.array(flag(personal_email(desc), "PERSONAL_EMAIL")), lambda x: x.isNotNull()),
-    )
-    return lists
+def _any_pattern(words) -> str:
+    return "|".join(map(re.escape, words))
+
+
+def _listed(text: Column, words, label: str) -> Column:
+    """Labelled words that the text holds; the list is walked only where one pattern of all words finds something."""
+    found = T.let(text, lambda s: F.transform(T.which_in(s, words), lambda p: F.concat(F.lit(label), p)))
+    return F.when(text.rlike(_any_pattern(words)), found).otherwise(F.expr("cast(array() as array<string>)"))
 
 
 def with_risk(df: DataFrame) -> DataFrame:
@@ -191,16 +186,23 @@ def with_risk(df: DataFrame) -> DataFrame:
     out = df.withColumns({f"__{c}": F.lower(T.text(F.col(c))) for c in names})  # worked out once a row, used by all rules
     out = out.withColumn("__full", F.concat_ws(" ", "__title", "__description", "__salary_text"))
     title, desc, salary, url, company, full = (F.col(f"__{c}") for c in (*names, "full"))
-    one = lambda cond: F.coalesce(cond, F.lit(False)).cast("int")
+    flag = lambda cond, name: F.when(cond, F.lit(name))
+    long_digits = salary.rlike("[0-9][0-9,]{5}")  # no amount over 500,000 without them
+    amounts = F.when(long_digits, F.transform(huge_amounts(salary), lambda n: F.concat(F.lit("SUSPICIOUS_SALARY: "), n.cast("string"))))
     out = out.withColumns({
-        "__scam": T.any_in(full, K.SCAM_PHRASES), "__ghost": F.size(T.which_in(full, K.GHOST_PHRASES)),
-        "__other": one(title.rlike(VAGUE)) + one(company.isin(*K.HIDDEN_COMPANIES)) + F.size(huge_amounts(salary)) + one(F.char_length(desc) < 50)
-        + F.size(T.which_in(url, K.SHORTENERS)) + one(personal_email(desc)),
+        "__scam": _listed(full, K.SCAM_PHRASES, "SCAM_PHRASE: "), "__ghost": _listed(full, K.GHOST_PHRASES, "GHOST_JOB: "),
+        "__first": F.filter(F.array(flag(title.rlike(VAGUE), "VAGUE_TITLE"), flag(company.isin(*K.HIDDEN_COMPANIES), "NO_COMPANY")), lambda x: x.isNotNull()),
+        "__amounts": F.coalesce(amounts, F.expr("cast(array() as array<string>)")),
+        "__thin": F.filter(F.array(flag((desc != "") & (F.char_length(desc) < 50), "SHORT_DESCRIPTION"), flag(desc == "", "NO_DESCRIPTION")), lambda x: x.isNotNull()),
+        "__short": _listed(url, K.SHORTENERS, "SHORTENED_URL: "),
+        "__mail": F.filter(F.array(flag(personal_email(desc), "PERSONAL_EMAIL")), lambda x: x.isNotNull()),
     })
-    scam, ghost, other = F.col("__scam"), F.col("__ghost"), F.col("__other")
-    risk = F.when(scam | (ghost >= 2) | ((ghost >= 1) & (other >= 2)), "high").when(ghost + other >= 3, "medium").otherwise("low")
-    out = out.withColumns({"flags": risk_flags(title, desc, salary, url, company, full), "risk": risk})
-    return out.drop(*(f"__{c}" for c in (*names, "full", "scam", "ghost", "other")))
+    lists = [F.col(f"__{c}") for c in ("scam", "ghost", "first", "amounts", "thin", "short", "mail")]
+    scam, ghost = F.size("__scam"), F.size("__ghost")
+    other = sum((F.size(c) for c in lists[2:]), F.lit(0))
+    risk = F.when((scam > 0) | (ghost >= 2) | ((ghost >= 1) & (other >= 2)), "high").when(ghost + other >= 3, "medium").otherwise("low")
+    out = out.withColumns({"flags": F.concat(*lists), "risk": risk})
+    return out.drop(*(f"__{c}" for c in (*names, "full", "scam", "ghost", "first", "amounts", "thin", "short", "mail")))
 
 
 def risk_split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -208,9 +210,16 @@ def risk_split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.filter("risk <> 'high'"), judged.filter("risk in ('high', 'medium')")
 
 
-def active_sources(sources: DataFrame, failures: DataFrame, now: Column, days: int = 7) -> DataFrame:
-    """Sources without a failure in the last days; failures are the latest (source, slug, ts), null times never count."""
-    recent = failures.filter((F.unix_timestamp(now) - F.unix_timestamp("ts")) < days * 86400).select("source", "slug").distinct()
+def active_sources(sources: DataFrame, failures: DataFrame, now: Column, days: int = 7, successes: DataFrame | None = None) -> DataFrame:
+    """Sources whose last failure is not within the last days, or was followed by a success.
+
+    failures and successes are events (source, slug, ts); the latest of each counts, null times never do.
+    """
+    last = failures.groupBy("source", "slug").agg(F.max("ts").alias("ts"))
+    if successes is not None:
+        good = successes.groupBy("source", "slug").agg(F.max("ts").alias("good"))
+        last = last.join(good, ["source", "slug"], "left").filter(F.col("good").isNull() | (F.col("good") < F.col("ts")))
+    recent = last.filter((F.unix_timestamp(now) - F.unix_timestamp("ts")) < days * 86400).select("source", "slug")
     return sources.join(recent, ["source", "slug"], "left_anti")
 
 
@@ -227,23 +236,20 @@ def drop_counts(df: DataFrame, reasons: dict[str, Column]) -> DataFrame:
     return df.select(F.coalesce(first_reason(reasons), F.lit("kept")).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-COMPANY_TIERS = {"mega": ("company 0", "company 1"), "large": ("company 2", "company 3", "company 4")}
-
-
 def company_tier(company: Column, tiers: dict | None = None) -> Column:
-    """mega, large or growth, from name lists given as a parameter."""
+    """mega, large or growth, by lists of names in lower case."""
     c = F.lower(F.trim(T.text(company)))
     out = F.when(F.lit(False), "")
-    for tier, names in (tiers or COMPANY_TIERS).items():
+    for tier, names in (tiers or K.COMPANY_TIERS).items():
         out = out.when(c.isin(*names), tier)
     return out.otherwise("growth")
 
 
-def filter_freshness(df: DataFrame, windows: dict[str, int], now: Column) -> DataFrame:
+def filter_freshness(df: DataFrame, now: Column, windows: dict[str, int] | None = None, tiers: dict | None = None) -> DataFrame:
     """Postings not older than their company tier's window of days; 0 is no limit, undated postings pass."""
     limit = F.lit(0)
-    for tier, days in windows.items():
-        limit = F.when(company_tier(F.col("company")) == tier, F.lit(days)).otherwise(limit)
+    for tier, days in (windows or K.FRESHNESS_DAYS).items():
+        limit = F.when(company_tier(F.col("company"), tiers) == tier, F.lit(days)).otherwise(limit)
     age = F.unix_timestamp(now) - F.unix_timestamp("posted_date")
     return df.filter(F.col("posted_date").isNull() | (limit == 0) | (age <= limit * 86400))
 
@@ -268,20 +274,26 @@ def filter_radius(df: DataFrame, cities: DataFrame, pins: list[tuple[float, floa
     return located.filter(remote | F.col("lat").isNull() | near)
 
 
-CITY_ROWS = 10_000
+CITY_BLOCK = 10_000
 
 
-def with_city(df: DataFrame, cities: DataFrame) -> DataFrame:
+def with_city(df: DataFrame, cities: DataFrame, block: int = CITY_BLOCK) -> DataFrame:
     """Adds city, lat and lon of the longest city key that the location holds.
 
-    Distinct locations are matched, not rows. The city table must have at most ``CITY_ROWS`` rows and is broadcast.
+    Distinct locations are matched, not rows, with about ``block`` cities at a time, which are broadcast; of each block
+    only the best city of a location is kept.
     """
-    if cities.limit(CITY_ROWS + 1).count() > CITY_ROWS:
-        raise ValueError(f"more than {CITY_ROWS} cities")
     places = df.select(F.coalesce("location", F.lit("")).alias("__place")).distinct()
-    hits = places.join(F.broadcast(cities), F.contains(F.lower("__place"), F.col("key")))
-    best = hits.groupBy("__place").agg(F.max_by(F.struct(F.col("key").alias("city"), "lat", "lon"), F.struct(F.char_length("key"), F.col("key"))).alias("c"))
-    return df.join(best, F.coalesce("location", F.lit("")) == F.col("__place"), "left").select(df["*"], "c.city", "c.lat", "c.lon")
+    blocks = max(1, -(-cities.count() // block))
+    found = None
+    for k in range(blocks):
+        part = cities if blocks == 1 else cities.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == k)
+        hits = places.join(F.broadcast(part.select("key", "lat", "lon")), F.contains(F.lower("__place"), F.col("key")))
+        best = hits.groupBy("__place").agg(F.max(F.struct(F.char_length("key").alias("n"), F.col("key").alias("city"), "lat", "lon")).alias("c"))
+        found = best if found is None else found.unionAll(best)
+    if blocks > 1:
+        found = found.groupBy("__place").agg(F.max("c").alias("c"))
+    return df.join(found, F.coalesce("location", F.lit("")) == F.col("__place"), "left").select(df["*"], "c.city", "c.lat", "c.lon")
 
 
 def filter_recent(df: DataFrame, days: int, now: Column) -> DataFrame:

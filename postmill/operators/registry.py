@@ -40,16 +40,29 @@ def merge_stats(df: DataFrame) -> DataFrame:
     )
 
 
+def keyed_urls(cards: DataFrame) -> DataFrame:
+    """Adds url_key, the normalised URL; null where there is none."""
+    return cards.withColumn("url_key", F.nullif(T.norm_url(F.col("url")), F.lit("")))
+
+
 def skip_seen(cards: DataFrame, seen: DataFrame) -> DataFrame:
-    """Cards whose URL is new: not in seen, and the first with it in this batch; cards without URL pass.
+    """Cards to go on with: pages (kind "html", or no column kind) whose URL is not in seen and the first with it in this
+    batch; cards without URL, and all of other kinds, pass. A URL counts as seen after a card of any kind.
 
-    Needs ingest_seq and url; seen has url_key.
+    Needs ingest_seq and url, and url_key if ``keyed_urls`` was called; seen has url_key.
     """
-    keyed = cards.withColumn("url_key", F.nullif(T.norm_url(F.col("url")), F.lit("")))
+    keyed = cards if "url_key" in cards.columns else keyed_urls(cards)
     first = keyed.filter("url_key is not null").groupBy("url_key").agg(F.min("ingest_seq").alias("__first"))
     fresh = first.join(seen.select("url_key"), "url_key", "left_anti")
+    page = F.coalesce(F.col("kind") == "html", F.lit(False)) if "kind" in cards.columns else F.lit(True)
     joined = keyed.join(fresh, "url_key", "left")
-    return joined.filter("url_key is null or ingest_seq = __first").drop("__first")
+    return joined.filter(~page | F.col("url_key").isNull() | (F.col("ingest_seq") == F.col("__first"))).drop("__first")
+
+
+def seen_after(cards: DataFrame, seen: DataFrame) -> DataFrame:
+    """url_key of all that was seen and of all cards of this batch, each once."""
+    keyed = cards if "url_key" in cards.columns else keyed_urls(cards)
+    return seen.select("url_key").unionAll(keyed.filter("url_key is not null").select("url_key")).distinct()
 
 
 def mark_new(df: DataFrame, seen_jobs: DataFrame) -> DataFrame:
@@ -80,17 +93,27 @@ def upsert(registry: DataFrame, scored: DataFrame, batch_id: int, profile_versio
     )
 
 
+COMMON = 200
+
+
 def _tokens(df: DataFrame, side: str) -> DataFrame:
     return df.select(F.lower(F.trim(T.text(F.col("company")))).alias("co"), T.norm_location(F.col("location")).alias("loc"), F.array_sort(T.title_tokens(F.col("title"))).alias(f"{side}_tokens"), "*")
 
 
 def _alike(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """(co, loc, a_tokens, b_tokens, overlap) of the distinct token sets of ``_tokens`` that reach the threshold."""
+    """(co, loc, a_tokens, b_tokens, overlap) of the distinct token sets of ``_tokens`` that reach the threshold.
+
+    Sets meet on the first of their tokens in an order that is the same for all: the ``COMMON`` most frequent tokens come
+    last, so that words of most titles do not gather whole companies. Any order gives the same pairs.
+    """
+    frequent = b.select(F.explode("b_tokens").alias("t")).groupBy("t").count().orderBy(F.desc("count"), "t").limit(COMMON)
+    listed = F.array(*[F.lit(r["t"]) for r in frequent.collect()]).cast("array<string>")  # at most COMMON words
 
     def prefixes(df: DataFrame, side: str) -> DataFrame:
         tokens = F.col(f"{side}_tokens")
         n = F.size(tokens)
-        head = F.slice(tokens, F.lit(1), n - F.ceil(least * n).cast("int") + 1)
+        rare = F.array_sort(F.transform(tokens, lambda t: F.struct((F.coalesce(F.array_position(listed, t), F.lit(0)) > 0).alias("common"), t.alias("token"))))
+        head = F.transform(F.slice(rare, F.lit(1), n - F.ceil(least * n).cast("int") + 1), lambda s: s["token"])
         return df.select("co", "loc", tokens).distinct().filter(n > 0).withColumn("token", F.explode(head))
 
     pairs = prefixes(a, "a").join(prefixes(b, "b"), ["co", "loc", "token"]).select("co", "loc", "a_tokens", "b_tokens").distinct()
@@ -101,7 +124,7 @@ def near_dupes(new: DataFrame, registry: DataFrame, least: float = 0.75) -> Data
     """For each new row (ingest_seq, company, title, location) the registry row (key and the same) most alike by title
     tokens, among those of the same company and place: (ingest_seq, key, overlap).
 
-    Rows that reach the threshold share one of the first n - ceil(least * n) + 1 of their sorted tokens, so they meet
+    Rows that reach the threshold share one of the first n - ceil(least * n) + 1 of their ordered tokens, so they meet
     on (company, place, token) and not in whole buckets; distinct token sets are compared once.
     """
     a, b = _tokens(new, "a"), _tokens(registry, "b")
@@ -132,12 +155,28 @@ def latest_states(events: DataFrame) -> DataFrame:
     return events.groupBy("app_id").agg(F.max_by("state", "seq").alias("state"), F.count(F.lit(1)).alias("n_changes"), F.min("ts").alias("first_ts"), F.max_by("company", "seq").alias("company"))
 
 
-def funnel(states: DataFrame) -> DataFrame:
+def funnel(states: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
+    """One row: totals, counts by state (a map), passes among ``decisions``, and the two rates."""
+    known = ("discovered", "evaluated", *K.APPLICATION_WEIGHTS)
     n = lambda *names: F.count_if(F.col("state").isin(*names))
     applied, responded = n("applied", "responded", "interview", "offer"), n("responded", "interview", "offer")
     pct = lambda a, b: F.format_string("%.1f%%", F.round(100 * a / F.greatest(b, F.lit(1)), 1))
     total = F.count(F.lit(1))
-    return states.agg(total.alias("total"), applied.alias("applied"), responded.alias("responded"), pct(applied, total).alias("discovery_to_apply"), pct(responded, applied).alias("apply_to_response"))
+    by_state = F.create_map(*[x for s in known for x in (F.lit(s), n(s))], F.lit("unknown"), F.count_if(~F.coalesce(F.col("state").isin(*known), F.lit(False))))
+    out = states.agg(
+        total.alias("total"), F.map_filter(by_state, lambda _, v: v > 0).alias("by_state"), applied.alias("applied"), responded.alias("responded"),
+        pct(applied, total).alias("discovery_to_apply"), pct(responded, applied).alias("apply_to_response"),
+    )
+    if decisions is None:
+        return out.withColumn("total_passed", F.lit(0).cast("long"))
+    return out.join(F.broadcast(decisions.agg(F.count(F.lit(1)).alias("total_passed"))))  # one row each
+
+
+def registry_stats(registry: DataFrame) -> DataFrame:
+    """One row: total, seen, unseen, dismissed and starred."""
+    marked = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False)))
+    total = F.count(F.lit(1))
+    return registry.agg(total.alias("total"), marked("seen").alias("seen"), (total - marked("seen")).alias("unseen"), marked("dismissed").alias("dismissed"), marked("starred").alias("starred"))
 
 
 def company_signals(states: DataFrame, now) -> DataFrame:
@@ -157,21 +196,33 @@ def discover(applications: DataFrame, scored: DataFrame) -> DataFrame:
 
 
 def with_applied(df: DataFrame, applications: DataFrame, states=("applied", "responded", "interview", "offer")) -> DataFrame:
-    have = applications.filter(F.col("state").isin(*states)).select(F.lower(F.trim("company")).alias("__c")).distinct().withColumn("applied", F.lit(True))
-    return df.join(have, F.lower(F.trim("company")) == F.col("__c"), "left").withColumn("applied", F.coalesce("applied", F.lit(False))).drop("__c")
+    """Adds applied: an application in one of ``states`` has the posting's title and company. Blank ones match nothing."""
+    key = F.when((F.trim(T.text(F.col("title"))) != "") & (F.trim(T.text(F.col("company"))) != ""), T.job_key(F.col("title"), F.col("company")))
+    have = applications.filter(F.col("state").isin(*states)).select(key.alias("__key")).filter("__key is not null").distinct().withColumn("__have", F.lit(True))
+    return df.withColumn("__key", key).join(have, "__key", "left").withColumn("applied", F.coalesce("__have", F.lit(False))).drop("__key", "__have")
 
 
 def fold_reactions(reactions: DataFrame) -> DataFrame:
     """Flags of each posting after its reactions (key, ts, seq, action) in order.
 
-    star and dismiss toggle, up and down set, clear resets all, and every other action marks as seen. What counts is
-    what follows the last reset, so a flag is the parity of its toggles after it: aggregation, no ordered walk.
+    up sets starred, down sets dismissed, star and dismiss toggle theirs, clear resets both; every action but clear
+    marks as seen, which nothing resets. A flag is what its last setting action (up or down, or clear) left, flipped once
+    for each later toggle: aggregation, no ordered walk.
     """
     order = F.struct("ts", "seq")
-    last_clear = reactions.groupBy("key").agg(F.max(F.when(F.col("action") == "clear", order)).alias("__clear"))
-    after = reactions.join(last_clear, "key").withColumn("live", (F.col("action") != "clear") & (F.col("__clear").isNull() | (order > F.col("__clear"))))
-    n = lambda a: F.count_if(F.col("live") & (F.col("action") == a))
-    return after.groupBy("key").agg((n("star") % 2 == 1).alias("starred"), (n("dismiss") % 2 == 1).alias("dismissed"), F.bool_or("live").alias("seen"), n("up").alias("n_up"))
+    sets = lambda name: F.max(F.when(F.col("action").isin(name, "clear"), F.struct("ts", "seq", (F.col("action") == name).alias("on"))))
+    last = reactions.groupBy("key").agg(sets("up").alias("__up"), sets("down").alias("__down"))
+    rows = reactions.join(last, "key")
+
+    def flag(last_set: str, toggle: str):
+        after = F.col(last_set).isNull() | (order > F.struct(f"{last_set}.ts", f"{last_set}.seq"))
+        flips = F.count_if((F.col("action") == toggle) & after)
+        return (F.coalesce(F.bool_or(F.col(f"{last_set}.on")), F.lit(False)).cast("int") + flips) % 2 == 1
+
+    return rows.groupBy("key").agg(
+        flag("__up", "star").alias("starred"), flag("__down", "dismiss").alias("dismissed"),
+        F.bool_or(F.col("action") != "clear").alias("seen"), F.count_if(F.col("action") == "up").alias("n_up"),
+    )
 
 
 def sync_labels(cache: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -2,67 +2,147 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as P
 
 from postmill.functions import constants as K
 from postmill.functions import fields as X
 from postmill.functions import text as T
 from postmill.operators import filters as O
 
-MAX_PROFILES = 10_000
-LABEL_BLOCK = 100_000
+BLOCK_BYTES = 32 << 20
+MATRIX_ROWS = 1024
 
 
-def bounded(small: DataFrame, rows: int, what: str) -> DataFrame:
-    """A broadcast of ``small``, which must have at most ``rows`` rows."""
-    if small.limit(rows + 1).count() > rows:
-        raise ValueError(f"more than {rows} {what}: run them in blocks")
-    return F.broadcast(small)
+def _unit_rows(column: pa.Array, width: int) -> np.ndarray:
+    """Vectors of ``width`` numbers as a matrix of rows of length 1; a zero or null vector is a row of zeros."""
+    rows = column.to_pylist()
+    out = np.zeros((len(rows), width))
+    for i, r in enumerate(rows):
+        if r:
+            out[i] = r
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that all executors see (spark.checkpoint.dir), or a temporary one where it is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+def vector_blocks(rows: DataFrame, key: str, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list, np.ndarray]]:
+    """The rows (key, embedding) in blocks of about ``block_bytes``: their keys and their unit vectors.
 
+    A block at a time is collected and broadcast, so any number of rows needs bounded memory.
+    """
+    n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    blocks = max(1, -(-n * 8 * max(1, width or 1) // block_bytes))
+    for k in range(blocks if n else 0):
+        mine = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64(key, "embedding"), F.lit(blocks)) == k)
+        table = mine.select(key, "embedding").toArrow()
+        if table.num_rows:
+            yield table.column(key).to_pylist(), _unit_rows(table.column("embedding"), width)
 
-def profile_similarity(vectors: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(profile_id, vec_id, similarity): every vector against every profile, a stated query set."""
-    p = bounded(profiles.select("profile_id", F.col("embedding").alias("__p")), MAX_PROFILES, "profiles")
-    return vectors.crossJoin(p).select("profile_id", "vec_id", F.round(X.cosine(F.col("embedding"), F.col("__p")), 4).alias("similarity"))
 
+def profile_similarity(vectors: DataFrame, profiles: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(profile_id, vec_id, similarity): every vector against every profile, a stated query set.
 
-def label_similarity(vectors: DataFrame, labels: DataFrame, least: dict[str, int], block: int = LABEL_BLOCK) -> DataFrame:
+    Profiles are taken in blocks of bounded bytes; each task multiplies its vectors with a block as matrices. A vector or
+    profile without length has similarity 0.
+    """
+    ids = profiles.schema["profile_id"].dataType
+    schema = P.StructType([P.StructField("profile_id", ids), vectors.schema["vec_id"], P.StructField("similarity", P.DoubleType())])
+    out = None
+    for names, matrix in vector_blocks(profiles, "profile_id", block_bytes):
+        shared = vectors.sparkSession.sparkContext.broadcast((names, matrix))
+
+        def run(batches, shared=shared):
+            names, matrix = shared.value
+            for batch in batches:
+                for k in range(0, batch.num_rows, MATRIX_ROWS):
+                    part = batch.slice(k, MATRIX_ROWS)
+                    found = np.round(_unit_rows(part.column("embedding"), matrix.shape[1]) @ matrix.T, 4) + 0.0
+                    own = part.column("vec_id").take(pa.array(np.repeat(np.arange(part.num_rows), len(names))))
+                    yield pa.RecordBatch.from_arrays([pa.array(names * part.num_rows).cast(kind), own, pa.array(found.ravel())], ["profile_id", "vec_id", "similarity"])
+
+        kind = pa.int64() if isinstance(ids, P.LongType) else pa.int32() if isinstance(ids, P.IntegerType) else pa.string()
+        step = vectors.select("vec_id", "embedding").mapInArrow(run, schema)
+        out = step if out is None else out.unionAll(step)
+    return vectors.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def label_similarity(vectors: DataFrame, labels: DataFrame, least: dict[str, int], block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """vec_id and, for each state of (state, embedding) with enough labels, the highest cosine to one of them.
 
-    Any number of labels: they are taken in blocks of about ``block``, each broadcast by itself, and of each block
-    only the maximum by vec_id and state is kept; the blocks' maxima are combined.
+    Any number of labels: they are taken in blocks of bounded bytes; of each block only the maximum by vector and state is
+    kept, and the maxima of the blocks are combined.
     """
-    sizes = labels.groupBy("state").count()
-    enough = F.lit(False)
-    for state, n in least.items():
-        enough = enough | ((F.col("state") == state) & (F.col("count") >= n))
-    used = labels.join(sizes.filter(enough), "state").select("state", F.col("embedding").alias("__l"))
-    blocks = max(1, -(-used.count() // block))
-    if blocks > 1:
-        used = kept(used.withColumn("__block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))))
-    best = None
-    for k in range(blocks):
-        part = used.filter(F.col("__block") == k).drop("__block") if blocks > 1 else used
-        similarity = X.cosine(F.col("embedding"), F.col("__l"))
-        found = vectors.crossJoin(F.broadcast(part)).groupBy("vec_id").agg(*[F.max(F.when(F.col("state") == s, similarity)).alias(s) for s in least])
-        if blocks > 1:
-            found = kept(found)  # a block at a time is held in memory
-        best = found if best is None else best.unionByName(found)
-    if blocks > 1:
-        best = best.groupBy("vec_id").agg(*[F.max(s).alias(s) for s in least])
-    return vectors.select("vec_id").join(best, "vec_id", "left")
+    sizes = {r["state"]: r["count"] for r in labels.filter(F.col("state").isin(*least)).groupBy("state").count().collect()}  # a row a state
+    states = [s for s, n in least.items() if sizes.get(s, 0) >= n]
+    schema = P.StructType([vectors.schema["vec_id"], *(P.StructField(s, P.DoubleType()) for s in least)])
+    out = None
+    for names, matrix in vector_blocks(labels.filter(F.col("state").isin(*states)), "state", block_bytes) if states else ():
+        shared = vectors.sparkSession.sparkContext.broadcast((np.array(names), matrix))
+
+        def run(batches, shared=shared):
+            names, matrix = shared.value
+            for batch in batches:
+                for k in range(0, batch.num_rows, MATRIX_ROWS):
+                    part = batch.slice(k, MATRIX_ROWS)
+                    found = _unit_rows(part.column("embedding"), matrix.shape[1]) @ matrix.T
+                    best = [pa.array(found[:, names == s].max(axis=1)) if (names == s).any() else pa.nulls(part.num_rows, pa.float64()) for s in least]
+                    yield pa.RecordBatch.from_arrays([part.column("vec_id"), *best], ["vec_id", *least])
+
+        step = vectors.select("vec_id", "embedding").mapInArrow(run, schema)
+        out = step if out is None else out.unionAll(step)
+    if out is None:
+        return vectors.select("vec_id", *[F.lit(None).cast("double").alias(s) for s in least])
+    return out.groupBy("vec_id").agg(*[F.max(s).alias(s) for s in least])
+
+
+ENCODE_ROWS = 32
+
+
+def with_batches(rows: DataFrame, encoder: Callable[[list], list], schema: str, columns: tuple[str, ...], batch: int = ENCODE_ROWS) -> DataFrame:
+    """``rows`` with the columns of ``schema`` that a caller's model gives for batches of ``batch`` rows.
+
+    ``encoder`` gets a list of tuples of ``columns`` and returns as many values for the one column of ``schema``. Rows of a
+    task are taken in order; a model that loads lazily does so once a task.
+    """
+    added = P.StructType.fromDDL(schema)
+    name = added.fields[0].name
+
+    def run(batches):
+        for frame in batches:
+            for k in range(0, frame.num_rows, batch):
+                part = frame.slice(k, batch)
+                values = encoder(list(zip(*(part.column(c).to_pylist() for c in columns), strict=True)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, kind)], [*part.schema.names, name])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(added.fields[0].dataType)
+    return rows.mapInArrow(run, P.StructType([*rows.schema.fields, *added.fields]))
+
+
+def encode(rows: DataFrame, encoder: Callable[[list], list], most: int = 1500, batch: int = ENCODE_ROWS) -> DataFrame:
+    """Rows (text, ...) with embedding, from texts of at most ``most`` characters."""
+    short = rows.withColumn("__short", F.substring(T.text(F.col("text")), 1, most))
+    return with_batches(short, lambda items: encoder([t for (t,) in items]), "embedding array<float>", ("__short",), batch).drop("__short")
+
+
+def score_pairs(rows: DataFrame, scorer: Callable[[list], list], batch: int = ENCODE_ROWS) -> DataFrame:
+    """Rows (profile_text, text, ...) with pair_score."""
+    return with_batches(rows, scorer, "pair_score double", ("profile_text", "text"), batch)
+
+
+def encode_missing(rows: DataFrame, cache: DataFrame, model: str, encoder: Callable[[list], list]) -> DataFrame:
+    """Cache rows (text_key, model, embedding) for the texts that have none of this model: each text is encoded once."""
+    from postmill.operators.registry import split_cached
+
+    _, misses = split_cached(rows, cache, model)
+    return encode(misses.select("text_key", "text").dropDuplicates(["text_key"]), encoder).select("text_key", F.lit(model).alias("model"), "embedding")
 
 
 def feedback(base: Column) -> Column:
@@ -104,17 +184,39 @@ def tier(score: Column, match: float = 0.60, maybe: float = 0.45) -> Column:
     return F.when(score >= match, "match").when(score >= maybe, "maybe").otherwise("none")
 
 
-def adjust(df: DataFrame, prefs: O.Preferences, *, structured_profile: bool = True, title_boost: float = 0.0) -> DataFrame:
-    """Adds fit: the score after the adjustments in their order, each step clamped to 0..1.
+def adjustments(df: DataFrame, prefs: O.Preferences, *, structured_profile: bool = True, title_boost: float = 0.0) -> DataFrame:
+    """Adds adjustments, an array of the steps in their order: what a posting adds to any profile's score.
 
-    Needs score, job_level, required_years and salary_usd.
+    Needs job_level, required_years and salary_usd. Work them out before postings meet profiles.
     """
     steps = [title_adjust(prefs, title_boost)] + ([] if structured_profile else [seniority_adjust(prefs)])
     steps += [location_adjust(prefs), salary_adjust(prefs, F.col("salary_usd")), years_adjust(prefs)]
-    out = df.withColumn("fit", F.col("score"))
-    for step in steps:
-        out = out.withColumn("fit", X.clamp(F.col("fit") + step))
-    return out
+    return df.withColumn("adjustments", F.array(*(F.coalesce(s.cast("double"), F.lit(0.0)) for s in steps)))
+
+
+def fitted(df: DataFrame, steps: int = 4) -> DataFrame:
+    """Adds fit: the score after the adjustments, each step clamped to 0..1."""
+    fit = F.col("score")
+    for i in range(steps):
+        fit = X.clamp(fit + F.get("adjustments", F.lit(i)))
+    return df.withColumn("fit", fit)
+
+
+def adjust(df: DataFrame, prefs: O.Preferences, *, structured_profile: bool = True, title_boost: float = 0.0) -> DataFrame:
+    """Rows with score, fitted at once."""
+    rows = adjustments(df, prefs, structured_profile=structured_profile, title_boost=title_boost)
+    return fitted(rows, 4 if structured_profile else 5).drop("adjustments")
+
+
+def top_scored(df: DataFrame, n: int) -> DataFrame:
+    """Of each profile the n rows of highest score, ties by title and then arrival.
+
+    Each of 64 parts of a profile keeps its n best, so that its rows are not sorted in one task.
+    """
+    order = [F.desc("match_score"), F.asc("title"), F.asc("ingest_seq")]
+    parts = df.withColumn("__part", F.pmod(F.xxhash64("ingest_seq"), F.lit(64)))
+    few = parts.withColumn("__r", F.row_number().over(W.partitionBy("profile_id", "__part").orderBy(*order))).filter(F.col("__r") <= n)
+    return few.withColumn("__r", F.row_number().over(W.partitionBy("profile_id").orderBy(*order))).filter(F.col("__r") <= n).drop("__r", "__part")
 
 
 def fold_ghost(df: DataFrame, weight: float = 0.35, flag: float = 0.45, warn: float = 0.30) -> DataFrame:
@@ -206,22 +308,33 @@ def mean_headline() -> Column:
     return F.round(F.try_divide(sum((F.coalesce(w * F.col(n), F.lit(0.0)) for w, n in parts), F.lit(0.0)), total), 3)
 
 
+def _marked(s: Column) -> Column:
+    """The text with a sign at each place between a letter or digit and another character, and one between two others."""
+    change = F.regexp_replace(F.concat(F.lit(" "), s, F.lit(" ")), r"(?<=[a-z0-9])(?![a-z0-9])|(?<![a-z0-9])(?=[a-z0-9])", "\x01")
+    return F.regexp_replace(change, "(?<![a-z0-9\x01])(?![a-z0-9\x01])", "\x02")
+
+
+def stands_alone(marked: Column, word: Column) -> Column:
+    """Whether a word in lower case stands in a ``_marked`` text with no letter or digit next to it; no pattern is compiled
+    for the word."""
+    return T.let(_marked(word), lambda m: F.contains(marked, F.substring(m, F.lit(3), F.char_length(m) - 4)))
+
+
 def dimensions(df: DataFrame) -> DataFrame:
     """Adds seniority_fit, tech_fit, domain_fit, lane_fit, years_fit and headline.
 
     Needs job_level and the profile's p_seniority, p_years, p_technologies (lower case) and p_fingerprint (tokens).
     """
     c = F.col
-    body = F.lower(F.concat_ws(" ", T.text(c("description")), T.text(c("title"))))
+    body = _marked(F.lower(F.concat_ws(" ", T.text(c("description")), T.text(c("title")))))
     full = F.lower(F.concat_ws(" ", T.text(c("title")), T.text(c("description")), T.text(c("company")), F.coalesce(F.array_join("technologies", " "), F.lit(""))))
     stack = F.coalesce(F.transform("technologies", lambda t: F.lower(t)), F.array().cast("array<string>"))
-    bounded_word = lambda t: F.rlike(body, F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), t, F.lit(r"\E(?![A-Za-z0-9])")))
     close = lambda t: F.exists("p_fingerprint", lambda f: F.contains(t, f) | F.contains(f, t))
     out = df.withColumns({
         "seniority_fit": ordinal_fit(c("p_seniority"), c("job_level")),
-        "tech_fit": share_found(c("p_technologies"), lambda t: F.array_contains(stack, t) | bounded_word(t)),
-        "domain_fit": share_found(c("p_fingerprint"), lambda t: F.contains(full, t)),
-        "lane_fit": F.when(F.size("p_fingerprint") > 0, share_found(T.lane_tokens(c("title")), close)),
+        "tech_fit": T.let(stack, lambda own: T.let(body, lambda b: share_found(c("p_technologies"), lambda t: F.array_contains(own, t) | stands_alone(b, t)))),
+        "domain_fit": T.let(full, lambda s: share_found(c("p_fingerprint"), lambda t: F.contains(s, t))),
+        "lane_fit": F.when(F.size("p_fingerprint") > 0, T.let(T.lane_tokens(c("title")), lambda own: share_found(own, close))),
         "years_fit": years_fit(c("p_years"), c("job_level")),
     })
     parts = [(0.30, "tech_fit"), (0.35, "domain_fit"), (0.20, "lane_fit"), (0.15, "seniority_fit")]

@@ -60,7 +60,10 @@ APPLICATIONS_CTE = """applications AS (SELECT user_id AS app_id, 'Company ' || C
 
 
 def application_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return as_applications(table(spark, sf_dir, "events"))
+
+
+def as_applications(e: DataFrame) -> DataFrame:
     state = F.when(F.col("event_type") == "signup", "discovered").when(F.col("event_type") == "view", "evaluated").when(F.col("event_type") == "click", "applied").when(F.col("event_type") == "purchase", "interview").otherwise("rejected")
     user = F.col("user_id")
     return e.select(user.alias("app_id"), F.concat(F.lit("Company "), (user % 10).cast("string")).alias("company"), F.concat(F.lit("Role "), user.cast("string")).alias("title"), F.col("event_id").alias("seq"), "ts", state.alias("state"))

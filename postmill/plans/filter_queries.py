@@ -57,7 +57,14 @@ def completeness(spark, sf):
     return postings(spark, sf).select("job_id", T.completeness().alias("completeness"))
 
 
-@query("SELECT job_id, CASE WHEN url = '' THEN '' ELSE 'https://jobs.example.com/p/' || CAST(job_id % 5000 AS VARCHAR) || '?a=1&b=2' END AS url_key, CASE WHEN url = '' THEN company || '::' || title || '::' || location ELSE url END AS row_key FROM postings")
+_DROPPED = "^(" + "|".join(K.TRACKING_PARAMS) + ")"
+_URL_SQL = f"""+u AS (SELECT job_id, url, company, title, location, regexp_replace(lower(trim(url)), '#.*$', '') AS u FROM postings), s AS (SELECT *, regexp_replace(split_part(u, '?', 1), '/+$', '') AS base,
+ list_sort(list_filter(string_split(split_part(u, '?', 2), '&'), lambda p: regexp_matches(p, '^[^=]*=.') AND NOT regexp_matches(p, '{_DROPPED}'))) AS q FROM u)
+SELECT job_id, CASE WHEN url = '' THEN '' ELSE regexp_replace(base, '^(https?://[^/]*):(80|443)(/|$)', '\\1\\3') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS url_key,
+ CASE WHEN url = '' THEN company || '::' || title || '::' || location ELSE url END AS row_key FROM s"""
+
+
+@query(_URL_SQL)
 def normalise_urls(spark, sf):
     return postings(spark, sf).select("job_id", T.norm_url(F.col("url")).alias("url_key"), T.row_key(F.col("url"), F.col("company"), F.col("title"), F.col("location")).alias("row_key"))
 
@@ -184,7 +191,7 @@ def risk_counts(spark, sf):
 
 @query("SELECT job_id FROM postings WHERE posted_date IS NULL OR CASE WHEN lower(company) IN ('company 0', 'company 1') THEN 30 WHEN lower(company) IN ('company 2', 'company 3', 'company 4') THEN 14 ELSE 7 END * 86400 >= date_diff('second', posted_date, TIMESTAMP '2001-08-02')")
 def filter_freshness(spark, sf):
-    return O.filter_freshness(postings(spark, sf), {"mega": 30, "large": 14, "growth": 7}, F.lit("2001-08-02").cast("timestamp")).select("job_id")
+    return O.filter_freshness(postings(spark, sf), F.lit("2001-08-02").cast("timestamp"), tiers={"mega": ("company 0", "company 1"), "large": ("company 2", "company 3", "company 4")}).select("job_id")
 
 
 @query(f"SELECT job_id FROM postings WHERE NOT contains({_LOC}, 'bangalore') AND ({BLOCKED_SQL}) IS NULL AND {sql_any(_LOC, ('san francisco', 'united states'))}")

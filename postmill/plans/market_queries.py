@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from postmill.functions import constants as K
 from postmill.functions import text as T
 from postmill.operators import aggregates as A
+from postmill.operators import listing as L
 from postmill.operators import registry as R
 from postmill.plans.derived import APPLICATIONS_CTE, P_CTE, application_events, postings, query, table
 from postmill.plans.filter_queries import COMPLETENESS_SQL, DEDUPE_KEY_SQL, NORM_LOCATION_SQL, salary_text
@@ -25,13 +27,21 @@ def merge_stats(spark, sf):
     return R.merge_stats(postings(spark, sf))
 
 
-@query("+c AS (SELECT job_id, batch_id, url, job_id % 5000 AS u FROM keyed), seen AS (SELECT DISTINCT u FROM c WHERE batch_id < 3 AND url <> ''), n AS (SELECT u, min(job_id) AS job_id FROM c WHERE batch_id >= 3 AND url <> '' GROUP BY u) SELECT job_id FROM n WHERE u NOT IN (SELECT u FROM seen) UNION ALL SELECT job_id FROM c WHERE batch_id >= 3 AND url = ''", KEYED_CTE)
+@query("+c AS (SELECT job_id, batch_id, url, job_id % 5000 AS u, source = 'amazon' AS html FROM keyed), seen AS (SELECT DISTINCT u FROM c WHERE batch_id < 3 AND url <> ''), n AS (SELECT u, min(job_id) AS job_id FROM c WHERE batch_id >= 3 AND url <> '' GROUP BY u) SELECT job_id FROM c WHERE batch_id >= 3 AND (NOT html OR url = '' OR (u NOT IN (SELECT u FROM seen) AND job_id IN (SELECT job_id FROM n)))", KEYED_CTE)
 def skip_seen_urls(spark, sf):
-    p = postings(spark, sf)
-    seen = p.filter("batch_id < 3 and url <> ''").select(T.norm_url(F.col("url")).alias("url_key")).distinct()
+    """Cards of one source are pages, those of the others feed entries, which always go on."""
+    p = R.keyed_urls(postings(spark, sf)).withColumn("kind", F.when(F.col("source") == "amazon", "html").otherwise("json"))
+    seen = p.filter("batch_id < 3 and url_key is not null").select("url_key").distinct()
     return R.skip_seen(p.filter("batch_id >= 3"), seen).select("job_id")
 
 
+@query("SELECT count(DISTINCT job_id % 5000) AS n FROM postings WHERE url <> ''")
+def seen_urls_after(spark, sf):
+    p = R.keyed_urls(postings(spark, sf))
+    seen = p.filter("batch_id < 3 and url_key is not null").select("url_key").distinct()
+    return R.seen_after(p.filter("batch_id >= 3"), seen).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT is_new, count(*) AS n FROM (SELECT job_key NOT IN (SELECT job_key FROM keyed WHERE batch_id < 6) AS is_new FROM keyed WHERE batch_id >= 6) GROUP BY 1", KEYED_CTE)
 def new_or_refresh(spark, sf):
     p = postings(spark, sf)
@@ -39,7 +49,21 @@ def new_or_refresh(spark, sf):
     return A.counts(R.mark_new(p.filter("batch_id >= 6"), old), "is_new")
 
 
-REGISTRY_CTE = KEYED_CTE + """, old AS (SELECT k, max((job_id * 7) % 1000) AS score, 'v' || CAST(max(batch_id) AS VARCHAR) AS pv, max(job_id) AS payload, min(batch_id) AS first_seen, max(batch_id) AS last_seen, count(DISTINCT batch_id) AS nb, bool_or(job_id % 50 = 0) AS starred FROM keyed WHERE batch_id < 11 GROUP BY k),
+HISTOGRAM_SQL = """+b AS (SELECT job_id, CASE WHEN job_id % 4 = 1 THEN NULL WHEN job_id % 100 = 7 THEN 300 ELSE salary_max END AS hi, CASE WHEN job_id % 10 = 3 THEN NULL WHEN job_id % 100 = 7 THEN 200 ELSE salary_min END AS lo FROM postings), m AS (SELECT CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN (lo + hi) / 2.0 WHEN lo IS NOT NULL THEN lo ELSE hi END AS mid FROM b WHERE job_id % 19 <> 0),
+ n AS (SELECT CAST(floor((greatest(80000, least(299999, mid)) - 80000) / 20000) AS INT) AS bin, count(*) AS n FROM m WHERE mid >= 1000 GROUP BY 1), h AS (SELECT CAST(s.b * 20000 + 80000 AS INT) AS low, coalesce(n.n, 0) AS n FROM (SELECT unnest(generate_series(0, 10)) AS b) s LEFT JOIN n ON n.bin = s.b WHERE EXISTS (SELECT 1 FROM n)) SELECT """
+
+
+def banded(spark, sf):
+    """Postings with one-sided bands, amounts that are no salaries, and removed rows."""
+    junk = F.col("job_id") % 100 == 7
+    return postings(spark, sf).withColumns({
+        "salary_max": F.when(F.col("job_id") % 4 == 1, None).when(junk, 300).otherwise(F.col("salary_max")).cast("long"),
+        "salary_min": F.when(F.col("job_id") % 10 == 3, None).when(junk, 200).otherwise(F.col("salary_min")).cast("long"),
+        "removed": F.col("job_id") % 19 == 0,
+    })
+
+
+REGISTRY_CTE = KEYED_CTE + """, old AS (SELECT k, max((job_id * 7) % 1000) AS score, 'v' || CAST(max(batch_id) AS VARCHAR) AS pv, max(job_id) AS payload, min(batch_id) AS first_seen, max(batch_id) AS last_seen, count(DISTINCT batch_id) AS nb, bool_or(job_id % 50 = 0) AS starred, bool_or(job_id % 3 = 0) AS seen, bool_or(job_id % 41 = 0) AS dismissed, bool_or(job_id % 67 = 0) AS removed FROM keyed WHERE batch_id < 11 GROUP BY k),
 new AS (SELECT k, max((job_id * 7) % 1000) AS score, max(job_id) AS payload FROM keyed WHERE batch_id = 11 GROUP BY k)"""
 
 
@@ -48,29 +72,29 @@ def registry(spark, sf):
     old = p.filter("batch_id < 11").groupBy("key").agg(
         F.max("score").alias("score"), F.concat(F.lit("v"), F.max("batch_id").cast("string")).alias("profile_version"), F.max("payload").alias("payload"),
         F.min("batch_id").alias("first_seen"), F.max("batch_id").alias("last_seen"), F.countDistinct("batch_id").cast("int").alias("n_batches"),
-        F.bool_or(F.col("job_id") % 50 == 0).alias("starred"), *[F.lit(False).alias(f) for f in ("seen", "dismissed", "removed")],
+        *[F.bool_or(F.col("job_id") % k == 0).alias(f) for f, k in (("starred", 50), ("seen", 3), ("dismissed", 41), ("removed", 67))],
     )
     return old, p.filter("batch_id = 11")
 
 
-@query("SELECT coalesce(o.k, n.k) AS key, greatest(o.score, n.score) AS score, CASE WHEN n.k IS NOT NULL AND (o.score IS NULL OR n.score > o.score) THEN 'v11' ELSE o.pv END AS profile_version, coalesce(n.payload, o.payload) AS payload, coalesce(o.first_seen, 11) AS first_seen, CASE WHEN n.k IS NOT NULL THEN 11 ELSE o.last_seen END AS last_seen, CAST(coalesce(o.nb, 0) + CASE WHEN n.k IS NOT NULL THEN 1 ELSE 0 END AS INT) AS n_batches, coalesce(o.starred, false) AS starred FROM old o FULL JOIN new n ON o.k = n.k", REGISTRY_CTE)
+@query("SELECT coalesce(o.k, n.k) AS key, greatest(o.score, n.score) AS score, CASE WHEN n.k IS NOT NULL AND (o.score IS NULL OR n.score > o.score) THEN 'v11' ELSE o.pv END AS profile_version, coalesce(n.payload, o.payload) AS payload, coalesce(o.first_seen, 11) AS first_seen, CASE WHEN n.k IS NOT NULL THEN 11 ELSE o.last_seen END AS last_seen, CAST(coalesce(o.nb, 0) + CASE WHEN n.k IS NOT NULL THEN 1 ELSE 0 END AS INT) AS n_batches, coalesce(o.starred, false) AS starred, coalesce(o.seen, false) AS seen, coalesce(o.dismissed, false) AS dismissed, coalesce(o.removed, false) AS removed FROM old o FULL JOIN new n ON o.k = n.k", REGISTRY_CTE)
 def registry_upsert(spark, sf):
     old, new = registry(spark, sf)
-    return R.upsert(old, new, 11, "v11").drop("seen", "dismissed", "removed")
+    return R.upsert(old, new, 11, "v11")
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (starred) AS starred, count(*) FILTER (last_seen = 10) AS in_last_batch FROM old", REGISTRY_CTE)
+@query("SELECT count(*) AS total, count(*) FILTER (seen) AS seen, count(*) FILTER (NOT seen) AS unseen, count(*) FILTER (dismissed) AS dismissed, count(*) FILTER (starred) AS starred FROM old", REGISTRY_CTE)
 def registry_stats(spark, sf):
-    return registry(spark, sf)[0].agg(F.count(F.lit(1)).alias("total"), F.count_if("starred").alias("starred"), F.count_if(F.col("last_seen") == 10).alias("in_last_batch"))
+    return R.registry_stats(registry(spark, sf)[0])
 
 
 _TOK = "list_sort(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9+#.]+'), lambda t: length(t) >= 2 AND t NOT IN ('a', 'an', 'the', 'of', 'for', 'in', 'on', 'at', 'to', 'with', 'and', 'or'))))"
 
 
-@query(f"+t AS MATERIALIZED (SELECT ingest_seq, batch_id, lower(company) || '|' || {NORM_LOCATION_SQL} AS b, {_TOK} AS w FROM postings), m AS (SELECT n.ingest_seq, o.ingest_seq AS key, len(list_intersect(n.w, o.w)) / CAST(len(list_distinct(list_concat(n.w, o.w))) AS DOUBLE) AS overlap FROM t n JOIN t o ON n.b = o.b WHERE n.batch_id = 11 AND o.batch_id < 2), r AS (SELECT *, row_number() OVER (PARTITION BY ingest_seq ORDER BY overlap DESC, key) AS k FROM m WHERE overlap >= 0.75) SELECT ingest_seq, key, round(overlap, 6) AS overlap FROM r WHERE k = 1")
+@query(f"+t AS MATERIALIZED (SELECT ingest_seq, batch_id, lower(company) || '|' || {NORM_LOCATION_SQL} AS b, {_TOK} AS w FROM postings), m AS (SELECT n.ingest_seq, o.ingest_seq AS key, len(list_intersect(n.w, o.w)) / CAST(len(list_distinct(list_concat(n.w, o.w))) AS DOUBLE) AS overlap FROM t n JOIN t o ON n.b = o.b WHERE n.batch_id = 11 AND o.batch_id < 11), r AS (SELECT *, row_number() OVER (PARTITION BY ingest_seq ORDER BY overlap DESC, key) AS k FROM m WHERE overlap >= 0.75) SELECT ingest_seq, key, round(overlap, 6) AS overlap FROM r WHERE k = 1")
 def near_duplicate_titles(spark, sf):
     p = postings(spark, sf).withColumn("key", F.col("ingest_seq"))
-    return R.near_dupes(p.filter("batch_id = 11").drop("key"), p.filter("batch_id < 2")).select("ingest_seq", "key", F.round("overlap", 6).alias("overlap"))
+    return R.near_dupes(p.filter("batch_id = 11").drop("key"), p.filter("batch_id < 11")).select("ingest_seq", "key", F.round("overlap", 6).alias("overlap"))
 
 
 @query()
@@ -93,9 +117,11 @@ def application_states(spark, sf):
     return states(spark, sf).select("app_id", "state", "n_changes")
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (state IN ('applied', 'interview')) AS applied, count(*) FILTER (state = 'interview') AS responded, printf('%.1f%%', round(100.0 * count(*) FILTER (state IN ('applied', 'interview')) / greatest(count(*), 1), 1)) AS discovery_to_apply, printf('%.1f%%', round(100.0 * count(*) FILTER (state = 'interview') / greatest(count(*) FILTER (state IN ('applied', 'interview')), 1), 1)) AS apply_to_response FROM states", STATES_CTE)
+@query("+c AS (SELECT state, count(*) AS n FROM states GROUP BY 1), t AS (SELECT count(*) AS total, count(*) FILTER (state IN ('applied', 'interview')) AS applied, count(*) FILTER (state = 'interview') AS responded FROM states) SELECT total, applied, responded, (SELECT string_agg(state || '=' || CAST(n AS VARCHAR), ',' ORDER BY state) FROM c) AS by_state, printf('%.1f%%', round(100.0 * applied / greatest(total, 1), 1)) AS discovery_to_apply, printf('%.1f%%', round(100.0 * responded / greatest(applied, 1), 1)) AS apply_to_response, (SELECT count(*) FROM events WHERE event_type = 'error') AS total_passed FROM t", STATES_CTE)
 def funnel(spark, sf):
-    return R.funnel(states(spark, sf))
+    passed = table(spark, sf, "events").filter("event_type = 'error'")
+    listed = F.transform(F.array_sort(F.map_entries("by_state")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return R.funnel(states(spark, sf), passed).withColumn("by_state", F.array_join(listed, ","))
 
 
 @query("SELECT lower(company) AS company_key, round(tanh(CAST(sum(CASE state WHEN 'applied' THEN 1.0 WHEN 'interview' THEN 3.0 WHEN 'rejected' THEN -2.0 WHEN 'discovered' THEN -0.125 ELSE 0 END) AS DOUBLE) / 10) * 0.08, 4) AS bonus FROM states GROUP BY 1", STATES_CTE)
@@ -103,9 +129,12 @@ def company_signals(spark, sf):
     return R.company_signals(states(spark, sf), F.lit("2024-03-05").cast("timestamp"))
 
 
-@query("SELECT p.job_id, EXISTS (SELECT 1 FROM states s WHERE s.state IN ('applied', 'interview') AND lower(s.company) = p.co) AS applied FROM (SELECT job_id, lower(company) AS co FROM postings) p", f"{P_CTE}, {STATES_CTE}")
+@query("+a AS (SELECT DISTINCT lower(trim(title)) AS t, lower(trim(company)) AS c FROM postings WHERE job_id % 5 = 0 AND job_id % 6 IN (1, 2, 3, 4) AND trim(company) <> '') SELECT p.job_id, a.t IS NOT NULL AS applied FROM postings p LEFT JOIN a ON lower(trim(p.title)) = a.t AND lower(trim(p.company)) = a.c")
 def applied_flags(spark, sf):
-    return R.with_applied(postings(spark, sf), states(spark, sf)).select("job_id", "applied")
+    p = postings(spark, sf)
+    names = F.array(*map(F.lit, ("discovered", "applied", "responded", "interview", "offer", "rejected")))
+    applications = p.filter("job_id % 5 = 0").select("title", "company", F.get(names, (F.col("job_id") % 6).cast("int")).alias("state"))
+    return R.with_applied(p, applications).select("job_id", "applied")
 
 
 @query("+f AS (SELECT job_key, min(job_id) AS job_id FROM keyed GROUP BY job_key) SELECT job_key, job_id, 'discovered' AS state FROM f", KEYED_CTE)
@@ -114,20 +143,46 @@ def discovered(spark, sf):
     return R.discover(apps, postings(spark, sf)).select("job_key", "job_id", "state")
 
 
-_ACTION = {"click": "star", "view": "seen", "purchase": "up", "error": "dismiss", "signup": "clear"}
-REACTIONS_CTE = "rx AS (SELECT event_id % 1000 AS key, ts, event_id AS seq, CASE event_type WHEN 'click' THEN 'star' WHEN 'view' THEN 'seen' WHEN 'purchase' THEN 'up' WHEN 'error' THEN 'dismiss' ELSE 'clear' END AS action FROM events)"
+_ACTION = {"click": "star", "view": "seen", "purchase": "up", "signup": "clear"}
+REACTIONS_CTE = "rx AS (SELECT event_id % 1000 AS key, ts, event_id AS seq, CASE event_type WHEN 'click' THEN 'star' WHEN 'view' THEN 'seen' WHEN 'purchase' THEN 'up' WHEN 'error' THEN CASE event_id % 2 WHEN 0 THEN 'down' ELSE 'dismiss' END ELSE 'clear' END AS action FROM events)"
+
+
+def as_reactions(events):
+    error = F.when(F.col("event_id") % 2 == 0, "down").otherwise("dismiss")
+    action = F.when(F.col("event_type") == "error", error).otherwise(T.mapped(F.col("event_type"), _ACTION, F.lit("clear")))
+    return events.select((F.col("event_id") % 1000).alias("key"), "ts", F.col("event_id").alias("seq"), action.alias("action"))
 
 
 def reactions(spark, sf):
-    e = table(spark, sf, "events")
-    return e.select((F.col("event_id") % 1000).alias("key"), "ts", F.col("event_id").alias("seq"), T.mapped(F.col("event_type"), _ACTION, F.lit("clear")).alias("action"))
+    return as_reactions(table(spark, sf, "events"))
+
+
+def _walk(on: str, toggle: str) -> str:
+    """A walk over the ordered actions: the flag at its end."""
+    return f"list_reduce(list_prepend('F', a), lambda s, x: CASE x WHEN '{on}' THEN 'T' WHEN 'clear' THEN 'F' WHEN '{toggle}' THEN CASE s WHEN 'T' THEN 'F' ELSE 'T' END ELSE s END) = 'T'"
+
 
+FLAGS_SQL = f"+o AS (SELECT key, list(action ORDER BY ts, seq) AS a FROM rx GROUP BY key), w AS (SELECT key, {_walk('up', 'star')} AS starred, {_walk('down', 'dismiss')} AS dismissed, len(list_filter(a, lambda x: x <> 'clear')) > 0 AS seen, CAST(len(list_filter(a, lambda x: x = 'up')) AS BIGINT) AS n_up FROM o) SELECT "
 
-@query("+o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, seq) AS rn FROM rx), c AS (SELECT key, max(rn) FILTER (action = 'clear') AS c FROM o GROUP BY key), l AS (SELECT o.key, action, action <> 'clear' AND rn > coalesce(c, 0) AS live FROM o JOIN c ON o.key = c.key) SELECT key, count(*) FILTER (live AND action = 'star') % 2 = 1 AS starred, count(*) FILTER (live AND action = 'dismiss') % 2 = 1 AS dismissed, bool_or(live) AS seen, count(*) FILTER (live AND action = 'up') AS n_up FROM l GROUP BY key", REACTIONS_CTE)
+
+@query(FLAGS_SQL + "* FROM w", REACTIONS_CTE)
 def reaction_flags(spark, sf):
     return R.fold_reactions(reactions(spark, sf))
 
 
+@query("+l AS (SELECT key, arg_max(action, (ts, seq)) AS action, max(seq) FILTER (TRUE) AS any_seq, max((ts, seq)) AS at FROM rx GROUP BY key) SELECT key, action FROM l WHERE action = 'star'", REACTIONS_CTE)
+def reactions_starred(spark, sf):
+    return L.reactions_list(reactions(spark, sf), "star").select("key", "action")
+
+
+@query("+o AS (SELECT key, list(action ORDER BY ts, seq) AS a FROM rx GROUP BY key), w AS (SELECT key, " + _walk("up", "star") + " AS starred, " + _walk("down", "dismiss") + " AS dismissed FROM o), u AS (SELECT k, first_seen, score, starred AS s0, 'u' || CAST(payload % 2000 AS VARCHAR) AS url FROM old), b AS (SELECT url, arg_max(k, (score, k)) AS k FROM u GROUP BY url) SELECT u.k AS key, CASE WHEN b.k = u.k AND w.key IS NOT NULL THEN w.starred ELSE u.s0 END AS starred FROM u JOIN b ON u.url = b.url LEFT JOIN w ON 'u' || CAST(w.key AS VARCHAR) = u.url", REGISTRY_CTE + ", " + REACTIONS_CTE)
+def registry_reacted(spark, sf):
+    """The flags of reactions put on the registry's best row of each url."""
+    rows = registry(spark, sf)[0].withColumn("url", F.concat(F.lit("u"), (F.col("payload") % 2000).cast("string")))
+    flags = R.fold_reactions(reactions(spark, sf)).withColumn("url", F.concat(F.lit("u"), F.col("key").cast("string"))).drop("key", "n_up")
+    return R.react(rows, flags).select("key", "starred")
+
+
 @query("SELECT action, count(*) AS n FROM rx GROUP BY 1", REACTIONS_CTE)
 def reaction_counts(spark, sf):
     return A.counts(reactions(spark, sf), "action")
@@ -158,19 +213,32 @@ def salary_samples(spark, sf):
     return A.salary_samples(postings(spark, sf).withColumn("salary_text", salary_text()))
 
 
-@query("+m AS (SELECT greatest(0, least(10, CAST(floor(((salary_min + salary_max) / 2.0 - 80000) / 20000) AS INT))) AS bin FROM postings WHERE salary_min IS NOT NULL) SELECT CAST(s.b * 20000 + 80000 AS INT) AS low, count(m.bin) AS n FROM (SELECT unnest(generate_series(0, 10)) AS b) s LEFT JOIN m ON m.bin = s.b GROUP BY s.b")
+@query(HISTOGRAM_SQL + "* FROM h")
 def salary_histogram(spark, sf):
-    return A.salary_histogram(postings(spark, sf))
+    return A.salary_histogram(banded(spark, sf))
+
+
+_FIRST_SEEN = "TIMESTAMP '2001-06-06' + to_hours(CAST(60 * batch_id + job_id % 31 AS BIGINT))"
 
 
-@query("SELECT CAST(date_trunc('week', posted_date) AS TIMESTAMP) AS week, count(*) AS n, count(*) FILTER (ghost >= 0.45) AS suspects, CAST(floor(100.0 * count(*) FILTER (ghost >= 0.45) / count(*) + 0.5) AS INT) AS pct FROM g WHERE posted_date IS NOT NULL GROUP BY 1", GHOST_CTES)
+def with_first_seen(spark, sf):
+    hours = (60 * F.col("batch_id") + F.col("job_id") % 31).cast("int")
+    return with_ghost(spark, sf).withColumns({"first_seen_at": F.lit("2001-06-06").cast("timestamp") + F.make_dt_interval(F.lit(0), hours), "removed": F.col("job_id") % 19 == 0})
+
+
+@query(f"+t AS (SELECT {_FIRST_SEEN} AS seen_at, ghost FROM g WHERE job_id % 19 <> 0) SELECT CAST(date_trunc('week', seen_at) AS TIMESTAMP) AS week, count(*) AS n, count(*) FILTER (ghost >= 0.45) AS suspects, CAST(floor(100.0 * count(*) FILTER (ghost >= 0.45) / count(*) + 0.5) AS INT) AS pct FROM t GROUP BY 1", GHOST_CTES)
 def ghost_trend(spark, sf):
-    return A.ghost_trend(with_ghost(spark, sf))
+    return A.ghost_trend(with_first_seen(spark, sf))
+
 
+@query("SELECT CAST(floor(100.0 * count(*) FILTER (ghost >= 0.45) / count(*) + 0.5) AS INT) AS pct, count(*) AS n FROM g WHERE job_id % 19 <> 0", GHOST_CTES)
+def ghost_now(spark, sf):
+    return A.ghost_rate(with_first_seen(spark, sf))
 
-@query("SELECT company, count(*) AS n, count(*) FILTER (ghost >= 0.45) AS suspects FROM g WHERE company <> '' GROUP BY 1 HAVING count(*) >= 3", GHOST_CTES)
+
+@query("SELECT company, count(*) AS n, count(*) FILTER (ghost >= 0.45) AS suspects, round(avg(CAST(ghost AS DOUBLE)), 3) AS mean_ghost FROM g WHERE company <> '' GROUP BY 1 HAVING count(*) >= 3", GHOST_CTES)
 def ghost_by_company(spark, sf):
-    return A.ghost_by_company(with_ghost(spark, sf)).select("company", "n", "suspects")
+    return A.ghost_by_company(with_ghost(spark, sf))
 
 
 @query("+d AS (SELECT date_diff('second', posted_date, TIMESTAMP '2001-08-02') // 86400 AS d FROM postings), c AS (SELECT CASE WHEN d IS NULL THEN 'unknown' WHEN d <= 7 THEN '0-7' WHEN d <= 30 THEN '8-30' WHEN d <= 60 THEN '31-60' ELSE '61+' END AS age, count(*) AS n FROM d GROUP BY 1) SELECT age, n, round(100.0 * n / CAST(sum(n) OVER () AS DOUBLE), 1) AS pct FROM c")
@@ -178,15 +246,20 @@ def posting_age(spark, sf):
     return A.posting_age(postings(spark, sf), now())
 
 
-@query("+s AS (SELECT unnest(technologies) AS skill FROM postings) SELECT skill AS key, count(*) AS n, skill FROM s GROUP BY skill ORDER BY n DESC, key LIMIT 8")
+@query("+s AS (SELECT unnest(technologies) AS skill FROM postings WHERE job_id % 9 <> 0 AND job_id % 10 <> 0) SELECT skill AS key, count(*) AS n, skill FROM s GROUP BY skill ORDER BY n DESC, key LIMIT 8")
 def skill_rank(spark, sf):
-    return A.skill_rank(postings(spark, sf), "technologies")
+    p = postings(spark, sf).withColumns({"removed": F.col("job_id") % 9 == 0, "dismissed": F.col("job_id") % 10 == 0})
+    return A.skill_rank(p, "technologies")
+
+
+_TRIAGE = "list_distinct(list_filter(list_transform(regexp_extract_all(title, '[A-Za-z][A-Za-z0-9+-]*'), lambda t: lower(t)), lambda t: length(t) > 2 AND t NOT IN ('" + "', '".join(K.TRIAGE_STOP_WORDS) + "')))"
 
 
-@query("+r AS MATERIALIZED (SELECT job_id, job_id % 3 = 0 OR contains(title, 'Software') AS skipped, " + _TOK + " AS w FROM postings), t AS (SELECT count(*) FILTER (skipped) AS s, count(*) FILTER (NOT skipped) AS k FROM r), p AS (SELECT token, count(*) FILTER (skipped) AS s, count(*) FILTER (NOT skipped) AS k FROM (SELECT skipped, unnest(w) AS token FROM r) GROUP BY token) SELECT token, round(ln((p.s + 1) / CAST(t.s + 2 AS DOUBLE)) - ln((p.k + 1) / CAST(t.k + 2 AS DOUBLE)), 4) AS score FROM p, t WHERE p.s >= 2 AND round(ln((p.s + 1) / CAST(t.s + 2 AS DOUBLE)) - ln((p.k + 1) / CAST(t.k + 2 AS DOUBLE)), 4) > 0 ORDER BY score DESC, token LIMIT 15")
+@query(f"+r AS MATERIALIZED (SELECT job_id % 3 = 0 OR contains(title, 'Software') AS skipped, {_TRIAGE} AS w FROM postings WHERE job_id % 5 <> 4), t AS (SELECT count(*) FILTER (skipped) AS titles, CAST(greatest(1, sum(len(w)) FILTER (skipped)) AS DOUBLE) AS s, CAST(greatest(1, sum(len(w)) FILTER (NOT skipped)) AS DOUBLE) AS k FROM r), p AS (SELECT token, count(*) FILTER (skipped) AS skips, count(*) FILTER (NOT skipped) AS keeps FROM (SELECT skipped, unnest(w) AS token FROM r) GROUP BY token), x AS (SELECT token, skips, keeps, ln(((skips + 1) / (t.s + 2)) / ((keeps + 1) / (t.k + 2))) AS odds FROM p, t WHERE titles >= 3 AND skips >= 2) SELECT token, skips, keeps, round(odds, 3) AS score FROM x WHERE odds > 0 ORDER BY score DESC, skips DESC, token LIMIT 15")
 def learned_keywords(spark, sf):
-    p = postings(spark, sf).withColumn("skipped", (F.col("job_id") % 3 == 0) | F.contains("title", F.lit("Software")))
-    return A.learned_keywords(p)
+    skipped = (F.col("job_id") % 3 == 0) | F.contains("title", F.lit("Software"))
+    action = F.when(F.col("job_id") % 5 == 4, "star").when(skipped, "down").otherwise("up")
+    return A.learned_keywords(postings(spark, sf).select("title", action.alias("action")))
 
 
 @query("SELECT round(avg(n_chars) FILTER (quality = 1) - avg(n_chars) FILTER (quality = 0), 6) AS gap, (SELECT round(avg(CASE WHEN a.n_chars > b.n_chars THEN 1.0 WHEN a.n_chars = b.n_chars THEN 0.5 ELSE 0.0 END), 6) FROM x a, x b WHERE a.quality = 1 AND b.quality = 0) AS auc FROM x", "x AS MATERIALIZED (SELECT d.doc_id, d.n_chars, l.quality FROM (SELECT doc_id, n_chars FROM documents) d JOIN labels l ON d.doc_id = l.doc_id)")
@@ -195,12 +268,14 @@ def label_separation(spark, sf):
     return A.label_separation(d.withColumn("positive", F.col("quality") == 1))
 
 
-_CLOCK = "TIMESTAMP '2024-02-05'"
+_CLOCK_TEXT = "2024-01-30 06:00:00"
+_CLOCK = f"TIMESTAMP '{_CLOCK_TEXT}'"
 
 
-@query(f"SELECT user_id, CASE WHEN date_diff('second', min(ts), {_CLOCK}) // 86400 < 7 THEN 'new' WHEN date_diff('second', max(ts), {_CLOCK}) // 86400 < 7 THEN 'active' WHEN date_diff('second', max(ts), {_CLOCK}) // 86400 < 30 THEN 'dormant' ELSE 'lapsed' END AS tier FROM events GROUP BY user_id", "")
+@query(f"+e AS (SELECT user_id, min(ts) AS a, max(ts) AS b FROM events GROUP BY user_id), h AS (SELECT c_custkey AS user_id, e.b IS NULL AS nothing, greatest(0, date_diff('second', b, {_CLOCK}) / 3600.0) AS idle, date_diff('second', a, {_CLOCK}) / 3600.0 AS since FROM customer LEFT JOIN e ON c_custkey = e.user_id) SELECT user_id, CASE WHEN nothing THEN 'unknown' WHEN idle >= 336 THEN 'lapsed' WHEN idle >= 48 THEN 'dormant' WHEN since < 48 THEN 'new' ELSE 'active' END AS tier FROM h", "z AS (SELECT 1)")
 def engagement(spark, sf):
-    return A.engagement(table(spark, sf, "events"), F.lit("2024-02-05").cast("timestamp"))
+    users = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
+    return A.engagement(table(spark, sf, "events"), F.lit(_CLOCK_TEXT).cast("timestamp"), users)
 
 
 @query("+g AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) - CAST(floor(epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) AS BIGINT) AS gap_s FROM events) SELECT user_id, event_id, gap_s, CAST(floor((gap_s - 12 * 3600) / (6 * 3600.0) + 1) AS BIGINT) AS alerts FROM g WHERE gap_s > 12 * 3600", "e AS (SELECT 1)")
@@ -218,9 +293,12 @@ def source_health(spark, sf):
     return A.source_health(postings(spark, sf))
 
 
-@query("+d AS (SELECT split_part(source, ':', 1) AS provider, date_diff('second', posted_date, TIMESTAMP '2001-08-02') // 86400 AS d FROM postings) SELECT provider, count(*) FILTER (d BETWEEN 0 AND 6) AS this_week, count(*) FILTER (d BETWEEN 7 AND 13) AS last_week FROM d GROUP BY 1")
+@query("+h AS (SELECT split_part(source, ':', 1) AS source, TIMESTAMP '2001-08-02' - to_hours(CAST(40 * (11 - batch_id) AS BIGINT)) AS ts FROM postings), w AS (SELECT source, count(*) FILTER (ts >= TIMESTAMP '2001-07-26') AS t, count(*) FILTER (ts < TIMESTAMP '2001-07-26') AS l FROM h WHERE ts < TIMESTAMP '2001-08-02' AND ts >= TIMESTAMP '2001-07-19' GROUP BY 1) SELECT source, t AS this_week, l AS last_week, CASE WHEN l > 0 THEN round(100.0 * (t - l) / CAST(l AS DOUBLE), 1) WHEN t > 0 THEN 100.0 ELSE 0.0 END AS delta_pct FROM w")
 def hiring_velocity(spark, sf):
-    return A.velocity(postings(spark, sf), now())
+    at = now() - F.make_dt_interval(F.lit(0), 40 * (11 - F.col("batch_id")))
+    source = F.split_part("source", F.lit(":"), F.lit(1))
+    history = postings(spark, sf).groupBy("batch_id", source.alias("source")).agg(F.count(F.lit(1)).alias("n")).withColumn("ts", at)
+    return A.velocity(history, now())
 
 
 @query("SELECT DISTINCT lower(company) AS company FROM postings WHERE batch_id = 11 AND company <> '' AND lower(company) NOT IN (SELECT lower(company) FROM postings WHERE batch_id = 10)")
@@ -231,7 +309,7 @@ def new_companies(spark, sf):
 _POINTS = (10, 25, 50, 75, 90, 95)
 
 
-@query("SELECT " + ", ".join(f"round(quantile_disc(value, {p / 100}), 6) AS p{p}" for p in _POINTS) + ", round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd FROM events", "")
+@query("+s AS (SELECT list_sort(list(value)) AS v, avg(value) AS mean, stddev_samp(value) AS sd FROM events) SELECT " + ", ".join(f"round(v[greatest(0, least(len(v) * {p} // 100 - 1, len(v) - 1)) + 1], 6) AS p{p}" for p in _POINTS) + ", round(mean, 6) AS mean, round(sd, 6) AS sd FROM s", "z AS (SELECT 1)")
 def score_report(spark, sf):
     return A.percentile_by_index(table(spark, sf, "events"), "value", list(_POINTS))
 
@@ -246,12 +324,13 @@ def keyword_search(spark, sf):
     return A.keyword_search(table(spark, sf, "conversations"), "the queai licht", "text", 6, ["conv_id", "turn"]).select("conv_id", "turn", "hits")
 
 
-@query("SELECT job_id FROM postings WHERE url <> '' AND job_id % 5000 < 40 AND job_id % 5 = 0", P_CTE)
+@query("+r AS (SELECT url, arg_max(title, job_id) AS gaps, arg_max(company || '; ' || location, job_id) AS points FROM postings WHERE url <> '' AND job_id % 5 = 0 AND job_id % 35 <> 0 GROUP BY url) SELECT p.job_id, r.gaps, substring(r.points, 1, 1000) AS rationale FROM postings p LEFT JOIN r ON p.url = r.url")
 def reports_merged(spark, sf):
-    """Postings with a report: one in five urls has one."""
+    """One url in five has reports, some of which failed."""
     p = postings(spark, sf)
-    reports = p.filter("url <> '' and job_id % 5000 < 40 and job_id % 5 = 0").select("url", F.col("job_id").alias("seq"), F.lit(None).cast("string").alias("error"), F.array("title").alias("gaps"), F.array("company").alias("points"))
-    return R.merge_reports(p, reports).filter("gaps is not null").select("job_id")
+    error = F.when(F.col("job_id") % 35 == 0, "failed")
+    reports = p.filter("url <> '' and job_id % 5 = 0").select("url", F.col("job_id").alias("seq"), error.alias("error"), F.array("title").alias("gaps"), F.array("company", "location").alias("points"))
+    return R.merge_reports(p, reports).select("job_id", F.array_join("gaps", ",").alias("gaps"), "rationale")
 
 
 @query("SELECT change, count(*) AS n FROM (SELECT CASE WHEN a.vec_id IS NULL THEN 'added' WHEN b.vec_id IS NULL THEN 'dropped' WHEN a.label = b.label THEN 'kept' ELSE 'changed' END AS change FROM (SELECT vec_id, label FROM embeddings WHERE vec_id % 3 = 0) a FULL JOIN (SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN label + 1 ELSE label END AS label FROM embeddings WHERE vec_id % 2 = 0) b ON a.vec_id = b.vec_id) GROUP BY 1", "")

@@ -13,8 +13,8 @@ from postmill.operators import filters as O
 from postmill.operators import registry as R
 from postmill.operators import scoring as S
 from postmill.plans.derived import P_CTE, postings, query, sql_any, sql_case, sql_first, sql_in, table
-from postmill.plans.filter_queries import salary_text
-from postmill.plans.market_queries import REGISTRY_CTE, registry
+from postmill.plans.filter_queries import _RISK, salary_text
+from postmill.plans.market_queries import HISTOGRAM_SQL, REGISTRY_CTE, banded, registry
 from postmill.sources import feeds
 
 _PAID = r"\$(\d+)k - \$(\d+)k"
@@ -94,10 +94,9 @@ def source_effectiveness(spark, sf):
     return A.source_effectiveness(p, p.filter("job_id % 3 = 0"))
 
 
-@query("+m AS (SELECT DISTINCT greatest(0, least(10, CAST(floor(((salary_min + salary_max) / 2.0 - 80000) / 20000) AS INT))) AS bin FROM postings WHERE salary_min IS NOT NULL) SELECT CASE WHEN count(*) >= 0 THEN 140000 END AS low FROM m")
+@query(HISTOGRAM_SQL + "arg_min(low, (abs(low - 150000), low)) AS low FROM h")
 def nearest_salary_bucket(spark, sf):
-    """All bins appear in the histogram, so the nearest of its edges is that of the target."""
-    return A.nearest_bucket(A.salary_histogram(postings(spark, sf)), 150_000)
+    return A.nearest_bucket(A.salary_histogram(banded(spark, sf)), 150_000)
 
 
 @query("+c AS (SELECT event_type AS task, user_id % 3 AS model, event_id AS seq, user_id AS chars, value AS latency FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY task, model ORDER BY seq DESC) AS r FROM c) SELECT task, model, count(*) AS calls, CAST(floor(sum(chars) / 4) AS BIGINT) AS tokens, round(avg(latency) FILTER (r <= 100), 4) AS mean_latency FROM r GROUP BY ALL", "e AS (SELECT 1)")
@@ -106,7 +105,7 @@ def usage(spark, sf):
     return A.usage(table(spark, sf, "events").select(c("event_type").alias("task"), (c("user_id") % 3).alias("model"), c("event_id").alias("seq"), c("user_id").alias("chars"), c("value").alias("latency")))
 
 
-@query("SELECT count(*) AS n FROM old WHERE starred OR score >= 600", REGISTRY_CTE)
+@query("SELECT count(*) AS n FROM old WHERE NOT removed AND (starred OR score >= 600)", REGISTRY_CTE)
 def visible_matches(spark, sf):
     rows = registry(spark, sf)[0].withColumns({"tier": S.tier(F.col("score") / 1000), "is_match": F.lit(None).cast("boolean")})
     return R.visible(rows).agg(F.count(F.lit(1)).alias("n"))
@@ -125,10 +124,10 @@ def rank_moves(spark, sf):
     return A.rank_moves(p, 10).select("job_id", "move")
 
 
-@query("SELECT batch_id, count(*) AS ingested, count(*) FILTER (company <> '' AND seniority IS NOT NULL AND technologies IS NOT NULL) AS qa_passed, count(DISTINCT lower(trim(title)) || '||' || lower(trim(company))) AS unique_jobs FROM postings GROUP BY batch_id")
+@query("+k AS (" + _RISK.split("+r AS (", 1)[1].split("FROM r", 1)[0].join(["WITH r AS (", "FROM r"]) + ") SELECT p.batch_id, count(*) AS ingested, count(*) FILTER (company <> '' AND seniority IS NOT NULL AND technologies IS NOT NULL) AS qa_passed, count(*) FILTER (k.risk = 'high') AS blocked, count(DISTINCT lower(trim(title)) || '||' || lower(trim(company))) AS unique_jobs FROM postings p JOIN k ON p.job_id = k.job_id GROUP BY p.batch_id")
 def batch_counts(spark, sf):
     p = O.with_risk(O.with_qa(postings(spark, sf).withColumn("salary_text", salary_text()))).withColumn("job_key", T.job_key(F.col("title"), F.col("company")))
-    return A.batch_stats(p).drop("blocked")
+    return A.batch_stats(p)
 
 
 @query("SELECT source, count(*) AS jobs, CAST(count(*) FILTER (job_id % 11 = 0) AS BIGINT) AS errors FROM postings GROUP BY source")

@@ -62,14 +62,15 @@ def duplicate_titles(spark, sf):
     return G.mark_duplicates(postings(spark, sf)).select("job_id", "duplicate")
 
 
-@query("SELECT name, count(*) AS n FROM (SELECT unnest([" + ", ".join(f"CASE WHEN {n} > 0 THEN '{n}' END" for n in _NAMES) + "]) AS name FROM g) WHERE name IS NOT NULL GROUP BY 1", GHOST_CTES)
+@query("+u AS (SELECT job_id, unnest([" + ", ".join(f"'{n}'" for n in _NAMES) + "]) AS name, unnest([" + ", ".join(f"CAST({n} AS DOUBLE)" for n in _NAMES) + "]) AS v FROM g) SELECT job_id, string_agg(name, ',' ORDER BY v DESC, name) AS fired FROM u WHERE v > 0 GROUP BY job_id", GHOST_CTES)
 def fired_signals(spark, sf):
-    return with_ghost(spark, sf).select(F.explode(G.fired(F.col("signals"))).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    rows = with_ghost(spark, sf).select("job_id", G.fired(F.col("signals")).alias("fired"))
+    return rows.filter(F.size("fired") > 0).select("job_id", F.array_join("fired", ",").alias("fired"))
 
 
 def profiles(spark, sf):
-    """Two profiles: the vectors 0 and 7."""
-    return table(spark, sf, "embeddings").filter("vec_id in (0, 7)").select(F.when(F.col("vec_id") == 0, 0).otherwise(1).alias("profile_id"), "embedding")
+    """The query set: every vector whose id is divisible by 50."""
+    return table(spark, sf, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("profile_id"), "embedding")
 
 
 def _cos(a: str, b: str) -> str:
@@ -77,7 +78,7 @@ def _cos(a: str, b: str) -> str:
     return f"({dot(a, b)} / (sqrt({dot(a, a)}) * sqrt({dot(b, b)})))"
 
 
-SIM_CTE = f"sim AS MATERIALIZED (SELECT CASE WHEN p.vec_id = 0 THEN 0 ELSE 1 END AS profile_id, v.vec_id, round({_cos('v.embedding', 'p.embedding')}, 4) AS similarity FROM embeddings v, embeddings p WHERE p.vec_id IN (0, 7))"
+SIM_CTE = f"sim AS MATERIALIZED (SELECT p.vec_id AS profile_id, v.vec_id, round({_cos('v.embedding', 'p.embedding')}, 4) + 0.0 AS similarity FROM embeddings v, embeddings p WHERE p.vec_id % 50 = 0)"
 
 
 @query("SELECT profile_id, vec_id, similarity FROM sim", SIM_CTE)
@@ -127,7 +128,7 @@ _LOC_ADJ = f"CASE WHEN ({LOCATION_REASON_SQL}) IS NOT NULL THEN -0.06e0 ELSE 0e0
 _SAL_ADJ = "CASE WHEN salary_min IS NULL THEN -0.3e0 * 0.15e0 WHEN (salary_min + salary_max) / 2e0 >= 150000 THEN 0.15e0 * (0.5e0 + 0.5e0 * least(((salary_min + salary_max) / 2e0 - 150000e0) / 150000e0, 1e0)) ELSE -0.15e0 END"
 _YEARS_ADJ = f"CASE WHEN ({YEARS_SQL}) - 6 >= 3 THEN -0.04e0 * least(({YEARS_SQL}) - 6 - 2, 5) ELSE 0e0 END"
 _BONUS = "CASE lower(company) WHEN 'company 1' THEN 0.05e0 WHEN 'company 2' THEN -0.04e0 ELSE 0e0 END"
-SCORED_CTES = f"""{GHOST_CTES}, {SIM_CTE}, {LABEL_CTE}, ga AS MATERIALIZED (SELECT job_id, ingest_seq, vec_id, CAST(ghost AS DOUBLE) AS ghost, {_TITLE_ADJ} AS a1, {_LOC_ADJ} AS a2, {_SAL_ADJ} AS a3, {_YEARS_ADJ} AS a4, {_BONUS} AS bonus FROM g),
+SCORED_CTES = f"""{GHOST_CTES}, {SIM_CTE}, {LABEL_CTE}, ga AS MATERIALIZED (SELECT job_id, ingest_seq, title, vec_id, CAST(ghost AS DOUBLE) AS ghost, {_TITLE_ADJ} AS a1, {_LOC_ADJ} AS a2, {_SAL_ADJ} AS a3, {_YEARS_ADJ} AS a4, {_BONUS} AS bonus FROM g),
 fs AS MATERIALIZED (SELECT s.profile_id, s.vec_id, {_FEED} AS score FROM sim s JOIN lb ON s.vec_id = lb.vec_id),
 s0 AS (SELECT fs.profile_id, fs.score, ga.* FROM ga JOIN fs ON ga.vec_id = fs.vec_id),
 s1 AS (SELECT *, {_clamp(_clamp(_clamp(_clamp('score + a1') + ' + a2') + ' + a3') + ' + a4')} AS fit FROM s0),
@@ -138,12 +139,16 @@ scored AS MATERIALIZED (SELECT *, x AS match_score, {_CAL} AS display FROM s3)""
 
 
 def scored(spark, sf):
-    """The whole chain: similarity, feedback, adjustments, ghost fold, tiers, company bonus."""
+    """The whole chain: similarity, feedback, adjustments, ghost fold, tiers, company bonus.
+
+    What depends on the posting alone is worked out before postings meet profiles.
+    """
     e = table(spark, sf, "embeddings")
     similar = S.profile_similarity(e, profiles(spark, sf)).join(S.label_similarity(e, labels(spark, sf), LEAST), "vec_id")
     similar = similar.select("profile_id", "vec_id", F.round(S.feedback(F.col("similarity")), 6).alias("score"))
     p = O.with_levels(with_ghost(spark, sf)).withColumn("salary_usd", (F.col("salary_min") + F.col("salary_max")) / 2)
-    out = S.fold_ghost(S.adjust(p.join(similar, "vec_id"), PREFS))
+    p = S.adjustments(p, PREFS).select("vec_id", "job_id", "ingest_seq", "title", "company", "ghost", "adjustments")
+    out = S.fold_ghost(S.fitted(p.join(similar, "vec_id")))
     signals = spark.createDataFrame([("company 1", 0.05), ("company 2", -0.04)], "company_key string, bonus double")
     return S.company_bonus(out, F.broadcast(signals))
 
@@ -165,27 +170,21 @@ def capped_matches(spark, sf):
     return S.cap_matches(scored(spark, sf), 25).select("profile_id", "job_id", "tier", "capped")
 
 
-_RERANK = """+t AS (SELECT profile_id, job_id, ingest_seq, match_score, CAST(job_id % 17 AS DOUBLE) AS pair_score, row_number() OVER (PARTITION BY profile_id ORDER BY match_score DESC, ingest_seq) AS rank FROM scored),
+_RERANK = """+t AS (SELECT profile_id, job_id, ingest_seq, match_score, CAST(job_id % 16 AS DOUBLE) AS pair_score, row_number() OVER (PARTITION BY profile_id ORDER BY match_score DESC, ingest_seq) AS rank FROM scored),
 u AS (SELECT *, round(0.44999999999999996 * match_score + 0.55 * ((pair_score - min(pair_score) OVER (PARTITION BY profile_id)) / (max(pair_score) OVER (PARTITION BY profile_id) - min(pair_score) OVER (PARTITION BY profile_id))), 4) AS reranked FROM t WHERE rank <= 40)
 SELECT profile_id, job_id, rank, CAST(floor(1000 * reranked + 0.000001) AS INT) AS reranked_permille, row_number() OVER (PARTITION BY profile_id ORDER BY reranked DESC, ingest_seq) AS new_rank FROM u"""
 
 
 @query(_RERANK, SCORED_CTES)
 def reranked(spark, sf):
-    rows = scored(spark, sf).withColumn("pair_score", (F.col("job_id") % 17).cast("double"))
+    rows = scored(spark, sf).withColumn("pair_score", (F.col("job_id") % 16).cast("double"))
     return S.rerank(rows, 40).select("profile_id", "job_id", F.col("rank").cast("long").alias("rank"), F.floor(1000 * F.col("reranked") + 0.000001).cast("int").alias("reranked_permille"), F.col("new_rank").cast("long").alias("new_rank"))
 
 
-@query("SELECT profile_id, job_id, match_score FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY match_score DESC, job_id) AS k FROM scored) WHERE k <= 8", SCORED_CTES)
+@query("SELECT profile_id, job_id, match_score FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY match_score DESC, title, ingest_seq) AS k FROM scored) WHERE k <= 8", SCORED_CTES)
 def top_for_analysis(spark, sf):
     """The eight best of each profile."""
-    from pyspark.sql import Window as W
-
-    rows = scored(spark, sf).withColumn("part", F.pmod(F.xxhash64("job_id"), F.lit(64)))
-    order = [F.desc("match_score"), F.asc("job_id")]
-    few = rows.withColumn("k", F.row_number().over(W.partitionBy("profile_id", "part").orderBy(*order))).filter("k <= 8")
-    best = few.withColumn("k", F.row_number().over(W.partitionBy("profile_id").orderBy(*order))).filter("k <= 8")
-    return best.select("profile_id", "job_id", "match_score")
+    return S.top_scored(scored(spark, sf), 8).select("profile_id", "job_id", "match_score")
 
 
 
@@ -202,11 +201,17 @@ _DIMS = f"""+j AS MATERIALIZED (SELECT *, {JOB_LEVEL_SQL} AS job_level FROM post
 SELECT job_id, CAST(seniority_fit AS DOUBLE) AS seniority_fit, CAST(tech_fit AS DOUBLE) AS tech_fit, CAST(domain_fit AS DOUBLE) AS domain_fit, CAST(years_fit AS DOUBLE) AS years_fit FROM d"""
 
 
-@query(_DIMS)
+_LANE_LIST = "list_distinct(list_filter(list_transform(string_split_regex(regexp_replace(lower(title), '" + K.LANE_BOILERPLATE + r"', ' ', 'g'), '[,/|\-–—\s]+'), lambda w: regexp_replace(w, '^[.,()]+|[.,()]+$', '', 'g')), lambda w: length(w) >= 3 AND w NOT IN ('" + "', '".join(K.GENERIC_LANE_WORDS) + "')))"
+_NEAR = " OR ".join(f"contains(w, '{t}') OR contains('{t}', w)" for t in _FP)
+_ALL_DIMS = _DIMS.split("\nSELECT")[0].replace("AS years_fit FROM j)", f"AS years_fit, {_LANE_LIST} AS lane FROM j), l AS (SELECT *, CASE WHEN len(lane) > 0 THEN round(len(list_filter(lane, lambda w: {_NEAR})) / CAST(len(lane) AS DOUBLE), 3) END AS lane_fit FROM d)")
+
+
+@query(_ALL_DIMS + " SELECT job_id, CAST(seniority_fit AS DOUBLE) AS seniority_fit, CAST(tech_fit AS DOUBLE) AS tech_fit, CAST(domain_fit AS DOUBLE) AS domain_fit, CAST(years_fit AS DOUBLE) AS years_fit, lane_fit, CAST(floor(1000 * (0.3 * coalesce(CAST(tech_fit AS DOUBLE), 0) + 0.35 * coalesce(CAST(domain_fit AS DOUBLE), 0) + 0.2 * coalesce(lane_fit, 0) + 0.15 * coalesce(CAST(seniority_fit AS DOUBLE), 0)) / (0.65 + CASE WHEN lane_fit IS NULL THEN 0 ELSE 0.2 END + CASE WHEN seniority_fit IS NULL THEN 0 ELSE 0.15 END) + 0.5001) AS INT) AS headline_permille FROM l")
 def dimensions(spark, sf):
     p = O.with_levels(postings(spark, sf)).withColumns({
         "p_seniority": F.lit("senior"), "p_years": F.lit(6), "p_technologies": F.array(*map(F.lit, _TECH)), "p_fingerprint": F.array(*map(F.lit, _FP)),
     })
-    return S.dimensions(p).select("job_id", "seniority_fit", "tech_fit", "domain_fit", "years_fit")
+    permille = F.floor(1000 * F.col("headline") + 0.1).cast("int").alias("headline_permille")
+    return S.dimensions(p).select("job_id", "seniority_fit", "tech_fit", "domain_fit", "years_fit", "lane_fit", permille)
 
 

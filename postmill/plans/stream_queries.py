@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from postmill.plans.derived import query, table
-from postmill.plans.market_queries import _ACTION, REACTIONS_CTE
-from postmill.functions import text as T
+from postmill.operators import filters as O
+from postmill.operators import registry as R
+from postmill.plans.derived import as_applications, query, table
+from postmill.plans.market_queries import FLAGS_SQL, REACTIONS_CTE, STATES_CTE, as_reactions
 from postmill.sources import feeds
 from postmill.streaming import jobs
 
@@ -24,18 +25,47 @@ def weekly_events(spark, sf):
     return table(spark, sf, "events").groupBy(week).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("week"), "n")
 
 
-@query("SELECT count(DISTINCT user_id) AS n FROM events", "")
+@query("SELECT (SELECT count(DISTINCT user_id) FROM events WHERE user_id % 7 <> 0) + (SELECT count(*) FROM events WHERE user_id % 7 = 0) AS n", "z AS (SELECT 1)")
 def stream_unseen_urls(spark, sf):
-    rows = event_stream(spark, sf).withColumns({"url": F.concat(F.lit("https://x.com/"), F.col("user_id").cast("string")), "ingest_ts": F.col("ts").cast("timestamp")})
+    """A seventh of the users have cards without a URL, all of which pass."""
+    url = F.when(F.col("user_id") % 7 != 0, F.concat(F.lit("https://x.com/"), F.col("user_id").cast("string")))
+    rows = event_stream(spark, sf).withColumns({"url": url, "ingest_ts": F.col("ts").cast("timestamp")})
     out = jobs.run_once(jobs.unseen_urls(rows, keep="90 days").select("url_key"), jobs.shared_folder(spark))
     return out.agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("+o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, seq) AS rn FROM rx), c AS (SELECT key, max(rn) FILTER (action = 'clear') AS c FROM o GROUP BY key), l AS (SELECT o.key, action, action <> 'clear' AND rn > coalesce(c, 0) AS live FROM o JOIN c ON o.key = c.key) SELECT key, count(*) FILTER (live AND action = 'star') % 2 = 1 AS starred, bool_or(live) AS seen FROM l GROUP BY key", REACTIONS_CTE)
+@query(FLAGS_SQL + "key, starred, dismissed, seen FROM w", REACTIONS_CTE)
 def stream_reaction_flags(spark, sf):
-    e = event_stream(spark, sf)
-    rows = e.select((F.col("event_id") % 1000).alias("key"), "ts", F.col("event_id").alias("seq"), T.mapped(F.col("event_type"), _ACTION, F.lit("clear")).alias("action"))
-    return jobs.append_reactions(rows, jobs.shared_folder(spark)).select("key", "starred", "seen")
+    return jobs.append_reactions(as_reactions(event_stream(spark, sf)), jobs.shared_folder(spark)).select("key", "starred", "dismissed", "seen")
+
+
+@query("SELECT app_id, state, n_changes FROM states", STATES_CTE)
+def stream_application_states(spark, sf):
+    """Applications as they change: the log of events folded to the latest states."""
+    rows = as_applications(event_stream(spark, sf))
+    return jobs.fold_log(rows, jobs.shared_folder(spark), R.latest_states).select("app_id", "state", "n_changes")
+
+
+@query("SELECT event_type AS source, CAST(user_id % 50 AS VARCHAR) AS slug FROM events WHERE event_type <> 'error' GROUP BY ALL EXCEPT SELECT b.source, b.slug FROM (SELECT 'view' AS source, CAST(user_id % 50 AS VARCHAR) AS slug, max(ts) AS ts FROM events WHERE event_type = 'error' GROUP BY 2) b LEFT JOIN (SELECT 'view' AS source, CAST(user_id % 50 AS VARCHAR) AS slug, max(ts) AS ts FROM events WHERE event_type = 'purchase' GROUP BY 2) g ON b.slug = g.slug WHERE (g.ts IS NULL OR g.ts < b.ts) AND date_diff('second', b.ts, TIMESTAMP '2024-02-01') < 7 * 86400", "")
+def stream_active_sources(spark, sf):
+    """Failures and successes come as a stream; a later success clears a failure."""
+    slug = (F.col("user_id") % 50).cast("string").alias("slug")
+    rows = event_stream(spark, sf).select("event_type", slug, F.col("ts").cast("timestamp").alias("ts"))
+
+    def active(log):
+        sources = log.filter("event_type <> 'error'").select(F.col("event_type").alias("source"), "slug").distinct()
+        of = lambda kind: log.filter(F.col("event_type") == kind).select(F.lit("view").alias("source"), "slug", "ts")
+        return O.active_sources(sources, of("error"), F.lit("2024-02-01").cast("timestamp"), successes=of("purchase"))
+
+    return jobs.fold_log(rows, jobs.shared_folder(spark), active)
+
+
+@query("SELECT user_id, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_s, CAST(1 AS INT) AS alert FROM events GROUP BY user_id HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR", "")
+def stream_idle_alerts(spark, sf):
+    """First alerts of idle users by event-time timers, at the watermark that the whole table leaves."""
+    rows = event_stream(spark, sf).select("user_id", "ts")
+    out = jobs.run_once(jobs.idle_alerts(rows, 12, 6), jobs.shared_folder(spark))
+    return out.select("user_id", F.floor(F.col("last_ms") / 1000).alias("last_s"), "alert")
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS key, max(event_id % 100) AS score, max(event_id) AS payload, 0 AS first_seen, 1 AS n_batches FROM events GROUP BY user_id", "")

@@ -214,8 +214,9 @@ class _Page(HTMLParser):
             self.label.append(data)
 
 
-def read_pages(pages: DataFrame) -> DataFrame:
-    """page_id, text (scripts, navigation and the like left out) and links of (page_id, html)."""
+def read_pages(pages: DataFrame, *keep: str) -> DataFrame:
+    """page_id, the columns ``keep``, text (scripts, navigation and the like left out) and links of (page_id, html, ...)."""
+    names = ("page_id", *keep)
 
     def run(batches):
         for b in batches:
@@ -227,9 +228,11 @@ def read_pages(pages: DataFrame) -> DataFrame:
                 texts.append("".join(p.out))
                 links.append([{"href": h, "label": t} for h, t in p.links])
             kind = pa.list_(pa.struct([("href", pa.string()), ("label", pa.string())]))
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(texts, pa.string()), pa.array(links, kind)], ["page_id", "text", "links"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(texts, pa.string()), pa.array(links, kind)], [*names, "text", "links"])
 
-    return pages.select("page_id", "html").mapInArrow(run, "page_id long, text string, links array<struct<href:string,label:string>>")
+    base = pages.select(*names, "html")
+    schema = ", ".join(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in names)
+    return base.mapInArrow(run, f"{schema}, text string, links array<struct<href:string,label:string>>")
 
 
 def clean_pages(pages: DataFrame, most: int = 8000) -> DataFrame:
@@ -240,7 +243,7 @@ def clean_pages(pages: DataFrame, most: int = 8000) -> DataFrame:
 def page_links(pages: DataFrame) -> DataFrame:
     """page_id, href (absolute) and label of each link."""
     host = F.regexp_extract(T.text(F.col("url")), r"^(https?://[^/]+)", 1)
-    rows = read_pages(pages).join(pages.select("page_id", host.alias("host")), "page_id").select("page_id", "host", F.explode("links").alias("l"))
+    rows = read_pages(pages, "url").select("page_id", host.alias("host"), F.explode("links").alias("l"))
     return rows.select("page_id", F.when(F.startswith("l.href", F.lit("/")), F.concat("host", "l.href")).otherwise(F.col("l.href")).alias("href"), "l.label")
 
 

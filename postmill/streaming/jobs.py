@@ -7,16 +7,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from postmill.functions import text as T
 from postmill.operators import registry as R
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that all executors see (spark.checkpoint.dir), or a temporary one where it is unset."""
+    """A new folder below the one that all executors see (spark.checkpoint.dir); in local mode a temporary one may stand in."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
 
@@ -29,9 +33,13 @@ def run_once(stream: DataFrame, folder: str) -> DataFrame:
 
 
 def unseen_urls(cards: DataFrame, *, arrival: str = "ingest_ts", keep: str = "2 days") -> DataFrame:
-    """Cards whose URL did not arrive within ``keep`` before; state is dropped by arrival time, not by a cap."""
-    keyed = cards.withColumn("url_key", T.norm_url(F.col("url"))).filter("url_key <> ''")
-    return keyed.withWatermark(arrival, keep).dropDuplicatesWithinWatermark(["url_key"])
+    """Cards whose URL did not arrive within ``keep`` before, and all cards without a URL; url_key is null for those.
+
+    State is dropped by arrival time, not by a cap.
+    """
+    keyed = cards.withColumn("url_key", F.nullif(T.norm_url(F.col("url")), F.lit(""))).withWatermark(arrival, keep)
+    fresh = keyed.filter("url_key is not null").dropDuplicatesWithinWatermark(["url_key"])
+    return fresh.unionByName(keyed.filter("url_key is null"))
 
 
 def weekly_counts(rows: DataFrame, *, ts: str = "ts", late: str = "2 days") -> DataFrame:
@@ -41,29 +49,132 @@ def weekly_counts(rows: DataFrame, *, ts: str = "ts", late: str = "2 days") -> D
 
 
 def append_reactions(stream: DataFrame, folder: str) -> DataFrame:
-    """Append reactions batch by batch (a batch that runs again replaces itself) and return the current flags."""
-    spark = stream.sparkSession
+    """Append reactions batch by batch and return the current flags."""
+    return fold_log(stream, folder, R.fold_reactions)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/log/batch={batch_id}")
 
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return R.fold_reactions(spark.read.schema(stream.schema).parquet(f"{folder}/log"))
+def snapshots(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the registry snapshots in a folder, in order."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
+    whole = [p.getName() for p in found if p.getName().startswith("snapshot=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(name.split("=")[1]) for name in whole)
+
+
+REGISTRY = "key string, score long, profile_version string, payload long, first_seen int, last_seen int, n_batches int, " + ", ".join(f"{f} boolean" for f in R.FLAGS)
+
+
+def read_registry(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """A registry snapshot, the last unless ``version`` names one; empty where there is none yet."""
+    have = snapshots(spark, folder)
+    if version is not None and version not in have:
+        raise ValueError(f"no snapshot {version} in {folder}")
+    return spark.read.schema(REGISTRY).parquet(f"{folder}/snapshot={have[-1] if version is None else version}") if have else spark.createDataFrame([], REGISTRY)
+
+
+def write_registry(registry: DataFrame, folder: str, version: int) -> None:
+    """A registry snapshot; one of the same number is replaced."""
+    registry.write.mode("overwrite").parquet(f"{folder}/snapshot={version}")
 
 
 def registry_cycles(stream: DataFrame, folder: str) -> DataFrame:
     """Upsert each micro-batch of scored rows (key, score, payload, ingest_seq) into registry snapshots; returns the last.
 
-    Snapshot n is made from snapshot n - 1 and batch n, so a batch that runs again gives the same snapshot.
+    Snapshot n is made from the snapshot before and batch n, so a batch that runs again gives the same snapshot; a cycle
+    without data returns the last snapshot there is.
     """
     spark = stream.sparkSession
-    schema = "key string, score long, profile_version string, payload long, first_seen int, last_seen int, n_batches int, " + ", ".join(f"{f} boolean" for f in R.FLAGS)
-    done: list[int] = []
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        old = spark.read.schema(schema).parquet(f"{folder}/snapshot={batch_id - 1}") if batch_id else spark.createDataFrame([], schema)
-        R.upsert(old, batch, batch_id, f"v{batch_id}").write.mode("overwrite").parquet(f"{folder}/snapshot={batch_id}")
-        done.append(batch_id)
+        before = [n for n in snapshots(spark, folder) if n < batch_id]
+        old = read_registry(spark, folder, before[-1]) if before else spark.createDataFrame([], REGISTRY)
+        write_registry(R.upsert(old, batch, batch_id, f"v{batch_id}"), folder, batch_id)
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{folder}/snapshot={max(done)}") if done else spark.createDataFrame([], schema)
+    return read_registry(spark, folder)
+
+
+class IdleAlerts(StatefulProcessor):
+    """A user without events for ``idle`` hours gives an alert, and another after each ``cooldown`` hours until the next event.
+
+    Event-time timers: a later event moves the timer, so alerts come from the watermark and not from the clock.
+    """
+
+    def __init__(self, idle: float, cooldown: float):
+        self.idle, self.cooldown = int(idle * 3_600_000), int(cooldown * 3_600_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "last long, alerts int")
+
+    def _arm(self, at: int) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows, timerValues):
+        newest = max(int(frame["ts_ms"].max()) for frame in rows)
+        state = self.last.get() if self.last.exists() else None
+        if state is None or newest > state[0]:
+            self.last.update((newest, 0))
+            self._arm(newest + self.idle)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import pandas as pd
+
+        last, alerts = self.last.get()
+        self.last.update((last, alerts + 1))
+        self.handle.registerTimer(last + self.idle + (alerts + 1) * self.cooldown)
+        yield pd.DataFrame({"user_id": [key[0]], "last_ms": [last], "alert": [alerts + 1]})
+
+    def close(self) -> None:
+        pass
+
+
+def idle_alerts(events: DataFrame, idle: float = 72, cooldown: float = 48, late: str = "1 hour") -> DataFrame:
+    """Alert rows (user_id, last_ms, alert) of a stream of (user_id, ts).
+
+    State with timers needs the RocksDB store, which is set for the session.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = events.select(F.col("user_id").cast("long").alias("user_id"), F.col("ts").cast("timestamp").alias("ts"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
+    return rows.withWatermark("ts", late).groupBy("user_id").transformWithStateInPandas(
+        IdleAlerts(idle, cooldown), "user_id long, last_ms long, alert int", "Append", "EventTime")
+
+
+class CycleCounter(StreamingQueryListener):
+    """Counts of rows and batches of the queries of this session, as they go on."""
+
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+        self.batches: dict[str, int] = {}
+
+    def onQueryStarted(self, event):
+        self.rows.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event):
+        name = str(event.progress.id)
+        self.rows[name] = self.rows.get(name, 0) + int(event.progress.numInputRows)
+        self.batches[name] = self.batches.get(name, 0) + 1
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+
+def fold_log(stream: DataFrame, folder: str, fold) -> DataFrame:
+    """Append what arrives to a log and give ``fold`` of the whole log: any batch operator as the state of a stream.
+
+    A batch that runs again replaces itself; a cycle without data gives the same state.
+    """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/log/batch={batch_id}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return fold(spark.read.schema(stream.schema).parquet(f"{folder}/log"))
