@@ -309,8 +309,7 @@ def test_markov_counts_all_documents_and_distinct_values(spark, docs):
     many = docs.select("doc_id", "text").unionAll(spark.range(1200).selectExpr("id", "'Zqx vvK foo-barBaz a bb' as text"))
     want = {}
     for (t,) in many.select("text").collect():
-        w = re.findall("[A-Za-z]{3,}", t or "")
-        for s in ["_".join(w), "-".join(w), "/".join(w), "".join(x.capitalize() for x in w)]:
+        for s in [f for w in re.findall("[A-Za-z]{3,}", t or "") for f in ("_" + w + "_", "-" + w + "-", "/" + w + "/", w.capitalize() + w[0].upper())]:
             codes = [secrets.ALPHABET.find(c) + 1 for c in s]
             for pair in zip(codes, codes[1:], strict=False):
                 want[pair] = want.get(pair, 0) + 1
@@ -446,6 +445,35 @@ def test_links_lose_nothing(spark, shard, blocks, recut):
     assert len({got.get(s, s) for s in signed}) == len(set(want))
 
 
+@pytest.mark.parametrize("recut", [1 << 18, 4000])
+def test_one_bucket_of_many_fingerprints_loses_nothing(spark, recut):
+    """Over 4,096 fingerprints that all agree in 40 bits: pairs of shards, or buckets cut anew, find every link."""
+    draw = np.random.default_rng(7)
+    top = int(draw.integers(1, 1 << 62)) >> 24 << 24
+    fps = np.unique(draw.integers(0, 1 << 24, 6000).astype(np.int64) | top)
+    assert len(fps) > 4096
+    links = simhash.near_links(spark.createDataFrame([(int(f),) for f in fps], "fp long"), 3, 1024, 4, recut)
+    got = {r.node: r.root for r in components(links).collect()}
+    label = np.arange(len(fps))
+    for i in range(len(fps)):
+        near = np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 3)
+        low = label[near].min()
+        for other in np.unique(label[near]):
+            label[label == other] = low
+    roots_of = {}
+    for f, g in zip(fps.tolist(), label.tolist(), strict=True):
+        roots_of.setdefault(g, set()).add(got.get(f, f))
+    assert all(len(r) == 1 for r in roots_of.values()) and len({next(iter(r)) for r in roots_of.values()}) == len(roots_of)
+
+
+def test_hot_keys_join_like_others(spark):
+    rows = spark.range(50).select(F.when(F.col("id") < 30, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    table = rows.groupBy("k").agg(F.count("*").alias("n")).withColumn("t", F.col("k") * 2)
+    want = sorted(map(tuple, rows.join(table, "k").select("k", "v", "n", "t").collect()))
+    for hot in (2, 100):
+        assert sorted(map(tuple, simhash.join_groups(rows, table, ["k"], hot).select("k", "v", "n", "t").collect())) == want
+
+
 def test_bk_tree_edges():
     fps = np.array([rnd.getrandbits(64) for _ in range(300)], np.uint64)
     forest = simhash.Forest(fps, np.zeros(300, int))
