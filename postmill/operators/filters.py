@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -170,14 +171,11 @@ def personal_email(desc: Column) -> Column:
     return F.contains(desc, F.lit("@")) & desc.rlike(r"[a-z0-9._%+-]@(?:gmail|yahoo|hotmail|outlook)\.(?:com|net|org)")
 
 
-def _any_pattern(words) -> str:
-    return "|".join(map(re.escape, words))
-
-
 def _listed(text: Column, words, label: str) -> Column:
-    """Labelled words that the text holds; the list is walked only where one pattern of all words finds something."""
+    """Labelled words that the text holds; the list is walked only where a plain search finds one of them."""
+    some = reduce(or_, (F.contains(text, F.lit(w)) for w in words))
     found = T.let(text, lambda s: F.transform(T.which_in(s, words), lambda p: F.concat(F.lit(label), p)))
-    return F.when(text.rlike(_any_pattern(words)), found).otherwise(F.expr("cast(array() as array<string>)"))
+    return F.when(some, found).otherwise(F.expr("cast(array() as array<string>)"))
 
 
 def with_risk(df: DataFrame) -> DataFrame:

@@ -326,13 +326,14 @@ def dimensions(df: DataFrame) -> DataFrame:
     Needs job_level and the profile's p_seniority, p_years, p_technologies (lower case) and p_fingerprint (tokens).
     """
     c = F.col
-    body = _marked(F.lower(F.concat_ws(" ", T.text(c("description")), T.text(c("title")))))
+    body = F.lower(F.concat_ws(" ", T.text(c("description")), T.text(c("title"))))
+    alone = lambda b, t: F.contains(b, t) & stands_alone(_marked(b), t)
     full = F.lower(F.concat_ws(" ", T.text(c("title")), T.text(c("description")), T.text(c("company")), F.coalesce(F.array_join("technologies", " "), F.lit(""))))
     stack = F.coalesce(F.transform("technologies", lambda t: F.lower(t)), F.array().cast("array<string>"))
     close = lambda t: F.exists("p_fingerprint", lambda f: F.contains(t, f) | F.contains(f, t))
     out = df.withColumns({
         "seniority_fit": ordinal_fit(c("p_seniority"), c("job_level")),
-        "tech_fit": T.let(stack, lambda own: T.let(body, lambda b: share_found(c("p_technologies"), lambda t: F.array_contains(own, t) | stands_alone(b, t)))),
+        "tech_fit": T.let(stack, lambda own: T.let(body, lambda b: share_found(c("p_technologies"), lambda t: F.array_contains(own, t) | alone(b, t)))),
         "domain_fit": T.let(full, lambda s: share_found(c("p_fingerprint"), lambda t: F.contains(s, t))),
         "lane_fit": F.when(F.size("p_fingerprint") > 0, T.let(T.lane_tokens(c("title")), lambda own: share_found(own, close))),
         "years_fit": years_fit(c("p_years"), c("job_level")),
