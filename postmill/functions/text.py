@@ -247,6 +247,11 @@ def archetype_of_title(title: Column) -> Column:
     return out.otherwise(F.lit("unclassified"))
 
 
+def archetype_confidence(title: Column) -> Column:
+    """0.85 where a pattern names the archetype, else 0."""
+    return F.when(archetype_of_title(title) == "unclassified", 0.0).otherwise(0.85)
+
+
 def lane_tokens(title: Column) -> Column:
     """Title words that tell the lane: no seniority or role boilerplate, no generic words."""
     cleaned = F.regexp_replace(F.lower(text(title)), K.LANE_BOILERPLATE, " ")

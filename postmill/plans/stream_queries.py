@@ -80,6 +80,12 @@ def page_texts(spark, sf):
     return feeds.clean_pages(table(spark, sf, "pages"))
 
 
+@query()
+def page_cards(spark, sf):
+    """Cards of the pages; without SQL, as HTML is parsed."""
+    return feeds.cards_from_html(table(spark, sf, "pages"), ("li.job", "[data-id]", "article", "li", "p"))
+
+
 @query()
 def page_links(spark, sf):
     return feeds.page_links(table(spark, sf, "pages"))

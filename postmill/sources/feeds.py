@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -247,6 +248,79 @@ def page_links(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", F.when(F.startswith("l.href", F.lit("/")), F.concat("host", "l.href")).otherwise(F.col("l.href")).alias("href"), "l.label")
 
 
+SELECTOR = re.compile(r"^(?P<tag>[\w-]*)(?:\.(?P<cls>[\w-]+))?(?:\[(?P<attr>[\w-]+)(?:\*=['\"](?P<part>[^'\"]*)['\"])?\])?$")
+
+
+class _Cards(HTMLParser):
+    """Elements that a selector picks: visible text and the first link of each."""
+
+    def __init__(self, selector: str):
+        super().__init__(convert_charrefs=True)
+        self.want, self.cards, self.open, self.hidden = SELECTOR.match(selector).groupdict(), [], [], 0
+
+    def _picks(self, tag, attrs) -> bool:
+        w = self.want
+        value = attrs.get(w["attr"]) if w["attr"] else None
+        return (not w["tag"] or w["tag"] == tag) and (not w["cls"] or w["cls"] in (attrs.get("class") or "").split()) and (
+            not w["attr"] or (w["attr"] in attrs and (w["part"] is None or w["part"] in (value or ""))))
+
+    def handle_starttag(self, tag, attrs):
+        attrs = dict(attrs)
+        self.hidden += tag in DROPPED
+        if tag not in VOID and self._picks(tag, attrs):
+            self.cards.append({"text": [], "href": None})
+            self.open.append([tag, 0, self.cards[-1]])
+        for own in self.open:
+            own[1] += own[0] == tag
+            if tag == "a" and own[2]["href"] is None:
+                own[2]["href"] = attrs.get("href") or None
+            if tag == "br":
+                own[2]["text"].append("\n")
+
+    def handle_endtag(self, tag):
+        self.hidden = max(0, self.hidden - (tag in DROPPED))
+        for own in self.open:
+            own[1] -= own[0] == tag
+            if tag in BLOCKS:
+                own[2]["text"].append("\n")
+        self.open = [own for own in self.open if own[1] > 0]
+
+    def handle_data(self, data):
+        if not self.hidden:
+            for own in self.open:
+                own[2]["text"].append(data)
+
+
+def cards_from_html(pages: DataFrame, selectors: tuple[str, ...]) -> DataFrame:
+    """Cards of (page_id, url, html): page_id, card_index, text and url_hint, the card's first link made absolute.
+
+    The first of ``selectors`` (tag.class[attr*='part'], each part optional) that picks anything on a page gives its cards.
+    """
+
+    def run(batches):
+        for b in batches:
+            found = []
+            for html in b.column("html").to_pylist():
+                cards = []
+                for selector in selectors:
+                    p = _Cards(selector)
+                    p.feed(html or "")
+                    p.close()
+                    cards = [{"card_index": i, "text": "".join(c["text"]), "href": c["href"]} for i, c in enumerate(p.cards)]
+                    if cards:
+                        break
+                found.append(cards)
+            kind = pa.list_(pa.struct([("card_index", pa.int32()), ("text", pa.string()), ("href", pa.string())]))
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(found, kind)], ["page_id", "url", "cards"])
+
+    base = pages.select("page_id", F.col("url").cast("string").alias("url"), "html")
+    kind = base.schema["page_id"].dataType.simpleString()
+    rows = base.mapInArrow(run, f"page_id {kind}, url string, cards array<struct<card_index:int,text:string,href:string>>").select("page_id", "url", F.explode("cards").alias("c"))
+    host = F.regexp_extract(T.text(F.col("url")), r"^(https?://[^/]+)", 1)
+    hint = F.when(F.startswith("c.href", F.lit("/")), F.concat(host, "c.href")).otherwise(F.col("c.href"))
+    return rows.select("page_id", "c.card_index", T.collapse_ws(F.col("c.text")).alias("text"), hint.alias("url_hint"))
+
+
 MAJOR = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
@@ -335,18 +409,25 @@ def trim_descriptions(pages: DataFrame, most: int = 800) -> DataFrame:
     return pages.select("page_id", "html").mapInArrow(run, "page_id long, html string")
 
 
+LOG_BLOCK = 10_000
 LOG_HEAD = r"^(\d{4}-\d{2}-\d{2}[ T][0-9:,.]+)\s+\[?(\w+)\]?\s+([\w.]+):?\s+(.*)$"
 
 
 def read_logs(lines: DataFrame) -> DataFrame:
     """Records of (file, line_no, value): ts, level, logger and message with its continuation lines.
 
-    A line without a head belongs to the head before it in its file; a file is one ordered group.
+    A line without a head belongs to the head before it in its file. Heads are counted in blocks of ``LOG_BLOCK`` lines, and
+    the counts of the blocks before are added, so a long file is not one ordered group.
     """
     from pyspark.sql import Window as W
 
     head = F.col("value").rlike(LOG_HEAD)
-    marked = lines.withColumn("record", F.sum(head.cast("int")).over(W.partitionBy("file").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)))
+    blocked = lines.withColumn("block", F.floor(F.col("line_no") / LOG_BLOCK))
+    own = F.sum(head.cast("int")).over(W.partitionBy("file", "block").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
+    heads = blocked.groupBy("file", "block").agg(F.sum(head.cast("int")).alias("heads"))  # a row a block
+    before = F.coalesce(F.sum("heads").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    marked = blocked.withColumn("own", own).join(heads.select("file", "block", before.alias("before")), ["file", "block"])
+    marked = marked.withColumn("record", F.col("own") + F.col("before"))
     message = F.when(head, F.regexp_extract("value", LOG_HEAD, 4)).otherwise(F.col("value"))
     g = marked.filter("record > 0").withColumn("message", message).groupBy("file", "record")
     first = lambda i: F.max(F.when(head, F.regexp_extract("value", LOG_HEAD, i)))

@@ -35,6 +35,23 @@ def test_logs(spark):
     assert [g[5] for g in got] == ["hello\n  more", "bad"] and [g[3] for g in got] == ["INFO", "ERROR"]
 
 
+def test_cards(spark):
+    html = '<li class="job new">A <b>x</b><a href="/j/1">go</a><br>B<script>no</script></li><li class="old">C</li><li class="job">D<ul><li>in</li></ul></li>'
+    other = '<div data-id="1">one</div><div data-id="2"><a href="http://z.com/2">two</a></div><a href="x/jobs/results?1">three</a>'
+    pages = spark.createDataFrame([(1, "http://a.com/x", html), (2, None, other), (3, "http://b.com", None), (4, "http://b.com", "<p>none")], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.card_index, " ".join(r.text.split()), r.url_hint) for r in feeds.cards_from_html(pages, ("li.job", "[data-id]", "a[href*='jobs/results']")).collect())
+    assert got == [(1, 0, "A xgo B", "http://a.com/j/1"), (1, 1, "Din", None), (2, 0, "one", None), (2, 1, "two", "http://z.com/2")]
+    assert [r.url_hint for r in feeds.cards_from_html(pages, ("a[href*='jobs/results']",)).collect()] == ["x/jobs/results?1"]
+
+
+def test_long_logs_are_counted_in_blocks(spark, monkeypatch):
+    lines = [f"2024-01-01 10:00:00,1 [INFO] app: r{i // 3}" if i % 3 == 0 else f"more {i}" for i in range(40)]
+    df = spark.createDataFrame([("f", i, v) for i, v in enumerate(lines)] + [("g", 0, "noise")], "file string, line_no int, value string")
+    want = sorted(map(tuple, feeds.read_logs(df).collect()))
+    monkeypatch.setattr(feeds, "LOG_BLOCK", 4)
+    assert sorted(map(tuple, feeds.read_logs(df).collect())) == want and len(want) == 14
+
+
 def test_more_feeds(spark):
     body = lambda b: spark.createDataFrame([("big-co", 0, b), ("broken", 1, "{"), ("none", 2, None)], "slug string, page int, body string")
     ashby = {"jobs": [{"id": "7", "title": "Senior PM", "location": {"name": "Remote"}, "department": "Core", "descriptionPlain": "x"}, {"title": "PM", "location": "Rome", "jobUrl": "u"}]}
