@@ -170,14 +170,14 @@ def capped_matches(spark, sf):
     return S.cap_matches(scored(spark, sf), 25).select("profile_id", "job_id", "tier", "capped")
 
 
-_RERANK = """+t AS (SELECT profile_id, job_id, ingest_seq, match_score, CAST(job_id % 16 AS DOUBLE) AS pair_score, row_number() OVER (PARTITION BY profile_id ORDER BY match_score DESC, ingest_seq) AS rank FROM scored),
+_RERANK = """+t AS (SELECT profile_id, job_id, ingest_seq, match_score, ln(1 + job_id % 17) AS pair_score, row_number() OVER (PARTITION BY profile_id ORDER BY match_score DESC, ingest_seq) AS rank FROM scored),
 u AS (SELECT *, round(0.44999999999999996 * match_score + 0.55 * ((pair_score - min(pair_score) OVER (PARTITION BY profile_id)) / (max(pair_score) OVER (PARTITION BY profile_id) - min(pair_score) OVER (PARTITION BY profile_id))), 4) AS reranked FROM t WHERE rank <= 40)
 SELECT profile_id, job_id, rank, CAST(floor(1000 * reranked + 0.000001) AS INT) AS reranked_permille, row_number() OVER (PARTITION BY profile_id ORDER BY reranked DESC, ingest_seq) AS new_rank FROM u"""
 
 
 @query(_RERANK, SCORED_CTES)
 def reranked(spark, sf):
-    rows = scored(spark, sf).withColumn("pair_score", (F.col("job_id") % 16).cast("double"))
+    rows = scored(spark, sf).withColumn("pair_score", F.log1p(F.col("job_id") % 17))
     return S.rerank(rows, 40).select("profile_id", "job_id", F.col("rank").cast("long").alias("rank"), F.floor(1000 * F.col("reranked") + 0.000001).cast("int").alias("reranked_permille"), F.col("new_rank").cast("long").alias("new_rank"))
 
 
