@@ -50,8 +50,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table in fewer splits than there are cores dealt to all of them, while they are narrow; else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql(POSTINGS, **{n: table(spark, sf_dir, n) for n in _NAMES})
+    given = {n: table(spark, sf_dir, n) for n in _NAMES}
+    rows = spark.sql(POSTINGS, **(given | {"orders": spread(given["orders"])}))
     return rows.withColumn("technologies", F.when(F.col("job_id") % 7 == 0, F.array(F.lit("python"), F.lit("kubernetes"), F.lit("aws"))))
 
 

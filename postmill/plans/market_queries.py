@@ -301,9 +301,10 @@ def hiring_velocity(spark, sf):
     return A.velocity(history, now())
 
 
-@query("SELECT DISTINCT lower(company) AS company FROM postings WHERE batch_id = 11 AND company <> '' AND lower(company) NOT IN (SELECT lower(company) FROM postings WHERE batch_id = 10)")
+@query("+c AS (SELECT batch_id, 'company ' || CAST((job_id * 7919) % 3000 AS VARCHAR) AS company FROM postings) SELECT DISTINCT company FROM c WHERE batch_id = 11 AND company NOT IN (SELECT company FROM c WHERE batch_id IN (9, 10))")
 def new_companies(spark, sf):
-    return A.new_companies(postings(spark, sf), 1)
+    name = F.concat(F.lit("Company "), ((F.col("job_id") * 7919) % 3000).cast("string"))
+    return A.new_companies(postings(spark, sf).withColumn("company", name), 2)
 
 
 _POINTS = (10, 25, 50, 75, 90, 95)
