@@ -36,8 +36,9 @@ def ranked(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataF
 def usable(embedding: str, *, zero: bool) -> Column:
     """Whether a vector has components and all of them are numbers; ``zero``: whether they may all be 0."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    good = F.col(embedding).isNotNull() & (F.size(embedding) > 0) & ~F.exists(embedding, bad)
-    good = good if zero else good & F.exists(embedding, lambda x: x != 0)
+    numbers = F.col(embedding).cast("array<double>")
+    good = numbers.isNotNull() & (F.size(numbers) > 0) & ~F.exists(numbers, bad)
+    good = good if zero else good & F.exists(numbers, lambda x: x != 0)
     return F.coalesce(good, F.lit(False))
 
 
