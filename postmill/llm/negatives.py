@@ -110,13 +110,13 @@ def step_through(vectors: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np
     n, wins = low.shape
     need, norms = low.copy(), lengths(vectors)
     owner, at, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    active, pos = np.arange(n), 0
+    active, pos, size = np.arange(n), 0, STEP
     while pos < len(rows):
         reach = norms[active] * bounds[pos] * (1 + SLACK) + SLACK
         active = active[reach >= need[active].min(axis=1)]  # the certificate: no later row can matter
         if not len(active):
             break
-        end = pos + max(STEP, CELLS // max(1, len(active)) // 4)
+        end, size = pos + size, min(2 * size, max(STEP, CELLS // len(active)))
         for cut in range(0, len(active), CELLS // STEP):
             own = active[cut : cut + CELLS // STEP]
             products = vectors[own] @ rows[pos:end].T
