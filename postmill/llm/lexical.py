@@ -196,7 +196,7 @@ def search(
     for block in item_blocks(items, item_id, item_text, block_bytes):
         shared = spark.sparkContext.broadcast(block)
         counts = corpus_counts(rows, shared)
-        n_docs, n_words = counts[N_DOCS], counts[N_WORDS]
+        n_docs, n_words = counts.get(N_DOCS, 0), counts.get(N_WORDS, 0)
         if n_docs:
             weights = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * counts.get(t, 0) + 1))) for t in range(len(block.terms))], np.int64)
             out = out.unionAll(rows.mapInArrow(_searcher(shared, weights, n_docs, n_words, top, shard_bytes, kind_of), kind_of))

@@ -36,7 +36,7 @@ def embedding_rows(n=600, width=16, clusters=12):
     rows = [(i, [float(c) for c in v], i % 5) for i, v in enumerate(x)]
     rows += [(n + i, rows[3][1], 3) for i in range(40)]  # copies of one vector
     rows += [rows[7], rows[50], (2000, [0.0] * width, 1), (2001, None, 1), (2002, [], 1), (2003, [float("nan")] * width, 1), (2004, [float("inf")] + [0.0] * (width - 1), 1)]
-    rows += [(2005, [None] + [0.5] * (width - 1), 1), (None, rows[1][1], 2), (2050, rows[9][1], None), (2100, [v * 3 for v in rows[9][1]], 4), (2020, rows[20][1], 4)]
+    rows += [(2005, [None] + [0.5] * (width - 1), 1), (None, rows[1][1], 2), (2050, rows[9][1], None), (2100, [v * 4 for v in rows[9][1]], 4), (2020, rows[20][1], 4)]
     return rows
 
 
