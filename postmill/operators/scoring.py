@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,91 +14,8 @@ from postmill.functions import constants as K
 from postmill.functions import fields as X
 from postmill.functions import text as T
 from postmill.operators import filters as O
-
-BLOCK_BYTES = 32 << 20
-MATRIX_ROWS = 1024
-
-
-def _unit_rows(column: pa.Array, width: int) -> np.ndarray:
-    """Vectors of ``width`` numbers as a matrix of rows of length 1; a zero or null vector is a row of zeros."""
-    rows = column.to_pylist()
-    out = np.zeros((len(rows), width))
-    for i, r in enumerate(rows):
-        if r:
-            out[i] = r
-    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
-    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
-
-
-def vector_blocks(rows: DataFrame, key: str, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list, np.ndarray]]:
-    """The rows (key, embedding) in blocks of about ``block_bytes``: their keys and their unit vectors.
-
-    A block at a time is collected and broadcast, so any number of rows needs bounded memory.
-    """
-    n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-    blocks = max(1, -(-n * 8 * max(1, width or 1) // block_bytes))
-    for k in range(blocks if n else 0):
-        mine = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64(key, "embedding"), F.lit(blocks)) == k)
-        table = mine.select(key, "embedding").toArrow()
-        if table.num_rows:
-            yield table.column(key).to_pylist(), _unit_rows(table.column("embedding"), width)
-
-
-def profile_similarity(vectors: DataFrame, profiles: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(profile_id, vec_id, similarity): every vector against every profile, a stated query set.
-
-    Profiles are taken in blocks of bounded bytes; each task multiplies its vectors with a block as matrices. A vector or
-    profile without length has similarity 0.
-    """
-    ids = profiles.schema["profile_id"].dataType
-    schema = P.StructType([P.StructField("profile_id", ids), vectors.schema["vec_id"], P.StructField("similarity", P.DoubleType())])
-    out = None
-    for names, matrix in vector_blocks(profiles, "profile_id", block_bytes):
-        shared = vectors.sparkSession.sparkContext.broadcast((names, matrix))
-
-        def run(batches, shared=shared):
-            names, matrix = shared.value
-            for batch in batches:
-                for k in range(0, batch.num_rows, MATRIX_ROWS):
-                    part = batch.slice(k, MATRIX_ROWS)
-                    found = np.round(_unit_rows(part.column("embedding"), matrix.shape[1]) @ matrix.T, 4) + 0.0
-                    own = part.column("vec_id").take(pa.array(np.repeat(np.arange(part.num_rows), len(names))))
-                    yield pa.RecordBatch.from_arrays([pa.array(names * part.num_rows).cast(kind), own, pa.array(found.ravel())], ["profile_id", "vec_id", "similarity"])
-
-        kind = pa.int64() if isinstance(ids, P.LongType) else pa.int32() if isinstance(ids, P.IntegerType) else pa.string()
-        step = vectors.select("vec_id", "embedding").mapInArrow(run, schema)
-        out = step if out is None else out.unionAll(step)
-    return vectors.sparkSession.createDataFrame([], schema) if out is None else out
-
-
-def label_similarity(vectors: DataFrame, labels: DataFrame, least: dict[str, int], block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """vec_id and, for each state of (state, embedding) with enough labels, the highest cosine to one of them.
-
-    Any number of labels: they are taken in blocks of bounded bytes; of each block only the maximum by vector and state is
-    kept, and the maxima of the blocks are combined.
-    """
-    sizes = {r["state"]: r["count"] for r in labels.filter(F.col("state").isin(*least)).groupBy("state").count().collect()}  # a row a state
-    states = [s for s, n in least.items() if sizes.get(s, 0) >= n]
-    schema = P.StructType([vectors.schema["vec_id"], *(P.StructField(s, P.DoubleType()) for s in least)])
-    out = None
-    for names, matrix in vector_blocks(labels.filter(F.col("state").isin(*states)), "state", block_bytes) if states else ():
-        shared = vectors.sparkSession.sparkContext.broadcast((np.array(names), matrix))
-
-        def run(batches, shared=shared):
-            names, matrix = shared.value
-            for batch in batches:
-                for k in range(0, batch.num_rows, MATRIX_ROWS):
-                    part = batch.slice(k, MATRIX_ROWS)
-                    found = _unit_rows(part.column("embedding"), matrix.shape[1]) @ matrix.T
-                    best = [pa.array(found[:, names == s].max(axis=1)) if (names == s).any() else pa.nulls(part.num_rows, pa.float64()) for s in least]
-                    yield pa.RecordBatch.from_arrays([part.column("vec_id"), *best], ["vec_id", *least])
-
-        step = vectors.select("vec_id", "embedding").mapInArrow(run, schema)
-        out = step if out is None else out.unionAll(step)
-    if out is None:
-        return vectors.select("vec_id", *[F.lit(None).cast("double").alias(s) for s in least])
-    return out.groupBy("vec_id").agg(*[F.max(s).alias(s) for s in least])
-
+from postmill.operators.similarity import all_similarities as profile_similarity
+from postmill.operators.similarity import highest_similarities as label_similarity
 
 ENCODE_ROWS = 32
 

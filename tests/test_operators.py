@@ -139,8 +139,8 @@ def test_labels_in_blocks_give_whole_results(spark):
     cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
     least = {"starred": 3, "dismissed": 3, "seed": 2, "rare": 2}
     v, l = spark.createDataFrame(rows, "vec_id int, embedding array<double>"), spark.createDataFrame(labels, "state string, embedding array<double>")
-    for block_bytes in (7 * 4 * 8, 1 << 20):
-        got = {r.vec_id: r for r in S.label_similarity(v, l, least, block_bytes).collect()}
+    for block_rows in (1, 3, 8192):
+        got = {r.vec_id: r for r in S.label_similarity(v, l, least, block_rows, 13).collect()}
         assert len(got) == len(rows)
         for i, e in rows:
             for s in ("starred", "dismissed", "seed"):
@@ -149,6 +149,41 @@ def test_labels_in_blocks_give_whole_results(spark):
     assert S.label_similarity(v, l.limit(0), least).filter("starred is null").count() == len(rows)
 
 
+def test_cells_of_labels_are_skipped_and_none_is_missed(spark):
+    """20 blocks a side of vectors in 15 directions: exact maxima, while most vectors meet few cells."""
+    import numpy as np
+
+    from postmill.operators import similarity as Y
+
+    r = np.random.default_rng(3)
+    centres = r.standard_normal((15, 8))
+    near = lambda n: (centres[r.integers(0, 15, n)] + 0.05 * r.standard_normal((n, 8))).tolist()
+    rows = list(enumerate(near(600))) + [(600, [0.0] * 8), (601, None), (602, rows_of_one := near(1)[0]), (602, rows_of_one)]
+    labels = [(["starred", "dismissed"][i % 2], e) for i, e in enumerate(near(400))] + [("starred", [0.0] * 8), ("seed", [0.0] * 8), ("seed", None)]
+    least = {"starred": 3, "dismissed": 3, "seed": 2}
+    v, l = spark.createDataFrame(rows, "vec_id int, embedding array<double>"), spark.createDataFrame(labels, "state string, embedding array<double>")
+    got = {x.vec_id: x for x in S.label_similarity(v, l, least, 20, 25).collect()}
+    unit = lambda e: Y.unit_rows(__import__("pyarrow").array([e]), 8)[0]
+    assert set(got) == set(range(603))
+    for i, e in rows:
+        for s in least:
+            assert got[i][s] == pytest.approx(max(float(unit(e) @ unit(x)) for t, x in labels if t == s), abs=1e-9)
+    good = v.filter(Y.has_direction())
+    placed, cells = Y.fit_cells(l.filter("state <> 'seed'"), ["starred", "dismissed"], 8, 25, 20)
+    first = Y._met(Y.routed(good, cells, 8, False), placed, cells, 8, 20)
+    state = F.element_at(F.array(*[F.lit(cells.states[s]) for s in cells.state]), F.col("cell") + 1)
+    floors = first.groupBy("vec_id").agg(*[F.max(F.when(state == s, F.col("best"))).alias(s) for s in cells.states])
+    met = Y.routed(good.join(floors, "vec_id", "left"), cells, 8, True).count() + 2 * good.count()
+    assert met < 0.25 * good.count() * int(cells.parts.sum())
+
+
+def test_similarity_plans_broadcast_no_vectors(spark, sf):
+    from postmill.plans import registry
+
+    plan = registry.QUERIES["profile_similarity"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Nested" not in plan
+
+
 def test_cap_keeps_best(spark):
     rows = spark.createDataFrame([(0, i, 0.6 + i / 100, "match") for i in range(10)], "profile_id int, ingest_seq int, match_score double, tier string")
     got = {r.ingest_seq: (r.tier, r.capped) for r in S.cap_matches(rows, 3).collect()}
