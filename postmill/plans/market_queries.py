@@ -77,7 +77,10 @@ def registry(spark, sf):
     return old, p.filter("batch_id = 11")
 
 
-@query("SELECT coalesce(o.k, n.k) AS key, greatest(o.score, n.score) AS score, CASE WHEN n.k IS NOT NULL AND (o.score IS NULL OR n.score > o.score) THEN 'v11' ELSE o.pv END AS profile_version, coalesce(n.payload, o.payload) AS payload, coalesce(o.first_seen, 11) AS first_seen, CASE WHEN n.k IS NOT NULL THEN 11 ELSE o.last_seen END AS last_seen, CAST(coalesce(o.nb, 0) + CASE WHEN n.k IS NOT NULL THEN 1 ELSE 0 END AS INT) AS n_batches, coalesce(o.starred, false) AS starred, coalesce(o.seen, false) AS seen, coalesce(o.dismissed, false) AS dismissed, coalesce(o.removed, false) AS removed FROM old o FULL JOIN new n ON o.k = n.k", REGISTRY_CTE)
+UPSERT_SQL = "SELECT coalesce(o.k, n.k) AS key, greatest(o.score, n.score) AS score, CASE WHEN n.k IS NOT NULL AND (o.score IS NULL OR n.score > o.score) THEN 'v11' ELSE o.pv END AS profile_version, coalesce(n.payload, o.payload) AS payload, coalesce(o.first_seen, 11) AS first_seen, CASE WHEN n.k IS NOT NULL THEN 11 ELSE o.last_seen END AS last_seen, CAST(coalesce(o.nb, 0) + CASE WHEN n.k IS NOT NULL THEN 1 ELSE 0 END AS INT) AS n_batches, coalesce(o.starred, false) AS starred, coalesce(o.seen, false) AS seen, coalesce(o.dismissed, false) AS dismissed, coalesce(o.removed, false) AS removed FROM old o FULL JOIN new n ON o.k = n.k"
+
+
+@query(UPSERT_SQL, REGISTRY_CTE)
 def registry_upsert(spark, sf):
     old, new = registry(spark, sf)
     return R.upsert(old, new, 11, "v11")

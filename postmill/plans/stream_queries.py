@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from postmill.operators import filters as O
-from postmill.operators import registry as R
-from postmill.plans.derived import as_applications, query, table
-from postmill.plans.market_queries import FLAGS_SQL, REACTIONS_CTE, STATES_CTE, as_reactions
+from postmill.plans.derived import APPLICATIONS_CTE, as_applications, query, table
+from postmill.plans.market_queries import FLAGS_SQL, REACTIONS_CTE, REGISTRY_CTE, STATES_CTE, UPSERT_SQL, as_reactions, registry
 from postmill.sources import feeds
 from postmill.streaming import jobs
+from postmill.streaming import state as Y
 
 
 def event_stream(spark, sf):
@@ -34,30 +33,64 @@ def stream_unseen_urls(spark, sf):
     return out.agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(FLAGS_SQL + "key, starred, dismissed, seen FROM w", REACTIONS_CTE)
+def event_batches(spark, sf, n=3):
+    """The events table as a stream of ``n`` micro-batches in the order of time: a folder of as many files, written one by one."""
+    e, folder = table(spark, sf, "events"), jobs.shared_folder(spark)
+    first, last = e.agg(F.min("event_id"), F.max("event_id")).first()
+    part = F.floor((F.col("event_id") - first) * n / (last - first + 1))  # ids grow with time
+    for k in range(n):
+        e.filter(part == k).coalesce(1).write.mode("append").parquet(f"{folder}/events")
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
+
+
+@query(FLAGS_SQL + "key, starred, dismissed, seen, n_up FROM w", REACTIONS_CTE)
 def stream_reaction_flags(spark, sf):
-    return jobs.append_reactions(as_reactions(event_stream(spark, sf)), jobs.shared_folder(spark)).select("key", "starred", "dismissed", "seen")
+    """Flags by keyed state over three micro-batches; each writes only the flags that it changed."""
+    return jobs.reaction_cycles(as_reactions(event_batches(spark, sf)), jobs.shared_folder(spark), buckets=16).select("key", "starred", "dismissed", "seen", "n_up")
+
+
+STEPS_CTE = APPLICATIONS_CTE + """, d AS (SELECT app_id, min(seq) AS first FROM applications WHERE state = 'discovered' GROUP BY app_id),
+steps AS (SELECT a.*, lower(trim(title)) || '||' || lower(trim(company)) AS app_key, CAST(row_number() OVER (PARTITION BY a.app_id ORDER BY seq) AS INTEGER) AS step FROM applications a JOIN d ON a.app_id = d.app_id WHERE seq = first OR (seq > first AND state <> 'discovered'))"""
+
+
+def steps(spark, sf):
+    rows = as_applications(event_batches(spark, sf))
+    return jobs.run_once(Y.application_steps(rows), jobs.shared_folder(spark))
 
 
-@query("SELECT app_id, state, n_changes FROM states", STATES_CTE)
+@query("SELECT app_key, step, state, seq FROM steps", STEPS_CTE)
+def stream_application_history(spark, sf):
+    """What each application went through; steps before its discovery are ignored."""
+    return steps(spark, sf).select("app_key", "step", "state", "seq")
+
+
+@query("SELECT app_key, arg_max(state, step) AS state, count(*) AS n_changes FROM steps GROUP BY 1", STEPS_CTE)
 def stream_application_states(spark, sf):
-    """Applications as they change: the log of events folded to the latest states."""
-    rows = as_applications(event_stream(spark, sf))
-    return jobs.fold_log(rows, jobs.shared_folder(spark), R.latest_states).select("app_id", "state", "n_changes")
+    return Y.latest_steps(steps(spark, sf)).select("app_key", "state", "n_changes")
 
 
 @query("SELECT event_type AS source, CAST(user_id % 50 AS VARCHAR) AS slug FROM events WHERE event_type <> 'error' GROUP BY ALL EXCEPT SELECT b.source, b.slug FROM (SELECT 'view' AS source, CAST(user_id % 50 AS VARCHAR) AS slug, max(ts) AS ts FROM events WHERE event_type = 'error' GROUP BY 2) b LEFT JOIN (SELECT 'view' AS source, CAST(user_id % 50 AS VARCHAR) AS slug, max(ts) AS ts FROM events WHERE event_type = 'purchase' GROUP BY 2) g ON b.slug = g.slug WHERE (g.ts IS NULL OR g.ts < b.ts) AND date_diff('second', b.ts, TIMESTAMP '2024-02-01') < 7 * 86400", "")
 def stream_active_sources(spark, sf):
-    """Failures and successes come as a stream; a later success clears a failure."""
+    """Failures and successes come as a stream; a success, or seven days, clears a failure."""
     slug = (F.col("user_id") % 50).cast("string").alias("slug")
-    rows = event_stream(spark, sf).select("event_type", slug, F.col("ts").cast("timestamp").alias("ts"))
+    results = event_batches(spark, sf).filter("event_type in ('error', 'purchase')").select(F.lit("view").alias("source"), slug, "ts", F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("failed"))
+    changes = jobs.run_once(Y.cooldown_changes(results), jobs.shared_folder(spark))
+    sources = table(spark, sf, "events").filter("event_type <> 'error'").select(F.col("event_type").alias("source"), slug).distinct()
+    return sources.join(Y.suppressed(changes, F.lit("2024-02-01").cast("timestamp")), ["source", "slug"], "left_anti")
+
 
-    def active(log):
-        sources = log.filter("event_type <> 'error'").select(F.col("event_type").alias("source"), "slug").distinct()
-        of = lambda kind: log.filter(F.col("event_type") == kind).select(F.lit("view").alias("source"), "slug", "ts")
-        return O.active_sources(sources, of("error"), F.lit("2024-02-01").cast("timestamp"), successes=of("purchase"))
+@query("+w AS (SELECT max(ts) - INTERVAL 1 HOUR AS now FROM events) SELECT lower(company) AS company_key, round(tanh(CAST(sum(CASE state WHEN 'applied' THEN 1.0 WHEN 'interview' THEN 3.0 WHEN 'rejected' THEN -2.0 WHEN 'discovered' THEN CASE WHEN first_ts + INTERVAL 7 DAY <= now THEN -0.125 ELSE 0 END ELSE 0 END) AS DOUBLE) / 10) * 0.08, 4) AS bonus FROM states, w GROUP BY 1", STATES_CTE)
+def stream_company_signals(spark, sf):
+    """Signals of companies as they change; what stays at discovered becomes a weak negative when a timer of event time fires."""
+    changes = jobs.run_once(Y.signal_changes(as_applications(event_batches(spark, sf))), jobs.shared_folder(spark))
+    return Y.bonuses(changes)
 
-    return jobs.fold_log(rows, jobs.shared_folder(spark), active)
+
+@query("+n AS (SELECT CAST(date_trunc('week', ts) AS TIMESTAMP) AS week, count(*) AS n FROM events GROUP BY 1) SELECT week, n FROM n WHERE week + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY", "z AS (SELECT 1)")
+def stream_weekly_events(spark, sf):
+    """Weeks that the watermark has closed."""
+    rows = event_batches(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    return jobs.run_once(jobs.weekly_counts(rows), jobs.shared_folder(spark))
 
 
 @query("SELECT user_id, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_s, CAST(1 AS INT) AS alert FROM events GROUP BY user_id HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR", "")
@@ -72,7 +105,17 @@ def stream_idle_alerts(spark, sf):
 def stream_registry(spark, sf):
     e = event_stream(spark, sf)
     rows = e.select(F.col("user_id").cast("string").alias("key"), (F.col("event_id") % 100).alias("score"), F.col("event_id").alias("payload"), F.col("event_id").alias("ingest_seq"))
-    return jobs.registry_cycles(rows, jobs.shared_folder(spark)).select("key", "score", "payload", "first_seen", "n_batches")
+    return jobs.registry_cycles(rows, jobs.shared_folder(spark), 16).select("key", "score", "payload", "first_seen", "n_batches")
+
+
+@query(UPSERT_SQL, REGISTRY_CTE)
+def registry_in_buckets(spark, sf):
+    """The registry as a table of hash buckets: earlier batches as one version, the newest as the next."""
+    folder = jobs.shared_folder(spark)
+    old, new = registry(spark, sf)
+    jobs.registry_table(spark, folder, 32).merge(old, 10, lambda _, rows: rows)
+    jobs.upsert_registry(new, folder, 11, "v11", 32)
+    return jobs.read_registry(spark, folder)
 
 
 @query()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,17 +10,14 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from postmill.functions import text as T
 from postmill.operators import registry as R
+from postmill.operators.shared import checkpoint_dir
+from postmill.streaming import state as Y
+from postmill.streaming.buckets import BUCKETS, BucketedTable
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one that all executors see (spark.checkpoint.dir); in local mode a temporary one may stand in."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def run_once(stream: DataFrame, folder: str) -> DataFrame:
@@ -48,51 +44,55 @@ def weekly_counts(rows: DataFrame, *, ts: str = "ts", late: str = "2 days") -> D
     return rows.withWatermark(ts, late).groupBy(week).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("week"), "n")
 
 
-def append_reactions(stream: DataFrame, folder: str) -> DataFrame:
-    """Append reactions batch by batch and return the current flags."""
-    return fold_log(stream, folder, R.fold_reactions)
-
-
-def snapshots(spark: SparkSession, folder: str) -> list[int]:
-    """Numbers of the registry snapshots in a folder, in order."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
-    whole = [p.getName() for p in found if p.getName().startswith("snapshot=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(name.split("=")[1]) for name in whole)
+REGISTRY = "key string, score long, profile_version string, payload long, first_seen int, last_seen int, n_batches int, " + ", ".join(f"{f} boolean" for f in R.FLAGS)
 
 
-REGISTRY = "key string, score long, profile_version string, payload long, first_seen int, last_seen int, n_batches int, " + ", ".join(f"{f} boolean" for f in R.FLAGS)
+def registry_table(spark: SparkSession, folder: str, buckets: int = BUCKETS) -> BucketedTable:
+    """The registry as a table in hash buckets of its keys, with versions."""
+    return BucketedTable(spark, folder, REGISTRY, buckets)
 
 
 def read_registry(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
     """A registry snapshot, the last unless ``version`` names one; empty where there is none yet."""
-    have = snapshots(spark, folder)
-    if version is not None and version not in have:
-        raise ValueError(f"no snapshot {version} in {folder}")
-    return spark.read.schema(REGISTRY).parquet(f"{folder}/snapshot={have[-1] if version is None else version}") if have else spark.createDataFrame([], REGISTRY)
+    return registry_table(spark, folder).read(version)
+
 
+def upsert_registry(batch: DataFrame, folder: str, version: int, profile_version: str, buckets: int = BUCKETS) -> int:
+    """Upsert scored rows (key, score, payload, ingest_seq) as a version of the registry; returns the buckets rewritten."""
+    return registry_table(batch.sparkSession, folder, buckets).merge(batch, version, lambda old, new: R.upsert(old, new, version, profile_version))
 
-def write_registry(registry: DataFrame, folder: str, version: int) -> None:
-    """A registry snapshot; one of the same number is replaced."""
-    registry.write.mode("overwrite").parquet(f"{folder}/snapshot={version}")
 
+def each_batch(stream: DataFrame, folder: str, write) -> None:
+    """Run ``write(batch, batch_id)`` on all that is there; state and progress are kept in ``folder``."""
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
 
-def registry_cycles(stream: DataFrame, folder: str) -> DataFrame:
-    """Upsert each micro-batch of scored rows (key, score, payload, ingest_seq) into registry snapshots; returns the last.
 
-    Snapshot n is made from the snapshot before and batch n, so a batch that runs again gives the same snapshot; a cycle
-    without data returns the last snapshot there is.
+def registry_cycles(stream: DataFrame, folder: str, buckets: int = BUCKETS) -> DataFrame:
+    """Upsert each micro-batch of scored rows into the registry, in the buckets that it touches; returns the last version.
+
+    Version n is made from the version before and batch n, so a batch that runs again gives the same rows; a cycle without
+    data returns the last version there is.
     """
-    spark = stream.sparkSession
+    each_batch(stream, folder, lambda batch, n: upsert_registry(batch, folder, n, f"v{n}", buckets))
+    return read_registry(stream.sparkSession, folder)
+
+
+FLAGGED = Y.CHANGED
+
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        before = [n for n in snapshots(spark, folder) if n < batch_id]
-        old = read_registry(spark, folder, before[-1]) if before else spark.createDataFrame([], REGISTRY)
-        write_registry(R.upsert(old, batch, batch_id, f"v{batch_id}"), folder, batch_id)
+def reaction_cycles(stream: DataFrame, folder: str, flags: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Keep the flags of postings by keyed state; a cycle writes only the buckets of the keys whose flags changed.
 
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return read_registry(spark, folder)
+    Returns the flags of all keys that had reactions.
+    """
+    table = BucketedTable(stream.sparkSession, folder, FLAGGED, buckets)
+
+    def newest(old: DataFrame, new: DataFrame) -> DataFrame:
+        both = old.unionByName(new)
+        return both.groupBy("key").agg(F.max_by(F.struct(*[c for c in both.columns if c != "key"]), "n_actions").alias("r")).select("key", "r.*")
+
+    each_batch(Y.reaction_changes(stream, flags), folder, lambda batch, n: table.merge(batch, n, newest))
+    return table.read()
 
 
 class IdleAlerts(StatefulProcessor):
@@ -138,7 +138,7 @@ def idle_alerts(events: DataFrame, idle: float = 72, cooldown: float = 48, late:
 
     State with timers needs the RocksDB store, which is set for the session.
     """
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    Y.use_rocksdb(events.sparkSession)
     rows = events.select(F.col("user_id").cast("long").alias("user_id"), F.col("ts").cast("timestamp").alias("ts"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
     return rows.withWatermark("ts", late).groupBy("user_id").transformWithStateInPandas(
         IdleAlerts(idle, cooldown), "user_id long, last_ms long, alert int", "Append", "EventTime")
@@ -164,17 +164,3 @@ class CycleCounter(StreamingQueryListener):
 
     def onQueryTerminated(self, event):
         pass
-
-
-def fold_log(stream: DataFrame, folder: str, fold) -> DataFrame:
-    """Append what arrives to a log and give ``fold`` of the whole log: any batch operator as the state of a stream.
-
-    A batch that runs again replaces itself; a cycle without data gives the same state.
-    """
-    spark = stream.sparkSession
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/log/batch={batch_id}")
-
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return fold(spark.read.schema(stream.schema).parquet(f"{folder}/log"))

@@ -291,7 +291,7 @@ def test_idle_cycle_keeps_the_registry(spark, tmp_path):
     assert [r.score for r in jobs.registry_cycles(stream(), folder).collect()] == [5]
     spark.createDataFrame([("k", 9, 2, 2), ("j", 1, 3, 3)], schema).write.mode("append").parquet(str(source))
     assert {r.key: (r.score, r.n_batches) for r in jobs.registry_cycles(stream(), folder).collect()} == {"k": (9, 2), "j": (1, 1)}
-    assert jobs.snapshots(spark, folder) == [0, 1] and jobs.read_registry(spark, folder, 0).count() == 1
+    assert jobs.registry_table(spark, folder).versions() == [0, 1] and jobs.read_registry(spark, folder, 0).count() == 1
     with pytest.raises(ValueError):
         jobs.read_registry(spark, folder, 5)
 
