@@ -296,3 +296,20 @@ GUESSED_SENIORITY = (
     ("head of", "lead"), ("director", "director"), ("vp", "director"), ("vice president", "director"), ("junior", "junior"),
     ("jr", "junior"), ("associate", "junior"), ("entry", "junior"),
 )
+
+REMOTE_SIGNS = ("remote", "anywhere", "worldwide", "distributed", "global", "wfh", "work from home", "work-from-home")
+#: Words that tie a remote posting to a region.
+FOREIGN_REGIONS = (
+    r"uk|u\.k\.|united kingdom|great britain|britain|england|scotland|wales|northern ireland",
+    r"eu|e\.u\.|emea|europe|european|eea|eurozone",
+    r"germany|france|spain|italy|netherlands|holland|belgium|sweden|norway|denmark|finland|poland|ireland|portugal|switzerland|austria",
+    r"canada|canadian|mexico|mexican",
+    r"latam|latin america|brazil|brasil|argentina|chile|colombia|peru|uruguay",
+    r"apac|asia|asian|india|singapore|japan|korea|china|taiwan|thailand|vietnam|philippines|malaysia|indonesia|hong kong",
+    r"anz|australia|australian|new zealand|nz",
+    r"uae|dubai|saudi|israel|south africa|africa|mena",
+)
+US_REGION = r"us|u\.s\.|usa|u\.s\.a\.|united states|america|american|stateside"
+VAGUE_TITLES = r"^(?:job|position|role|opening|opportunity)$|^various\s|^multiple\s|\bvarious\b"
+DATE_FIELDS = ("posted_at", "posted_date", "published_at", "publishedAt", "updated_at", "updatedAt", "created_at", "createdAt", "date")
+SENIOR_QUERIES = ("director of", "head of ", "vp ", "vp of", "vice president", "chief ", "group product manager")

@@ -127,11 +127,6 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2 * 6371.0 * F.asin(F.sqrt(a))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
 def parse_posted(c: Column) -> Column:
     """Time from ISO text, day formats or epoch seconds; null if none fits."""
     s = F.trim(text(c))
@@ -140,36 +135,29 @@ def parse_posted(c: Column) -> Column:
     return F.coalesce(epoch, F.try_to_timestamp(F.when(~s.rlike(r"^\d+$"), s)), *(F.try_to_timestamp(s, F.lit(f)) for f in formats))
 
 
-REMOTE_SIGNS = ("remote", "anywhere", "worldwide", "distributed", "global", "wfh", "work from home", "work-from-home")
-#: Words that tie a remote posting to a region.
-FOREIGN_REGIONS = (
-    r"uk|u\.k\.|united kingdom|great britain|britain|england|scotland|wales|northern ireland",
-    r"eu|e\.u\.|emea|europe|european|eea|eurozone",
-    r"germany|france|spain|italy|netherlands|holland|belgium|sweden|norway|denmark|finland|poland|ireland|portugal|switzerland|austria",
-    r"canada|canadian|mexico|mexican",
-    r"latam|latin america|brazil|brasil|argentina|chile|colombia|peru|uruguay",
-    r"apac|asia|asian|india|singapore|japan|korea|china|taiwan|thailand|vietnam|philippines|malaysia|indonesia|hong kong",
-    r"anz|australia|australian|new zealand|nz",
-    r"uae|dubai|saudi|israel|south africa|africa|mena",
-)
-US_REGION = r"us|u\.s\.|usa|u\.s\.a\.|united states|america|american|stateside"
-
-
 def remote_region(location: Column) -> Column:
     """us, foreign, anywhere or onsite."""
     t = F.lower(text(location))
     return (
-        F.when(~any_in(t, REMOTE_SIGNS), "onsite").when(t.rlike(rf"\b(?:{US_REGION})\b"), "us")
-        .when(t.rlike(rf"\b(?:{'|'.join(FOREIGN_REGIONS)})\b"), "foreign").otherwise("anywhere")
+        F.when(~any_in(t, K.REMOTE_SIGNS), "onsite").when(t.rlike(rf"\b(?:{K.US_REGION})\b"), "us")
+        .when(t.rlike(rf"\b(?:{'|'.join(K.FOREIGN_REGIONS)})\b"), "foreign").otherwise("anywhere")
     )
 
 
-DATE_FIELDS = ("posted_at", "posted_date", "date_posted", "published_at", "publication_date", "created_at", "updated_at", "first_seen_at", "_first_seen")
+ISO = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d{1,6})?)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
+
+
+def read_date(c: Column) -> Column:
+    """Time from a number of seconds or (over 10^12) milliseconds, or from ISO text; null if it is neither, or too small a number."""
+    s = F.trim(text(c.cast("string")))
+    n = s.try_cast("double")
+    seconds = F.when(n > 1e12, n / 1000).otherwise(n)
+    return F.when((seconds > 10_000_000) & (seconds < 1e11), F.timestamp_seconds(seconds)).when(n.isNull() & s.rlike(ISO), F.try_to_timestamp(F.replace(s, F.lit(","), F.lit("."))))
 
 
-def first_date(df: DataFrame, fields: tuple[str, ...] = DATE_FIELDS) -> Column:
-    """The first of the row's date fields that can be read; a number over 10^12 is in milliseconds."""
-    return F.coalesce(*[parse_posted(F.col(c)) for c in fields if c in df.columns], F.lit(None).cast("timestamp"))
+def first_date(df: DataFrame, fields: tuple[str, ...] = K.DATE_FIELDS) -> Column:
+    """The first of the row's date fields that can be read."""
+    return F.coalesce(*[read_date(F.col(c)) for c in fields if c in df.columns], F.lit(None).cast("timestamp"))
 
 
 def posted_age_days(posted: Column, now: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -74,8 +76,12 @@ def ghost_rate(df: DataFrame, threshold: float = 0.45) -> DataFrame:
 
 
 def ghost_by_company(df: DataFrame, least: int = 3, threshold: float = 0.45) -> DataFrame:
-    out = df.filter("company <> ''").groupBy("company").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ghost") >= threshold).alias("suspects"), F.round(F.avg("ghost"), 3).alias("mean_ghost"))
-    return out.filter(F.col("n") >= least)
+    """Companies of ``least`` postings or more (no company is "Unknown"): suspects, their share and the mean score, worst first."""
+    name = F.coalesce(F.nullif(F.trim("company"), F.lit("")), F.lit("Unknown"))
+    ghost = F.coalesce("ghost", F.lit(0.0))
+    out = df.groupBy(name.alias("company")).agg(F.count(F.lit(1)).alias("n"), F.count_if(ghost >= threshold).alias("suspects"), F.round(F.avg(ghost), 3).alias("mean_ghost"))
+    out = out.filter(F.col("n") >= least).withColumn("suspect_pct", F.round(100 * F.col("suspects") / F.col("n"), 1))
+    return out.orderBy(F.desc("suspect_pct"), F.desc("suspects"), F.asc("company"))
 
 
 def posting_age(df: DataFrame, now: Column) -> DataFrame:
@@ -87,11 +93,12 @@ def posting_age(df: DataFrame, now: Column) -> DataFrame:
 
 
 def skill_rank(df: DataFrame, column: str, n: int = 8) -> DataFrame:
-    """Skills by number of live, not dismissed rows that name them, each once a row; shown as first written."""
-    pairs = live(df, "dismissed").select("ingest_seq", F.explode(column).alias("skill")).select("ingest_seq", F.trim("skill").alias("skill"))
+    """Skills by number of live, not dismissed rows that name them, each once a row; shown, and ties ranked, as first written."""
+    pairs = live(df, "dismissed").select("ingest_seq", F.posexplode(column).alias("at", "skill")).withColumn("skill", F.trim("skill"))
     pairs = pairs.withColumn("key", F.lower("skill")).filter("key <> ''")
-    once = pairs.groupBy("ingest_seq", "key").agg(F.min("skill").alias("skill"))
-    return once.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("skill", "ingest_seq").alias("skill")).orderBy(F.desc("n"), F.asc("key")).limit(n)
+    once = pairs.groupBy("ingest_seq", "key").agg(F.min(F.struct("ingest_seq", "at", "skill")).alias("first"))
+    out = once.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
+    return out.orderBy(F.desc("n"), "first.ingest_seq", "first.at").limit(n).select("key", "n", "first.skill")
 
 
 def triage_tokens(title: Column) -> Column:
@@ -121,10 +128,9 @@ def label_separation(df: DataFrame) -> DataFrame:
 
     Scores are counted first: ranks come from running sums over distinct scores in ranges of bounded size.
     """
-    per = df.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("q"))
-    part = F.floor(F.col("score") / 1000)
-    w = W.partitionBy("part").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    inner = per.withColumn("part", part).withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0)))
+    per = in_ranges(df.filter("score is not null").groupBy(F.col("score").alias("value")).agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("q")))
+    w = W.partitionBy("part").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
+    inner = per.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0)))
     parts = inner.groupBy("part").agg(F.sum("q").alias("part_q"))
     before = parts.withColumn("base", F.coalesce(F.sum("part_q").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     u = inner.join(before.select("part", "base"), "part").agg(F.sum(F.col("p") * (F.col("base") + F.col("below") + F.col("q") / 2)).alias("u"))
@@ -159,34 +165,56 @@ def fill_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.round(F.try_divide(F.col(c), F.col("n")), 4).alias("rate")) for c in columns])).alias("r")).select("r.*")
 
 
-def source_health(df: DataFrame) -> DataFrame:
-    """Postings by provider, and by provider and tenant."""
-    split = df.select(F.split_part("source", F.lit(":"), F.lit(1)).alias("provider"), F.split_part("source", F.lit(":"), F.lit(2)).alias("tenant"))
-    return split.rollup("provider", "tenant").agg(F.count(F.lit(1)).alias("n")).filter("provider is not null")
+def source_health(tallies: DataFrame) -> DataFrame:
+    """Jobs and errors by provider and tenant, and a row for each provider (tenant null) with its tenants and those that have jobs.
+
+    tallies: (source, jobs, errors), a row a source. A source without a colon is a provider with one tenant of its name.
+    """
+    has = F.contains("source", F.lit(":"))
+    part = lambda i: F.when(has, F.split_part("source", F.lit(":"), F.lit(i))).otherwise(F.col("source"))
+    split = tallies.filter("source is not null").select(part(1).alias("provider"), part(2).alias("tenant"), "jobs", "errors")
+    one = lambda c: F.when(F.grouping("tenant") == 1, c)
+    out = split.rollup("provider", "tenant").agg(
+        F.sum("jobs").alias("jobs"), F.sum("errors").alias("errors"), one(F.count_if(F.col("jobs") > 0)).alias("productive"), one(F.count(F.lit(1))).alias("tenants"),
+    )
+    return out.filter("provider is not null")
 
 
 def velocity(history: DataFrame, now: Column) -> DataFrame:
-    """This week against the last, by source: sums of n over the batches of (ts, source, n), and the change in percent.
+    """This week against the last, by source and for "all" of them: sums of n over the batches of (ts, source, n), and the change in percent.
 
     A week is the seven days before ``now``, whose own moment is outside. From nothing to something is 100.
     """
     ago = lambda days: F.col("ts") >= now - F.make_dt_interval(F.lit(days))
     total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).alias
     rows = history.filter((F.col("ts") < now) & ago(14))
-    out = rows.groupBy("source").agg(total(ago(7))("this_week"), total(~ago(7))("last_week"))
+    out = rows.rollup("source").agg(F.grouping("source").alias("__all"), total(ago(7))("this_week"), total(~ago(7))("last_week"))
+    out = out.withColumn("source", F.when(F.col("__all") == 1, "all").otherwise(F.col("source"))).drop("__all")
     t, before = F.col("this_week"), F.col("last_week")
     change = F.when(before > 0, F.round(100 * (t - before) / F.nullif(before, F.lit(0)), 1)).when(t > 0, 100.0).otherwise(0.0)
     return out.withColumn("delta_pct", change)
 
 
 def new_companies(df: DataFrame, back: int) -> DataFrame:
-    """Companies of the newest batch that none of the ``back`` batches before it has."""
-    named = df.filter("company <> ''").select(F.lower("company").alias("company"), "batch_id").distinct()
-    newest = F.broadcast(named.agg(F.max("batch_id").alias("newest")))  # one row
-    rows = named.join(newest)
-    now = rows.filter("batch_id = newest").select("company")
-    before = rows.filter((F.col("batch_id") < F.col("newest")) & (F.col("batch_id") >= F.col("newest") - back)).select("company")
-    return now.join(before, "company", "left_anti")
+    """Companies of the newest batch that none of the ``back`` batches before it has, whatever their numbers, most postings first.
+
+    With how many companies the newest batch has (active) and how many batches it was compared with. One batch alone has no news.
+    """
+    batches = df.select("batch_id").distinct().orderBy(F.desc("batch_id")).limit(back + 1)
+    last = batches.agg(F.max("batch_id").alias("newest"), (F.count(F.lit(1)) - 1).alias("compared"))
+    rows = df.filter("company <> ''").join(F.broadcast(batches), "batch_id", "left_semi").join(F.broadcast(last))  # at most back + 1 rows; one row
+    per = rows.groupBy("company").agg(F.count_if(F.col("batch_id") == F.col("newest")).alias("n"), F.max("compared").alias("compared")).filter((F.col("n") > 0) & (F.col("compared") > 0))
+    known = rows.filter("batch_id < newest").select(F.lower("company").alias("__known")).distinct()
+    active = F.broadcast(per.agg(F.count(F.lit(1)).alias("active")))  # one row
+    fresh = per.join(known, F.lower("company") == F.col("__known"), "left_anti")
+    return fresh.join(active).select("company", "n", "active", "compared").orderBy(F.desc("n"), F.asc("company"))
+
+
+def in_ranges(per: DataFrame, parts: int = 200) -> DataFrame:
+    """Adds part: the range of the row's value, of ranges of about equal numbers of rows in the order of values."""
+    bounds = F.percentile_approx("value", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(10 * parts))
+    cuts = F.broadcast(per.agg(bounds.alias("cuts")))  # one row
+    return per.join(cuts).withColumn("part", F.size(F.filter("cuts", lambda b: b < F.col("value")))).drop("cuts")
 
 
 def cumulative(df: DataFrame, column: str, parts: int = 200) -> DataFrame:
@@ -196,9 +224,7 @@ def cumulative(df: DataFrame, column: str, parts: int = 200) -> DataFrame:
     the ranges before are added, so no task sorts them all.
     """
     per = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    bounds = F.percentile_approx("value", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(10 * parts))
-    cuts = F.broadcast(per.agg(bounds.alias("cuts")))  # one row
-    ranged = per.join(cuts).withColumn("part", F.size(F.filter("cuts", lambda b: b < F.col("value")))).drop("cuts")
+    ranged = in_ranges(per, parts)
     base = ranged.groupBy("part").agg(F.sum("n").alias("m"))  # a row a range
     base = base.select("part", F.coalesce(F.sum("m").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     own = F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy("value").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -230,11 +256,38 @@ def trimmed_latency(df: DataFrame, column: str, factor: float = 2.5) -> DataFram
     return df.join(middle).filter(F.col(column) <= factor * F.col("median")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(column), 4).alias("mean"), F.max(column).alias("worst"))
 
 
-def keyword_search(df: DataFrame, query: str, text: str, n: int, tie: list[str]) -> DataFrame:
-    """The n rows whose text holds the most query words."""
-    words = sorted({w for w in query.lower().split() if len(w) > 2})
-    score = sum((F.contains(F.lower(text), F.lit(w)).cast("int") for w in words), F.lit(0))
-    return df.withColumn("hits", score).filter("hits > 0").orderBy(F.desc("hits"), *tie).limit(n)
+def query_words(query: str) -> list[str]:
+    """Words of a query that start with a letter and have over two characters, repeats included."""
+    return [w.lower() for w in re.findall(r"[A-Za-z][A-Za-z0-9+\-.]{1,}", query) if len(w) > 2]
+
+
+def keyword_search(df: DataFrame, query: str, text: str | Column, n: int, tie: list[str], every: bool = False) -> DataFrame:
+    """The n rows whose text holds the most query words, a repeated word counting as often as it is repeated.
+
+    A query without words finds the first rows; ``every``: rows without a hit are found too, after the others.
+    """
+    words = query_words(query)
+    low = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    score = sum((F.contains(low, F.lit(w)).cast("int") * words.count(w) for w in dict.fromkeys(words)), F.lit(0))
+    rows = df.withColumn("hits", score)
+    return (rows if every or not words else rows.filter("hits > 0")).orderBy(F.desc("hits"), *tie).limit(n)
+
+
+def retrieve(query: str, matches: DataFrame, gaps: DataFrame, reactions: DataFrame) -> DataFrame:
+    """What a question is answered from, (collection, rank, id): 6 matches and 3 fit-gap reports with hits, and 5 reactions.
+
+    Each has an id, which tells the order of arrival, and the fields that are searched: matches title, company, description,
+    location and technologies, reports their JSON, reactions title, company and notes.
+    """
+    words = lambda *names: F.concat_ws(" ", *names)
+    found = [
+        ("matches", keyword_search(matches, query, words("title", "company", "description", "location", "technologies"), 6, ["id"])),
+        ("fit_gaps", keyword_search(gaps, query, "json", 3, ["id"])),
+        ("reactions", keyword_search(reactions, query, words("title", "company", "notes"), 5, ["id"], every=True)),
+    ]
+    place = F.row_number().over(W.partitionBy("collection").orderBy(F.desc("hits"), "id"))  # six rows at most
+    rows = [f.select(F.lit(name).alias("collection"), "id", "hits") for name, f in found]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2]).select("collection", place.alias("rank"), "id", "hits")
 
 
 def recent_means(stats: DataFrame, columns: list[str], n: int = 10, positive: tuple[str, ...] = ()) -> DataFrame:
@@ -265,7 +318,7 @@ def source_effectiveness(ingested: DataFrame, matched: DataFrame) -> DataFrame:
     provider = F.split_part("source", F.lit(":"), F.lit(1)).alias("provider")
     a, b = counts(ingested, provider).withColumnRenamed("n", "ingested"), counts(matched, provider).withColumnRenamed("n", "matched")
     both = a.join(b, "provider", "full_outer").na.fill(0, ["ingested", "matched"])
-    return both.withColumn("rate", F.round(F.try_divide(F.col("matched"), F.col("ingested")), 4))
+    return both.withColumn("rate", F.round(F.try_divide(F.col("matched"), F.col("ingested")), 4)).orderBy(F.desc("rate"), F.desc("ingested"), F.asc("provider"))
 
 
 def nearest_bucket(histogram: DataFrame, target: float) -> DataFrame:

@@ -159,7 +159,6 @@ def qa_split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.filter("verdict <> 'fail'"), judged.filter("verdict = 'fail'")
 
 
-VAGUE = r"^(?:job|position|role|opening|opportunity)$|^various\s|^multiple\s|\bvarious\b"
 
 
 def huge_amounts(salary: Column) -> Column:
@@ -189,7 +188,7 @@ def with_risk(df: DataFrame) -> DataFrame:
     amounts = F.when(long_digits, F.transform(huge_amounts(salary), lambda n: F.concat(F.lit("SUSPICIOUS_SALARY: "), n.cast("string"))))
     out = out.withColumns({
         "__scam": _listed(full, K.SCAM_PHRASES, "SCAM_PHRASE: "), "__ghost": _listed(full, K.GHOST_PHRASES, "GHOST_JOB: "),
-        "__first": F.filter(F.array(flag(title.rlike(VAGUE), "VAGUE_TITLE"), flag(company.isin(*K.HIDDEN_COMPANIES), "NO_COMPANY")), lambda x: x.isNotNull()),
+        "__first": F.filter(F.array(flag(title.rlike(K.VAGUE_TITLES), "VAGUE_TITLE"), flag(company.isin(*K.HIDDEN_COMPANIES), "NO_COMPANY")), lambda x: x.isNotNull()),
         "__amounts": F.coalesce(amounts, F.expr("cast(array() as array<string>)")),
         "__thin": F.filter(F.array(flag((desc != "") & (F.char_length(desc) < 50), "SHORT_DESCRIPTION"), flag(desc == "", "NO_DESCRIPTION")), lambda x: x.isNotNull()),
         "__short": _listed(url, K.SHORTENERS, "SHORTENED_URL: "),
@@ -301,7 +300,8 @@ def filter_recent(df: DataFrame, days: int, now: Column) -> DataFrame:
 
 
 def prune_keywords(keywords: DataFrame, prefs: Preferences) -> DataFrame:
-    """Query keywords without those that name too senior roles, near-synonyms collapsed to the shortest."""
-    t = F.lower(F.trim("keyword"))
-    kept = keywords.filter(~T.any_in(t, K.TRAPDOOR_TITLES)) if prefs.trapdoor and 0 < prefs.years_experience < 8 else keywords
-    return kept.groupBy(F.array_sort(T.title_tokens(F.col("keyword"))).alias("tokens")).agg(F.min_by("keyword", F.struct(F.char_length("keyword"), F.col("keyword"))).alias("keyword")).select("keyword")
+    """Query keywords without those that name too senior roles; "product management" goes where "product manager" is searched."""
+    t = F.lower("keyword")
+    kept = keywords.filter(~T.any_in(t, K.SENIOR_QUERIES)) if prefs.trapdoor and 0 < prefs.years_experience < 8 else keywords
+    both = F.broadcast(kept.agg(F.coalesce(F.bool_or(F.col("keyword") == "product manager"), F.lit(False)).alias("__both")))  # one row
+    return kept.join(both).filter(~(F.col("__both") & (F.col("keyword") == "product management"))).drop("__both")

@@ -22,8 +22,8 @@ _MARKS_SQL = ", ".join(f"job_id % {k} = 0 AS {c}" for c, k in _MARKS.items())
 _TIER_SQL = "CASE job_id % 5 WHEN 0 THEN 'match' WHEN 1 THEN 'match' WHEN 2 THEN 'maybe' WHEN 3 THEN 'none' END AS tier"
 _KIND_SQL = "CASE job_id % 4 WHEN 0 THEN 'growth_pm' WHEN 1 THEN 'platform_pm' WHEN 2 THEN 'tpm' END AS archetype"
 _PLACE_SQL = "CASE job_id % 7 WHEN 0 THEN 'Remote, UK' WHEN 1 THEN 'Remote (Ukraine)' WHEN 2 THEN 'Anywhere in Europe or the US' ELSE location END AS location"
-_FOREIGN = "|".join(X.FOREIGN_REGIONS)
-REGION_SQL = f"CASE WHEN NOT {sql_any('lower(coalesce(location, chr(32)))', X.REMOTE_SIGNS)} THEN 'onsite' WHEN regexp_matches(lower(location), '\\b({X.US_REGION})\\b') THEN 'us' WHEN regexp_matches(lower(location), '\\b({_FOREIGN})\\b') THEN 'foreign' ELSE 'anywhere' END"
+_FOREIGN = "|".join(K.FOREIGN_REGIONS)
+REGION_SQL = f"CASE WHEN NOT {sql_any('lower(coalesce(location, chr(32)))', K.REMOTE_SIGNS)} THEN 'onsite' WHEN regexp_matches(lower(location), '\\b({K.US_REGION})\\b') THEN 'us' WHEN regexp_matches(lower(location), '\\b({_FOREIGN})\\b') THEN 'foreign' ELSE 'anywhere' END"
 MATCHES_CTE = f"{P_CTE}, m AS MATERIALIZED (SELECT job_id, ingest_seq, batch_id, title, company, source, remote, technologies, description, posted_date, (job_id * 7) % 1000 / 1000.0 AS match_score, {_MARKS_SQL}, {_TIER_SQL}, {_KIND_SQL}, {_PLACE_SQL} FROM postings)"
 REASON_SQL = f"CASE WHEN removed THEN 'removed' WHEN tier IS NOT NULL AND tier <> 'match' AND NOT starred THEN 'tier' WHEN dismissed THEN 'dismissed' WHEN seen THEN 'seen' WHEN archetype IS NULL OR archetype <> 'tpm' THEN 'archetype' WHEN ({REGION_SQL}) = 'foreign' THEN 'foreign remote' ELSE 'kept' END"
 SHOWN = L.MatchFilters(archetype="tpm", unseen_only=True)
@@ -191,13 +191,13 @@ def patched(spark, sf):
     return R.patch(p, updates, "note").select("job_id", "note")
 
 
-@query(f"SELECT DISTINCT lower(p_name) AS keyword FROM part WHERE NOT {sql_any('lower(p_name)', K.TRAPDOOR_TITLES)}", "")
+@query(f"+n AS (SELECT DISTINCT lower(p_name) AS keyword FROM part), k AS (SELECT keyword FROM n UNION ALL SELECT 'director of ' || keyword FROM n UNION ALL SELECT 'contractor manager ' || keyword FROM n UNION ALL SELECT unnest(['product manager', 'product management', 'Group Product Manager', 'coordinator', 'vp sales'])) SELECT keyword FROM k WHERE NOT {sql_any('lower(keyword)', K.SENIOR_QUERIES)} AND keyword <> 'product management'", "z AS (SELECT 1)")
 def pruned_keywords(spark, sf):
-    """Names of parts as query keywords, with some that name too senior roles; equal sets of words are one keyword."""
+    """Names of parts as query keywords, with some that name too senior roles and two that are one search."""
     names = table(spark, sf, "part").select(F.lower("p_name").alias("keyword")).distinct()
-    senior = names.limit(0).unionAll(names.select(F.concat(F.lit("director of "), "keyword").alias("keyword")))
-    swapped = names.select(F.concat(F.lit("the "), "keyword").alias("keyword"))
-    return O.prune_keywords(names.unionAll(senior).unionAll(swapped), PREFS)
+    more = [names.select(F.concat(F.lit(x), "keyword").alias("keyword")) for x in ("director of ", "contractor manager ")]
+    own = spark.createDataFrame([(x,) for x in ("product manager", "product management", "Group Product Manager", "coordinator", "vp sales")], "keyword string")
+    return O.prune_keywords(names.unionAll(more[0]).unionAll(more[1]).unionAll(own), PREFS)
 
 
 @query("SELECT n_name, " + sql_case("lower(trim(n_name))", K.COUNTRY_ALIASES, "''") + " AS iso FROM nation", "")

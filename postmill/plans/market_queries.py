@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postmill.functions import constants as K
+from postmill.functions import fields as X
 from postmill.functions import text as T
 from postmill.operators import aggregates as A
 from postmill.operators import listing as L
@@ -239,7 +240,7 @@ def ghost_now(spark, sf):
     return A.ghost_rate(with_first_seen(spark, sf))
 
 
-@query("SELECT company, count(*) AS n, count(*) FILTER (ghost >= 0.45) AS suspects, round(avg(CAST(ghost AS DOUBLE)), 3) AS mean_ghost FROM g WHERE company <> '' GROUP BY 1 HAVING count(*) >= 3", GHOST_CTES)
+@query("SELECT CASE WHEN trim(company) = '' THEN 'Unknown' ELSE trim(company) END AS company, count(*) AS n, count(*) FILTER (ghost >= 0.45) AS suspects, round(sum(CAST(coalesce(ghost, 0) AS DOUBLE)) / count(*), 3) AS mean_ghost, round(100.0 * count(*) FILTER (ghost >= 0.45) / CAST(count(*) AS DOUBLE), 1) AS suspect_pct FROM g GROUP BY 1 HAVING count(*) >= 3", GHOST_CTES)
 def ghost_by_company(spark, sf):
     return A.ghost_by_company(with_ghost(spark, sf))
 
@@ -291,12 +292,16 @@ def fill_rates(spark, sf):
     return A.fill_rates(postings(spark, sf), ["company", "url", "posted_date", "seniority", "technologies"])
 
 
-@query("SELECT split_part(source, ':', 1) AS provider, split_part(source, ':', 2) AS tenant, count(*) AS n FROM postings GROUP BY ROLLUP (1, 2) HAVING provider IS NOT NULL")
+@query("+t AS (SELECT source, CASE WHEN source LIKE 'lever%' AND CAST(right(source, 1) AS INT) > 6 THEN 0 ELSE count(*) END AS jobs, count(*) FILTER (job_id % 11 = 0) AS errors FROM postings GROUP BY source), s AS (SELECT CASE WHEN contains(source, ':') THEN split_part(source, ':', 1) ELSE source END AS provider, CASE WHEN contains(source, ':') THEN split_part(source, ':', 2) ELSE source END AS tenant, jobs, errors FROM t) SELECT provider, tenant, jobs, errors, CAST(NULL AS BIGINT) AS productive, CAST(NULL AS BIGINT) AS tenants FROM s UNION ALL SELECT provider, NULL, CAST(sum(jobs) AS BIGINT), CAST(sum(errors) AS BIGINT), count(*) FILTER (jobs > 0), count(*) FROM s GROUP BY provider")
 def source_health(spark, sf):
-    return A.source_health(postings(spark, sf))
+    """Sources with their jobs and errors; some tenants of one provider had only errors."""
+    p = postings(spark, sf)
+    idle = F.col("source").startswith("lever") & (F.right("source", F.lit(1)).try_cast("int") > 6)
+    tallies = p.groupBy("source").agg(F.count_if(~F.coalesce(idle, F.lit(False))).alias("jobs"), F.count_if(F.col("job_id") % 11 == 0).alias("errors"))
+    return A.source_health(tallies)
 
 
-@query("+h AS (SELECT split_part(source, ':', 1) AS source, TIMESTAMP '2001-08-02' - to_hours(CAST(40 * (11 - batch_id) AS BIGINT)) AS ts FROM postings), w AS (SELECT source, count(*) FILTER (ts >= TIMESTAMP '2001-07-26') AS t, count(*) FILTER (ts < TIMESTAMP '2001-07-26') AS l FROM h WHERE ts < TIMESTAMP '2001-08-02' AND ts >= TIMESTAMP '2001-07-19' GROUP BY 1) SELECT source, t AS this_week, l AS last_week, CASE WHEN l > 0 THEN round(100.0 * (t - l) / CAST(l AS DOUBLE), 1) WHEN t > 0 THEN 100.0 ELSE 0.0 END AS delta_pct FROM w")
+@query("+h AS (SELECT split_part(source, ':', 1) AS source, TIMESTAMP '2001-08-02' - to_hours(CAST(40 * (11 - batch_id) AS BIGINT)) AS ts FROM postings), w AS (SELECT source, count(*) FILTER (ts >= TIMESTAMP '2001-07-26') AS t, count(*) FILTER (ts < TIMESTAMP '2001-07-26') AS l FROM h WHERE ts < TIMESTAMP '2001-08-02' AND ts >= TIMESTAMP '2001-07-19' GROUP BY 1 UNION ALL SELECT 'all', count(*) FILTER (ts >= TIMESTAMP '2001-07-26'), count(*) FILTER (ts < TIMESTAMP '2001-07-26') FROM h WHERE ts < TIMESTAMP '2001-08-02' AND ts >= TIMESTAMP '2001-07-19') SELECT source, t AS this_week, l AS last_week, CASE WHEN l > 0 THEN round(100.0 * (t - l) / CAST(l AS DOUBLE), 1) WHEN t > 0 THEN 100.0 ELSE 0.0 END AS delta_pct FROM w")
 def hiring_velocity(spark, sf):
     at = now() - F.make_dt_interval(F.lit(0), 40 * (11 - F.col("batch_id")))
     source = F.split_part("source", F.lit(":"), F.lit(1))
@@ -304,10 +309,11 @@ def hiring_velocity(spark, sf):
     return A.velocity(history, now())
 
 
-@query("+c AS (SELECT batch_id, 'company ' || CAST((job_id * 7919) % 3000 AS VARCHAR) AS company FROM postings) SELECT DISTINCT company FROM c WHERE batch_id = 11 AND company NOT IN (SELECT company FROM c WHERE batch_id IN (9, 10))")
+@query("+c AS (SELECT batch_id * batch_id AS batch_id, CASE WHEN batch_id < 11 THEN 'company ' ELSE 'Company ' END || CAST((job_id * 7919) % 3000 AS VARCHAR) AS company FROM postings), n AS (SELECT company, count(*) AS n FROM c WHERE batch_id = 121 GROUP BY 1) SELECT company, n, (SELECT count(*) FROM n) AS active, 2 AS compared FROM n WHERE lower(company) NOT IN (SELECT lower(company) FROM c WHERE batch_id IN (81, 100))")
 def new_companies(spark, sf):
-    name = F.concat(F.lit("Company "), ((F.col("job_id") * 7919) % 3000).cast("string"))
-    return A.new_companies(postings(spark, sf).withColumn("company", name), 2)
+    """Batches with gaps between their numbers; the newest spells its companies otherwise."""
+    name = F.concat(F.when(F.col("batch_id") < 11, "company ").otherwise("Company "), ((F.col("job_id") * 7919) % 3000).cast("string"))
+    return A.new_companies(postings(spark, sf).withColumns({"company": name, "batch_id": F.col("batch_id") * F.col("batch_id")}), 2)
 
 
 _POINTS = (10, 25, 50, 75, 90, 95)
@@ -323,9 +329,35 @@ def trimmed_latency(spark, sf):
     return A.trimmed_latency(table(spark, sf, "events"), "value")
 
 
-@query("SELECT conv_id, turn, contains(lower(text), 'the')::INT + contains(lower(text), 'queai')::INT + contains(lower(text), 'licht')::INT AS hits FROM conversations WHERE contains(lower(text), 'the') OR contains(lower(text), 'queai') OR contains(lower(text), 'licht') ORDER BY hits DESC, conv_id, turn LIMIT 6", "")
+@query("SELECT conv_id, turn, 2 * contains(lower(text), 'the')::INT + contains(lower(text), 'queai')::INT + contains(lower(text), 'licht')::INT AS hits FROM conversations WHERE contains(lower(text), 'the') OR contains(lower(text), 'queai') OR contains(lower(text), 'licht') ORDER BY hits DESC, conv_id, turn LIMIT 6", "")
 def keyword_search(spark, sf):
-    return A.keyword_search(table(spark, sf, "conversations"), "the queai licht", "text", 6, ["conv_id", "turn"]).select("conv_id", "turn", "hits")
+    return A.keyword_search(table(spark, sf, "conversations"), "The 'queai', licht... the 7 of", "text", 6, ["conv_id", "turn"]).select("conv_id", "turn", "hits")
+
+
+_HIT = lambda c: f"(contains({c}, 'staff')::INT + contains({c}, 'london')::INT + contains({c}, 'python')::INT)"
+
+
+@query(f"""+m AS (SELECT job_id AS id, {_HIT("lower(title || ' ' || company || ' ' || description || ' ' || location || ' ' || coalesce(array_to_string(technologies, ' '), ''))")} AS hits FROM postings),
+g AS (SELECT conv_id * 1000 + turn AS id, {_HIT("lower(coalesce(text, ''))")} AS hits FROM conversations), r AS (SELECT job_id AS id, {_HIT("lower(title || ' ' || company)")} AS hits FROM postings WHERE job_id % 7 = 0),
+a AS (SELECT 'matches' AS collection, 6 AS k, * FROM m WHERE hits > 0 UNION ALL SELECT 'fit_gaps', 3, * FROM g WHERE hits > 0 UNION ALL SELECT 'reactions', 5, * FROM r)
+SELECT collection, rank, id, hits FROM (SELECT *, CAST(row_number() OVER (PARTITION BY collection ORDER BY hits DESC, id) AS INTEGER) AS rank FROM a) WHERE rank <= k""")
+def retrieved(spark, sf):
+    p = postings(spark, sf).withColumn("id", F.col("job_id"))
+    gaps = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("json"))
+    return A.retrieve("Staff, London? python!", p, gaps, p.filter("job_id % 7 = 0").withColumn("notes", F.lit(None).cast("string")))
+
+
+@query("""+d AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, event_id % 6 AS k FROM events) SELECT event_id, CASE k WHEN 0 THEN s WHEN 1 THEN s WHEN 2 THEN s - s % 86400 WHEN 3 THEN 1600000000 END AS posted_s FROM d""", "z AS (SELECT 1)")
+def first_dates(spark, sf):
+    """The first date that can be read: seconds, milliseconds with decimals, days, or a later field behind junk; small numbers are none."""
+    s = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    k = F.col("event_id") % 6
+    rows = table(spark, sf, "events").select("event_id", *[
+        F.when(k == 0, s.cast("string")).when(k == 1, F.lit("")).when(k == 3, F.lit("soon")).when(k == 4, F.lit("2024")).alias("posted_at"),
+        F.when(k == 1, F.concat((s * 1000).cast("string"), F.lit(".25"))).when(k == 2, F.date_format(F.timestamp_seconds(s), "yyyy-MM-dd")).alias("publishedAt"),
+        F.when(k == 3, F.lit("2020-09-13T12:26:40Z")).alias("updatedAt"), F.when(k < 4, F.lit("1999-01-01")).alias("created_at"),
+    ])
+    return rows.select("event_id", F.unix_timestamp(X.first_date(rows)).alias("posted_s"))
 
 
 @query("+r AS (SELECT url, arg_max(title, job_id) AS gaps, arg_max(company || '; ' || location, job_id) AS points FROM postings WHERE url <> '' AND job_id % 5 = 0 AND job_id % 35 <> 0 GROUP BY url) SELECT p.job_id, r.gaps, substring(r.points, 1, 1000) AS rationale FROM postings p LEFT JOIN r ON p.url = r.url")
