@@ -2,14 +2,16 @@
 
 Candidates are the base spans (email, ip, card, phone) and looser ones of the same kinds: emails with the signs
 spelled out, IPv6 addresses, cards of 13 to 15 digits that pass Luhn or grouped by dots, phone numbers without a country
-code or with a written prefix. Six labelers vote 1, 0 or -1 (no vote) on each: the strict pattern (on base spans alone),
-the written form, a gazetteer (top-level domains, reserved address blocks, issuer ranges, calling and area codes), cue
-words just before, counter-cues just before, and a look at the digits. Expectation-maximisation (Dawid and Skene) over the
-counts of each (kind, votes) estimates how reliable the labelers are and how likely each pattern of votes is personal
-data. With those soft labels a naive Bayes classifier over span features (kind, shape, length, gazetteer, cues) is counted
-up by one aggregation and scores every loose candidate; base spans always stay.
-
-What reaches the driver are counts: of at most 4 * 3^6 vote patterns and of the feature values, which are bounded
+code or with a written prefix. Five labelers vote 1, 0 or -1 (no vote) on each: the written form, a gazetteer (top-level
+domains, reserved address blocks, issuer ranges, calling and area codes), cue words just before, counter-cues just before,
+and a look at the digits. Expectation-maximisation (Dawid and Skene) over the counts of each (kind, votes) of the loose
+candidates estimates how reliable the labelers are and how likely each pattern of votes is personal data. Base spans are known
+to be: they tell what the labelers say of personal data, but for its written form, in which the groups differ by
+definition; all of a kind together weigh as much as ``PSEUDO`` spans, so their number can't outvote what is loose. With the
+soft labels a naive Bayes classifier over the features of a kind's loose spans (shape, length, gazetteer, cues) is counted up
+by one aggregation and scores every loose candidate; base spans always stay.
+
+What reaches the driver are counts: of at most 4 * 3^5 vote patterns and of the feature values, which are bounded
 too. Candidates go through one checkpoint, without the texts.
 
 Nulls: a null text is empty; ids may be null or repeat, each row stands for itself; equal rows get equal results. Other
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm.common import cut_lineage
-from postmill.llm.spans import apart, count_of, joined, matches, placed
+from postmill.llm.spans import apart, count_of, joined, let, matches, placed
 
 KINDS = ["email", "ip", "card", "phone"]
 KEEP_AT = 0.5
@@ -69,7 +71,7 @@ CALLING = (
     r"1[2-9]", r"7", r"2[07]", r"2[1-689][0-9]", r"3[0-469]", r"3[578][0-9]", r"4[013-9]", r"42[0-9]", r"5[1-8]", r"5[09][0-9]", r"6[0-6]", r"6[789][0-9]",
     r"8[1246]", r"8[58][0-9]", r"9[0-58]", r"9[679][0-9]",
 )
-LABELERS = 6
+LABELERS = 5
 
 
 def digits(m: Column) -> Column:
@@ -132,33 +134,38 @@ def written(kind: Column, m: Column, d: Column) -> Column:
     })
 
 
-def votes(span: Column, base: bool) -> Column:
-    """The labelers' votes on a span, as an array of ints."""
-    m, kind, before = span["match"], span["kind"], span["before"]
-    d = digits(m)
-    cue = F.when(_by_kind(kind, {k: before.rlike(p) for k, p in CUES.items()}), 1).otherwise(-1)
-    counter = F.when(before.rlike(COUNTER), 0).otherwise(-1)
+def evidence(span: Column) -> Column:
+    """What labelers and features look at, each worked out once: digits, gazetteer, cue and counter-cue (0 or 1)."""
+    def look(d: Column) -> Column:
+        flag = lambda c: F.when(c, 1).otherwise(0)
+        cue = _by_kind(span["kind"], {k: span["before"].rlike(p) for k, p in CUES.items()})
+        return F.struct(d.alias("digits"), gazetteer(span["kind"], span["match"], d).alias("registry"), flag(cue).alias("cue"), flag(span["before"].rlike(COUNTER)).alias("counter"))
+
+    return let(digits(span["match"]), look)
+
+
+def votes(span: Column, seen: Column) -> Column:
+    """The labelers' votes on a span, as an array of ints: written form, gazetteer, cue, counter-cue, digits."""
+    d = seen["digits"]
     plain = F.when((F.char_length(d) > 6) & d.rlike(r"^(.)\1+$"), 0).otherwise(-1)
-    strict = F.lit(1 if base else -1)
-    return F.array(*(x.cast("int") for x in (strict, written(kind, m, d), gazetteer(kind, m, d), cue, counter, plain)))
+    out = (written(span["kind"], span["match"], d), seen["registry"], F.when(seen["cue"] == 1, 1).otherwise(-1), F.when(seen["counter"] == 1, 0).otherwise(-1), plain)
+    return F.array(*(x.cast("int") for x in out))
 
 
-def features(span: Column) -> Column:
-    """Discrete features of a span, as an array of short strings."""
+def features(span: Column, seen: Column) -> Column:
+    """Discrete features of a span, as an array of short strings. Shape and length say little apart from the registries' verdict."""
     shape = F.substring(F.regexp_replace(F.regexp_replace(F.regexp_replace(span["match"], "[0-9]+", "0"), "[a-z]+", "a"), "[A-Z]+", "A"), 1, 12)
-    kind = span["kind"].cast("string")
+    before, known = span["before"], F.concat(seen["registry"].cast("string"), F.lit(" "))
     return F.array(
-        F.concat(F.lit("shape "), kind, F.lit(" "), F.pmod(F.xxhash64(shape), F.lit(64)).cast("string")),
-        F.concat(F.lit("length "), kind, F.lit(" "), F.least(F.lit(8), (F.char_length(span["match"]) / 6).cast("int")).cast("string")),
-        F.concat(F.lit("registry "), kind, F.lit(" "), gazetteer(span["kind"], span["match"], digits(span["match"])).cast("string")),
-        F.concat(F.lit("cue "), F.when(_by_kind(span["kind"], {k: span["before"].rlike(p) for k, p in CUES.items()}), "1").otherwise("0")),
-        F.concat(F.lit("counter "), F.when(span["before"].rlike(COUNTER), "1").otherwise("0")),
-        F.concat(F.lit("before "), F.when(span["before"].rlike("[a-z0-9]$"), "word").when(span["before"].rlike(r"\s$"), "space").when(F.char_length(span["before"]) == 0, "start").otherwise("sign")),
+        F.concat(F.lit("shape "), known, F.pmod(F.xxhash64(shape), F.lit(64)).cast("string")),
+        F.concat(F.lit("length "), known, F.least(F.lit(8), (F.char_length(span["match"]) / 6).cast("int")).cast("string")),
+        F.concat(F.lit("cue "), seen["cue"].cast("string")), F.concat(F.lit("counter "), seen["counter"].cast("string")),
+        F.concat(F.lit("before "), F.when(before.rlike("[a-z0-9]$"), "word").when(before.rlike(r"\s$"), "space").when(F.char_length(before) == 0, "start").otherwise("sign")),
     )
 
 
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, base (spans) and loose (spans apart from the base ones) of every row, each span with votes and features."""
+    """doc_id, base (spans) and loose (spans apart from the base ones) of every row, each span with votes, loose ones with features."""
     t = F.col("text")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     gates = {"email": t.contains("@"), "ip": None, "card": None, "phone": t.contains("+")}
@@ -170,35 +177,49 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     rows = rows.select("doc_id", *base, loose.alias("loose"))
     rows = rows.select("doc_id", F.concat(*own).alias("base"), apart(F.col("loose"), own).alias("loose"))
 
-    def told(base: bool):
-        return lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), votes(s, base).alias("votes"), features(s).alias("features"))
+    def told(more):
+        return lambda s: let(evidence(s), lambda seen: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), votes(s, seen).alias("votes"), *more(s, seen)))
 
-    return rows.select("doc_id", F.transform("base", told(True)).alias("base"), F.transform("loose", told(False)).alias("loose"))
+    loose = F.transform("loose", told(lambda s, seen: [features(s, seen).alias("features")]))
+    return rows.select("doc_id", F.transform("base", told(lambda s, seen: [])).alias("base"), loose.alias("loose"))
 
 
 #: Beliefs to start from, for each labeler: how often it votes 1, 0 and not at all on personal data, and on other spans.
 START = [
-    ((0.60, 0.05, 0.35), (0.10, 0.05, 0.85)),  # strict
     ((0.50, 0.05, 0.45), (0.20, 0.30, 0.50)),  # written form
-    ((0.90, 0.05, 0.05), (0.50, 0.45, 0.05)),  # gazetteer
+    None,  # gazetteer: see PASS
     ((0.50, 0.01, 0.49), (0.05, 0.01, 0.94)),  # cue
     ((0.01, 0.03, 0.96), (0.01, 0.50, 0.49)),  # counter-cue
     ((0.01, 0.01, 0.98), (0.01, 0.10, 0.89)),  # digits
 ]
 PRIOR = 0.5
+REGISTRY = 1
+#: How much of what looks like an email, ip, card or phone number and is none still passes the registries.
+PASS = (0.20, 0.20, 0.30, 0.80)
 PSEUDO = 10.0
 
 
-def reliabilities(counts: list[tuple[int, tuple[int, ...], int]], rounds: int = 30) -> tuple[dict[int, float], dict, dict]:
+def start_rates(kind: int, labeler: int) -> tuple[dict[int, float], dict[int, float]]:
+    """What is believed of a labeler at first: how often it votes 1, 0 and not at all on personal data, and on other spans."""
+    both = ((0.97, 0.01, 0.02), (PASS[kind], 0.98 - PASS[kind], 0.02)) if labeler == REGISTRY else START[labeler]
+    return tuple(dict(zip((1, 0, -1), side, strict=True)) for side in both)
+
+
+def reliabilities(counts: list[tuple[int, tuple[int, ...], int]], rounds: int = 30, known: list[tuple[int, tuple[int, ...], int]] = ()) -> tuple[dict[int, float], dict, dict]:
     """EM over counts of (kind, votes): share of personal data by kind, how often each labeler of a kind votes 1, 0 or
     not at all on personal data and on other spans, and the probability of each (kind, votes).
 
     Not voting is an outcome like the others, so that labelers that only ever vote one way still tell something.
-    ``PSEUDO`` counts in the proportions of ``START`` keep all rates inside (0, 1) and tell which class is which.
+    ``PSEUDO`` counts in the proportions of ``START`` keep all rates inside (0, 1) and tell which class is which; the
+    rates of the registries, which are facts about the kinds and not about the corpus, stay as they are. ``known`` are
+    counts of what is personal data for certain: they add to the rates of all labelers but the written form, and as many as
+    there may be of a kind weigh ``PSEUDO`` at most.
     """
-    start = [tuple(dict(zip((1, 0, -1), side, strict=True)) for side in both) for both in START]
     prior = {k: PRIOR for k, _, _ in counts}
-    rate = {(k, j): start[j] for k in prior for j in range(LABELERS)}
+    begin = {(k, j): start_rates(k, j) for k in prior for j in range(LABELERS)}
+    rate = dict(begin)
+    sure = {k: sum(n for own, _, n in known if own == k) for k in prior}
+    weight = {k: min(1.0, PSEUDO / n) if n else 0.0 for k, n in sure.items()}
     post: dict = {}
     for _ in range(rounds):
         for kind, v, _ in counts:
@@ -210,30 +231,42 @@ def reliabilities(counts: list[tuple[int, tuple[int, ...], int]], rounds: int =
             totals = [sum(x[c] for x in own) for c in (1, 2)]
             prior[kind] = (PRIOR * PSEUDO + totals[0]) / (PSEUDO + sum(totals))
             for j in range(LABELERS):
+                anchors = [(v, weight[kind] * n, 0.0) for k, v, n in known if k == kind and j]
+                if j == REGISTRY:
+                    continue
+                seen, mass = own + anchors, [totals[0] + sum(a[1] for a in anchors), totals[1]]
                 rate[kind, j] = tuple(
-                    {x: (PSEUDO * start[j][c][x] + sum(o[c + 1] for o in own if o[0][j] == x)) / (PSEUDO + totals[c]) for x in (1, 0, -1)} for c in (0, 1)
+                    {x: (PSEUDO * begin[kind, j][c][x] + sum(o[c + 1] for o in seen if o[0][j] == x)) / (PSEUDO + mass[c]) for x in (1, 0, -1)} for c in (0, 1)
                 )
     return prior, rate, post
 
 
-def classifier(cands: DataFrame) -> tuple[dict[str, float], float]:
-    """Log odds of each feature value, and of personal data overall, from soft labels; see the module's text."""
-    spans = cands.select(F.explode(F.concat("base", "loose")).alias("s")).select(F.col("s.kind").alias("kind"), F.col("s.votes").alias("votes"), F.col("s.features").alias("features"))
-    counts = [(r["kind"], tuple(r["votes"]), r["count"]) for r in spans.groupBy("kind", "votes").count().collect()]
+def classifier(cands: DataFrame) -> tuple[dict[str, float], dict[int, float]]:
+    """Log odds of each feature value of a kind, and of personal data of each kind, from soft labels; see the module's text.
+
+    In either class a feature's rate is drawn to its rate in the kind as a whole, by the weight of ``PSEUDO`` spans, so a
+    class of few spans tells little instead of everything.
+    """
+    spans = lambda c: cands.select(F.explode(c).alias("s")).select("s.*")
+    counted = lambda c: sorted((r["kind"], tuple(r["votes"]), r["count"]) for r in spans(c).groupBy("kind", "votes").count().collect())
+    counts = counted("loose")
     if not counts:
-        return {}, 0.0
-    _, _, post = reliabilities(sorted(counts))
+        return {}, {}
+    _, _, post = reliabilities(counts, known=counted("base"))
     # Joint counts of votes and feature values: both are bounded.
-    joint = spans.select("kind", "votes", F.explode("features").alias("f")).groupBy("kind", "votes", "f").count().collect()
-    yes, no = {}, {}
+    joint = spans("loose").select("kind", "votes", F.explode("features").alias("f")).groupBy("kind", "votes", "f").count().collect()
+    sides: dict = {}
     for r in joint:
-        p = post[r["kind"], tuple(r["votes"])]
-        yes[r["f"]] = yes.get(r["f"], 0.0) + p * r["count"]
-        no[r["f"]] = no.get(r["f"], 0.0) + (1 - p) * r["count"]
-    all_yes = sum(post[k, v] * n for k, v, n in counts)
-    all_no = sum(n for *_, n in counts) - all_yes
-    weight = {f: math.log((yes[f] + 1) / (all_yes + 2)) - math.log((no[f] + 1) / (all_no + 2)) for f in sorted(yes)}
-    return weight, math.log((all_yes + 1) / (all_no + 1))
+        p, side = post[r["kind"], tuple(r["votes"])], sides.setdefault((r["kind"], r["f"]), [0.0, 0.0])
+        side[0] += p * r["count"]
+        side[1] += (1 - p) * r["count"]
+    total = {k: [sum(abs(c - post[x, v]) * n for x, v, n in counts if x == k) for c in (0, 1)] for k in {k for k, _, _ in counts}}
+    weight = {}
+    for (kind, f), side in sorted(sides.items()):
+        share = sum(side) / sum(total[kind])
+        yes, no = ((n + PSEUDO * share) / (all_n + PSEUDO) for n, all_n in zip(side, total[kind], strict=True))
+        weight[f"{kind} {f}"] = math.log(yes / no)
+    return weight, {k: math.log((yes + 1) / (no + 1)) for k, (yes, no) in total.items()}
 
 
 def find_personal(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
@@ -243,7 +276,9 @@ def find_personal(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     least = math.log(keep_at / (1 - keep_at))
     if weight:
         table = F.create_map(*(F.lit(x) for f in weight.items() for x in f))
-        score = lambda s: F.aggregate(s["features"], F.lit(bias), lambda a, f: a + F.coalesce(F.element_at(table, f), F.lit(0.0)))
+        begin = lambda s: F.element_at(F.array(*[F.lit(bias.get(i, 0.0)) for i in range(len(KINDS))]), s["kind"] + 1)
+        own = lambda s, f: F.element_at(table, F.concat_ws(" ", s["kind"].cast("string"), f))
+        score = lambda s: F.aggregate(s["features"], begin(s), lambda a, f: a + F.coalesce(own(s, f), F.lit(0.0)))
         added = F.filter("loose", lambda s: score(s) >= least)
     else:
         added = F.col("loose")

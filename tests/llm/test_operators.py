@@ -230,18 +230,46 @@ def test_pii_added_spans_on_planted_rows(spark):
     assert hits / sum(map(bool, want.values())) >= 0.9 and hits / (hits + wrong) >= 0.9
 
 
+PLANTED = {
+    "email": ([f"joe{i} [at] mail{i % 7} [dot] com" for i in range(20)] + [f"kim{i} at web dot org" for i in range(20)], [f"joe{i} at mail dot zzq" for i in range(15)], "write to ", lambda i: f"a{i}@mail.com"),
+    "ip": ([f"2a01:{i + 10}:7::{i + 1}" for i in range(40)], [f"8:{i + 10}::9" for i in range(15)], "from host ", lambda i: f"8.{i % 250}.{i // 250 % 250}.7"),
+    "card": (None, None, "card ", lambda i: luhn_number("4", 16)),
+    "phone": ([f"({400 + i}) 7{i + 10}-12{i + 10}" for i in range(20)] + [f"0{i + 211} 7{i + 10} 44{i + 10}" for i in range(20)], [f"invoice no {300 + i}-7{i + 10}-44{i + 10}" for i in range(15)], "call me on ", lambda i: f"+49 30 {1000000 + i}"),
+}
+
+
+@pytest.mark.parametrize("n", [0, 200, 2000, 40000])
+def test_pii_added_spans_beside_any_number_of_base_spans(spark, n):
+    """Every kind, with cue words before all, none or half of them: what is loose doesn't drown in what is plain."""
+    for cued in (0, 1, 2):
+        rows, want = [], {}
+        for kind, (good, bad, cue, base) in PLANTED.items():
+            good = good or [luhn_number(rnd.choice(["34", "37"]), 15) for _ in range(40)]
+            bad = bad or ["serial " + luhn_number("31", 15) for _ in range(15)]
+            for i, span in enumerate(good + bad):
+                before = "so it is " + (cue if i < len(good) and (cued == 1 or cued == 2 and i % 2) else "the ")
+                want[len(rows)] = (kind, i < len(good))
+                rows.append((len(rows), before + span + " then"))
+            rows.append((-1 - len(rows), ", ".join(base(i) for i in range(n))))
+        got = {r.doc_id: len(r.added) for r in pii.find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        for kind in PLANTED:
+            hits = sum(got[i] for i, w in want.items() if w == (kind, True))
+            wrong = sum(got[i] for i, w in want.items() if w == (kind, False))
+            assert hits >= 36 and hits >= 0.9 * (hits + wrong), (kind, cued, hits, wrong)
+
+
 def test_reliabilities_are_plain_em():
-    counts = [(3, (-1, 1, 1, 1, -1, -1), 40), (3, (-1, -1, 1, -1, 0, -1), 30), (3, (-1, -1, 1, -1, -1, -1), 20), (0, (1, 1, 1, -1, -1, -1), 5)]
+    counts = [(3, (1, 1, 1, -1, -1), 40), (3, (-1, 1, -1, 0, -1), 30), (3, (-1, 1, -1, -1, -1), 20), (0, (1, 1, -1, -1, -1), 5)]
     prior, rate, post = pii.reliabilities(counts, rounds=1)
-    start = [{c: dict(zip((1, 0, -1), both[c], strict=True)) for c in (0, 1)} for both in pii.START]
     for kind, v, _ in counts:
+        start = [pii.start_rates(kind, j) for j in range(pii.LABELERS)]
         yes = np.prod([start[j][0][x] for j, x in enumerate(v)])
         no = np.prod([start[j][1][x] for j, x in enumerate(v)])
         assert post[kind, v] == pytest.approx(yes / (yes + no))
     mass = sum(post[3, v] * n for k, v, n in counts if k == 3)
     assert prior[3] == pytest.approx((pii.PRIOR * pii.PSEUDO + mass) / (pii.PSEUDO + 90))
-    ones = sum(post[3, v] * n for k, v, n in counts if k == 3 and v[3] == 1)
-    assert rate[3, 3][0][1] == pytest.approx((pii.PSEUDO * start[3][0][1] + ones) / (pii.PSEUDO + mass))
+    ones = sum(post[3, v] * n for k, v, n in counts if k == 3 and v[2] == 1)
+    assert rate[3, 2][0][1] == pytest.approx((pii.PSEUDO * pii.START[2][0][0] + ones) / (pii.PSEUDO + mass))
     _, _, end = pii.reliabilities(counts)
     assert end[counts[0][:2]] > 0.9 and end[counts[1][:2]] < 0.1
 
