@@ -59,6 +59,15 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def unclashed(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns named c0, c1, ..., which no operator adds, and the new names of ``names``.
+
+    ``toDF(*docs.columns)`` gives the names back: columns of any name thus pass through an operator.
+    """
+    new = {c.lower(): f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*new.values()), [new[n.lower()] for n in names]
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text is a multiple of 5; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0

@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postmill.llm.common import cut_lineage, ranges, sliced, text_bytes
+from postmill.llm.common import cut_lineage, ranges, sliced, text_bytes, unclashed
 from postmill.llm.suffix import FMIndex
 
 WINDOW = 10
 SHARD_BYTES = 12 << 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 CUT = "__cut"
 
 #: Bytes that end words: all ASCII but digits and letters; A-Z become a-z.
@@ -57,22 +57,30 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Phrases:
-    """The distinct windows of one block of items, as rows of word numbers, with the items of each."""
+    """The distinct windows of one block of items, as rows of word numbers, with the items of each. All in flat arrays: some
+    twenty times the items' text, while they are made up."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         self.vocab: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set] = {}
+        self.names = sorted({i for i, _ in items if i is not None})
+        number = {name: k for k, name in enumerate(self.names)} | {None: -1}
+        rows, owner = [np.empty((0, window), np.int32)], [np.empty(0, np.int32)]
         for item_id, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of((text or "").encode())]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners.setdefault(tuple(ids[i : i + window]), set()).add(item_id)
+            ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of((text or "").encode())], np.int32)
+            if len(ids):
+                rows.append(np.lib.stride_tricks.sliding_window_view(ids, window) if len(ids) >= window else np.pad(ids, (window - len(ids), 0))[None, :])
+                owner.append(np.full(len(rows[-1]), number[item_id], np.int32))
         self.sigma = len(self.vocab) + 1
-        self.lengths = np.array([len(p) for p in owners], np.int64)
-        self.symbols = np.zeros((len(owners), window), np.int64)
-        for row, p in zip(self.symbols, owners, strict=True):
-            row[window - len(p) :] = p
-        self.items = [sorted(x for x in own if x is not None) for own in owners.values()]
-        self.shortest = int(self.lengths.min()) if len(owners) else 0
+        self.symbols, phrase = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.lengths = (self.symbols > 0).sum(axis=1).astype(np.int64)
+        self.shortest = int(self.lengths.min()) if len(self.lengths) else 0
+        owner = np.concatenate(owner)
+        pairs = np.unique(phrase.reshape(-1)[owner >= 0].astype(np.int64) * (len(self.names) + 1) + owner[owner >= 0])
+        self.owners = (pairs % (len(self.names) + 1)).astype(np.int32)
+        self.first = np.searchsorted(pairs, np.arange(len(self.lengths) + 1) * (len(self.names) + 1))
+
+    def items(self, phrase: int) -> list[str]:
+        return [self.names[k] for k in self.owners[self.first[phrase] : self.first[phrase + 1]]]
 
 
 def scan_shard(texts: list[bytes], phrases: Phrases) -> tuple[np.ndarray, list[np.ndarray], list[set[str]]]:
@@ -126,7 +134,7 @@ def scan_shard(texts: list[bytes], phrases: Phrases) -> tuple[np.ndarray, list[n
         spans[d] = edges.reshape(-1, 2)
     for pair in np.unique(doc * len(phrases.lengths) + phrase):
         d, p = divmod(int(pair), len(phrases.lengths))
-        items[d].update(phrases.items[p])
+        items[d].update(phrases.items(p))
     return counts, spans, items
 
 
@@ -213,10 +221,12 @@ def decontaminate(
     (if there is one) counted anew where the text changed.
     """
     counted = n_chars in docs.columns and isinstance(docs.schema[n_chars].dataType, T.IntegralType)
+    names = docs.columns
+    docs, (text, *number) = unclashed(docs, text, *([n_chars] if counted else []))
     blocks = list(phrase_blocks(benchmark, item_id, item_text, window, block_bytes))
-    cutters = [_cutter(shared, shard_bytes, text, n_chars if counted else None) for shared in blocks]
+    cutters = [_cutter(shared, shard_bytes, text, number[0] if number else None) for shared in blocks]
     if len(blocks) == 1:
-        return docs.mapInArrow(cutters[0], docs.schema)
+        return docs.mapInArrow(cutters[0], docs.schema).toDF(*names)
     todo, done = docs.withColumn(CUT, F.lit(False)), None
     while True:
         for cut in cutters:
@@ -225,7 +235,7 @@ def decontaminate(
         clean, again = todo.filter(~F.col(CUT)).drop(CUT), todo.filter(CUT)
         done = clean if done is None else done.unionAll(clean)
         if again.isEmpty():
-            return done
+            return done.toDF(*names)
         todo = again.withColumn(CUT, F.lit(False))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from postmill.llm.common import SPACE_WORDS, broadcast_if_small, cut_lineage, global_row_number, parts_for
+from postmill.llm.common import SPACE_WORDS, broadcast_if_small, cut_lineage, global_row_number, parts_for, unclashed
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -102,9 +102,10 @@ def with_copies(rows: DataFrame, table: DataFrame, source: str = "source", doc_i
 
 def mix(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", **how) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it (perhaps never); same columns."""
-    sizes = docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    out = with_copies(with_ordinal(docs, doc_id, text_digest(F.col(text)), source), targets(sizes, **how), source, doc_id)
-    return out.withColumn("__k", F.explode(F.expr("array_repeat(0, cast(__copies as int))"))).select(*docs.columns)
+    rows, (text, source, doc_id) = unclashed(docs, text, source, doc_id)
+    sizes = rows.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    out = with_copies(with_ordinal(rows, doc_id, text_digest(F.col(text)), source), targets(sizes, **how), source, doc_id)
+    return out.withColumn("__k", F.explode(F.expr("array_repeat(0, cast(__copies as int))"))).select(*rows.columns).toDF(*docs.columns)
 
 
 def op9_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

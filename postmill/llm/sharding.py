@@ -9,8 +9,8 @@ Both orders are total orders over range partitions with the counts of earlier pa
 partition and the number of rows reaches the driver.
 
 Nulls: a null source is a source, a null text has size 1; null ids sort first. Repeated rows take places of their
-own, however many. A very long text is only measured and carried along. Input columns named like a result are replaced.
-Empty tables give empty results.
+own, however many. A very long text is only measured and carried along. Input columns named shard or slot are replaced, those
+of any other name are kept. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm.common import broadcast_if_small, cut_lineage, global_row_number, parts_for, shared_dir
+from postmill.llm.common import broadcast_if_small, cut_lineage, global_row_number, parts_for, shared_dir, unclashed
 
 SHARDS = 16
 SEED = 20
@@ -66,13 +66,14 @@ def deal(docs: DataFrame, shards: int = SHARDS, *, source: str = "source", doc_i
     Every row gets a key of its own and is written once to the shared folder, so that the keys are the same whenever
     they are read. Only the key, source, id, size and crc32 go through the sorts; shard and slot are joined back by key.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop("shard", "slot")
     path = f"{shared_dir(spark)}/keyed-{uuid.uuid4().hex}"
-    docs.drop("shard", "slot").withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
+    rows, (source, doc_id, text) = unclashed(docs, source, doc_id, text)
+    rows.withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
     keyed = spark.read.parquet(path)
     narrow = manifest(keyed.select("__row", F.col(source).alias("source"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     placed = interleave(narrow.select("__row", "source", "doc_id", "size", "text_crc32"), shards, seed=seed, ties=("text_crc32", "size"), row=("__row",))
-    return keyed.join(placed.select("__row", "shard", "slot"), "__row").drop("__row")
+    return keyed.join(placed.select("__row", "shard", "slot"), "__row").drop("__row").toDF(*docs.columns, "shard", "slot")
 
 
 def op5_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

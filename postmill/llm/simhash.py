@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postmill.llm.common import broadcast_if_small, cut_lineage, ranges, sliced, text_bytes
+from postmill.llm.common import broadcast_if_small, cut_lineage, ranges, sliced, text_bytes, unclashed
 from postmill.llm.components import components
 
 SHINGLE = 4
@@ -424,6 +424,8 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     same group, one row stays, and each group keeps exactly one row. The (id, text) pairs to drop or to thin out are
     broadcast if their bytes allow, and joined by a shuffle else.
     """
+    names = docs.columns
+    docs, (doc_id, text) = unclashed(docs, doc_id, text)
     rows = text_components(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shingle=shingle, similarity=similarity, radius=radius)
     pairs = rows.groupBy("doc_id", "raw").agg(F.bool_or("stays").alias("__stays"), F.count(F.lit(1)).alias("n"))
     other = cut_lineage(pairs.filter(~F.col("__stays") | (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw"), "__stays"))
@@ -431,9 +433,9 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     kept = docs.join(broadcast_if_small(other), same, "left_anti")
     repeated = other.filter("__stays")
     if repeated.isEmpty():
-        return kept
+        return kept.toDF(*names)
     thinned = docs.join(broadcast_if_small(repeated), same).dropDuplicates(["__id", "__raw"]).select(*docs.columns)
-    return kept.unionAll(thinned)
+    return kept.unionAll(thinned).toDF(*names)
 
 
 def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
