@@ -271,26 +271,31 @@ def filter_radius(df: DataFrame, cities: DataFrame, pins: list[tuple[float, floa
     return located.filter(remote | F.col("lat").isNull() | near)
 
 
-CITY_BLOCK = 10_000
+GRAM = 3
 
 
-def with_city(df: DataFrame, cities: DataFrame, block: int = CITY_BLOCK) -> DataFrame:
-    """Adds city, lat and lon of the longest city key that the location holds.
+def _grams(text: Column, n: Column) -> Column:
+    """Distinct pieces of ``n`` characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substring(text, i, n)))
 
-    Distinct locations are matched, not rows, with about ``block`` cities at a time, which are broadcast; of each block
-    only the best city of a location is kept.
+
+def with_city(df: DataFrame, cities: DataFrame) -> DataFrame:
+    """Adds city, lat and lon of the longest city key that the location holds; an empty key stands for no city.
+
+    Distinct locations meet keys on one piece of three characters (or the whole key, if it is shorter): of the pieces of a
+    key, all of which a location that holds it must have, the one that the fewest locations have.
     """
+    low = F.lower("__place")
     places = df.select(F.coalesce("location", F.lit("")).alias("__place")).distinct()
-    blocks = max(1, -(-cities.count() // block))
-    found = None
-    for k in range(blocks):
-        part = cities if blocks == 1 else cities.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == k)
-        hits = places.join(F.broadcast(part.select("key", "lat", "lon")), F.contains(F.lower("__place"), F.col("key")))
-        best = hits.groupBy("__place").agg(F.max(F.struct(F.char_length("key").alias("n"), F.col("key").alias("city"), "lat", "lon")).alias("c"))
-        found = best if found is None else found.unionAll(best)
-    if blocks > 1:
-        found = found.groupBy("__place").agg(F.max("c").alias("c"))
-    return df.join(found, F.coalesce("location", F.lit("")) == F.col("__place"), "left").select(df["*"], "c.city", "c.lat", "c.lon")
+    keys = cities.filter("key <> ''").select("key", "lat", "lon", F.least(F.char_length("key"), F.lit(GRAM)).alias("q"))
+    sizes = F.filter(F.array(*map(F.lit, range(1, GRAM + 1))), lambda q: q <= F.char_length(low))
+    pieces = places.select("__place", F.explode(F.flatten(F.transform(sizes, lambda q: _grams(low, q)))).alias("gram"))
+    common = pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("places"))
+    asked = keys.withColumn("gram", F.explode(_grams(F.col("key"), F.col("q")))).join(common, "gram", "left")
+    rare = asked.groupBy("key", "lat", "lon").agg(F.min_by("gram", F.struct("places", "gram")).alias("gram"), F.count_if(F.col("places").isNull()).alias("absent")).filter("absent = 0")
+    hits = pieces.join(rare.drop("absent"), "gram").filter(F.contains(low, F.col("key")))
+    best = hits.groupBy("__place").agg(F.max(F.struct(F.char_length("key").alias("n"), F.col("key").alias("city"), "lat", "lon")).alias("c"))
+    return df.join(best, F.coalesce("location", F.lit("")) == F.col("__place"), "left").select(df["*"], "c.city", "c.lat", "c.lon")
 
 
 def filter_recent(df: DataFrame, days: int, now: Column) -> DataFrame:

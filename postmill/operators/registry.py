@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from postmill.functions import constants as K
 from postmill.functions import fields as X
 from postmill.functions import text as T
+from postmill.operators.shared import spread_absent
 
 FLAGS = ("seen", "dismissed", "starred", "removed")
 
@@ -55,7 +56,8 @@ def skip_seen(cards: DataFrame, seen: DataFrame) -> DataFrame:
     first = keyed.filter("url_key is not null").groupBy("url_key").agg(F.min("ingest_seq").alias("__first"))
     fresh = first.join(seen.select("url_key"), "url_key", "left_anti")
     page = F.coalesce(F.col("kind") == "html", F.lit(False)) if "kind" in cards.columns else F.lit(True)
-    joined = keyed.join(fresh, "url_key", "left")
+    fresh = fresh.withColumnRenamed("url_key", "__fresh")
+    joined = keyed.join(fresh, spread_absent(keyed, F.col("url_key")) == F.col("__fresh"), "left").drop("__fresh")
     return joined.filter(~page | F.col("url_key").isNull() | (F.col("ingest_seq") == F.col("__first"))).drop("__first")
 
 
@@ -199,7 +201,7 @@ def with_applied(df: DataFrame, applications: DataFrame, states=("applied", "res
     """Adds applied: an application in one of ``states`` has the posting's title and company. Blank ones match nothing."""
     key = F.when((F.trim(T.text(F.col("title"))) != "") & (F.trim(T.text(F.col("company"))) != ""), T.job_key(F.col("title"), F.col("company")))
     have = applications.filter(F.col("state").isin(*states)).select(key.alias("__key")).filter("__key is not null").distinct().withColumn("__have", F.lit(True))
-    return df.withColumn("__key", key).join(have, "__key", "left").withColumn("applied", F.coalesce("__have", F.lit(False))).drop("__key", "__have")
+    return df.join(have, spread_absent(df, key) == F.col("__key"), "left").withColumn("applied", F.coalesce("__have", F.lit(False))).drop("__key", "__have")
 
 
 def fold_reactions(reactions: DataFrame) -> DataFrame:
@@ -242,14 +244,15 @@ def split_cached(df: DataFrame, cache: DataFrame, model: str) -> tuple[DataFrame
 
 def merge_reports(df: DataFrame, reports: DataFrame) -> DataFrame:
     """The last report of each url (by seq, failed ones apart) joined to postings; talking points of at most 1000 characters."""
-    last = reports.filter("error is null").groupBy("url").agg(F.max_by(F.struct("gaps", "points"), "seq").alias("r"))
-    return df.join(last, "url", "left").select(df["*"], F.col("r.gaps").alias("gaps"), F.substring(F.array_join("r.points", "; "), 1, 1000).alias("rationale"))
+    last = reports.filter("error is null and url <> ''").groupBy(F.col("url").alias("__url")).agg(F.max_by(F.struct("gaps", "points"), "seq").alias("r"))
+    return df.join(last, spread_absent(df, F.nullif(df["url"], F.lit(""))) == F.col("__url"), "left").select(df["*"], F.col("r.gaps").alias("gaps"), F.substring(F.array_join("r.points", "; "), 1, 1000).alias("rationale"))
 
 
 def patch(registry: DataFrame, updates: DataFrame, column: str) -> DataFrame:
     """A column set anew by url where there is an update (the last by seq)."""
-    last = updates.groupBy("url").agg(F.max_by(column, "seq").alias("__new"))
-    return registry.join(last, "url", "left").withColumn(column, F.coalesce("__new", column)).drop("__new")
+    last = updates.groupBy(F.col("url").alias("__url")).agg(F.max_by(column, "seq").alias("__new"))
+    same = spread_absent(registry, F.col("url")) == F.col("__url")
+    return registry.join(last, same, "left").withColumn(column, F.coalesce("__new", column)).drop("__new", "__url")
 
 
 def rescore(registry: DataFrame, scores: DataFrame) -> DataFrame:

@@ -265,12 +265,36 @@ def test_words_that_stand_alone(spark):
         assert one(spark, S.stands_alone(S._marked(F.col("t")), F.col("w")), t=text, w=word) == want, word
 
 
-def test_cities_in_blocks(spark):
-    cities = spark.createDataFrame([("san", 0.0, 0.0), ("san jose", 1.0, 1.0), ("york", 2.0, 2.0), ("new york", 3.0, 3.0)], "key string, lat double, lon double")
-    df = spark.createDataFrame([("San Jose, CA",), ("New York",), ("San Diego",), (None,), ("Oslo",)], "location string")
-    for block in (1, 10):
-        got = {r.location: r.city for r in O.with_city(df, cities, block).collect()}
-        assert got == {"San Jose, CA": "san jose", "New York": "new york", "San Diego": "san", None: None, "Oslo": None}
+def test_longest_city_key(spark):
+    rnd = random.Random(3)
+    keys = [("san", 0.0, 0.0), ("san jose", 1.0, 1.0), ("york", 2.0, 2.0), ("new york", 3.0, 3.0), ("", 4.0, 4.0), ("la", 5.0, 5.0), ("x", 6.0, 6.0), ("nan", 7.0, 7.0)]
+    cities = spark.createDataFrame(keys, "key string, lat double, lon double")
+    df = spark.createDataFrame([("San Jose, CA",), ("New York",), ("San Diego",), (None,), ("Oslo",), ("LA",), ("x",), ("",), ("sa njo se",)], "location string")
+    found = O.with_city(df, cities)
+    got = {r.location: (r.city, r.lat) for r in found.collect()}
+    assert got == {"San Jose, CA": ("san jose", 1.0), "New York": ("new york", 3.0), "San Diego": ("san", 0.0), None: (None, None), "Oslo": (None, None), "LA": ("la", 5.0), "x": ("x", 6.0), "": (None, None), "sa njo se": (None, None)}
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    words = [rnd.choice("abc") * rnd.randint(1, 2) + rnd.choice("abc ") + rnd.choice("bcd") for _ in range(60)]
+    places = [(" ".join(rnd.choices(words, k=3)),) for _ in range(80)]
+    many = spark.createDataFrame([(w, 1.0, 1.0) for w in sorted({w[: rnd.randint(1, 5)].strip() for w in words} - {""})], "key string, lat double, lon double")
+    have = [r.key for r in many.collect()]
+    for r in O.with_city(spark.createDataFrame(places, "location string"), many).collect():
+        hits = [k for k in have if k in r.location]
+        assert (r.city in hits and len(r.city) == max(map(len, hits))) if hits else r.city is None
+
+
+def test_rows_without_a_key_are_dealt_to_all_tasks(spark):
+    from postmill.operators import registry as R
+    from postmill.operators.shared import spread_absent
+
+    rows = spark.range(20_000).select(F.col("id").alias("ingest_seq"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("https://x.com/"), F.col("id").cast("string"))).alias("url"))
+    key = spread_absent(rows, F.col("url"))
+    sizes = [r["count"] for r in rows.repartition(16, key).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 16 and max(sizes) <= 3 * sorted(sizes)[8]
+    assert rows.filter(key.startswith("\x00") != F.col("url").isNull()).count() == 0
+    seen = R.keyed_urls(rows.filter("ingest_seq < 100 and url is not null")).select("url_key")
+    assert R.skip_seen(rows, seen).count() == 10_000 + 10_000 - 50
+
 
 
 def test_success_clears_a_failure(spark):
