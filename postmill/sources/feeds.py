@@ -17,10 +17,10 @@ from postmill.functions.salary import fill_salary
 GREENHOUSE = "jobs array<struct<title:string,absolute_url:string,updated_at:string,content:string,location:struct<name:string>>>"
 LEVER = "struct<text:string,hostedUrl:string,createdAt:bigint,descriptionPlain:string,additionalPlain:string,categories:struct<location:string,commitment:string,team:string>>"
 REMOTEOK = "struct<legal:string,position:string,company:string,location:string,url:string,date:string,description:string,salary_min:bigint,salary_max:bigint,tags:array<string>>"
-ASHBY = "jobs array<struct<id:string,title:string,location:string,department:string,descriptionHtml:string,descriptionPlain:string,employmentType:string,jobUrl:string,publishedAt:string>>"
+ASHBY = "jobs array<struct<id:string,title:string,location:variant,department:variant,descriptionHtml:string,descriptionPlain:string,employmentType:string,jobUrl:string,publishedAt:string>>"
 WORKDAY = "jobPostings array<struct<title:string,externalPath:string,locationsText:string,postedOn:string>>"
 AMAZON = "jobs array<struct<title:string,normalized_location:string,location:string,description:string,basic_qualifications:string,job_path:string,posted_date:string,company_name:string>>"
-JOBICY = "jobs array<struct<jobTitle:string,companyName:string,jobGeo:string,annualSalaryMin:string,annualSalaryMax:string,jobDescription:string,jobType:string,url:string,pubDate:string>>"
+JOBICY = "jobs array<struct<jobTitle:string,companyName:string,jobGeo:string,annualSalaryMin:string,annualSalaryMax:string,jobDescription:string,jobType:variant,url:string,pubDate:string>>"
 REMOTIVE = "jobs array<struct<title:string,company_name:string,candidate_required_location:string,salary:string,description:string,tags:array<string>,job_type:string,url:string,publication_date:string>>"
 
 
@@ -84,8 +84,8 @@ def jobs_of(raw: DataFrame, schema: str, field: str, *keep: str) -> DataFrame:
 
 
 def name_of(c: Column) -> Column:
-    """A field that is either plain text or an object with a name."""
-    return F.when(F.startswith(F.trim(c), F.lit("{")), F.get_json_object(c, "$.name")).otherwise(c)
+    """A variant that is either plain text or an object with a name."""
+    return F.when(F.schema_of_variant(c).startswith("OBJECT"), F.try_variant_get(c, "$.name", "string")).otherwise(F.try_variant_get(c, "$", "string"))
 
 
 def from_ashby(raw: DataFrame) -> DataFrame:
@@ -145,8 +145,8 @@ def from_jobicy(raw: DataFrame) -> DataFrame:
 
 
 def name_list(c: Column) -> Column:
-    """A field that is either plain text or a list of texts, comma-joined."""
-    return F.when(F.startswith(F.trim(c), F.lit("[")), F.array_join(F.from_json(c, "array<string>"), ", ")).otherwise(c)
+    """A variant that is either plain text or a list of texts, comma-joined."""
+    return F.when(F.schema_of_variant(c).startswith("ARRAY"), F.array_join(F.try_variant_get(c, "$", "array<string>"), ", ")).otherwise(F.try_variant_get(c, "$", "string"))
 
 
 def from_remotive(raw: DataFrame) -> DataFrame:

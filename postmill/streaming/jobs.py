@@ -164,3 +164,25 @@ class CycleCounter(StreamingQueryListener):
 
     def onQueryTerminated(self, event):
         pass
+
+
+LETTER = "slug string, body string, file string, batch long"
+
+
+def feed_cycles(spark: SparkSession, landed: str, folder: str, parse, files: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Landed text files, a JSON line {slug, body} for each fetched body, to postings and dead letters as they arrive.
+
+    ``parse`` maps (slug, body) to postings. A line or a body that is no JSON goes to the dead letters as it is, with its file and
+    batch; an empty body is one too. At most ``files`` files make a batch, and a batch that runs again replaces itself.
+    """
+    lines = spark.readStream.option("maxFilesPerTrigger", files).text(landed).select("value", F.col("_metadata.file_path").alias("file"))
+
+    def write(batch: DataFrame, n: int) -> None:
+        got = batch.select(F.from_json("value", "slug string, body string").alias("j"), "value", "file").select("j.slug", F.coalesce("j.body", "value").alias("body"), F.col("j.body").isNotNull().alias("whole"), "file")
+        good = F.col("whole") & F.try_parse_json("body").isNotNull()
+        parse(got.filter(good).select("slug", "body")).write.mode("overwrite").parquet(f"{folder}/postings/batch={n}")
+        got.filter(~good).select("slug", "body", "file", F.lit(n).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{folder}/dead/batch={n}")
+
+    each_batch(lines, folder, write)
+    empty = parse(spark.createDataFrame([], "slug string, body string"))
+    return spark.read.schema(empty.schema).parquet(f"{folder}/postings"), spark.read.schema(LETTER).parquet(f"{folder}/dead")
