@@ -16,6 +16,7 @@ from postmill.plans.derived import P_CTE, postings, query, sql_any, sql_case, sq
 from postmill.plans.filter_queries import _RISK, salary_text
 from postmill.plans.market_queries import HISTOGRAM_SQL, REGISTRY_CTE, banded, registry
 from postmill.sources import feeds
+from postmill.streaming import cycle, jobs
 
 _PAID = r"\$(\d+)k - \$(\d+)k"
 
@@ -130,6 +131,25 @@ def batch_counts(spark, sf):
     return A.batch_stats(p)
 
 
+@query("+k AS (" + _RISK.split("+r AS (", 1)[1].split("FROM r", 1)[0].join(["WITH r AS (", "FROM r"]) + """), p AS (SELECT p.*, k.risk, job_id % 17 <> 0 AS parsed, lower(trim(title)) || '||' || lower(trim(company)) AS job_key FROM postings p JOIN k USING (job_id)),
+f AS (SELECT job_key, min(batch_id) AS first FROM p WHERE parsed GROUP BY 1), c AS (SELECT p.*, parsed AND company <> '' AND seniority IS NOT NULL AND technologies IS NOT NULL AS passed, (job_id * 7) % 1000 >= 600 AS match, f.first = batch_id AS fresh FROM p LEFT JOIN f USING (job_key))
+SELECT batch_id, count(*) AS ingested, count(*) FILTER (parsed) AS parsed, count(*) FILTER (passed) AS qa_passed, count(*) FILTER (passed AND risk = 'high') AS blocked, count(*) FILTER (passed AND risk <> 'high' AND fresh) AS new_jobs, count(*) FILTER (passed AND risk <> 'high' AND match) AS matches, count(*) FILTER (passed AND risk <> 'high' AND match AND job_id % 3 > 0) AS fit_gaps FROM c GROUP BY 1""")
+def cycle_counts(spark, sf):
+    """Twelve cycles, one after the other; the counters of each are observed while it stores its rows."""
+    folder = jobs.shared_folder(spark)
+    p = postings(spark, sf).withColumns({"salary_text": salary_text(), "title": F.when(F.col("job_id") % 17 == 0, " ").otherwise(F.col("title"))})
+    p.withColumn("job_key", F.when(F.trim("title") != "", T.job_key(F.col("title"), F.col("company")))).repartition("batch_id").write.partitionBy("batch_id").parquet(f"{folder}/fetched")
+    fetched = spark.read.parquet(f"{folder}/fetched")
+    gaps = F.when(F.col("job_id") % 3 > 0, F.array(F.lit("rust")))
+    scores = fetched.select("job_id", ((F.col("job_id") * 7) % 1000 / 1000).alias("score"), gaps.alias("gaps"), "batch_id")
+    rows = []
+    for k in range(12):
+        seen = fetched.filter((F.col("batch_id") < k) & F.col("job_key").isNotNull()).select("job_key")
+        counts = cycle.run_cycle(fetched.filter(F.col("batch_id") == k).drop("job_key"), scores.filter(F.col("batch_id") == k), seen, f"{folder}/stored", k)
+        rows.append((k, *(counts[c] for c in cycle.COUNTERS)))
+    return spark.createDataFrame(rows, "batch_id int, " + ", ".join(f"{c} long" for c in cycle.COUNTERS)).filter("ingested > 0")
+
+
 @query("SELECT source, count(*) AS jobs, CAST(count(*) FILTER (job_id % 11 = 0) AS BIGINT) AS errors FROM postings GROUP BY source")
 def source_tallies(spark, sf):
     p = postings(spark, sf)
