@@ -165,7 +165,7 @@ def tier_counts(spark, sf):
     return scored(spark, sf).groupBy("profile_id", "tier").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("+r AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY match_score DESC, ingest_seq) AS k FROM scored WHERE tier = 'match') SELECT s.profile_id, s.job_id, CASE WHEN r.k > 25 THEN 'maybe' ELSE s.tier END AS tier, coalesce(r.k > 25, false) AS capped FROM scored s LEFT JOIN (SELECT profile_id, job_id, k FROM r) r ON s.profile_id = r.profile_id AND s.job_id = r.job_id", SCORED_CTES)
+@query("SELECT profile_id, job_id, CASE WHEN tier = 'match' AND k > 25 THEN 'maybe' ELSE tier END AS tier, tier = 'match' AND k > 25 AS capped FROM (SELECT profile_id, job_id, tier, row_number() OVER (PARTITION BY profile_id, tier ORDER BY match_score DESC, ingest_seq) AS k FROM scored)", SCORED_CTES)
 def capped_matches(spark, sf):
     return S.cap_matches(scored(spark, sf), 25).select("profile_id", "job_id", "tier", "capped")
 
