@@ -311,6 +311,18 @@ def test_markov_tells_random_from_ordinary(spark, sf):
     assert got[-1] == [RANDOM] and got[-2] == []
 
 
+def test_markov_leaves_numbers_alone(spark, sf):
+    """Digit runs, dates, versions and grouped ids of 20 characters and more; beside them random tokens of digits and letters."""
+    dig = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    makers = [lambda: dig(22), lambda: dig(40), lambda: f"20{dig(2)}-{dig(2)}-{dig(2)}-{dig(6)}-{dig(4)}", lambda: f"{dig(4)}-{dig(4)}-{dig(4)}-{dig(5)}", lambda: f"{dig(8)}_{dig(6)}_{dig(7)}"]
+    numbers = [f"id {rnd.choice(makers)()} ok" for _ in range(300)]
+    tokens = ["id " + "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rnd.randrange(20, 33))) + " ok" for _ in range(300)]
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    more = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(numbers + tokens)], "doc_id long, text string")
+    got = {r.doc_id: len(r.added) for r in secrets.find_secrets(d.unionAll(more)).filter("doc_id < 0").collect()}
+    assert sum(got[-1 - i] for i in range(300)) == 0 and sum(got[-301 - i] for i in range(300)) >= 285
+
+
 def test_markov_recall_on_planted_tokens(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     words = ["interesting", "the", "another", "there", "international", "configuration", "value"]
