@@ -58,6 +58,11 @@ def by_score(df: DataFrame, then: str, score: str = "score", tie: str = "key") -
     return df.orderBy(F.coalesce(F.col(score), F.lit(0)).desc(), F.col(then).desc_nulls_last(), F.col(tie).asc())
 
 
+def page(ordered: DataFrame, n: int, first: int = 0) -> DataFrame:
+    """``n`` rows of an ordered table after the ``first`` ones, with their place from 1. A page is one task's rows."""
+    return ordered.offset(first).limit(n).coalesce(1).withColumn("place", F.monotonically_increasing_id() + F.lit(first + 1))
+
+
 SORTS = {
     "role": "title", "company": "company", "location": "location", "posted": "posted_date", "ghost": "ghost",
     "score": "match_score",

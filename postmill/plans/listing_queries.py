@@ -50,30 +50,39 @@ def match_list_counts(spark, sf):
     return L.match_filter_counts(matches(spark, sf), SHOWN)
 
 
-@query("SELECT job_id FROM m ORDER BY match_score DESC, posted_date DESC NULLS LAST, ingest_seq LIMIT 100", MATCHES_CTE)
+@query("SELECT job_id, row_number() OVER (ORDER BY match_score DESC, posted_date DESC NULLS LAST, ingest_seq) AS place FROM m ORDER BY place LIMIT 100", MATCHES_CTE)
 def match_page(spark, sf):
     """The first page of matches, a hundred rows."""
-    return L.by_score(matches(spark, sf), "posted_date", "match_score", "ingest_seq").limit(100).select("job_id")
+    return L.page(L.by_score(matches(spark, sf), "posted_date", "match_score", "ingest_seq"), 100).select("job_id", "place")
 
 
-@query("SELECT k AS key FROM old ORDER BY score DESC, last_seen DESC, k LIMIT 100", REGISTRY_CTE)
+@query("SELECT k AS key, row_number() OVER (ORDER BY score DESC, last_seen DESC, k) AS place FROM old ORDER BY place LIMIT 100 OFFSET 50", REGISTRY_CTE)
 def registry_page(spark, sf):
-    return L.by_score(registry(spark, sf)[0], "last_seen").limit(100).select("key")
+    """A hundred rows after the first fifty."""
+    return L.page(L.by_score(registry(spark, sf)[0], "last_seen"), 100, 50).select("key", "place")
 
 
-@query("SELECT job_id FROM m ORDER BY starred DESC, lower(company), ingest_seq LIMIT 100", MATCHES_CTE)
+@query("SELECT job_id, row_number() OVER (ORDER BY starred DESC, lower(company), ingest_seq) AS place FROM m ORDER BY place LIMIT 100", MATCHES_CTE)
 def table_page_by_company(spark, sf):
-    return L.sorted_table(matches(spark, sf), "company", ascending=True).limit(100).select("job_id")
+    return L.page(L.sorted_table(matches(spark, sf), "company", ascending=True), 100).select("job_id", "place")
 
 
-@query("SELECT job_id FROM m ORDER BY starred DESC, coalesce(epoch(posted_date), 0) DESC, ingest_seq LIMIT 100", MATCHES_CTE)
+@query("SELECT job_id, row_number() OVER (ORDER BY starred DESC, coalesce(epoch(posted_date), 0) DESC, ingest_seq) AS place FROM m ORDER BY place LIMIT 100", MATCHES_CTE)
 def table_page_by_date(spark, sf):
-    return L.sorted_table(matches(spark, sf), "posted").limit(100).select("job_id")
+    return L.page(L.sorted_table(matches(spark, sf), "posted"), 100).select("job_id", "place")
 
 
-@query("SELECT job_id FROM (SELECT * FROM m WHERE batch_id = 11) ORDER BY match_score DESC, ingest_seq LIMIT 20", MATCHES_CTE)
+@query("+o AS (SELECT job_id, row_number() OVER (ORDER BY starred DESC, CASE WHEN job_id % 8 = 0 THEN -1 ELSE (job_id * 13) % 101 / 100.0 END, ingest_seq) AS place FROM m) SELECT job_id, place FROM o ORDER BY place LIMIT 100", MATCHES_CTE)
+def table_page_by_ghost(spark, sf):
+    """Least suspect first; a posting without a ghost score comes before all that have one."""
+    ghost = F.when(F.col("job_id") % 8 != 0, (F.col("job_id") * 13) % 101 / 100)
+    return L.page(L.sorted_table(matches(spark, sf).withColumn("ghost", ghost), "ghost", ascending=True), 100).select("job_id", "place")
+
+
+@query("+s AS (SELECT batch_id, count(*) AS n FROM m GROUP BY 1 ORDER BY batch_id DESC LIMIT 5), w AS (SELECT batch_id, coalesce(sum(n) OVER (ORDER BY batch_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS newer FROM s) SELECT job_id, row_number() OVER (ORDER BY match_score DESC, batch_id DESC, ingest_seq) AS place FROM m WHERE batch_id IN (SELECT batch_id FROM w WHERE newer < 2000) ORDER BY place LIMIT 2000", MATCHES_CTE)
 def recent_matches(spark, sf):
-    return L.recent_matches(matches(spark, sf), 20).select("job_id")
+    """So many that they take several batches."""
+    return L.page(L.recent_matches(matches(spark, sf), 2000), 2000).select("job_id", "place")
 
 
 @query("SELECT 'registry' AS facet, 'total' AS value, count(*) AS n FROM m UNION ALL SELECT 'registry', 'unseen', count(*) FILTER (NOT seen) FROM m UNION ALL SELECT 'registry', 'dismissed', count(*) FILTER (dismissed) FROM m UNION ALL SELECT 'registry', 'starred', count(*) FILTER (starred) FROM m UNION ALL SELECT 'archetype', coalesce(archetype, 'uncategorised'), count(*) FROM m WHERE NOT removed GROUP BY 2", MATCHES_CTE)
@@ -174,14 +183,14 @@ def labels_refreshed(spark, sf):
     return D.refresh_labels(cache, old, old.select("key", vector.alias("embedding"))).select("key", "state")
 
 
-@query("SELECT count(*) FILTER (job_id % 3 = 0) AS hits, count(*) FILTER (job_id % 3 <> 0) AS misses FROM postings")
+@query("SELECT job_id, job_id % 3 = 0 AS hit, CASE WHEN job_id % 3 = 0 THEN (job_id % 10) / 10e0 END AS first FROM postings")
 def cache_split(spark, sf):
     """Texts with a vector of the model, and those without or with another model's."""
     p = postings(spark, sf).select("job_id", T.text_key(F.col("job_id").cast("string")).alias("text_key"))
     model = F.when(F.col("job_id") % 3 == 0, "m1").otherwise("m0")
-    cache = p.filter("job_id % 3 <> 1").select("text_key", model.alias("model"), F.array(F.lit(0.5)).alias("embedding"))
+    cache = p.filter("job_id % 3 <> 1").select("text_key", model.alias("model"), F.array(F.col("job_id") % 10 / 10).alias("embedding"))
     hits, misses = R.split_cached(p, cache, "m1")
-    return hits.agg(F.count(F.lit(1)).alias("hits")).join(misses.agg(F.count(F.lit(1)).alias("misses")))  # one row each
+    return hits.select("job_id", F.lit(True).alias("hit"), F.get("cached", F.lit(0)).alias("first")).unionAll(misses.select("job_id", F.lit(False), F.lit(None).cast("double")))
 
 
 @query("+u AS (SELECT url, arg_max('note ' || CAST(job_id AS VARCHAR), job_id) AS note FROM postings WHERE job_id % 6 = 0 GROUP BY url) SELECT p.job_id, coalesce(u.note, p.company) AS note FROM postings p LEFT JOIN u ON p.url = u.url")
