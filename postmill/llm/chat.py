@@ -10,7 +10,8 @@ newline becomes backslash n. Trained on: the texts of blocks whose role is ``ass
 
 Nulls: a null text or role is empty; a null turn sorts first; a null conv_id is a conversation. Rows that tie on the
 turn are ordered by role, then text. Repeated rows are turns of their own. A conversation is one output row, so its
-turns meet in one task, as its text must; how many turns it has does not matter to other rows.
+turns meet in one task, as its text must; how many turns it has does not matter to other rows. Very long texts are
+carried through as they are. Other columns are not read. Empty tables give empty results.
 """
 
 from __future__ import annotations

@@ -1,5 +1,7 @@
 """The stages, one by one, each on what its predecessor kept."""
 
+import pytest
+
 import corpus_pipeline
 from postmill.llm import decontamination, quality, simhash
 
@@ -38,3 +40,30 @@ def test_shards_hold_the_texts(spark, sf):
     out = corpus_pipeline.STAGES[-1][1](spark, docs.unionAll(docs), sf)
     assert out.columns == [*docs.columns, "shard", "slot"]
     assert sorted(r.text for r in out.collect()) == sorted([r.text for r in docs.collect()] * 2)
+
+
+@pytest.fixture(scope="module")
+def messy(spark, sf):
+    """Whole documents with nulls in every column, equal rows, ids that repeat, blank texts and columns of clashing names."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    own = [(None, None, None, None, None), (1, None, "en", "a", None), (1, "", "en", None, 0), (2, " ", None, "a", 1), (3, "only a few words", "en", None, 16), (3, "only a few words", "en", None, 16)]
+    rows = docs.unionAll(spark.createDataFrame(own, docs.schema)).unionAll(docs.limit(20)).unionAll(docs.limit(3).selectExpr("cast(null as long)", "text", "lang", "source", "n_chars"))
+    return rows.selectExpr("*", "'x' as __row", "1 as fp", "'y' as score", "'z' as root").repartition(3)
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_take_messy_and_empty_tables(spark, sf, messy, k):
+    name, stage = corpus_pipeline.STAGES[k]
+    out = stage(spark, messy, sf)
+    more = ["shard", "slot"] if k == 4 else []
+    assert out.columns == [*messy.columns, *more]
+    rows = out.collect()
+    assert all(r["__row"] == "x" and r.fp == 1 and r.score == "y" and r.root == "z" for r in rows)
+    ids, n = {r.doc_id for r in messy.collect()}, messy.count()
+    assert rows and {r.doc_id for r in rows} <= ids
+    if k == 1:
+        assert len(rows) < n and len({(r.doc_id, r.text) for r in rows}) == len(rows)
+    if k == 4:
+        assert len(rows) == n and sorted(r.slot for r in rows if r.shard == 0) == list(range(sum(r.shard == 0 for r in rows)))
+    nothing = stage(spark, messy.limit(0), sf)
+    assert nothing.columns == out.columns and nothing.count() == 0
