@@ -122,14 +122,15 @@ def digest(spark, sf):
     return D.digest_tables(postings(spark, sf), reports(spark, sf))
 
 
-@query("+w AS (SELECT unnest(CASE WHEN technologies IS NOT NULL THEN technologies ELSE list_filter(regexp_extract_all(lower(description), '\\b[a-z][a-z+\\-.]{2,}\\b'), lambda t: t NOT IN " + sql_in(K.NON_SKILL_WORDS) + ") END) AS skill FROM postings) SELECT skill, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, skill LIMIT 12")
+@query("+w AS (SELECT unnest(CASE WHEN technologies IS NOT NULL THEN technologies ELSE list_filter(regexp_extract_all(lower(description), '\\b[a-z][a-z+\\-.]{2,}\\b'), lambda t: t NOT IN " + sql_in(K.NON_SKILL_WORDS) + ") END) AS skill FROM postings WHERE job_id % 3 = 1) SELECT skill, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, skill LIMIT 12")
 def matched_skills(spark, sf):
-    return D.matched_skills(postings(spark, sf))
+    """One posting in three is a match."""
+    return D.matched_skills(postings(spark, sf).filter("job_id % 3 = 1"))
 
 
-@query("SELECT CASE WHEN remote IN ('remote', 'hybrid', 'onsite') THEN remote ELSE 'unknown' END AS work_model, count(*) AS n FROM postings GROUP BY 1")
+@query("SELECT CASE WHEN remote IN ('remote', 'hybrid', 'onsite') THEN remote ELSE 'unknown' END AS work_model, count(*) AS n FROM postings WHERE job_id % 3 = 1 GROUP BY 1")
 def matched_work_model(spark, sf):
-    return D.matched_work_model(postings(spark, sf))
+    return D.matched_work_model(postings(spark, sf).filter("job_id % 3 = 1"))
 
 
 @query("+f AS (SELECT DISTINCT split_part(source, ':', 1) AS source, 'co' || CAST(job_id % 40 AS VARCHAR) AS slug FROM postings WHERE job_id % 9 = 0) SELECT source, string_agg(slug, ',' ORDER BY slug) AS slugs, count(*) AS n FROM f GROUP BY source")
@@ -219,12 +220,12 @@ def remote_regions(spark, sf):
     return matches(spark, sf).select("job_id", X.remote_region(F.col("location")).alias("region"))
 
 
-@query("SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS at FROM orders", "")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 5 AND day(o_orderdate) <= 12 THEN CAST(make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) AS TIMESTAMP) ELSE CAST(o_orderdate AS TIMESTAMP) END AS at FROM orders", "")
 def parsed_dates(spark, sf):
-    """Order dates written in four ways and read again."""
+    """Order dates written in six ways and read again; of slashed dates that can be read both ways the day comes first."""
     o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("d"))
-    way = F.col("o_orderkey") % 4
-    written = F.when(way == 0, F.date_format("d", "yyyy-MM-dd")).when(way == 1, F.date_format("d", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(way == 2, F.unix_timestamp("d").cast("string")).otherwise(F.date_format("d", "yyyy-MM-dd HH:mm:ss"))
+    way = F.col("o_orderkey") % 6
+    written = F.when(way == 0, F.date_format("d", "yyyy-MM-dd")).when(way == 1, F.date_format("d", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(way == 2, F.unix_timestamp("d").cast("string")).when(way == 3, F.date_format("d", "yyyy-MM-dd HH:mm:ss")).when(way == 4, F.date_format("d", "dd/MM/yyyy")).otherwise(F.date_format("d", "MM/dd/yyyy"))
     long_enough = F.when((way == 2) & (F.unix_timestamp("d") < 100_000_000), F.date_format("d", "yyyy-MM-dd")).otherwise(written)
     return o.select("o_orderkey", X.parse_posted(long_enough).alias("at"))
 
