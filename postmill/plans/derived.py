@@ -51,9 +51,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table in fewer splits than there are cores dealt to all of them, while they are narrow; else as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """The rows as they are; where the session sets ``postmill.spread`` to a number (the bench does, whose tables have one split),
+    dealt to so many tasks while they are narrow."""
+    tasks = int(df.sparkSession.conf.get("postmill.spread", "0"))
+    return df.repartition(tasks) if tasks else df
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:

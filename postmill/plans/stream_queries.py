@@ -24,11 +24,12 @@ def weekly_events(spark, sf):
     return table(spark, sf, "events").groupBy(week).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("week"), "n")
 
 
-@query("SELECT (SELECT count(DISTINCT user_id) FROM events WHERE user_id % 7 <> 0) + (SELECT count(*) FROM events WHERE user_id % 7 = 0) AS n", "z AS (SELECT 1)")
+@query("SELECT (SELECT count(DISTINCT user_id) FROM events WHERE user_id % 7 <> 0 AND user_id % 5 <> 1) + (SELECT count(*) FROM events WHERE user_id % 7 = 0 OR user_id % 5 = 1) AS n", "z AS (SELECT 1)")
 def stream_unseen_urls(spark, sf):
-    """A seventh of the users have cards without a URL, all of which pass."""
+    """A seventh of the users have cards without a URL and a fifth have feed entries, all of which pass; three micro-batches."""
     url = F.when(F.col("user_id") % 7 != 0, F.concat(F.lit("https://x.com/"), F.col("user_id").cast("string")))
-    rows = event_stream(spark, sf).withColumns({"url": url, "ingest_ts": F.col("ts").cast("timestamp")})
+    kind = F.when(F.col("user_id") % 5 == 1, "json").otherwise("html")
+    rows = event_batches(spark, sf).withColumns({"url": url, "kind": kind, "ingest_ts": F.col("ts").cast("timestamp")})
     out = jobs.run_once(jobs.unseen_urls(rows, keep="90 days").select("url_key"), jobs.shared_folder(spark))
     return out.agg(F.count(F.lit(1)).alias("n"))
 

@@ -29,13 +29,15 @@ def run_once(stream: DataFrame, folder: str) -> DataFrame:
 
 
 def unseen_urls(cards: DataFrame, *, arrival: str = "ingest_ts", keep: str = "2 days") -> DataFrame:
-    """Cards whose URL did not arrive within ``keep`` before, and all cards without a URL; url_key is null for those.
+    """Pages (kind "html", or no column kind) whose URL no card had within ``keep`` before, and all cards of other kinds or without
+    a URL; url_key is null for those.
 
-    State is dropped by arrival time, not by a cap.
+    A URL counts as seen after a card of any kind. State is dropped by arrival time, not by a cap.
     """
     keyed = cards.withColumn("url_key", F.nullif(T.norm_url(F.col("url")), F.lit(""))).withWatermark(arrival, keep)
-    fresh = keyed.filter("url_key is not null").dropDuplicatesWithinWatermark(["url_key"])
-    return fresh.unionByName(keyed.filter("url_key is null"))
+    page = F.coalesce(F.col("kind") == "html", F.lit(False)) if "kind" in cards.columns else F.lit(True)
+    fresh = keyed.filter("url_key is not null").dropDuplicatesWithinWatermark(["url_key"]).filter(page)
+    return fresh.unionByName(keyed.filter(F.col("url_key").isNull() | ~page))
 
 
 def weekly_counts(rows: DataFrame, *, ts: str = "ts", late: str = "2 days") -> DataFrame:
