@@ -126,10 +126,11 @@ class IdleAlerts(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         import pandas as pd
 
-        last, alerts = self.last.get()
-        self.last.update((last, alerts + 1))
-        self.handle.registerTimer(last + self.idle + (alerts + 1) * self.cooldown)
-        yield pd.DataFrame({"user_id": [key[0]], "last_ms": [last], "alert": [alerts + 1]})
+        last, before = self.last.get()
+        due = 1 + max(before, (timerValues.getCurrentWatermarkInMs() - last - self.idle) // self.cooldown)  # event time may leap
+        self.last.update((last, due))
+        self.handle.registerTimer(last + self.idle + due * self.cooldown)
+        yield pd.DataFrame({"user_id": key[0], "last_ms": last, "alert": range(before + 1, due + 1)})
 
     def close(self) -> None:
         pass
