@@ -313,3 +313,7 @@ US_REGION = r"us|u\.s\.|usa|u\.s\.a\.|united states|america|american|stateside"
 VAGUE_TITLES = r"^(?:job|position|role|opening|opportunity)$|^various\s|^multiple\s|\bvarious\b"
 DATE_FIELDS = ("posted_at", "posted_date", "published_at", "publishedAt", "updated_at", "updatedAt", "created_at", "createdAt", "date")
 SENIOR_QUERIES = ("director of", "head of ", "vp ", "vp of", "vice president", "chief ", "group product manager")
+YEARS_FIELDS = (
+    "description", "title", "requirements", "qualifications", "basic_qualifications", "preferred_qualifications", "responsibilities", "summary",
+    "technologies", "team",
+)

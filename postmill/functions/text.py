@@ -232,10 +232,12 @@ def row_key(url: Column, company: Column, title: Column, location: Column) -> Co
     return F.coalesce(F.nullif(text(url), F.lit("")), F.concat_ws("::", text(company), text(title), text(location)))
 
 
-def posting_text(most: int = 1500) -> Column:
-    """The lines that stand for a posting: one "name: value" a line."""
-    part = lambda name: F.when(text(F.col(name)) != "", F.concat(F.lit(f"{name}: "), F.col(name)))
-    return F.concat_ws("\n", part("title"), part("company"), part("location"), F.when(text(F.col("description")) != "", F.concat(F.lit("description: "), F.substring("description", 1, most))))
+def posting_text(most: int | None = 1500) -> Column:
+    """The lines that stand for a posting: one "name: value" a line; ``most`` characters of the description, or all (None)."""
+    part = lambda name, value: F.when(text(F.col(name)) != "", F.concat(F.lit(f"{name}: "), value))
+    body = F.col("description") if most is None else F.substring("description", 1, most)
+    lines = [part(name, body if name == "description" else F.col(name)) for name in ("title", "company", "location", "description", "seniority", "remote")]
+    return F.concat_ws("\n", *lines, F.when(F.size("technologies") > 0, F.concat(F.lit("technologies: "), F.array_join("technologies", ", "))))
 
 
 def archetype_of_title(title: Column) -> Column:

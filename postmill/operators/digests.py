@@ -54,6 +54,17 @@ def matched_work_model(matched: DataFrame) -> DataFrame:
     return counts(matched, F.when(mode.isin(*K.WORK_MODES), mode).otherwise("unknown").alias("work_model"))
 
 
+def matched_summary(matched: DataFrame, skills: int = 12, companies: int = 10) -> DataFrame:
+    """(part, name, n) of matched postings: how many there are, their skills, work models and the companies of most of them."""
+    total = matched.agg(F.lit("total").alias("part"), F.lit("matched").alias("name"), F.count(F.lit(1)).alias("n"))
+    name = F.coalesce(F.nullif("company", F.lit("")), F.lit("Unknown"))
+    company = counts(matched, name.alias("company")).orderBy(F.desc("n"), F.asc("company")).limit(companies)
+    parts = [("skill", matched_skills(matched, skills), "skill"), ("work model", matched_work_model(matched), "work_model"), ("company", company, "company")]
+    for part, rows, column in parts:
+        total = total.unionByName(rows.select(F.lit(part).alias("part"), F.col(column).alias("name"), "n"))
+    return total
+
+
 def latest_batch(history: DataFrame, n: int = 5) -> DataFrame:
     """Of the newest batch of (batch_id, company, source): the n companies of most postings, and how many came in at all."""
     newest = F.broadcast(history.agg(F.max("batch_id").alias("newest")))  # one row

@@ -116,7 +116,9 @@ def experience_reason(prefs: Preferences) -> Column:
 
 
 def with_levels(df: DataFrame) -> DataFrame:
-    parts = F.concat_ws(" ", F.nullif(F.col("description"), F.lit("")), F.nullif(F.col("title"), F.lit("")), F.array_join("technologies", " "))
+    """Adds job_level and required_years, which are looked for in all of ``YEARS_FIELDS`` that the rows have, texts or lists."""
+    some = lambda c: F.array_join(c, " ") if dict(df.dtypes)[c].startswith("array") else F.nullif(F.col(c).cast("string"), F.lit(""))
+    parts = F.concat_ws(" ", *[some(c) for c in K.YEARS_FIELDS if c in df.columns])
     return df.withColumns({"job_level": X.job_level(F.col("title"), F.col("seniority")), "required_years": X.required_years(parts)})
 
 

@@ -75,9 +75,12 @@ def places(spark, sf):
     return postings(spark, sf).select("job_id", X.work_mode(c("remote"), c("location")).alias("work_mode"), X.detect_country(c("location"), c("remote")).alias("country"), X.is_country_only(c("location")).alias("country_only"))
 
 
-@query(f"SELECT job_id, {TITLE_LEVEL_SQL} AS title_level, {JOB_LEVEL_SQL} AS job_level, {YEARS_SQL} AS required_years FROM postings")
+@query(f"SELECT job_id, {TITLE_LEVEL_SQL} AS title_level, {JOB_LEVEL_SQL} AS job_level, CASE job_id % 6 WHEN 0 THEN 25 WHEN 1 THEN greatest({YEARS_SQL}, 12) ELSE {YEARS_SQL} END AS required_years FROM postings")
 def levels_and_years(spark, sf):
-    p = O.with_levels(postings(spark, sf))
+    """Some postings name years among their requirements or in a list of qualifications, too."""
+    k = F.col("job_id") % 6
+    more = {"requirements": F.when(k == 0, "needs 25+ years of product experience"), "qualifications": F.when(k == 1, F.array(F.lit("degree"), F.lit("12+ years of product experience")))}
+    p = O.with_levels(postings(spark, sf).withColumns(more))
     return p.select("job_id", X.title_level(F.col("title")).alias("title_level"), "job_level", "required_years")
 
 
@@ -104,9 +107,9 @@ def salary_text():
     return F.concat(F.lit("$"), F.col("salary_min").cast("string"), F.lit("-$"), F.col("salary_max").cast("string"))
 
 
-@query(f"SELECT job_id, substring(sha1('title: ' || title || CASE WHEN company <> '' THEN chr(10) || 'company: ' || company ELSE '' END || chr(10) || 'location: ' || location || chr(10) || 'description: ' || substring(description, 1, 1500)), 1, 16) AS text_key FROM postings")
+@query(f"SELECT job_id, substring(sha1('title: ' || title || CASE WHEN company <> '' THEN chr(10) || 'company: ' || company ELSE '' END || chr(10) || 'location: ' || location || chr(10) || 'description: ' || substring(description, 1, 300) || CASE WHEN seniority IS NOT NULL THEN chr(10) || 'seniority: ' || seniority ELSE '' END || chr(10) || 'remote: ' || remote || CASE WHEN technologies IS NOT NULL THEN chr(10) || 'technologies: python, kubernetes, aws' ELSE '' END), 1, 16) AS text_key FROM postings")
 def text_keys(spark, sf):
-    return postings(spark, sf).select("job_id", T.text_key(T.posting_text()).alias("text_key"))
+    return postings(spark, sf).select("job_id", T.text_key(T.posting_text(300)).alias("text_key"))
 
 
 _ARCHETYPE_HIT = f"CASE WHEN {sql_any(_TITLE, K.NON_PM_PRODUCT_TITLES)} THEN 0 ELSE 1 END"

@@ -128,6 +128,15 @@ def matched_skills(spark, sf):
     return D.matched_skills(postings(spark, sf).filter("job_id % 3 = 1"))
 
 
+_MATCHED_SKILLS = "w AS (SELECT unnest(CASE WHEN technologies IS NOT NULL THEN technologies ELSE list_filter(regexp_extract_all(lower(description), '\\b[a-z][a-z+\\-.]{2,}\\b'), lambda t: t NOT IN " + sql_in(K.NON_SKILL_WORDS) + ") END) AS skill FROM postings WHERE job_id % 3 = 1) SELECT skill, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, skill LIMIT 12"
+
+
+@query("+" + _MATCHED_SKILLS.replace(") SELECT skill, count(*) AS n FROM w", "), s AS (SELECT skill, count(*) AS n FROM w") + """), m AS (SELECT * FROM postings WHERE job_id % 3 = 1), c AS (SELECT CASE WHEN company = '' THEN 'Unknown' ELSE company END AS name, count(*) AS n FROM m GROUP BY 1 ORDER BY n DESC, name LIMIT 10)
+SELECT 'total' AS part, 'matched' AS name, count(*) AS n FROM m UNION ALL SELECT 'skill', skill, n FROM s UNION ALL SELECT 'company', name, n FROM c UNION ALL SELECT 'work model', CASE WHEN remote IN ('remote', 'hybrid', 'onsite') THEN remote ELSE 'unknown' END, count(*) FROM m GROUP BY 2""")
+def matched_summary(spark, sf):
+    return D.matched_summary(postings(spark, sf).filter("job_id % 3 = 1"))
+
+
 @query("SELECT CASE WHEN remote IN ('remote', 'hybrid', 'onsite') THEN remote ELSE 'unknown' END AS work_model, count(*) AS n FROM postings WHERE job_id % 3 = 1 GROUP BY 1")
 def matched_work_model(spark, sf):
     return D.matched_work_model(postings(spark, sf).filter("job_id % 3 = 1"))
