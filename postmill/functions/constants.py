@@ -317,3 +317,4 @@ YEARS_FIELDS = (
     "description", "title", "requirements", "qualifications", "basic_qualifications", "preferred_qualifications", "responsibilities", "summary",
     "technologies", "team",
 )
+FREE_MAIL = ("gmail", "yahoo", "hotmail", "outlook")

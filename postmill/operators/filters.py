@@ -169,7 +169,7 @@ def huge_amounts(salary: Column) -> Column:
 
 
 def personal_email(desc: Column) -> Column:
-    return F.contains(desc, F.lit("@")) & desc.rlike(r"[a-z0-9._%+-]@(?:gmail|yahoo|hotmail|outlook)\.(?:com|net|org)")
+    return F.contains(desc, F.lit("@")) & desc.rlike(rf"[a-z0-9._%+-]@(?:{'|'.join(K.FREE_MAIL)})\.(?:com|net|org)")
 
 
 def _listed(text: Column, words, label: str) -> Column:
