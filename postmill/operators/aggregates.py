@@ -257,8 +257,9 @@ def trimmed_latency(df: DataFrame, column: str, factor: float = 2.5) -> DataFram
 
 
 def query_words(query: str) -> list[str]:
-    """Words of a query that start with a letter and have over two characters, repeats included."""
-    return [w.lower() for w in re.findall(r"[A-Za-z][A-Za-z0-9+\-.]{1,}", query) if len(w) > 2]
+    """Words of a query that start with a letter and have over two characters, repeats included; dots that end a word are no part of it."""
+    words = (w.rstrip(".").lower() for w in re.findall(r"[A-Za-z][A-Za-z0-9+\-.]{1,}", query))
+    return [w for w in words if len(w) > 2]
 
 
 def keyword_search(df: DataFrame, query: str, text: str | Column, n: int, tie: list[str], every: bool = False) -> DataFrame:

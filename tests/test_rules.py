@@ -336,3 +336,9 @@ def test_cycle_counter(spark, tmp_path):
     finally:
         spark.streams.removeListener(counter)
     assert sum(counter.rows.values()) == 25
+
+
+def test_query_words_end_without_dots(spark):
+    assert A.query_words("Licht... the 7 of. Node.js, C++ co-op.") == ["licht", "the", "node.js", "c++", "co-op"]
+    df = spark.createDataFrame([(1, "the light"), (2, "das Licht"), (3, "the Licht")], "id int, text string")
+    assert [(r.id, r.hits) for r in A.keyword_search(df, "licht... the", "text", 2, ["id"]).collect()] == [(3, 2), (1, 1)]
