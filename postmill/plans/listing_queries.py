@@ -122,10 +122,10 @@ def digest(spark, sf):
     return D.digest_tables(postings(spark, sf), reports(spark, sf))
 
 
-@query("+w AS (SELECT unnest(CASE WHEN technologies IS NOT NULL THEN technologies ELSE list_filter(regexp_extract_all(lower(description), '\\b[a-z][a-z+\\-.]{2,}\\b'), lambda t: t NOT IN " + sql_in(K.NON_SKILL_WORDS) + ") END) AS skill FROM postings WHERE job_id % 3 = 1) SELECT skill, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, skill LIMIT 12")
+@query("+w AS (SELECT unnest(CASE WHEN technologies IS NOT NULL THEN technologies ELSE list_filter(regexp_extract_all(lower(description), '\\b[a-z][a-z+\\-.]{2,}\\b'), lambda t: t NOT IN " + sql_in(K.NON_SKILL_WORDS) + ") END) AS skill FROM postings) SELECT skill, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, skill LIMIT 12")
 def matched_skills(spark, sf):
-    """One posting in three is a match."""
-    return D.matched_skills(postings(spark, sf).filter("job_id % 3 = 1"))
+    """All postings are taken as matched."""
+    return D.matched_skills(postings(spark, sf))
 
 
 _MATCHED_SKILLS = "w AS (SELECT unnest(CASE WHEN technologies IS NOT NULL THEN technologies ELSE list_filter(regexp_extract_all(lower(description), '\\b[a-z][a-z+\\-.]{2,}\\b'), lambda t: t NOT IN " + sql_in(K.NON_SKILL_WORDS) + ") END) AS skill FROM postings WHERE job_id % 3 = 1) SELECT skill, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, skill LIMIT 12"

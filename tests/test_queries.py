@@ -21,3 +21,8 @@ def test_entry_imports_without_session():
 
     assert set(registry.QUERIES) <= set(entry.queries())
     assert set(registry.ORACLE_SQL) <= set(entry.oracle_sql())
+
+
+def test_skills_are_counted_in_all_postings(spark, sf):
+    found = {r.skill: r.n for r in registry.QUERIES["matched_skills"](spark, sf).collect()}
+    assert found["python"] == spark.read.parquet(f"{sf}/orders.parquet").filter("o_orderkey % 7 = 0").count()
