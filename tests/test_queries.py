@@ -26,3 +26,8 @@ def test_entry_imports_without_session():
 def test_skills_are_counted_in_all_postings(spark, sf):
     found = {r.skill: r.n for r in registry.QUERIES["matched_skills"](spark, sf).collect()}
     assert found["python"] == spark.read.parquet(f"{sf}/orders.parquet").filter("o_orderkey % 7 = 0").count()
+
+
+def test_work_models_are_counted_in_all_postings(spark, sf):
+    found = registry.QUERIES["matched_work_model"](spark, sf).collect()
+    assert sum(r.n for r in found) == spark.read.parquet(f"{sf}/orders.parquet").count()
