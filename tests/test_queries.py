@@ -25,7 +25,8 @@ def test_entry_imports_without_session():
 
 def test_skills_are_counted_in_all_postings(spark, sf):
     found = {r.skill: r.n for r in registry.QUERIES["matched_skills"](spark, sf).collect()}
-    assert found["python"] == spark.read.parquet(f"{sf}/orders.parquet").filter("o_orderkey % 7 = 0").count()
+    plain = spark.read.parquet(f"{sf}/orders.parquet").filter("o_orderkey % 7 <> 0")  # those whose words count, with a "roadmap" for each of the remainder
+    assert found["roadmap"] == plain.selectExpr("sum(o_orderkey % 40)").first()[0]
 
 
 def test_work_models_are_counted_in_all_postings(spark, sf):
