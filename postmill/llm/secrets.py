@@ -9,8 +9,9 @@ by rule as ``made`` says; ordinary identifiers are the words of letters of all d
 camel case, and numbers, dates and versions made by rule: what holds no letter is an identifier and no secret. Their character pairs are counted by one aggregation each; the counts (of at most 70 x 70 pairs) reach the
 driver and become an array that scores tokens inside Spark.
 
-The threshold is fitted on labelled strings that the models have not counted: other strings made by rule, of several
-alphabets, and identifiers joined from words of at most about ``held_docs`` documents, which are labelled ordinary.
+The threshold is fitted on labelled strings: other strings made by rule, of several alphabets, which the models have not counted,
+and identifiers joined from the words of all documents, which are labelled ordinary: each distinct word stands in as many of
+them as it occurs, ``SLOTS`` at most, beside words drawn by hash, and all together they weigh its occurrences.
 It lies a third of the way from the ratio that 0.999 of the identifiers stay under to the one that 0.98 of the random
 strings reach, but never below the former; without identifiers it is ``LEAST_PER_CHAR``.
 
@@ -34,7 +35,7 @@ MIN_TOKEN = 20
 MIN_DISTINCT = 8
 LEAST_PER_CHAR = 0.5
 MADE = 2_000
-HELD_DOCS = 200
+SLOTS = 2
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _SIZE = len(ALPHABET) + 1
 
@@ -149,16 +150,24 @@ def log_ratio(token: Column, table: list[float]) -> Column:
     return F.aggregate(_pairs(_codes(token)), F.lit(0.0), lambda t, p: t + F.get(values, p["a"] * _SIZE + p["b"]))
 
 
-def ordinary_strings(docs: DataFrame, held_docs: int = HELD_DOCS, text: str = "text") -> DataFrame:
-    """Column ``s``: identifiers of three words each, joined in several ways, from about ``held_docs`` documents."""
-    n = max(1, docs.count())
-    some = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), F.monotonically_increasing_id().alias("row"))
-    some = some.filter(F.pmod(F.xxhash64("t", "row"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, held_docs / n))))
+def ordinary_strings(docs: DataFrame, text: str = "text", slots: int = SLOTS) -> DataFrame:
+    """Columns ``s`` and ``weight``: identifiers of four words each, joined in several ways, from the words of all documents.
+
+    Words are counted first. Words that are drawn together, about eight, give identifiers of four, the last filled up from the first;
+    an identifier weighs what its own words occur.
+    """
     plain = r"(?<![A-Za-z0-9])[A-Z]?[a-z]{2,}(?![A-Za-z0-9])"  # whole words, no pieces of random strings
-    words = some.select(F.regexp_extract_all("t", F.lit(plain), F.lit(0)).alias("w")).filter(F.size("w") >= 4)
-    runs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 3, F.lit(4)), lambda i: F.slice("w", i, F.lit(4)))).alias("w"))
+    words = docs.select(F.explode(F.regexp_extract_all(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(plain), F.lit(0))).alias("w"))
+    counted = cut_lineage(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.least("n", F.lit(slots)).cast("int")))
+    total = counted.agg(F.sum("k")).first()[0] or 0
+    drawn = counted.select("w", (F.col("n") / F.col("k")).alias("n"), F.explode(F.sequence(F.lit(1), F.col("k"))).alias("slot"))
+    drawn = drawn.withColumn("h", F.xxhash64("w", "slot"))
+    groups = drawn.groupBy(F.pmod("h", F.lit(max(1, total // 8))).alias("g")).agg(F.array_sort(F.collect_list(F.struct("h", "w", "n"))).alias("own"))
+    around = F.flatten(F.array_repeat("own", 4))
+    runs = groups.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("own"), F.lit(4)), lambda i: F.struct(
+        F.slice(around["w"], i, F.lit(4)).alias("w"), F.aggregate(F.slice(F.col("own.n"), i, F.lit(4)), F.lit(0.0), lambda t, x: t + x).alias("weight")))).alias("r")).select("r.*")
     camel = F.array_join(F.transform("w", lambda x: F.initcap(x)), "")
-    return runs.select(F.explode(F.array(*(F.array_join("w", c) for c in ("_", "-", "/", "")), camel)).alias("s")).filter(F.char_length("s") >= MIN_TOKEN)
+    return runs.select(F.explode(F.array(*(F.array_join("w", c) for c in ("_", "-", "/", "")), camel)).alias("s"), "weight").filter(F.char_length("s") >= MIN_TOKEN)
 
 
 def per_char(token: Column, table: list[float]) -> Column:
@@ -166,16 +175,22 @@ def per_char(token: Column, table: list[float]) -> Column:
 
 
 def fit_threshold(random: DataFrame, ordinary: DataFrame, table: list[float]) -> float:
-    """The ratio a character that tells column ``s`` of the two apart; see the module's text."""
+    """The ratio a character that tells column ``s`` of the two apart, ordinary ones by their ``weight``; see the module's text."""
     def quantile(df: DataFrame, at: float) -> float | None:
-        return df.agg(F.percentile_approx(per_char(F.col("s"), table), F.lit(at), F.lit(10_000))).first()[0]
-
-    low, high = quantile(ordinary, 0.999), quantile(random, 0.02)
+        """By the weights of the ratios, of which those of 3 digits, some thousand, reach the driver."""
+        rows = sorted(df.groupBy(F.round(per_char(F.col("s"), table), 3).alias("x")).agg(F.sum("weight").alias("w")).collect())
+        left = at * sum(r["w"] for r in rows)
+        for r in rows:
+            left -= r["w"]
+            if left <= 0:
+                return r["x"]
+        return None
+
+    low, high = quantile(ordinary, 0.999), quantile(random.withColumn("weight", F.lit(1.0)), 0.02)
     return LEAST_PER_CHAR if low is None or high is None else max(low, low + (high - low) / 3)
 
 
-def find_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: float | None = None, made: int = MADE,
-                 held_docs: int = HELD_DOCS) -> DataFrame:
+def find_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: float | None = None, made: int = MADE) -> DataFrame:
     """doc_id, base and added: arrays of spans (kind, start, end, match); ``added`` are the tokens that score as random,
     with ``least`` or more a character (None: fitted)."""
     cands = cut_lineage(candidates(docs, doc_id, text))
@@ -185,7 +200,7 @@ def find_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     if least is None:
         letters = F.translate("s", "+/=", "xyz")
         held = made_strings(docs.sparkSession, made, made).select(F.explode(F.array("s", F.substring(letters, 3, 24))).alias("s"))
-        least = fit_threshold(held, ordinary_strings(docs, held_docs, text), table)
+        least = fit_threshold(held, ordinary_strings(docs, text), table)
     added = F.filter("tokens", lambda s: per_char(s["match"], table) >= least)
     return cands.select("doc_id", "base", added.alias("added"))
 

@@ -8,6 +8,7 @@ import subprocess
 import sys
 import time
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -747,3 +748,10 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024, len
 """
     peak, kept = map(int, subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))}).stdout.split())
     assert peak < 400 and kept < 100
+
+
+def test_threshold_weighs_the_words_of_all_documents(spark):
+    words = ["considerable", "quantities", "harbour", "Lanterns", "moderately", "weather", "instrument"]
+    d = spark.createDataFrame([(i, " ".join(words[(i + k) % 7] for k in range(3)) + (" xylophonist" if i == 700 else "")) for i in range(1000)], "doc_id long, text string")
+    rows = secrets.ordinary_strings(d).collect()
+    assert sum(r.weight for r in rows if "_" in r.s) == 3001 and any("xylophonist" in r.s for r in rows)
