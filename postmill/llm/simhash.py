@@ -12,13 +12,15 @@ it along edges within the radius of their own distance. Two ways to deal fingerp
 * ``one_of_each`` (five-word shingles, Jaccard similarity of 0.8 or more): 0.8 is about 10 of 64 bits, and block choices for
   such a radius leave no small buckets. Distinct texts are dealt by min-wise keys of their shingles, ``bands`` keys of ``rows``
   minima each, which two texts of similarity 0.8 share at least one of in 0.987 of cases; trees are searched with radius 14
-  (0.96 of pairs of similarity 0.8 to 0.85, all but a few above), nearest links first, and the links found are checked by
-  the exact Jaccard similarity of whole shingle sets. Measured recall is in the README.
+  (0.96 of pairs of similarity 0.8 to 0.85, all but a few above), and links are checked by the exact Jaccard similarity of
+  whole shingle sets: first a spanning forest, nearest links first, which joins most groups; then every pair found of texts that are
+  still apart, so a link that fails takes no other's place. Of these pairs only those are checked whose shingles, counted in ``BINS``
+  bins of their hashes, can reach the similarity: an upper bound, so none is lost. Measured recall is in the README.
 
 The shard trees are sent to tasks by shuffling (bucket, shard), not by broadcast: together they are as large as the
 set of fingerprints, which has no bound. A bucket with several shards sends each pair of shards to a task group by
-itself, so no group exceeds two shards. From each group only a spanning forest of the links it found is kept: no link is
-lost for the components, and a group of n near copies leaves n - 1 rows.
+itself, so no group exceeds two shards. Where links need no further check, only a spanning forest of those that a group found is
+kept: no link is lost for the components, and a group of n near copies leaves n - 1 rows.
 
 Nulls: a null text has no words; its fingerprint is zero and links like any other; all texts without words are one group.
 A null id is never the smallest of its component unless all are null. Ids may repeat, with equal or other texts. Equal rows
@@ -55,6 +57,7 @@ BUCKET_TARGET = 64
 HOT = 10_000
 SALTS = 16
 FRONTIER = 1 << 20
+BINS, FULL = 64, (1 << 16) - 1
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _DRAW = np.random.default_rng(20)
@@ -125,32 +128,40 @@ def _minima(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
-def signature(text: bytes, size: int = TEXT_SHINGLE) -> tuple[int, int, int, list[int]]:
-    """Two halves of a 128-bit digest of the word line, its SimHash, and its min-wise keys (none without words); signed."""
+def distinct_hashes(line: bytes, size: int) -> np.ndarray:
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(line, size)]))
+
+
+def signature(text: bytes, size: int = TEXT_SHINGLE) -> tuple[int, int, int, list[int], list[int]]:
+    """Two halves of a 128-bit digest of the word line, its SimHash, its min-wise keys (none without words), all signed, and how
+    many distinct shingles have each of ``BINS`` remainders, four counts to a long."""
     line = word_line(text)
     n, ones, least = 0, np.zeros(64, np.int64), _minima(np.empty(0, np.uint64))
-    for h in shingle_hashes(line, size):
+    parts = list(shingle_hashes(line, size))
+    distinct = np.unique(np.concatenate([np.empty(0, np.uint64), *parts]))
+    bins = np.minimum(np.bincount((distinct % np.uint64(BINS)).astype(np.int64), minlength=BINS), FULL).astype(np.uint16)
+    for h in parts:
         n += len(h)
         ones += _ones(h)
         np.minimum(least, _minima(h), out=least)
     bits = np.packbits(2 * ones > n, bitorder="little").view(np.int64)
     keys = np.array([xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
     digest = np.frombuffer(xxhash.xxh3_128_digest(line), np.int64)
-    return int(digest[0]), int(digest[1]), int(bits[0]), keys.view(np.int64).tolist() if n else []
+    return int(digest[0]), int(digest[1]), int(bits[0]), keys.view(np.int64).tolist() if n else [], bins.view(np.int64).tolist()
 
 
 def signatures(docs: DataFrame, shingle: int = TEXT_SHINGLE) -> DataFrame:
-    """(doc_id, raw, hi, lo, fp, keys) of every row of (doc_id, text); raw is a hash of the text as it stands."""
+    """(doc_id, raw, hi, lo, fp, keys, bins) of every row of (doc_id, text); raw is a hash of the text as it stands."""
     base = docs.select("doc_id", F.xxhash64("text").alias("raw"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
         for batch in sliced(batches, "text", BATCH_BYTES):
-            hi, lo, fp, keys = zip(*(signature(t, shingle) for t in text_bytes(batch, "text")), strict=True)
-            columns = [pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("raw"), *columns], ["doc_id", "raw", "hi", "lo", "fp", "keys"])
+            hi, lo, fp, keys, bins = zip(*(signature(t, shingle) for t in text_bytes(batch, "text")), strict=True)
+            columns = [pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(fp, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (keys, bins))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("raw"), *columns], ["doc_id", "raw", "hi", "lo", "fp", "keys", "bins"])
 
     fields = [T.StructField(c, T.LongType()) for c in ("raw", "hi", "lo", "fp")]
-    return base.mapInArrow(run, T.StructType([base.schema["doc_id"], *fields, T.StructField("keys", T.ArrayType(T.LongType()))]))
+    return base.mapInArrow(run, T.StructType([base.schema["doc_id"], *fields, *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("keys", "bins"))]))
 
 
 class Forest:
@@ -276,70 +287,111 @@ def bucket_counts(dealt: DataFrame, keys: list[str]) -> DataFrame:
     return cut_lineage(dealt.groupBy(*keys).count().filter(F.col("count") > 1))
 
 
-def bucket_links(dealt: DataFrame, counts: DataFrame, keys: list[str], levels: tuple[int, ...], shard: int = SHARD) -> DataFrame:
+def bucket_links(dealt: DataFrame, counts: DataFrame, keys: list[str], levels: tuple[int, ...], shard: int = SHARD, every: float | None = None) -> DataFrame:
     """Links (a, b) between nodes of one bucket that connect all whose fp are within the last of ``levels`` bits.
 
     ``dealt`` has the bucket's keys, fp and node; only the buckets of ``counts`` are searched. Links within the first
-    level are taken before those of the next, so a far link stands only where no nearer ones connect its ends.
+    level are taken before those of the next, so a far link stands only where no nearer ones connect its ends. With
+    ``every``, a similarity, the result is all pairs within the last level that differ in column ``joined`` and can be that similar
+    by column ``bins``.
     """
-    key = F.xxhash64(*keys)
+    key, own = F.xxhash64(*keys), ["fp", "node"] if every is None else ["fp", "node", "joined", "bins"]
     small = counts.filter(F.col("count") <= shard).select(*keys)
     large = counts.filter(F.col("count") > shard)
     zero = [F.lit(0).alias(c) for c in ("i", "j", "side")]
-    groups = dealt.join(small, keys, "left_semi").select(key.alias("bucket"), *zero, "fp", "node")
+    groups = dealt.join(small, keys, "left_semi").select(key.alias("bucket"), *zero, *own)
     if not large.isEmpty():
         # Each fingerprint of a large bucket goes to the pairs of shards that hold its own.
         hot = dealt.join(large, keys).withColumn("k", F.ceil(F.col("count") / F.lit(shard / 2)).cast("int"))
         hot = hot.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("k")).cast("int"))
-        hot = hot.select(key.alias("bucket"), "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"), "fp", "node")
-        groups = groups.unionAll(hot.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp", "node"))
+        hot = hot.select(key.alias("bucket"), "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"), *own)
+        groups = groups.unionAll(hot.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), *own))
     parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt_out = groups.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "fp", "node")
-    return dealt_out.mapInArrow(_link_groups(levels), "a long, b long").distinct()
+    return dealt_out.mapInArrow(_link_groups(levels, every), "a long, b long").distinct()
+
 
+def _link_groups(levels: tuple[int, ...], every: float | None):
+    columns = ["bucket", "i", "j", "side", "fp", "node", *([] if every is None else ["joined"])]
+
+    def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        return _linked(rows, levels) if every is None else _open_pairs(rows, levels[-1], every)
 
-def _link_groups(levels: tuple[int, ...]):
     def run(batches):
         held: list[np.ndarray] = []  # columns of the group that the last batch may not have ended
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("bucket", "i", "j", "side", "fp", "node")])
+            rows = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in columns])
+            if every is not None:
+                rows = np.concatenate([rows, np.asarray(batch.column("bins").flatten()).reshape(batch.num_rows, -1).T])
             rows = np.concatenate([*held, rows], axis=1)
             new = (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)
             cut = int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0
             held = [rows[:, cut:]]
             if cut:
-                yield from _linked(rows[:, :cut], levels)
+                yield from found(rows[:, :cut])
         if held:
-            yield from _linked(held[0], levels)
+            yield from found(held[0])
 
     return run
 
 
-def _linked(rows: np.ndarray, levels: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    """The spanning links of whole groups, which stand one after another."""
+def _searches(rows: np.ndarray) -> tuple[Forest, list[tuple[np.ndarray, np.ndarray]]]:
+    """Of whole groups, which stand one after another, the trees and what to search: rows and the root that each starts at. First
+    every row against its own shard's tree, then the second shard's against the first's."""
     fps = np.ascontiguousarray(rows[4]).view(np.uint64)
-    node = rows[5]
     group = np.concatenate(([0], np.cumsum((rows[:3, 1:] != rows[:3, :-1]).any(axis=0))))
     tree = group * 2 + rows[3]
     forest = Forest(fps, tree)
     own = np.searchsorted(tree[forest.roots], tree)
-    joined = Spanning(len(fps))
-    sets = [(np.arange(len(fps)), forest.roots[own])]  # every fingerprint against its own shard's tree
-    two = np.flatnonzero(rows[3] == 1)  # and the second shard's against the first's
+    sets = [(np.arange(len(fps)), forest.roots[own])]
+    two = np.flatnonzero(rows[3] == 1)
     if len(two):
         other = np.searchsorted(tree[forest.roots], tree[two] - 1)
         fits = tree[forest.roots[np.minimum(other, len(forest.roots) - 1)]] == tree[two] - 1
         sets.append((two[fits], forest.roots[other[fits]]))
+    return forest, sets
+
+
+def _linked(rows: np.ndarray, levels: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """The spanning links of whole groups."""
+    node, (forest, sets) = rows[5], _searches(rows)
+    joined = Spanning(len(node))
     for radius in levels:
         for q, roots in sets:
-            for a, b in forest.search(fps[q], roots, radius):
+            for a, b in forest.search(forest.fps[q], roots, radius):
                 a, b = joined.add(q[a], b)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
 
+def _open_pairs(rows: np.ndarray, radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Every pair of whole groups within the radius that is not joined and can be that similar; pairs of one shard come from its own
+    group alone."""
+    node, joined, (forest, sets) = rows[5], rows[6], _searches(rows)
+    bins = np.ascontiguousarray(rows[7:].T).view(np.uint16)
+    alone = rows[1] == rows[2]
+    sets[0] = tuple(x[alone] for x in sets[0])
+    for q, roots in sets:
+        for a, b in forest.search(forest.fps[q], roots, radius):
+            a = q[a]
+            apart = (joined[a] != joined[b]) & ((rows[3, a] != rows[3, b]) | (node[a] < node[b]))
+            a, b = a[apart], b[apart]
+            for k in range(0, len(a), FRONTIER >> 4):
+                x, y = a[k : k + (FRONTIER >> 4)], b[k : k + (FRONTIER >> 4)]
+                able = can_be(bins[x], bins[y], similarity)
+                x, y = node[x[able]], node[y[able]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+
+def can_be(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets with these counts in bins, a row each, can have that Jaccard similarity; a full bin tells nothing."""
+    full = ((x == FULL) | (y == FULL)).any(axis=1)
+    common = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+    return full | (common >= similarity * (x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64) - common))
+
+
 def join_groups(rows: DataFrame, table: DataFrame, keys: list[str], hot: int = HOT) -> DataFrame:
     """``rows`` joined to ``table``, which has a row a key and the key's number of rows, n.
 
@@ -384,11 +436,18 @@ def text_components(docs: DataFrame, *, shingle: int = TEXT_SHINGLE, similarity:
     that stand for the group (the smallest id; of several texts with that id, one)."""
     rows = cut_lineage(signatures(docs, shingle))
     who = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), F.col("raw"))
-    texts = rows.groupBy("hi", "lo").agg(F.min(who).alias("low"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    texts = rows.groupBy("hi", "lo").agg(F.min(who).alias("low"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("bins").alias("bins"))
     texts = cut_lineage(texts.withColumn("node", F.monotonically_increasing_id()))
     dealt = texts.select("fp", "node", F.explode("keys").alias("key"))
-    links = cut_lineage(bucket_links(dealt, bucket_counts(dealt, ["key"]), ["key"], (radius // 2, radius)))
-    links = alike(docs, texts, links, shingle, similarity)
+    counts, levels = bucket_counts(dealt, ["key"]), (radius // 2, radius)
+    links = cut_lineage(alike(docs, texts, cut_lineage(bucket_links(dealt, counts, ["key"], levels)), shingle, similarity))
+    joined = texts.select("node", "fp", "keys").join(components(links).withColumnRenamed("root", "joined"), "node", "left")
+    still = joined.select("fp", "node", F.coalesce("joined", "node").alias("joined"), F.explode("keys").alias("key"))
+    apart = still.join(counts.select("key"), "key").groupBy("key").agg(F.min("joined").alias("x"), F.max("joined").alias("y")).filter("x <> y")
+    still = cut_lineage(still.join(apart.select("key"), "key", "left_semi")).join(texts.select("node", "bins"), "node")
+    pairs = cut_lineage(bucket_links(still, counts, ["key"], levels, every=similarity))
+    if not pairs.isEmpty():
+        links = links.unionAll(alike(docs, texts, pairs, shingle, similarity))
     table = with_least(texts.select("node", "hi", "lo", "n", "low"), components(links), "node", "low")
     out = join_groups(rows.select("doc_id", "raw", "hi", "lo"), cut_lineage(table.select("hi", "lo", "n", "root", "component_low")), ["hi", "lo"])
     return out.select("doc_id", "raw", "root", (F.col("doc_id").eqNullSafe(F.col("component_low.doc_id")) & (F.col("raw") == F.col("component_low.raw"))).alias("stays"))
@@ -405,7 +464,7 @@ def alike(docs: DataFrame, texts: DataFrame, links: DataFrame, shingle: int, sim
         for batch in sliced(batches, "text", BATCH_BYTES):
             found = []
             for t in text_bytes(batch, "text"):
-                found.append(np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(word_line(t), shingle)])).view(np.int64))
+                found.append(distinct_hashes(word_line(t), shingle).view(np.int64))
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(ends, np.concatenate(found))], ["node", "shingles"])
 

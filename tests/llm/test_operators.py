@@ -755,3 +755,27 @@ def test_threshold_weighs_the_words_of_all_documents(spark):
     d = spark.createDataFrame([(i, " ".join(words[(i + k) % 7] for k in range(3)) + (" xylophonist" if i == 700 else "")) for i in range(1000)], "doc_id long, text string")
     rows = secrets.ordinary_strings(d).collect()
     assert sum(r.weight for r in rows if "_" in r.s) == 3001 and any("xylophonist" in r.s for r in rows)
+
+
+def test_every_pair_of_a_bucket_that_is_alike_is_joined(spark):
+    rnd = random.Random(8)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(120)]
+        for _ in range(25):
+            own = base.copy()
+            for at in rnd.sample(range(120), rnd.randrange(1, 4)):
+                own[at] = f"v{rnd.randrange(10**6)}"
+            texts.append(" ".join(own))
+    sets = [set(simhash.distinct_hashes(simhash.word_line(t.encode()), 5).tolist()) for t in texts]
+    known = [simhash.signature(t.encode()) for t in texts]
+    bins = np.array([k[4] for k in known]).view(np.uint16).reshape(len(texts), -1)
+    root = {r.doc_id: r.root for r in simhash.text_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    met = 0
+    for i, j in combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            assert simhash.can_be(bins[[i]], bins[[j]], 0.8)[0]
+            if set(known[i][3]) & set(known[j][3]) and bin((known[i][2] ^ known[j][2]) & (1 << 64) - 1).count("1") <= simhash.TEXT_RADIUS:
+                met += 1
+                assert root[i] == root[j]
+    assert met > 100
