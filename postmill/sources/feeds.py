@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -180,10 +182,22 @@ def ingest(sources: list[DataFrame]) -> DataFrame:
     return out
 
 
+PIECE_BYTES = 1 << 20
 DROPPED = {"script", "style", "noscript", "nav", "header", "footer", "aside", "form", "button", "iframe", "svg"}
 BLOCKS = {"p", "li", "div", "tr", "h1", "h2", "h3", "h4", "br"}
 
 
+def pieces(batches, column: str, most: int = PIECE_BYTES):
+    """Batches cut so that the texts of each piece take ``most`` bytes, or are one single row."""
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 class _Page(HTMLParser):
     """Visible text and links of one page."""
 
@@ -220,7 +234,7 @@ def read_pages(pages: DataFrame, *keep: str) -> DataFrame:
     names = ("page_id", *keep)
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, "html"):
             texts, links = [], []
             for html in b.column("html").to_pylist():
                 p = _Page()
@@ -298,7 +312,7 @@ def cards_from_html(pages: DataFrame, selectors: tuple[str, ...]) -> DataFrame:
     """
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, "html"):
             found = []
             for html in b.column("html").to_pylist():
                 cards = []
@@ -402,7 +416,7 @@ def trim_descriptions(pages: DataFrame, most: int = 800) -> DataFrame:
     """
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, "html"):
             texts = [None if h is None else _sections(h, most) for h in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(texts, pa.string())], ["page_id", "html"])
 

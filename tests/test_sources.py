@@ -95,3 +95,12 @@ def test_log_tail_and_snapshots(spark, tmp_path):
         os.utime(tmp_path / f"{i}.json", (1000 + i, 1000 + i))
     assert sorted(r.n for r in feeds.read_snapshots(spark, str(tmp_path), "n int").collect()) == [1, 3]
     assert [r.n for r in feeds.read_snapshots(spark, str(tmp_path), "n int", 1).collect()] == [3]
+
+
+def test_pages_are_parsed_in_pieces_of_bounded_bytes():
+    import pyarrow as pa
+
+    html = ["x" * 400, None, "y" * 500, "z" * 3000, "", "w" * 900, "v" * 101]
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(7)), "html": pa.array(html, pa.string())})
+    got = [p.column("page_id").to_pylist() for p in feeds.pieces([batch, batch.slice(0, 0)], "html", 1000)]
+    assert got == [[0, 1, 2], [3], [4, 5], [6]]
