@@ -11,6 +11,9 @@ from postmill.streaming import jobs
 from postmill.streaming import state as Y
 
 
+FILE_ROWS = 100_000
+
+
 def event_stream(spark, sf):
     """The events table as a stream: a file source over its folder."""
     schema = table(spark, sf, "events").schema
@@ -35,13 +38,17 @@ def stream_unseen_urls(spark, sf):
 
 
 def event_batches(spark, sf, n=3):
-    """The events table as a stream of ``n`` micro-batches in the order of time: a folder of as many files, written one by one."""
+    """The events table as a stream of ``n`` micro-batches in the order of time: a folder to which each adds its files, one for
+    ``FILE_ROWS`` rows, so that large batches are written and read by many tasks."""
     e, folder = table(spark, sf, "events"), jobs.shared_folder(spark)
-    first, last = e.agg(F.min("event_id"), F.max("event_id")).first()
+    first, last, rows = e.agg(F.min("event_id"), F.max("event_id"), F.count(F.lit(1))).first()
     part = F.floor((F.col("event_id") - first) * n / (last - first + 1))  # ids grow with time
+    counts = dict(e.groupBy(part.alias("part")).count().collect())  # ``n`` rows
+    files = max(1, min(-(-rows // (n * FILE_ROWS)), *(counts.get(k, 0) for k in range(n))))
     for k in range(n):
-        e.filter(part == k).coalesce(1).write.mode("append").parquet(f"{folder}/events")
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
+        own = e.filter(part == k)
+        (own.coalesce(1) if files == 1 else own.repartition(files)).write.mode("append").parquet(f"{folder}/events")
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/events")
 
 
 @query(FLAGS_SQL + "key, starred, dismissed, seen, n_up FROM w", REACTIONS_CTE)

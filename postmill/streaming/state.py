@@ -23,9 +23,10 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def in_order(rows) -> pd.DataFrame:
-    """All rows of a key of this batch, by time and then sequence."""
-    return pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
+def in_order(rows, *columns: str) -> list[tuple]:
+    """(ts, seq, ``columns``) of all rows of a key of this batch, by time and then sequence; plain tuples, as keys have few rows."""
+    found = [r for frame in rows for r in zip(*(frame[c].tolist() for c in ("ts", "seq", *columns)), strict=True)]
+    return sorted(found, key=lambda r: (True, 0, r[1]) if r[0] is pd.NaT else (False, r[0], r[1]))
 
 
 class Reactions(StatefulProcessor):
@@ -46,7 +47,7 @@ class Reactions(StatefulProcessor):
         known = self.flags.exists()
         before = tuple(self.flags.get()) if known else (False, False, False, 0, 0)
         starred, dismissed, seen, n_up, n = before
-        for action in in_order(rows)["action"]:
+        for _, _, action in in_order(rows, "action"):
             n += 1
             seen = seen or action != "clear"
             if action == "up":
@@ -94,11 +95,11 @@ class Applications(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         known = list(self.history.get()) if self.history.exists() else []
         seqs, new = {r[2] for r in known}, []
-        for r in in_order(rows).itertuples():
-            if r.seq in seqs or (r.state == "discovered") == bool(known or new):
+        for ts, seq, state in in_order(rows, "state"):
+            if seq in seqs or (state == "discovered") == bool(known or new):
                 continue
-            seqs.add(r.seq)
-            new.append((r.state, r.ts.to_pydatetime(), int(r.seq)))
+            seqs.add(seq)
+            new.append((state, ts.to_pydatetime(), int(seq)))
         if new:
             self.history.appendList(new)
             yield pd.DataFrame([(key[0], len(known) + k + 1, *step) for k, step in enumerate(new)], columns=["app_key", "step", "state", "ts", "seq"])
@@ -149,8 +150,8 @@ class Cooldowns(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         before = self.dead.get()[0] if self.dead.exists() else None
         failed = before
-        for r in in_order(rows).itertuples():
-            failed = int(r.ts_ms) if r.failed else None
+        for _, _, ts_ms, bad in in_order(rows, "ts_ms", "failed"):
+            failed = int(ts_ms) if bad else None
         if failed is not None and failed + self.length <= timerValues.getCurrentWatermarkInMs():
             failed = None
         if failed == before:
@@ -207,18 +208,18 @@ class StaleSignals(StatefulProcessor):
             yield pd.DataFrame({"company_key": [company], "delta": [weight - before], "at": [pd.Timestamp(at_ms, unit="ms")]})
 
     def handleInputRows(self, key, rows, timerValues):
-        own = in_order(rows)
-        last, at = own.iloc[-1], int(own["ts_ms"].iloc[-1])
-        first = min(self.added.get()[2] if self.added.exists() else at, int(own["ts_ms"].min()))
+        own = in_order(rows, "ts_ms", "state", "company_key")
+        _, _, at, state, company = own[-1]
+        first = min(self.added.get()[2] if self.added.exists() else at, min(r[2] for r in own))
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
-        weight = float(K.APPLICATION_WEIGHTS.get(last["state"], 0.0))
-        if last["state"] == "discovered":
+        weight = float(K.APPLICATION_WEIGHTS.get(state, 0.0))
+        if state == "discovered":
             if first + self.length <= timerValues.getCurrentWatermarkInMs():
                 weight = float(K.STALE_WEIGHT)
             else:
                 self.handle.registerTimer(first + self.length)
-        yield from self._say(last["company_key"], weight, first, at)
+        yield from self._say(company, weight, first, at)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         company, _, first = self.added.get()

@@ -132,3 +132,24 @@ def test_signals_equal_the_batch_form_at_the_watermark(spark, tmp_path):
     all_weeks = {(r.week, r.company_key): r.delta for r in changes.groupBy(week, "company_key").agg(F.sum("delta").alias("delta")).collect()}
     got = {(r.week, r.company_key): r.delta for r in closed.collect()}
     assert got and got == {k: v for k, v in all_weeks.items() if k[0] in {w for w, _ in got}}
+
+
+def test_large_batches_of_events_are_written_by_many_tasks(spark, sf, monkeypatch):
+    from postmill.plans import stream_queries
+
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", 100)
+    folders = []
+    monkeypatch.setattr(stream_queries.jobs, "shared_folder", lambda s, own=stream_queries.jobs.shared_folder: folders.append(own(s)) or folders[-1])
+    stream_queries.event_batches(spark, sf)
+    got = spark.read.parquet(f"{folders[0]}/events")
+    assert len(got.inputFiles()) == 12 and got.count() == 1000
+
+
+def test_rows_of_a_key_come_by_time_and_sequence():
+    import pandas as pd
+
+    from postmill.streaming.state import in_order
+
+    day = pd.Timestamp("2024-01-02")
+    frames = [pd.DataFrame({"ts": [day, pd.NaT], "seq": [2, 1], "x": ["b", "d"]}), pd.DataFrame({"ts": [day, pd.Timestamp("2024-01-03")], "seq": [1, 0], "x": ["a", "c"]})]
+    assert [r[2] for r in in_order(iter(frames), "x")] == ["a", "b", "c", "d"]
