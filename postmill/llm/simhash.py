@@ -14,8 +14,10 @@ it along edges within the radius of their own distance. Two ways to deal fingerp
   minima each, which two texts of similarity 0.8 share at least one of in 0.987 of cases; trees are searched with radius 14
   (0.96 of pairs of similarity 0.8 to 0.85, all but a few above), and links are checked by the exact Jaccard similarity of
   whole shingle sets: first a spanning forest, nearest links first, which joins most groups; then every pair found of texts that are
-  still apart, so a link that fails takes no other's place. Of these pairs only those are checked whose shingles, counted in ``BINS``
-  bins of their hashes, can reach the similarity: an upper bound, so none is lost. Measured recall is in the README.
+  still apart, so a link that fails takes no other's place. These pairs grow with the square of a bucket and leave no task: a first
+  search marks the texts that have a pair whose shingles, counted in ``BINS`` bins of their hashes, can reach the similarity (an upper
+  bound, so none is lost); a second has the shingle sets of the marked texts, checks pairs where it finds them and returns only
+  links that join two groups of its bucket. Measured recall is in the README.
 
 The shard trees are sent to tasks by shuffling (bucket, shard), not by broadcast: together they are as large as the
 set of fingerprints, which has no bound. A bucket with several shards sends each pair of shards to a task group by
@@ -58,6 +60,7 @@ HOT = 10_000
 SALTS = 16
 FRONTIER = 1 << 20
 BINS, FULL = 64, (1 << 16) - 1
+SETS = 1 << 21  # shingles of a group of texts and their sets
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _DRAW = np.random.default_rng(20)
@@ -287,54 +290,101 @@ def bucket_counts(dealt: DataFrame, keys: list[str]) -> DataFrame:
     return cut_lineage(dealt.groupBy(*keys).count().filter(F.col("count") > 1))
 
 
-def bucket_links(dealt: DataFrame, counts: DataFrame, keys: list[str], levels: tuple[int, ...], shard: int = SHARD, every: float | None = None) -> DataFrame:
-    """Links (a, b) between nodes of one bucket that connect all whose fp are within the last of ``levels`` bits.
+def bucket_groups(dealt: DataFrame, counts: DataFrame, keys: list[str], own: list[str], shard: int = SHARD) -> DataFrame:
+    """(bucket, i, j, side) and the columns ``own`` of the rows of ``counts``' buckets, dealt to the groups that are searched.
 
-    ``dealt`` has the bucket's keys, fp and node; only the buckets of ``counts`` are searched. Links within the first
-    level are taken before those of the next, so a far link stands only where no nearer ones connect its ends. With
-    ``every``, a similarity, the result is all pairs within the last level that differ in column ``joined`` and can be that similar
-    by column ``bins``.
+    ``counts`` has the number of shards of a bucket in column ``k``, or its rows in column ``count``.
     """
-    key, own = F.xxhash64(*keys), ["fp", "node"] if every is None else ["fp", "node", "joined", "bins"]
-    small = counts.filter(F.col("count") <= shard).select(*keys)
-    large = counts.filter(F.col("count") > shard)
+    key = F.xxhash64(*keys)
+    k = F.col("k") if "k" in counts.columns else F.when(F.col("count") <= shard, 1).otherwise(F.ceil(F.col("count") / F.lit(shard / 2)))
+    counts = counts.select(*keys, k.cast("int").alias("k"))
     zero = [F.lit(0).alias(c) for c in ("i", "j", "side")]
-    groups = dealt.join(small, keys, "left_semi").select(key.alias("bucket"), *zero, *own)
+    groups = dealt.join(counts.filter("k = 1").select(*keys), keys, "left_semi").select(key.alias("bucket"), *zero, *own)
+    large = counts.filter("k > 1")
     if not large.isEmpty():
         # Each fingerprint of a large bucket goes to the pairs of shards that hold its own.
-        hot = dealt.join(large, keys).withColumn("k", F.ceil(F.col("count") / F.lit(shard / 2)).cast("int"))
+        hot = dealt.join(large, keys)
         hot = hot.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("k")).cast("int"))
         hot = hot.select(key.alias("bucket"), "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"), *own)
         groups = groups.unionAll(hot.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), *own))
     parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt_out = groups.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "fp", "node")
-    return dealt_out.mapInArrow(_link_groups(levels, every), "a long, b long").distinct()
+    return groups.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "fp", "node")
 
 
-def _link_groups(levels: tuple[int, ...], every: float | None):
-    columns = ["bucket", "i", "j", "side", "fp", "node", *([] if every is None else ["joined"])]
+def bucket_links(dealt: DataFrame, counts: DataFrame, keys: list[str], levels: tuple[int, ...], shard: int = SHARD) -> DataFrame:
+    """Links (a, b) between nodes of one bucket that connect all whose fp are within the last of ``levels`` bits.
 
-    def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        return _linked(rows, levels) if every is None else _open_pairs(rows, levels[-1], every)
+    ``dealt`` has the bucket's keys, fp and node; only the buckets of ``counts`` are searched. Links within the first
+    level are taken before those of the next, so a far link stands only where no nearer ones connect its ends.
+    """
 
     def run(batches):
-        held: list[np.ndarray] = []  # columns of the group that the last batch may not have ended
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in columns])
-            if every is not None:
-                rows = np.concatenate([rows, np.asarray(batch.column("bins").flatten()).reshape(batch.num_rows, -1).T])
-            rows = np.concatenate([*held, rows], axis=1)
-            new = (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)
-            cut = int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0
-            held = [rows[:, cut:]]
-            if cut:
-                yield from found(rows[:, :cut])
-        if held:
-            yield from found(held[0])
+        for batch in _whole_groups(batches):
+            yield from _linked(_numbers(batch, "fp", "node"), levels)
+
+    return bucket_groups(dealt, counts, keys, ["fp", "node"], shard).mapInArrow(run, "a long, b long").distinct()
+
+
+def open_nodes(dealt: DataFrame, counts: DataFrame, keys: list[str], radius: int, similarity: float, shard: int = SHARD) -> DataFrame:
+    """(bucket, node) of the nodes that have a pair in the bucket within the radius that differs in column ``joined`` and can be that
+    similar by column ``bins``: a row a node and group at most."""
+
+    def run(batches):
+        for batch in _whole_groups(batches):
+            bins = np.asarray(batch.column("bins").combine_chunks().flatten()).reshape(batch.num_rows, -1)
+            rows = _numbers(batch, "fp", "node", "joined")
+            marked = rows[:, _open(rows, np.ascontiguousarray(bins).view(np.uint16), radius, similarity)]
+            yield pa.RecordBatch.from_arrays([pa.array(marked[0]), pa.array(marked[5])], ["bucket", "node"])
 
-    return run
+    return bucket_groups(dealt, counts, keys, ["fp", "node", "joined", "bins"], shard).mapInArrow(run, "bucket long, node long").distinct()
+
+
+def set_links(rows: DataFrame, radius: int, similarity: float, shard: int = SHARD, sets: int = SETS) -> DataFrame:
+    """Links (a, b) between values of ``joined`` that connect all nodes of a bucket within the radius whose ``shingles``, distinct
+    hashes, have at least that Jaccard similarity. ``rows``: bucket, fp, node, joined, shingles."""
+    size = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("count"), F.sum(F.size("shingles")).alias("total"))
+    parts = lambda c, most: F.when(F.col(c) <= most, 1).otherwise(F.ceil(F.col(c) / F.lit(most / 2)))
+    counts = cut_lineage(size.filter("count > 1").select(F.col("bucket"), F.greatest(parts("count", shard), parts("total", sets)).alias("k")))
+
+    def run(batches):
+        for batch in _whole_groups(batches):
+            numbers, shingles = _numbers(batch, "fp", "node", "joined"), batch.column("shingles").combine_chunks()
+            ends = shingles.offsets.to_numpy().astype(np.int64)
+            first = np.concatenate(([0], np.flatnonzero((numbers[:3, 1:] != numbers[:3, :-1]).any(axis=0)) + 1))
+            at = 0
+            while at < len(first):  # groups of bounded sets at a time
+                stop = max(at + 1, int(np.searchsorted(ends[first], ends[first[at]] + sets, "right")) - 1)
+                lo, hi = first[at], first[stop] if stop < len(first) else batch.num_rows
+                yield from _similar(numbers[:, lo:hi], shingles.slice(lo, hi - lo), radius, similarity)
+                at = stop
+
+    return bucket_groups(rows, counts, ["bucket"], ["fp", "node", "joined", "shingles"]).mapInArrow(run, "a long, b long").distinct()
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of sorted batches, cut where groups (bucket, i, j) end."""
+    held: list[pa.RecordBatch] = []  # of the group that the last batch may not have ended
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("bucket", "i", "j")])
+        new = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
+        cut = int(new[-1]) if len(new) else 0
+        if held and not cut and (group[:, 0] != last).any():
+            yield pa.Table.from_batches(held)
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+        last = group[:, -1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _numbers(batch: pa.Table, *columns: str) -> np.ndarray:
+    return np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("bucket", "i", "j", "side", *columns)])
 
 
 def _searches(rows: np.ndarray) -> tuple[Forest, list[tuple[np.ndarray, np.ndarray]]]:
@@ -366,11 +416,10 @@ def _linked(rows: np.ndarray, levels: tuple[int, ...]) -> Iterator[pa.RecordBatc
                     yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
 
-def _open_pairs(rows: np.ndarray, radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Every pair of whole groups within the radius that is not joined and can be that similar; pairs of one shard come from its own
+def _pairs(rows: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair of whole groups within the radius that is not joined, a bounded part at a time; pairs of one shard come from its own
     group alone."""
     node, joined, (forest, sets) = rows[5], rows[6], _searches(rows)
-    bins = np.ascontiguousarray(rows[7:].T).view(np.uint16)
     alone = rows[1] == rows[2]
     sets[0] = tuple(x[alone] for x in sets[0])
     for q, roots in sets:
@@ -379,10 +428,47 @@ def _open_pairs(rows: np.ndarray, radius: int, similarity: float) -> Iterator[pa
             apart = (joined[a] != joined[b]) & ((rows[3, a] != rows[3, b]) | (node[a] < node[b]))
             a, b = a[apart], b[apart]
             for k in range(0, len(a), FRONTIER >> 4):
-                x, y = a[k : k + (FRONTIER >> 4)], b[k : k + (FRONTIER >> 4)]
-                able = can_be(bins[x], bins[y], similarity)
-                x, y = node[x[able]], node[y[able]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                yield a[k : k + (FRONTIER >> 4)], b[k : k + (FRONTIER >> 4)]
+
+
+def _open(rows: np.ndarray, bins: np.ndarray, radius: int, similarity: float) -> np.ndarray:
+    """Which rows have a pair that can be that similar."""
+    marked = np.zeros(rows.shape[1], bool)
+    for a, b in _pairs(rows, radius):
+        new = ~(marked[a] & marked[b])
+        a, b = a[new], b[new]
+        able = can_be(bins[a], bins[b], similarity)
+        marked[a[able]] = marked[b[able]] = True
+    return marked
+
+
+def _similar(rows: np.ndarray, shingles: pa.ListArray, radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links between the values of ``joined`` of pairs that are that similar, as far as they join what is apart."""
+    size = np.diff(shingles.offsets.to_numpy().astype(np.int64))
+    start = np.cumsum(size) - size
+    _, word = np.unique(np.asarray(shingles.flatten()), return_inverse=True)
+    root, own = np.unique(rows[6], return_inverse=True)
+    spanning, mark = Spanning(len(root)), np.zeros(int(word.max(initial=0)) + 1, bool)
+    for a, b in _pairs(rows, radius):
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        edge = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1], [True]))) if len(a) else np.zeros(1, np.int64)
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            x, y = a[lo], b[lo:hi]
+            near = np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y])
+            y = y[near & (spanning.label[own[y]] != spanning.label[own[x]])]
+            if not len(y):
+                continue
+            mark[word[start[x] : start[x] + size[x]]] = True
+            found = [y[:0]]
+            for part in np.split(y, np.flatnonzero(np.diff(np.cumsum(size[y]) // FRONTIER)) + 1):
+                common = np.add.reduceat(mark[word[ranges(start[part], size[part])]], np.cumsum(size[part]) - size[part], dtype=np.int64)
+                found.append(part[common >= similarity * (size[x] + size[part] - common)])
+            mark[word[start[x] : start[x] + size[x]]] = False
+            y = np.concatenate(found)
+            p, q = spanning.add(np.full(len(y), own[x]), own[y])
+            if len(p):
+                yield pa.RecordBatch.from_arrays([pa.array(root[p]), pa.array(root[q])], ["a", "b"])
 
 
 def can_be(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
@@ -445,18 +531,19 @@ def text_components(docs: DataFrame, *, shingle: int = TEXT_SHINGLE, similarity:
     still = joined.select("fp", "node", F.coalesce("joined", "node").alias("joined"), F.explode("keys").alias("key"))
     apart = still.join(counts.select("key"), "key").groupBy("key").agg(F.min("joined").alias("x"), F.max("joined").alias("y")).filter("x <> y")
     still = cut_lineage(still.join(apart.select("key"), "key", "left_semi")).join(texts.select("node", "bins"), "node")
-    pairs = cut_lineage(bucket_links(still, counts, ["key"], levels, every=similarity))
-    if not pairs.isEmpty():
-        links = links.unionAll(alike(docs, texts, pairs, shingle, similarity))
+    marked = cut_lineage(open_nodes(still, counts, ["key"], radius, similarity))
+    if not marked.isEmpty():
+        sets = cut_lineage(shingle_sets(docs, texts, marked.select("node").distinct(), shingle))
+        near = marked.join(joined.select("node", "fp", F.coalesce("joined", "node").alias("joined")), "node").join(sets, "node")
+        links = links.unionAll(set_links(near, radius, similarity))
     table = with_least(texts.select("node", "hi", "lo", "n", "low"), components(links), "node", "low")
     out = join_groups(rows.select("doc_id", "raw", "hi", "lo"), cut_lineage(table.select("hi", "lo", "n", "root", "component_low")), ["hi", "lo"])
     return out.select("doc_id", "raw", "root", (F.col("doc_id").eqNullSafe(F.col("component_low.doc_id")) & (F.col("raw") == F.col("component_low.raw"))).alias("stays"))
 
 
-def alike(docs: DataFrame, texts: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The ``links`` between texts whose sets of shingles have at least that Jaccard similarity; texts are read again."""
-    ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).distinct()
-    wanted = cut_lineage(texts.join(ends, "node").select("node", F.col("low.doc_id").alias("__id"), F.col("low.raw").alias("__raw")))
+def shingle_sets(docs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles), the distinct hashes of the texts of ``nodes``; texts are read again."""
+    wanted = cut_lineage(texts.join(nodes, "node").select("node", F.col("low.doc_id").alias("__id"), F.col("low.raw").alias("__raw")))
     base = docs.withColumn("raw", F.xxhash64("text"))
     base = base.join(broadcast_if_small(wanted), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("raw") == F.col("__raw"))).select("node", F.col("text").cast("string").alias("text"))
 
@@ -468,7 +555,13 @@ def alike(docs: DataFrame, texts: DataFrame, links: DataFrame, shingle: int, sim
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(ends, np.concatenate(found))], ["node", "shingles"])
 
-    sets = base.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+    return base.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+
+
+def alike(docs: DataFrame, texts: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The ``links`` between texts whose sets of shingles have at least that Jaccard similarity."""
+    ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).distinct()
+    sets = shingle_sets(docs, texts, ends, shingle)
     both = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("n"))

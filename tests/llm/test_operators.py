@@ -779,3 +779,36 @@ def test_every_pair_of_a_bucket_that_is_alike_is_joined(spark):
                 met += 1
                 assert root[i] == root[j]
     assert met > 100
+
+
+def test_pairs_of_a_bucket_leave_no_task(spark, monkeypatch):
+    rnd = random.Random(9)
+    base, texts = [f"w{rnd.randrange(10**6)}" for _ in range(200)], []
+    for _ in range(200):  # similarities of about 0.73: pairs within the radius that fail, and a few copies with one word less
+        own = base.copy()
+        for at in rnd.sample(range(5, 195), 3):
+            own[at] = f"v{rnd.randrange(10**6)}"
+        texts.append(" ".join(own))
+    texts += [t.rsplit(" ", 1)[0] for t in texts[:10]]
+    sent, plain = [], simhash.alike
+    monkeypatch.setattr(simhash, "alike", lambda docs, texts, links, *more: sent.append(links.count()) or plain(docs, texts, links, *more))
+    root = {r.doc_id: r.root for r in simhash.text_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(sent) <= simhash.BANDS * len(texts)
+    assert all(root[i] == root[200 + i] for i in range(10))
+
+
+@pytest.mark.parametrize("shard,sets", [(4096, 1 << 21), (20, 1 << 21), (4096, 900)])
+def test_sets_are_compared_in_shards_of_bounded_sets(spark, shard, sets):
+    rnd = random.Random(10)
+    own = [[*range(k % 6 * 100, k % 6 * 100 + 30), *range(1000 * k + 1000, 1000 * k + 1000 + rnd.randrange(8))] for k in range(60)]
+    rows = spark.createDataFrame([(b, rnd.getrandbits(4), k, k, own[k]) for b in (1, 2) for k in range(60)], "bucket long, fp long, node long, joined long, shingles array<long>")
+    found = {frozenset(x) for x in simhash.set_links(rows, 14, 0.8, shard, sets).collect()}
+    alike = {frozenset((i, j)) for i, j in combinations(range(60), 2) if len({*own[i]} & {*own[j]}) >= 0.8 * len({*own[i]} | {*own[j]})}
+
+    def groups(links):
+        label = list(range(60))
+        for a, b in links:
+            label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+        return label
+
+    assert found <= alike and groups(map(tuple, found)) == groups(map(tuple, alike)) and len({*groups(map(tuple, alike))}) < 60
