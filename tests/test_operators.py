@@ -202,3 +202,13 @@ def test_qa_and_risk_on_empty_and_null(spark):
     assert [r.verdict for r in O.with_qa(rows).collect()] == ["fail", "pass"]
     assert [r.risk for r in O.with_risk(rows).collect()] == ["low", "high"]
     assert O.with_risk(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["fired_signals", "ghost_score", "ghost_signals"])
+def test_texts_are_not_shuffled_for_duplicates(spark, sf, name):
+    from postmill.plans import registry
+
+    plan = registry.QUERIES[name](spark, sf)
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(plan._jdf.queryExecution(), "formatted")
+    dealt = [part.split("Arguments")[0] for part in plan.split("\n\n") if ") Exchange" in part]
+    assert dealt and not any("description" in part for part in dealt)
