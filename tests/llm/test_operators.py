@@ -812,3 +812,20 @@ def test_sets_are_compared_in_shards_of_bounded_sets(spark, shard, sets):
         return label
 
     assert found <= alike and groups(map(tuple, found)) == groups(map(tuple, alike)) and len({*groups(map(tuple, alike))}) < 60
+
+
+def test_rounds_of_components_leave_no_growing_estimates(spark, monkeypatch):
+    """Self-joins double the digits of an estimate that is carried from round to round."""
+    from postmill.llm import components as C
+
+    sizes, cut = [], C.cut_lineage
+
+    def watched(df):
+        sizes.append(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+        return cut(df)
+
+    monkeypatch.setattr(C, "cut_lineage", watched)
+    links = spark.range(999).select(F.xxhash64(F.col("id")).alias("a"), F.xxhash64(F.col("id") + 1).alias("b"))
+    got = C.components(links).collect()
+    assert len(got) == 1000 and len({r.root for r in got}) == 1
+    assert max(sizes) < 256
